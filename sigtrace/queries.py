@@ -22,3 +22,54 @@ register("handover_events", RS.handover_events)(R.handover_events)
 register("handover_failures_by_ue", RS.handover_failures_by_ue)(R.handover_failures_by_ue)
 register("handover_failures", RS.handover_failures)(R.handover_failures)
 register("cause_notes", RS.cause_notes)(R.cause_notes)
+
+# --- C: profiling and field catalog -----------------------------------------
+from sigtrace.operators import catalog as C  # noqa: E402
+from sigtrace.operators import listing as E  # noqa: E402
+from sigtrace.operators import predicates as D  # noqa: E402
+from sigtrace.oracle import basic_sql as BS  # noqa: E402
+
+PKT_COLS = ["packet_number", "timestamp_iso", "protocol", "message_type"]
+
+register("table_profile", BS.table_profile)(C.table_profile)
+register("top_protocols", BS.top_protocols)(C.top_protocols)
+register("inspect_head", BS.inspect_head)(C.inspect_head)
+register("explode_fields", BS.explode_fields)(C.explode_fields)
+register("field_catalog", BS.field_catalog)(C.field_catalog)
+register("field_samples", BS.field_samples)(lambda p: C.field_samples(p).select("field", "sample", "first_packet", "sample_rank"))
+register("fields_by_prefix", BS.fields_by_prefix)(C.fields_by_prefix)
+register("match_fields", BS.match_fields)(lambda p: C.match_fields(p, "rsrp"))
+register("resolve_field", BS.resolve_field)(lambda p: C.resolve_field(p, "m_tmsi"))
+register("field_families", BS.field_families)(C.field_families)
+register("suggest_fields", BS.suggest_fields)(lambda p: C.suggest_fields(p, "ueid"))
+register("distinct_message_types", BS.distinct_message_types)(C.distinct_message_types)
+
+# --- D: predicates over packet fields ----------------------------------------
+register("field_equals", BS.field_equals)(lambda p: D.field_equals(p, "ngap.ngap.procedureCode", "29").select(*PKT_COLS))
+register("field_equals_any", BS.field_equals_any)(
+    lambda p: D.field_equals_any(p, "m_tmsi", D.min_value(p, D.alias_keys("m_tmsi"))).select(*PKT_COLS)
+)
+register("has_field_like", BS.has_field_like)(lambda p: D.has_field_like(p, "rsrp").select(*PKT_COLS))
+register("field_name_variants", BS.field_name_variants)(lambda p: D.field_name_variants(p, "q-RxLevMin").select(*PKT_COLS))
+register("ue_anchor", BS.ue_anchor)(
+    lambda p: D.ue_anchor(p, "ue", D.busiest_value(p, D.ANCHOR_KEYS["ran"])).select(*PKT_COLS)
+)
+register("sib_filter", BS.sib_filter)(lambda p: D.sib_filter(p, 3).select(*PKT_COLS))
+register("message_type_in", BS.message_type_in)(lambda p: D.message_type_in(p, BS.MESSAGE_SPELLINGS).select(*PKT_COLS))
+register("message_type_like", BS.message_type_like)(lambda p: D.message_type_like(p, "%Handover%").select(*PKT_COLS))
+register("protocol_filter", BS.protocol_filter)(lambda p: D.protocol_filter(p, protocol="RRC", direction="UL").select(*PKT_COLS))
+
+# --- E: canned aggregations and listings --------------------------------------
+register("unique_ue_count", BS.unique_ue_count)(E.unique_ue_count)
+register("ue_list", BS.ue_list)(E.ue_list)
+register("ue_summary", BS.ue_summary)(E.ue_summary)
+register("count_by_protocol", BS.count_by_protocol)(E.count_by_protocol)
+register("packets_per_hour", BS.packets_per_hour)(E.packets_per_hour)
+register("count_by_direction", BS.count_by_direction)(E.count_by_direction)
+register("count_by_interface", BS.count_by_interface)(E.count_by_interface)
+register("handover_outcome_counts", BS.handover_outcome_counts)(E.handover_outcome_counts)
+register("ue_protocol_breakdown", BS.ue_protocol_breakdown)(E.ue_protocol_breakdown)
+register("packet_timeline", BS.packet_timeline)(E.packet_timeline)
+register("attached_ues", BS.attached_ues)(E.attached_ues)
+register("handover_messages", BS.handover_messages)(E.handover_messages)
+register("measurement_reports", BS.measurement_reports)(E.measurement_reports)
