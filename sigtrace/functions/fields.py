@@ -22,10 +22,18 @@ def parse_fields(col: str | Column = "protocol_fields_json") -> Column:
 
 
 def with_fields(df: DataFrame, name: str = "m") -> DataFrame:
-    """Add the parsed map column ``m`` (no-op when already present)."""
+    """Add the parsed map column ``m`` (no-op when already present).
+
+    The map is produced by a one-element ``explode`` (a Generate node) rather than a
+    plain projection.  Catalyst pushes filters through projections by inlining the
+    aliased expression, which would re-parse the JSON once per reference inside the
+    predicate; a filter on a generator output cannot move below the Generate, so the
+    JSON is parsed exactly once per row, while filters on plain columns (protocol,
+    message_type, ...) still reach the Parquet scan as pushed filters.
+    """
     if name in df.columns:
         return df
-    return df.withColumn(name, parse_fields())
+    return df.select("*", F.explode(F.array(parse_fields())).alias(name))
 
 
 def val(m: Column, key: str) -> Column:

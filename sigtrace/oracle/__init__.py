@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from sigtrace.sources.events_projection import duckdb_packets_sql
 
 
-def with_packets(body: str) -> str:
+def with_packets(body: str, recursive: bool = False) -> str:
     """Prefix ``body`` (which may start with further CTEs via ``, name AS (...)``) with packets + pm."""
     return (
-        "WITH packets AS (" + duckdb_packets_sql("events") + "),\n"
+        ("WITH RECURSIVE" if recursive else "WITH") + " packets AS (" + duckdb_packets_sql("events") + "),\n"
         "pm AS (SELECT *, CAST(protocol_fields_json::JSON AS MAP(VARCHAR, VARCHAR)) AS m FROM packets)"
         + body
     )

@@ -73,3 +73,34 @@ register("packet_timeline", BS.packet_timeline)(E.packet_timeline)
 register("attached_ues", BS.attached_ues)(E.attached_ues)
 register("handover_messages", BS.handover_messages)(E.handover_messages)
 register("measurement_reports", BS.measurement_reports)(E.measurement_reports)
+
+# --- G: UE identity correlation; F: measurements ------------------------------
+from pyspark.sql import functions as _F  # noqa: E402
+
+from sigtrace.operators import correlate as G  # noqa: E402
+from sigtrace.operators import measure as M  # noqa: E402
+from sigtrace.oracle import correlate_sql as GS  # noqa: E402
+
+
+def _enb_requests(p):
+    from sigtrace.functions.fields import with_fields
+
+    d = with_fields(p)
+    v = d["m"]["s1ap.s1ap.ENB_UE_S1AP_ID"]
+    return d.where(v.isNotNull()).select(v.alias("ue_value")).distinct()
+
+
+register("ue_identifiers", GS.ue_identifiers)(G.ue_identifiers)
+register("ue_id_edges", GS.ue_id_edges)(G.ue_id_edges)
+register("ue_groups", GS.ue_groups)(G.ue_groups)
+register("ue_group_stats", GS.ue_group_stats)(lambda p: G.ue_group_stats(G.ue_groups(p)))
+register("correlated_ids", GS.correlated_ids)(lambda p: G.correlated_ids(G.ue_groups(p), G.smallest_id(p, "m_tmsi")))
+register("expand_by_correlation", GS.expand_by_correlation)(
+    lambda p: G.expand_by_correlation(p, G.ue_groups(p), G.smallest_id(p, "m_tmsi")).select(*PKT_COLS)
+)
+register("rsrp_rsrq", GS.rsrp_rsrq)(M.rsrp_rsrq)
+register("resolve_rlc_ids", GS.resolve_rlc_ids)(lambda p: M.resolve_rlc_ids(p, G.ue_groups(p), _enb_requests(p)))
+register("measurements_for_ue", GS.measurements_for_ue)(
+    lambda p: M.measurements_for_ue(p, G.ue_groups(p), _enb_requests(p))
+)
+_ = _F
