@@ -104,3 +104,23 @@ register("measurements_for_ue", GS.measurements_for_ue)(
     lambda p: M.measurements_for_ue(p, G.ue_groups(p), _enb_requests(p))
 )
 _ = _F
+
+# --- T: call-flow tracing ------------------------------------------------------
+from sigtrace.operators import callflow as T  # noqa: E402
+from sigtrace.oracle import callflow_sql as TS  # noqa: E402
+
+register("ue_session", TS.ue_session)(
+    lambda p: T.session_packets(p).select("session", "packet_number", "message_type", "ran", "amf")
+)
+register("session_summary", TS.session_summary)(T.session_summary)
+register("ran_id_evolution", TS.ran_id_evolution)(T.ran_id_evolution)
+register("session_phases", TS.session_phases)(T.session_phases)
+register("session_message_counts", TS.session_message_counts)(T.session_message_counts)
+register("session_steps", TS.session_steps)(T.session_steps)
+register("enriched_call_flow", TS.enriched_call_flow)(T.enriched_call_flow)
+register("handover_flow", TS.handover_flow)(T.handover_flow)
+register("handover_trace", TS.handover_trace)(
+    lambda p: T.handover_trace(p).select("trace_ue", "packet_number", "timestamp_iso", "protocol", "message_type", "direction", "interface")
+)
+register("lte_call_flow", TS.lte_call_flow)(lambda p: T.lte_call_flow(p, "rlc_ueid"))
+register("procedure_step_match", TS.procedure_step_match)(T.procedure_step_match)

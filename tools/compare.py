@@ -10,6 +10,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, ".")
 
@@ -22,7 +23,7 @@ def norm_rows(pdf):
     for rec in pdf[cols].itertuples(index=False):
         out = []
         for v in rec:
-            if v is None or (isinstance(v, float) and math.isnan(v)):
+            if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
                 out.append("NULL")
             elif isinstance(v, float):
                 out.append(f"{v:.6f}")
@@ -70,8 +71,8 @@ def main():
             bad += 1
             print(f"MISMATCH {name}: spark {len(sr)} rows {sc}; oracle {len(orr)} rows {oc}")
             ss, os_ = set(sr), set(orr)
-            print("  spark-only:", list(ss - os_)[:3])
-            print("  oracle-only:", list(os_ - ss)[:3])
+            print("  spark-only ", list(ss - os_)[:3])
+            print("  oracle-only ", list(os_ - ss)[:3])
         else:
             print(f"ok {name}: {len(sr)} rows ({ts:.1f}s)")
     print("bad:", bad)
