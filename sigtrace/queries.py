@@ -124,3 +124,18 @@ register("handover_trace", TS.handover_trace)(
 )
 register("lte_call_flow", TS.lte_call_flow)(lambda p: T.lte_call_flow(p, "rlc_ueid"))
 register("procedure_step_match", TS.procedure_step_match)(T.procedure_step_match)
+
+# --- V: field-value lookup -------------------------------------------------------
+from sigtrace.operators import lookup as V  # noqa: E402
+from sigtrace.oracle import lookup_sql as VS  # noqa: E402
+
+register("field_values", VS.field_values)(lambda p: V.field_values(p, "pdn_ipv4"))
+register("field_value_distinct", VS.field_value_distinct)(lambda p: V.field_value_distinct(p, "pdn_ipv4"))
+register("field_value_best", VS.field_value_best)(lambda p: V.field_value_best(p, "q-RxLevMin"))
+register("value_search", VS.value_search)(
+    lambda p: V.value_search(p, "ueid").select(
+        "field", "value", "r_exact", "r_start", _F.col("r_len").cast("bigint").alias("r_len")
+    )
+)
+register("plmn_tac", VS.plmn_tac)(V.plmn_tac)
+register("pdn_ip", VS.pdn_ip)(V.pdn_ip)
