@@ -139,3 +139,11 @@ register("value_search", VS.value_search)(
 )
 register("plmn_tac", VS.plmn_tac)(V.plmn_tac)
 register("pdn_ip", VS.pdn_ip)(V.pdn_ip)
+
+# --- Q: SQL surface and query logs ------------------------------------------------
+from sigtrace.operators import sqlsurface as Q  # noqa: E402
+from sigtrace.oracle import sql_surface_sql as QS  # noqa: E402
+
+register("run_sql", QS.run_sql)(lambda p: Q.run_sql(p.sparkSession, p, QS.RUN_SQL_TEXT, limit=None))
+register("ue_filter_in_sql", QS.ue_filter_in_sql)(lambda p: Q.ue_filter_in_sql(Q.sql_log_from_packets(p)))
+register("tag_message_types", QS.tag_message_types)(lambda p: Q.tag_message_types(Q.questions_from_packets(p)))
