@@ -147,3 +147,4 @@ from sigtrace.oracle import sql_surface_sql as QS  # noqa: E402
 register("run_sql", QS.run_sql)(lambda p: Q.run_sql(p.sparkSession, p, QS.RUN_SQL_TEXT, limit=None))
 register("ue_filter_in_sql", QS.ue_filter_in_sql)(lambda p: Q.ue_filter_in_sql(Q.sql_log_from_packets(p)))
 register("tag_message_types", QS.tag_message_types)(lambda p: Q.tag_message_types(Q.questions_from_packets(p)))
+from sigtrace import ingest_queries  # noqa: E402,F401  (A and B round trips)
