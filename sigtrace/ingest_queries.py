@@ -201,3 +201,15 @@ def protocol_layer(p: DataFrame) -> DataFrame:
         B.has_protocol("sctp").alias("has_sctp"),
         B.layer_field("ngap", "ngap.procedureCode", "-").alias("procedure_code"),
     )
+
+
+def _enriched_cols(p: DataFrame, *cols: str) -> DataFrame:
+    e = B.enrich_packets(B.layers_from_fields(p))
+    return e.select("packet_number", *cols)
+
+
+register("extract_ue_id")(lambda p: _enriched_cols(p, "ue_id"))
+register("extract_message_type")(lambda p: _enriched_cols(p, "message_type"))
+register("extract_protocol", IS.extract_protocol)(lambda p: _enriched_cols(p, "protocol"))
+register("extract_interface", IS.extract_interface)(lambda p: _enriched_cols(p, "interface"))
+register("extract_direction")(lambda p: _enriched_cols(p, "direction"))

@@ -121,53 +121,63 @@ LEN_CAP = 6  # only "more than five messages" matters, so the length saturates a
 PHASE_STATES = [(p, n) for p in range(len(PHASES)) for n in range(LEN_CAP + 1)]
 
 
-def phase_step(state, message_type: str):
+def phase_symbol(message_type: Column) -> Column:
+    """The message classes the state machine distinguishes (computed in Spark)."""
+    mt = F.coalesce(message_type, F.lit(""))
+    return (
+        F.when(mt == "InitialUEMessage", "I")
+        .when(mt.contains("HandoverPreparation"), "H")
+        .when(mt == "PathSwitchRequest", "P")
+        .when(mt.contains("PDUSessionResourceSetup"), "D")
+        .otherwise("O")
+    )
+
+
+def phase_step(state, symbol: str):
     """One message of the phase state machine: ``(phase, length) -> (phase', length'), opened``."""
     phase, n = state
-    if message_type == "InitialUEMessage" and n > 0:
+    if symbol == "I" and n > 0:
         return (0, 1), True
-    if "HandoverPreparation" in message_type and "Handover" not in PHASES[phase]:
+    if symbol == "H" and "Handover" not in PHASES[phase]:
         return (1, 1), True
-    if message_type == "PathSwitchRequest":  # always opens: the name test never matches (K20)
+    if symbol == "P":  # always opens: the name test never matches (K20)
         return (2, 1), True
-    if "PDUSessionResourceSetup" in message_type and n > 5:
+    if symbol == "D" and n > 5:
         return (3, 1), True
     return (phase, min(n + 1, LEN_CAP)), False
 
 
+def _phase_states(sp: DataFrame) -> DataFrame:
+    """Phase number / name per session packet from the chunked state machine."""
+    st = fsm_scan(sp, "session", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step)
+    names = F.element_at(F.array(*[F.lit(PHASES[p]) for p, _ in PHASE_STATES]), F.col("state_id") + 1)
+    return st.select("session", "packet_number", F.col("segment").alias("phase_no"), names.alias("phase"), "opened", "first")
+
+
 def session_phase_rows(packets: DataFrame) -> DataFrame:
     """Per session packet: phase number and phase name (state machine over packet order)."""
     sp = session_packets(packets)
-    st = fsm_scan(sp, "session", "packet_number", "message_type", PHASE_STATES, (0, 0), phase_step)
-    names = F.element_at(F.array(*[F.lit(PHASES[p]) for p, _ in PHASE_STATES]), F.col("state_id") + 1)
-    st = st.select("session", "packet_number", F.col("segment").alias("phase_no"), names.alias("phase"), "opened")
-    return sp.join(st, ["session", "packet_number"])
+    return sp.join(_phase_states(sp), ["session", "packet_number"])
 
 
 def session_phases(packets: DataFrame) -> DataFrame:
     """T4: phases per session: number, name, first / last packet, message count.
 
     A session whose first message opens a phase starts with an empty
-    'Registration and Attach' phase (start = end = first packet, 0 messages).
+    'Registration and Attach' phase (start = end = first packet, 0 messages); that
+    row is emitted by the same single aggregation (a zero-weight companion row).
     """
-    rows = session_phase_rows(packets)
-    phases = rows.groupBy("session", "phase_no").agg(
-        F.first("phase").alias("phase"),  # constant within a phase
+    rows = _phase_states(session_packets(packets))
+    real = F.struct(F.col("phase_no").alias("p"), F.col("phase").alias("n"), F.lit(1).alias("w"))
+    empty = F.struct(F.lit(1).cast("long").alias("p"), F.lit(PHASES[0]).alias("n"), F.lit(0).alias("w"))
+    parts = F.when(F.col("first") & F.col("opened"), F.array(real, empty)).otherwise(F.array(real))
+    x = rows.select("session", "packet_number", F.explode(parts).alias("x"))
+    return x.groupBy("session", F.col("x.p").alias("phase_no")).agg(
+        F.first("x.n").alias("phase"),  # constant within a phase
         F.min("packet_number").alias("start_packet"),
         F.max("packet_number").alias("end_packet"),
-        F.count(F.lit(1)).alias("messages"),
-    )
-    empty = rows.where(F.col("opened") & (F.col("phase_no") == 2)).join(
-        rows.groupBy("session").agg(F.min("packet_number").alias("first")), "session"
-    ).where(F.col("packet_number") == F.col("first")).select(
-        "session",
-        F.lit(1).cast("long").alias("phase_no"),
-        F.lit(PHASES[0]).alias("phase"),
-        F.col("packet_number").alias("start_packet"),
-        F.col("packet_number").alias("end_packet"),
-        F.lit(0).cast("long").alias("messages"),
+        F.sum("x.w").cast("long").alias("messages"),
     )
-    return phases.unionByName(empty)
 
 
 def session_message_counts(packets: DataFrame, top: int = 10) -> DataFrame:

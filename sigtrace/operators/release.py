@@ -379,3 +379,76 @@ def cause_classes(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_REL
         classify_normal(c).alias("normal"),
         classify_standard(c).alias("standard_normal"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Does a UE have a given message?
+# ---------------------------------------------------------------------------
+def _squash(c: Column) -> Column:
+    """Lower-case without blanks, ``-`` and ``_`` (message-name comparison form)."""
+    return F.regexp_replace(F.lower(c), r"[ \-_]", "")
+
+
+def _prefix_match(a: Column, b: Column) -> Column:
+    """Either string longer than 5 and the first 80 % of the shorter length equal."""
+    t = F.floor(F.least(F.length(a), F.length(b)) * F.lit(0.8)).cast("int")
+    return ((F.length(a) > 5) | (F.length(b) > 5)) & (F.substring(a, 1, t) == F.substring(b, 1, t))
+
+
+def _either_contains(a: Column, b: Column) -> Column:
+    return a.contains(b) | b.contains(a)
+
+
+def ue_has_message(packets: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each request ``(ue_id, message)``, the UE's packets that carry the message.
+
+    Match on the message type (normalised substring either way, or the 80 % prefix
+    rule), else on the first ``*_element`` / ``*Transfer*`` field name that matches the
+    same way (its name is shown as the sub-message).  ``requests`` is joined on the
+    RAN UE id, so any number of (UE, message) questions run as one job.
+    """
+    df = with_fields(packets)
+    m = F.col("m")
+    ran = F.nullif(val(m, "ngap.ngap.RAN_UE_NGAP_ID"), F.lit(""))
+    pk = df.select("packet_number", "timestamp_iso", "message_type", "m", ran.alias("ue_id")).where(F.col("ue_id").isNotNull())
+    req = requests.select(F.col("ue_id").cast("string").alias("ue_id"), F.col("message").alias("message"))
+    j = pk.join(req, "ue_id")
+    q = _squash(F.col("message"))
+    mt = F.col("message_type")
+    pn = _squash(mt)
+    by_type = F.coalesce(F.length(F.nullif(mt, F.lit(""))) > 0, F.lit(False)) & (_either_contains(q, pn) | _prefix_match(q, pn))
+
+    def field_norm(k: Column) -> Column:
+        x = F.replace(F.replace(F.lower(k), F.lit("."), F.lit("")), F.lit("ngap"), F.lit(""))
+        x = F.replace(x, F.lit("_element"), F.lit(""))
+        return F.replace(F.replace(x, F.lit("_"), F.lit("")), F.lit("-"), F.lit(""))
+
+    sub_key = F.get(
+        F.filter(
+            F.map_keys(m),
+            lambda k: (k.contains("_element") | k.contains("Transfer"))
+            & (_either_contains(q, field_norm(k)) | _prefix_match(q, field_norm(k))),
+        ),
+        0,
+    )
+    sub = F.replace(F.element_at(F.split(sub_key, r"\."), -1), F.lit("_element"), F.lit(""))
+    matched = j.withColumn("_by_type", by_type).withColumn("_sub", F.when(~F.col("_by_type"), sub))
+    return matched.where(F.col("_by_type") | F.col("_sub").isNotNull()).select(
+        "ue_id",
+        "message",
+        "packet_number",
+        F.when(F.col("_sub").isNotNull(), F.concat(mt, F.lit(" ("), F.col("_sub"), F.lit(")"))).otherwise(mt).alias("matched_message"),
+        F.substring("timestamp_iso", 1, 23).alias("time"),
+    )
+
+
+# Messages asked about for every UE in the registered query (fixed question list).
+UE_MESSAGE_QUESTIONS = ["HandoverNotification", "InitialContextSetup", "HandoverRequired", "PDU Session Resource Setup"]
+
+
+def ue_message_requests(packets: DataFrame) -> DataFrame:
+    """(ue_id, message) for every RAN UE id present and each question (no join: explode)."""
+    df = with_fields(packets)
+    ran = F.nullif(val(F.col("m"), "ngap.ngap.RAN_UE_NGAP_ID"), F.lit(""))
+    ids = df.select(ran.alias("ue_id")).where(F.col("ue_id").isNotNull()).distinct()
+    return ids.select("ue_id", F.explode(F.array(*[F.lit(x) for x in UE_MESSAGE_QUESTIONS])).alias("message"))

@@ -128,3 +128,21 @@ def resolve_rlc_ids() -> str:
 def measurements_for_ue() -> str:
     return with_packets(RESOLVE_CTES + MEAS_CTE + """
 SELECT meas.*, res.ue_value FROM meas JOIN res ON meas.rlc_ueid = res.rlc_ueid""", recursive=True)
+
+
+def _values(token: str) -> str:
+    return f""",
+v AS (SELECT DISTINCT TRY_CAST(e.value AS INTEGER) AS value FROM (SELECT unnest(map_entries(m)) AS e FROM pm)
+      WHERE contains(e.key, {q(token)}) AND TRY_CAST(e.value AS INTEGER) IS NOT NULL)"""
+
+
+def rsrp_to_dbm() -> str:
+    return with_packets(_values("rsrpResult") + """
+SELECT value, CASE WHEN value BETWEEN 0 AND 97 THEN (value - 140)::VARCHAR || 'dBm to ' || (value - 139)::VARCHAR || 'dBm'
+                   ELSE 'Unknown' END AS text FROM v""")
+
+
+def rsrq_to_db() -> str:
+    return with_packets(_values("rsrqResult") + """
+SELECT value, CASE WHEN value BETWEEN 0 AND 34 THEN printf('%.1fdB to %.1fdB', -19.5 + value * 0.5, -19.0 + value * 0.5)
+                   ELSE 'Unknown' END AS text FROM v""")

@@ -63,3 +63,29 @@ def flatten_fields() -> str:
     return with_packets("""
 SELECT packet_number, CAST(cardinality(m) AS INTEGER) AS n_fields, map_keys(m)[1] AS first_key,
        m['ngap.ngap.RAN_UE_NGAP_ID'] AS ran_ue_id FROM pm""")
+
+
+STACK_CTE = """,
+pre AS (SELECT packet_number, m, list_transform(map_keys(m), lambda k: replace(split_part(k, '.', 1), '_', '-')) AS p FROM pm),
+st AS (SELECT packet_number, m, list_filter(p, lambda x, i: list_position(p, x) = i) AS stack FROM pre)"""
+
+
+def extract_interface() -> str:
+    return with_packets(STACK_CTE + """
+SELECT packet_number, CASE WHEN list_contains(stack, 'rrc') OR list_contains(stack, 'rlc') THEN 'Uu'
+  WHEN list_contains(stack, 's1ap') THEN 'S1-MME' WHEN list_contains(stack, 'x2ap') THEN 'X2'
+  WHEN list_contains(stack, 'ngap') THEN 'N2' WHEN list_contains(stack, 'nas-5gs') THEN 'N1'
+  WHEN list_contains(stack, 'http2') THEN 'SBI' END AS interface FROM st""")
+
+
+def extract_protocol() -> str:
+    order = ["rrc", "nas-5gs", "nas-eps", "s1ap", "x2ap", "ngap", "gtpv2", "diameter"]
+    rrc_extra = ("len(list_filter(map_keys(m), lambda k: split_part(k, '.', 1) = 'rlc_lte' "
+                 "AND (starts_with(substr(k, 9), 'lte-rrc.') OR starts_with(substr(k, 9), 'nr-rrc.')))) > 0")
+    whens = []
+    for p in order:
+        cond = f"len(list_filter(stack, lambda x: contains(lower(x), '{p}'))) > 0"
+        if p == "rrc":
+            cond = f"({cond} OR {rrc_extra})"
+        whens.append(f"WHEN {cond} THEN '{p.upper().replace('-', '_')}'")
+    return with_packets(STACK_CTE + f"\nSELECT packet_number, CASE {' '.join(whens)} END AS protocol FROM st")

@@ -190,3 +190,37 @@ d AS (SELECT DISTINCT detail_cause AS cause FROM c3 WHERE {DETAIL_WHERE}),
 h AS (SELECT DISTINCT cause FROM he WHERE outcome = 'failure')
 SELECT cause, {note} AS note, 'release' AS kind FROM d
 UNION ALL SELECT cause, {ho_note} AS note, 'handover_failure' AS kind FROM h""")
+
+
+def ue_has_message() -> str:
+    from sigtrace.operators.release import UE_MESSAGE_QUESTIONS
+
+    def sq(x: str) -> str:
+        return f"regexp_replace(lower({x}), '[ \\-_]', '', 'g')"
+
+    def pref(a: str, b: str) -> str:
+        t = f"CAST(floor(least(length({a}), length({b})) * 0.8) AS INTEGER)"
+        return f"((length({a}) > 5 OR length({b}) > 5) AND substr({a}, 1, {t}) = substr({b}, 1, {t}))"
+
+    fnorm = "replace(replace(replace(replace(replace(lower(k), '.', ''), 'ngap', ''), '_element', ''), '_', ''), '-', '')"
+    qs = ", ".join(q(x) for x in UE_MESSAGE_QUESTIONS)
+    return with_packets(f""",
+pk AS (SELECT packet_number, timestamp_iso, message_type, m, nullif(m['ngap.ngap.RAN_UE_NGAP_ID'], '') AS ue_id FROM pm),
+ids AS (SELECT DISTINCT ue_id FROM pk WHERE ue_id IS NOT NULL),
+req AS (SELECT ue_id, unnest([{qs}]) AS message FROM ids),
+j AS (SELECT pk.*, req.message, {sq('req.message')} AS qn, {sq('pk.message_type')} AS pn FROM pk JOIN req USING (ue_id)),
+k AS (SELECT j.*,
+   coalesce(length(nullif(message_type, '')) > 0, false) AND (contains(qn, pn) OR contains(pn, qn) OR {pref('qn', 'pn')}) AS by_type,
+   list_filter(map_keys(m), lambda k: (contains(k, '_element') OR contains(k, 'Transfer'))
+       AND (contains(qn, {fnorm}) OR contains({fnorm}, qn) OR {pref('qn', fnorm)}))[1] AS sub_key FROM j),
+s AS (SELECT k.*, CASE WHEN NOT by_type THEN replace(string_split(sub_key, '.')[-1], '_element', '') END AS sub FROM k)
+SELECT ue_id, message, packet_number,
+       CASE WHEN sub IS NOT NULL THEN message_type || ' (' || sub || ')' ELSE message_type END AS matched_message,
+       substr(timestamp_iso, 1, 23) AS time
+FROM s WHERE by_type OR sub IS NOT NULL""")
+
+
+def classify_cause_standard() -> str:
+    return with_packets(EVENTS_CTE + f"""
+SELECT DISTINCT cause_raw, {_std_class('cause_raw')} AS standard_classification
+FROM ev LEFT JOIN {codes.DIM_CAUSE_CLASS.sql()} ON dim_cause_class.cause_name = ev.cause_raw""")

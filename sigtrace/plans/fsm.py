@@ -6,110 +6,185 @@ express them.  When the state space is finite the scan is still parallel: each
 chunk of a key is summarised as its *transfer function* (for every entry state:
 the exit state and how many new segments it opened); composing the small
 per-chunk tables in order gives every chunk's entry state; a last pass replays
-each chunk from its real entry state.  Every Python task sees one chunk (bounded
-by ``chunk_size`` packet numbers), never a whole key, so a key holding a third of
-all rows is processed by many tasks.
-
-Passes: (1) ``groupBy(key, chunk).applyInPandas`` -> transfer tables,
-(2) ``groupBy(key).applyInPandas`` over tables only (|states| rows per chunk),
-(3) join entry states back, ``groupBy(key, chunk).applyInPandas`` -> per-row state.
+each chunk from its real entry state.  No task ever needs a whole key: a key
+holding a third of all rows is cut into ``chunk_size``-wide chunks of the
+ordering column, spread over many tasks.
+
+All three passes stream sorted partitions through ``mapInPandas`` (Arrow batches,
+groups may straddle batches), so Python runs one tight loop per partition rather
+than one call per group.  Transitions are memoised per (state, symbol); symbols
+should be a small alphabet computed in Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrace.plans.ordered import DEFAULT_CHUNK, chunk_of
 
 Step = Callable[[Hashable, str], tuple[Hashable, bool]]
+FLUSH_ROWS = 65536  # rows buffered per output batch (memory stays flat per task)
+
+
+def _table(states: list, step: Step):
+    index = {s: i for i, s in enumerate(states)}
+    memo: dict[tuple[int, str], tuple[int, bool]] = {}
+
+    def move(sid: int, sym: str) -> tuple[int, bool]:
+        r = memo.get((sid, sym))
+        if r is None:
+            st, op = step(states[sid], sym)
+            r = memo[(sid, sym)] = (index[st], bool(op))
+        return r
+
+    return index, move
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]):
+    """Yield (key tuple, rows DataFrame) for consecutive equal keys of sorted batches."""
+    pending = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        if pending is not None:
+            pdf = pd.concat([pending, pdf], ignore_index=True)
+            pending = None
+        kv = list(zip(*[pdf[k].tolist() for k in keys]))
+        start = 0
+        for i in range(1, len(kv) + 1):
+            if i == len(kv):
+                pending = pdf.iloc[start:].reset_index(drop=True)
+            elif kv[i] != kv[start]:
+                yield kv[start], pdf.iloc[start:i]
+                start = i
+    if pending is not None and not pending.empty:
+        yield tuple(pending[k].iloc[0] for k in keys), pending
 
 
 def fsm_scan(
     df: DataFrame,
     key: str,
     order: str,
-    symbol: str,
+    symbol: Column | str,
     states: Sequence[Hashable],
     initial: Hashable,
     step: Step,
     chunk_size: int = DEFAULT_CHUNK,
 ) -> DataFrame:
-    """Return ``(key, order, state_id, segment, opened)`` for every input row.
+    """Return ``(key, order, state_id, segment, opened, first)`` for every input row.
 
     ``step(state, symbol) -> (next_state, opened)``; ``segment`` is 1 + the number of
     openings up to and including the row (so a first row that opens gives 2: the
-    segment before it is empty).  ``state_id`` indexes ``states``.
+    segment before it is empty).  ``state_id`` indexes ``states``; ``first`` marks the
+    first row of each key.  The initial state must not be reachable again after a step.
     """
     states = list(states)
-    index = {s: i for i, s in enumerate(states)}
     n_states = len(states)
+    index, move = _table(states, step)
     init_id = index[initial]
+    sym = F.col(symbol) if isinstance(symbol, str) else symbol
 
+    # The narrow (key, order, symbol, chunk) rows are read by pass 1 and pass 3; a
+    # reliable checkpoint writes them once instead of recomputing the upstream plan.
     base = df.select(
         F.col(key).cast("string").alias("k"),
         F.col(order).cast("long").alias("o"),
-        F.col(symbol).cast("string").alias("sym"),
+        F.coalesce(sym.cast("string"), F.lit("")).alias("sym"),
         chunk_of(F.col(order), chunk_size).alias("c"),
-    )
-
-    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        syms = pdf["sym"].fillna("").tolist()
-        cur = list(range(n_states))
-        opened = [0] * n_states
-        for pos, s in enumerate(syms):
-            nxt = {}
-            for sid in set(cur):
-                st, op = step(states[sid], s)
-                nxt[sid] = (index[st], op)
-            for i in range(n_states):
-                sid, op = nxt[cur[i]]
-                cur[i] = sid
-                opened[i] += int(op)
-            if len(set(cur)) == 1:  # all entry states converged: replay one trajectory
-                sid = cur[0]
-                extra = 0
-                for s2 in syms[pos + 1:]:
-                    st, op = step(states[sid], s2)
-                    sid = index[st]
-                    extra += int(op)
+    ).checkpoint()
+
+    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = {"k": [], "c": [], "s_in": [], "s_out": [], "n_open": []}
+        for (k, c), g in _groups(batches, ["k", "c"]):
+            syms = g["sym"].tolist()
+            cur = list(range(n_states))
+            opened = [0] * n_states
+            pos = 0
+            while pos < len(syms) and len(set(cur)) > 1:
+                s = syms[pos]
+                for i in range(n_states):
+                    cur[i], op = move(cur[i], s)
+                    opened[i] += op
+                pos += 1
+            if pos < len(syms):  # all entry states converged: replay one trajectory
+                sid, extra = cur[0], 0
+                for s in syms[pos:]:
+                    sid, op = move(sid, s)
+                    extra += op
                 cur = [sid] * n_states
                 opened = [x + extra for x in opened]
-                break
-        k, c = pdf["k"].iloc[0], int(pdf["c"].iloc[0])
-        return pd.DataFrame({"k": k, "c": c, "s_in": list(range(n_states)), "s_out": cur, "n_open": opened})
-
-    tables = base.groupBy("k", "c").applyInPandas(transfer, "k string, c long, s_in int, s_out int, n_open long")
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        state, offset = init_id, 0
-        for c, g in pdf.sort_values(["c", "s_in"]).groupby("c", sort=True):
-            row = g[g["s_in"] == state].iloc[0]
-            out.append((pdf["k"].iloc[0], int(c), state, offset))
-            state, offset = int(row["s_out"]), offset + int(row["n_open"])
-        return pd.DataFrame(out, columns=["k", "c", "entry", "offset"])
-
-    entries = tables.groupBy("k").applyInPandas(compose, "k string, c long, entry int, offset long")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        sid = int(pdf["entry"].iloc[0])
-        seg = int(pdf["offset"].iloc[0]) + 1
-        sids, segs, ops = [], [], []
-        for s in pdf["sym"].fillna("").tolist():
-            st, op = step(states[sid], s)
-            sid = index[st]
-            seg += int(op)
-            sids.append(sid)
-            segs.append(seg)
-            ops.append(bool(op))
-        return pd.DataFrame({"k": pdf["k"].values, "o": pdf["o"].values, "state_id": sids, "segment": segs, "opened": ops})
-
-    joined = base.join(entries, ["k", "c"])
-    rows = joined.groupBy("k", "c").applyInPandas(replay, "k string, o long, state_id int, segment long, opened boolean")
+            out["k"] += [k] * n_states
+            out["c"] += [int(c)] * n_states
+            out["s_in"] += list(range(n_states))
+            out["s_out"] += cur
+            out["n_open"] += opened
+            if len(out["k"]) >= FLUSH_ROWS:
+                yield pd.DataFrame(out)
+                out = {name: [] for name in out}
+        yield pd.DataFrame(out)
+
+    tables = (
+        base.repartition("k", "c")
+        .sortWithinPartitions("k", "c", "o")
+        .mapInPandas(transfer, "k string, c long, s_in int, s_out int, n_open long")
+    )
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = {"k": [], "c": [], "entry": [], "offset": []}
+        for (k,), g in _groups(batches, ["k"]):
+            state, offset = init_id, 0
+            cs = g["c"].to_numpy()
+            s_out = g["s_out"].to_numpy()
+            n_open = g["n_open"].to_numpy()
+            s_in = g["s_in"].to_numpy()
+            for c in sorted(set(cs.tolist())):
+                sel = (cs == c) & (s_in == state)
+                j = int(sel.nonzero()[0][0])
+                out["k"].append(k)
+                out["c"].append(int(c))
+                out["entry"].append(state)
+                out["offset"].append(offset)
+                state, offset = int(s_out[j]), offset + int(n_open[j])
+            if len(out["k"]) >= FLUSH_ROWS:
+                yield pd.DataFrame(out)
+                out = {name: [] for name in out}
+        yield pd.DataFrame(out)
+
+    entries = (
+        tables.repartition("k")
+        .sortWithinPartitions("k", "c", "s_in")
+        .mapInPandas(compose, "k string, c long, entry int, offset long")
+    )
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = {"k": [], "o": [], "state_id": [], "segment": [], "opened": [], "first": []}
+        for (k, c), g in _groups(batches, ["k", "c"]):
+            sid = int(g["entry"].iloc[0])
+            seg = int(g["offset"].iloc[0]) + 1
+            first = sid == init_id  # the initial state is only ever the entry of a key's first chunk
+            for o, s in zip(g["o"].tolist(), g["sym"].tolist()):
+                sid, op = move(sid, s)
+                seg += op
+                out["k"].append(k)
+                out["o"].append(o)
+                out["state_id"].append(sid)
+                out["segment"].append(seg)
+                out["opened"].append(op)
+                out["first"].append(first)
+                first = False
+            if len(out["k"]) >= FLUSH_ROWS:
+                yield pd.DataFrame(out)
+                out = {name: [] for name in out}
+        yield pd.DataFrame(out)
+
+    rows = (
+        base.join(entries, ["k", "c"])
+        .repartition("k", "c")
+        .sortWithinPartitions("k", "c", "o")
+        .mapInPandas(replay, "k string, o long, state_id int, segment long, opened boolean, first boolean")
+    )
     return rows.withColumnRenamed("k", key).withColumnRenamed("o", order)

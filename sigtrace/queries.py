@@ -148,3 +148,26 @@ register("run_sql", QS.run_sql)(lambda p: Q.run_sql(p.sparkSession, p, QS.RUN_SQ
 register("ue_filter_in_sql", QS.ue_filter_in_sql)(lambda p: Q.ue_filter_in_sql(Q.sql_log_from_packets(p)))
 register("tag_message_types", QS.tag_message_types)(lambda p: Q.tag_message_types(Q.questions_from_packets(p)))
 from sigtrace import ingest_queries  # noqa: E402,F401  (A and B round trips)
+
+# --- additional per-operator keys ------------------------------------------------------
+register("ue_has_message", RS.ue_has_message)(lambda p: R.ue_has_message(p, R.ue_message_requests(p)))
+register("classify_cause_standard", RS.classify_cause_standard)(
+    lambda p: R.release_events(p).select("cause_raw").distinct().select(
+        "cause_raw",
+        _F.when(R.classify_standard(_F.col("cause_raw")), "NORMAL").otherwise("ABNORMAL").alias("standard_classification"),
+    )
+)
+
+
+def _rsrp_values(p, token):
+    from sigtrace.functions.fields import with_fields
+
+    d = with_fields(p)
+    vals = _F.filter(_F.map_entries("m"), lambda e: e["key"].contains(token))
+    return d.select(_F.explode(vals).alias("e")).select(_F.col("e.value").try_cast("int").alias("value")).where(
+        _F.col("value").isNotNull()
+    ).distinct()
+
+
+register("rsrp_to_dbm", GS.rsrp_to_dbm)(lambda p: _rsrp_values(p, "rsrpResult").select("value", M.rsrp_to_dbm(_F.col("value")).alias("text")))
+register("rsrq_to_db", GS.rsrq_to_db)(lambda p: _rsrp_values(p, "rsrqResult").select("value", M.rsrq_to_db(_F.col("value")).alias("text")))

@@ -16,6 +16,8 @@ SparkQuery = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, SparkQuery] = {}
 ORACLES: dict[str, Callable[[], str]] = {}
+# name -> operator over a packets DataFrame (for queries built by ``register``)
+OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def register(name: str, oracle: Callable[[], str] | None = None):
@@ -26,6 +28,7 @@ def register(name: str, oracle: Callable[[], str] | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        OPERATORS[name] = fn
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
