@@ -46,7 +46,8 @@ def ingest_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: JSONL capture -> packets (core columns, field count, RAN id)."""
     good, _ = S.read_jsonl(spark, _jsonl_capture(spark, sf_dir))
     f = F.col("protocol_fields")
-    return good.select(*CORE, F.size(f).alias("n_fields"), f["ngap.ngap.RAN_UE_NGAP_ID"].alias("ran_ue_id"))
+    core = [F.col(c).try_cast("double").alias(c) if c == "timestamp" else F.col(c) for c in CORE]
+    return good.select(*core, F.size(f).alias("n_fields"), f["ngap.ngap.RAN_UE_NGAP_ID"].alias("ran_ue_id"))
 
 
 @register_raw("ingest_pdml", IS.ingest_pdml)

@@ -32,7 +32,9 @@ LAYERED_PACKET = T.StructType(
 
 # A JSONL record as the reference writes it: layered packet + enrichment + flat fields.
 JSONL_RECORD = T.StructType(
-    LAYERED_PACKET.fields
+    # timestamp kept as text here: unparsable values become NULL in normalisation
+    # instead of turning the whole line into a reject
+    [f if f.name != "timestamp" else T.StructField("timestamp", T.StringType(), True) for f in LAYERED_PACKET.fields]
     + [
         T.StructField("ue_id", T.StringType(), True),
         T.StructField("message_type", T.StringType(), True),
