@@ -50,12 +50,13 @@ def ue_session(packets: DataFrame, target_ran: str | DataFrame) -> DataFrame:
     """T1 for chosen RAN ids (literal or a DataFrame column ``value``): ``target`` x its session packets."""
     d = _ids(packets)
     if isinstance(target_ran, DataFrame):
+        # Any number of targets: no hint, AQE broadcasts it only if its measured size is small.
         targets = target_ran.select(F.col("value").alias("target")).distinct()
     else:
-        targets = d.sparkSession.range(1).select(F.lit(str(target_ran)).alias("target"))
+        targets = F.broadcast(d.sparkSession.range(1).select(F.lit(str(target_ran)).alias("target")))  # one row
     amfs = (
         d.where(F.col("amf").isNotNull())
-        .join(F.broadcast(targets), d["ran"] == targets["target"])
+        .join(targets, d["ran"] == targets["target"])
         .select("target", F.col("amf").alias("session"))
         .distinct()
     )
