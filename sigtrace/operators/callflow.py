@@ -186,7 +186,7 @@ def session_message_counts(packets: DataFrame, top: int = 10) -> DataFrame:
     sp = session_packets(packets).where(F.col("message_type").isNotNull())
     c = sp.groupBy("session", "message_type").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("session").orderBy(F.desc("count"), F.asc("message_type"))
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return c.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
 
 
 def step_cause(m: Column) -> Column:

@@ -40,7 +40,7 @@ def ue_identifiers(packets: DataFrame) -> DataFrame:
         "packet_number",
         F.explode("ids").alias("i"),
         "ts",
-        F.size("ids").alias("ids_in_packet"),
+        F.size("ids").cast("bigint").alias("ids_in_packet"),
     ).select("packet_number", "i.id_type", "i.value", "ts", "ids_in_packet")
 
 

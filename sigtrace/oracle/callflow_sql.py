@@ -106,7 +106,7 @@ st AS (SELECT sp.*, ph.phase_no, ph.phase,
               row_number() OVER (PARTITION BY sp.session, ph.phase_no ORDER BY sp.packet_number) AS index_in_phase
        FROM sp JOIN ph USING (session, packet_number)),
 st2 AS (SELECT st.*, {gname} AS gname, m['ngap.ngap.' || {gname}] AS cv FROM st)
-SELECT session, phase_no, phase, index_in_phase, packet_number, substr(timestamp_iso, 1, 19) AS time, message_type,
+SELECT session, CAST(phase_no AS BIGINT) AS phase_no, phase, index_in_phase, packet_number, substr(timestamp_iso, 1, 19) AS time, message_type,
   CASE WHEN m['ngap.ngap.HandoverRequired_element'] IS NOT NULL THEN 'HandoverRequired'
        WHEN m['ngap.ngap.HandoverCommand_element'] IS NOT NULL THEN 'HandoverCommand'
        WHEN m['ngap.ngap.HandoverRequest_element'] IS NOT NULL THEN 'HandoverRequest' END AS sub_message,
