@@ -185,7 +185,7 @@ def flatten_fields(p: DataFrame) -> DataFrame:
     )
 
 
-@register("enrich_packets")
+@register("enrich_packets", IS.enrich_packets)
 def enrich_packets(p: DataFrame) -> DataFrame:
     """Derived ue_id, message_type, protocol, interface, direction (rows-only check)."""
     e = B.enrich_packets(B.layers_from_fields(p))
@@ -209,8 +209,8 @@ def _enriched_cols(p: DataFrame, *cols: str) -> DataFrame:
     return e.select("packet_number", *cols)
 
 
-register("extract_ue_id")(lambda p: _enriched_cols(p, "ue_id"))
-register("extract_message_type")(lambda p: _enriched_cols(p, "message_type"))
+register("extract_ue_id", IS.extract_ue_id)(lambda p: _enriched_cols(p, "ue_id"))
+register("extract_message_type", IS.extract_message_type)(lambda p: _enriched_cols(p, "message_type"))
 register("extract_protocol", IS.extract_protocol)(lambda p: _enriched_cols(p, "protocol"))
 register("extract_interface", IS.extract_interface)(lambda p: _enriched_cols(p, "interface"))
-register("extract_direction")(lambda p: _enriched_cols(p, "direction"))
+register("extract_direction", IS.extract_direction)(lambda p: _enriched_cols(p, "direction"))
