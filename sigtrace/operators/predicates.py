@@ -70,11 +70,25 @@ def field_equals_any(packets: DataFrame, name: str, value: str | DataFrame) -> D
     df = with_fields(packets)
     keys = alias_keys(name)
     if isinstance(value, DataFrame):
-        t = F.broadcast(value.select(F.col("value").alias("_target")).limit(1))
-        return df.join(t, _value_in(F.col("m"), keys, F.col("_target")), "left_semi")
+        return _semi_on_values(df, keys, value.select(F.col("value").alias("_target")).limit(1))
     return df.where(_value_in(F.col("m"), keys, F.lit(value)))
 
 
+def _alias_values(keys: Sequence[str]) -> Column:
+    return F.array(*[val(F.col("m"), k) for k in keys])
+
+
+def _semi_on_values(df: DataFrame, keys: Sequence[str] | Column, target: DataFrame) -> DataFrame:
+    """Packets whose value under any of ``keys`` equals the one-row ``target`` (column ``_target``).
+
+    An equi-join on the packet's distinct alias values (broadcast hash join against one
+    row), so no nested-loop join is needed; each packet matches at most once.
+    """
+    arr = keys if isinstance(keys, Column) else _alias_values(keys)
+    exploded = df.select("*", F.explode(F.array_distinct(arr)).alias("_v")).where(F.col("_v").isNotNull())
+    return exploded.join(F.broadcast(target), F.col("_v") == F.col("_target"), "left_semi").drop("_v")
+
+
 def has_field_like(packets: DataFrame, name: str) -> DataFrame:
     """D3: packets with any field name containing ``name`` (case-insensitive)."""
     df = with_fields(packets)
@@ -114,19 +128,17 @@ def ue_anchor(packets: DataFrame, anchor: str, value: str | DataFrame) -> DataFr
     one-row aggregate joined back, not a driver-side count.
     """
     df = with_fields(packets)
-    m = F.col("m")
     if isinstance(value, DataFrame):
         target = value.select(F.col("value").alias("_target")).limit(1)
     else:
         target = df.sparkSession.range(1).select(F.lit(str(value)).alias("_target"))
     if anchor == "ue":
-        five_g = has_5g(df).scalar()  # scalar subquery: one boolean-ish value for the dataset
-        cond = F.when(five_g == 1, _value_in(m, ANCHOR_KEYS["ran"], F.col("_target"))).otherwise(
-            _value_in(m, ANCHOR_KEYS["enb"], F.col("_target"))
-        )
-    else:
-        cond = _value_in(m, ANCHOR_KEYS[anchor], F.col("_target"))
-    return df.join(F.broadcast(target), cond, "left_semi")
+        five_g = has_5g(df).scalar()  # scalar subquery: one value for the whole dataset
+        n = max(len(ANCHOR_KEYS["ran"]), len(ANCHOR_KEYS["enb"]))
+        pad = lambda ks: list(ks) + [ks[-1]] * (n - len(ks))  # noqa: E731  (same-length arrays)
+        arr = F.when(five_g == 1, _alias_values(pad(ANCHOR_KEYS["ran"]))).otherwise(_alias_values(pad(ANCHOR_KEYS["enb"])))
+        return _semi_on_values(df, arr, target)
+    return _semi_on_values(df, ANCHOR_KEYS[anchor], target)
 
 
 def sib_filter(packets: DataFrame, sib: int) -> DataFrame:

@@ -103,7 +103,6 @@ register("resolve_rlc_ids", GS.resolve_rlc_ids)(lambda p: M.resolve_rlc_ids(p, G
 register("measurements_for_ue", GS.measurements_for_ue)(
     lambda p: M.measurements_for_ue(p, G.ue_groups(p), _enb_requests(p))
 )
-_ = _F
 
 # --- T: call-flow tracing ------------------------------------------------------
 from sigtrace.operators import callflow as T  # noqa: E402
