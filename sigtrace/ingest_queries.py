@@ -61,7 +61,7 @@ def ingest_pdml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register_raw("pdml_field_context")
+@register_raw("pdml_field_context", IS.pdml_field_context)
 def pdml_field_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: measurement keys seen after the PDML round trip (rows-only check)."""
     good, _ = read_pdml(spark, _pdml_capture(spark, sf_dir))
@@ -113,7 +113,7 @@ def filter_by_protocol_stack(p: DataFrame) -> DataFrame:
     return layered.select("packet_number", F.array_join("protocol_stack", ",").alias("stack"))
 
 
-@register_raw("ingest_stream")
+@register_raw("ingest_stream", IS.ingest_stream)
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream the JSONL capture into Parquet with availableNow, then read the table."""
     from sigtrace.streaming.ingest import ingest_stream as start
@@ -122,10 +122,10 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "stream-out")
     q = start(spark, src, out, fmt="jsonl", checkpoint_path=scratch_path(spark, "stream-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(out).select("packet_number", "timestamp", "ran_ue_ngap_id", "batch_id")
+    return spark.read.parquet(out).select("packet_number", "timestamp", "ran_ue_ngap_id")
 
 
-@register_raw("write_results")
+@register_raw("write_results", IS.write_results)
 def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a result as CSV (header, NULL as empty) and read it back."""
     from sigtrace.operators.release import release_events
@@ -192,13 +192,13 @@ def enrich_packets(p: DataFrame) -> DataFrame:
     return e.select("packet_number", "ue_id", "message_type", "protocol", "interface", "direction")
 
 
-@register("protocol_layer")
+@register("protocol_layer", IS.protocol_layer)
 def protocol_layer(p: DataFrame) -> DataFrame:
     """NGAP layer lookup and SCTP membership per packet (rows-only check)."""
     layered = B.layers_from_fields(p)
     return layered.select(
         "packet_number",
-        F.size(B.protocol_layer("NGAP")["fields"]).alias("ngap_fields"),
+        F.size(B.protocol_layer("NGAP")["fields"]).cast("double").alias("ngap_fields"),  # NULL without an NGAP layer
         B.has_protocol("sctp").alias("has_sctp"),
         B.layer_field("ngap", "ngap.procedureCode", "-").alias("procedure_code"),
     )

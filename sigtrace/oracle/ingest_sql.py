@@ -195,3 +195,29 @@ def enrich_packets() -> str:
     return with_packets(_layers_ctes() + STACK_CTE + f"""
 SELECT enr.packet_number, ue_id, message_type, {_protocol_expr()} AS protocol, {INTERFACE} AS interface, direction
 FROM enr JOIN st USING (packet_number)""")
+
+
+def pdml_field_context() -> str:
+    return with_packets("""
+SELECT packet_number, k AS field FROM (SELECT packet_number, unnest(map_keys(m)) AS k FROM pm) WHERE contains(k, 'Result')""")
+
+
+def ingest_stream() -> str:
+    return with_packets("\nSELECT packet_number, timestamp, m['ngap.ngap.RAN_UE_NGAP_ID'] AS ran_ue_ngap_id FROM pm")
+
+
+def write_results() -> str:
+    from sigtrace.oracle.release_sql import EVENTS_CTE
+
+    return with_packets(EVENTS_CTE + """
+SELECT CAST(packet_number AS VARCHAR) AS packet_number, ran_ue_id, amf_ue_id, procedure_code, procedure_name, cause_raw,
+       release_type, cause_category FROM ev""")
+
+
+def protocol_layer() -> str:
+    return with_packets("""
+SELECT packet_number,
+  CAST(CASE WHEN len(list_filter(map_keys(m), lambda k: split_part(k, '.', 1) = 'ngap')) > 0
+            THEN len(list_filter(map_keys(m), lambda k: split_part(k, '.', 1) = 'ngap')) END AS DOUBLE) AS ngap_fields,
+  len(list_filter(map_keys(m), lambda k: split_part(k, '.', 1) = 'sctp')) > 0 AS has_sctp,
+  coalesce(m['ngap.ngap.procedureCode'], '-') AS procedure_code FROM pm""")
