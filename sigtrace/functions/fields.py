@@ -33,6 +33,8 @@ def with_fields(df: DataFrame, name: str = "m") -> DataFrame:
     """
     if name in df.columns:
         return df
+    if "fields" in df.columns and df.schema["fields"].dataType.simpleString() == MAP_TYPE:
+        return df.withColumn(name, F.col("fields"))  # table written by write_packets: already parsed
     return df.select("*", F.explode(F.array(parse_fields())).alias(name))
 
 

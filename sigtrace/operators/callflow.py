@@ -19,7 +19,7 @@ from sigtrace.functions import codes
 from sigtrace.functions.fields import has_key, val, with_fields
 from sigtrace.functions.lookup import lookup
 from sigtrace.plans.fsm import fsm_scan
-from sigtrace.plans.ordered import carry_forward, last_in_key, sequence
+from sigtrace.plans.ordered import carry_forward, sequence
 
 RAN = "ngap.ngap.RAN_UE_NGAP_ID"
 AMF = "ngap.ngap.AMF_UE_NGAP_ID"
@@ -341,8 +341,7 @@ def handover_flow(packets: DataFrame) -> DataFrame:
     )
     tr = tr.withColumn("_phase_set", phase_set)
     tr = carry_forward(tr, "trace_ue", "packet_number", "_phase_set", "phase")
-    tr = sequence(tr, "trace_ue", "packet_number", seq_col="step")
-    tr = last_in_key(tr, "trace_ue", "packet_number")
+    tr = sequence(tr, "trace_ue", "packet_number", seq_col="step", last_col="is_last")
     spec = F.get(
         F.filter(
             F.transform(

@@ -40,15 +40,17 @@ def sequence(
     seq_col: str = "seq",
     prev_prefix: str = "prev_",
     chunk_size: int = DEFAULT_CHUNK,
+    last_col: str | None = None,
 ) -> DataFrame:
-    """Add ``seq_col`` (row position within ``key`` by ``order``) and ``prev_<c>`` columns."""
+    """Add ``seq_col`` (row position within ``key`` by ``order``), ``prev_<c>`` columns and,
+    with ``last_col``, a flag for the last row of each key (all from the same summary join)."""
     keys = _keys(key)
     d = df.withColumn("_chunk", chunk_of(F.col(order), chunk_size))
     w = Window.partitionBy(*keys, "_chunk").orderBy(order)
     d = d.withColumn("_lrn", F.row_number().over(w))
     for c in lag_cols:
         d = d.withColumn(f"_lp_{c}", F.lag(c).over(w))
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = [F.count(F.lit(1)).alias("_n"), F.max(order).alias("_maxo")]
     if lag_cols:
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in lag_cols]), F.col(order)).alias("_last"))
     summ = d.groupBy(*keys, "_chunk").agg(*aggs)
@@ -56,6 +58,8 @@ def sequence(
     cols = [*keys, "_chunk", F.sum("_n").over(w2.rowsBetween(Window.unboundedPreceding, -1)).alias("_off")]
     if lag_cols:
         cols.append(F.lag("_last").over(w2).alias("_plast"))
+    if last_col:
+        cols.append(F.max("_maxo").over(Window.partitionBy(*keys)).alias("_kmax"))
     summ = summ.select(*cols)
     out = d.join(summ, [*keys, "_chunk"])
     out = out.withColumn(seq_col, F.col("_lrn") + F.coalesce(F.col("_off"), F.lit(0)))
@@ -63,7 +67,10 @@ def sequence(
         out = out.withColumn(
             f"{prev_prefix}{c}", F.when(F.col("_lrn") == 1, F.col("_plast")[c]).otherwise(F.col(f"_lp_{c}"))
         )
+    if last_col:
+        out = out.withColumn(last_col, F.col(order) == F.col("_kmax"))
     drop = ["_chunk", "_lrn", "_off", *[f"_lp_{c}" for c in lag_cols]] + (["_plast"] if lag_cols else [])
+    drop += ["_kmax"] if last_col else []
     return out.drop(*drop)
 
 
