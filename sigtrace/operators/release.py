@@ -158,11 +158,13 @@ def release_stats(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_REL
     """
     df = with_fields(packets)
     m = F.col("m")
+    rel = is_release_packet(m, release_codes)
     flagged = df.select(
         "message_type",
         "m",
-        is_release_packet(m, release_codes).alias("_rel"),
-        classify_normal(_event_cause(m)).alias("_normal"),
+        rel.alias("_rel"),
+        # the cause is only worked out for release packets (CASE evaluates lazily per row)
+        F.when(rel, classify_normal(_event_cause(m))).alias("_normal"),
     )
     agg = flagged.agg(
         F.count_if("_rel").alias("total_releases"),
