@@ -87,7 +87,7 @@ def field_samples(packets: DataFrame, k: int = 3, width: int = 50) -> DataFrame:
         .agg(F.min("packet_number").alias("first_packet"))
     )
     w = Window.partitionBy("field").orderBy("first_packet", "sample")
-    return firsts.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= k)
+    return firsts.withColumn("sample_rank", F.row_number().over(w).cast("bigint")).where(F.col("sample_rank") <= k)
 
 
 def fields_by_prefix(packets: DataFrame, shown: int = 10) -> DataFrame:

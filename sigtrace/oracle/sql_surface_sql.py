@@ -8,7 +8,7 @@ from sigtrace.oracle import q, with_packets
 RUN_SQL_TEXT = """
 SELECT protocol, message_type, COUNT(*) AS count,
        CAST(ROUND(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY protocol), 4) AS DOUBLE) AS pct_of_protocol,
-       RANK() OVER (PARTITION BY protocol ORDER BY COUNT(*) DESC) AS rank_in_protocol
+       CAST(RANK() OVER (PARTITION BY protocol ORDER BY COUNT(*) DESC) AS BIGINT) AS rank_in_protocol
 FROM packets WHERE message_type IS NOT NULL
 GROUP BY protocol, message_type"""
 
