@@ -68,8 +68,30 @@ def explode_fields(packets: DataFrame) -> DataFrame:
     )
 
 
-def field_catalog(packets: DataFrame) -> DataFrame:
-    """Fields per message type with the number of packets carrying them."""
+def sample_per_message_type(packets: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` packets (by packet number) of every message type.
+
+    ``row_number() <= n`` is planned as a window group limit: each task keeps at most
+    ``n`` rows per message type before the shuffle, so a type holding a third of all
+    packets never reaches one task whole.
+    """
+    w = Window.partitionBy("message_type").orderBy("packet_number")
+    return (
+        packets.where(F.col("message_type").isNotNull())
+        .withColumn("_rn", F.row_number().over(w))
+        .where(F.col("_rn") <= n)
+        .drop("_rn")
+    )
+
+
+def field_catalog(packets: DataFrame, sample_per_type: int | None = None) -> DataFrame:
+    """Fields per message type with the number of packets carrying them.
+
+    Full scan by default; ``sample_per_type`` reproduces the reference's sampled
+    catalog deterministically (first packets of each type, K19).
+    """
+    if sample_per_type:
+        packets = sample_per_message_type(packets, sample_per_type)
     return (
         explode_fields(packets)
         .where(F.col("message_type").isNotNull())

@@ -69,3 +69,11 @@ def test_json_parsed_once_per_row(spark):
     q = with_fields(p).where((F.col("protocol") == "RRC") & has_key(F.col("m"), lambda k: k.contains("a")) & F.col("m")["x"].isNull())
     plan = q._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_sampled_catalog_limits_per_type_before_shuffle(packets_table):
+    from sigtrace.operators.catalog import field_catalog
+
+    df = field_catalog(packets_table, sample_per_type=5)
+    assert "WindowGroupLimit" in _plan(df)
+    assert df.agg(F.max("packets")).collect()[0][0] <= 5
