@@ -13,6 +13,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _LOCAL_CKPT: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "sigtrace") -> SparkSession:
@@ -28,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("SIGTRACE_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,9 +43,35 @@ def configure(spark: SparkSession) -> SparkSession:
     # Later layers overwrite earlier ones when flattening fields.
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sigtrace`` importable in Python workers (``mapInPandas`` functions live in it).
+
+    The package is zipped once per application and added with ``addPyFile``, which
+    distributes it to every executor - the same thing ``--py-files`` does at submit time.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="sigtrace-pyfiles-"), "sigtrace.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, read from the session.
 
