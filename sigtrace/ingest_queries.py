@@ -139,9 +139,7 @@ def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: packets parsed / malformed / bytes of a JSONL ingest run, as one row."""
     good, bad = S.read_jsonl(spark, _jsonl_capture(spark, sf_dir))
-    path = scratch_path(spark, "packets")
-    S.write_packets(S.normalize_packets(good), path)
-    summary = S.parse_run_summary(good, bad, path)
+    summary = S.parse_run_summary(S.normalize_packets(good), bad, scratch_path(spark, "packets"))
     return spark.createDataFrame([summary], "packets long, malformed long, output_bytes long")
 
 

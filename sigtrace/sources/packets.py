@@ -52,7 +52,9 @@ def normalize_packets(df: DataFrame) -> DataFrame:
     )
 
 
-def write_packets(df: DataFrame, path: str, mode: str = "overwrite", partition_by_date: bool = True) -> None:
+def write_packets(
+    df: DataFrame, path: str, mode: str = "overwrite", partition_by_date: bool = True, observation: Observation | None = None
+) -> None:
     """A5: Parquet sink (snappy, dictionary, statistics).  Partitioned by capture date for
     pruning and sorted within files by packet number so min/max statistics skip row groups."""
     out = df
@@ -65,6 +67,9 @@ def write_packets(df: DataFrame, path: str, mode: str = "overwrite", partition_b
         out = out.repartitionByRange("capture_date", "packet_number").sortWithinPartitions("capture_date", "packet_number")
     else:
         out = out.sortWithinPartitions("packet_number")
+    if observation is not None:
+        # observed after the range exchange: its sampling job does not run this node
+        out = out.observe(observation, F.count(F.lit(1)).alias("n"))
     w = out.write.mode(mode).option("compression", "snappy")
     if writer_cols:
         w = w.partitionBy(*writer_cols)
@@ -102,15 +107,20 @@ def write_results(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
         raise ValueError(f"unknown result format: {fmt}")
 
 
-def parse_run_summary(packets: DataFrame, rejects: DataFrame, written_path: str | None = None) -> dict:
-    """A10: packets parsed, malformed records, output bytes - collected as metrics of the
-    jobs that already run (``observe``), plus the file sizes of the written table."""
+def parse_run_summary(
+    packets: DataFrame, rejects: DataFrame, path: str, rejects_path: str | None = None, partition_by_date: bool = True
+) -> dict:
+    """A5 + A10: write the packets table (and the rejects) and report packets parsed,
+    malformed records and output bytes.
+
+    The counts are ``observe()`` metrics of the write jobs themselves - no extra pass
+    over the data - and the byte count comes from the written files' metadata.
+    """
     obs_p, obs_r = Observation("packets"), Observation("rejects")
-    packets.observe(obs_p, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
-    rejects.observe(obs_r, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
-    out = {"packets": obs_p.get["n"], "malformed": obs_r.get["n"]}
-    if written_path is not None:
-        spark = packets.sparkSession
-        files = spark.read.parquet(written_path).select("_metadata.file_path", "_metadata.file_size").distinct()
-        out["output_bytes"] = int(files.agg(F.sum("file_size")).first()[0] or 0)
-    return out
+    write_packets(packets, path, partition_by_date=partition_by_date, observation=obs_p)
+    rejects_path = rejects_path or path.rstrip("/") + "_rejects"
+    rejects.observe(obs_r, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(rejects_path)
+    spark = packets.sparkSession
+    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
+    size = files.agg(F.sum("file_size").alias("b")).first()["b"]
+    return {"packets": obs_p.get["n"], "malformed": obs_r.get["n"], "output_bytes": int(size or 0)}

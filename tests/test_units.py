@@ -250,3 +250,12 @@ def test_stream_ingest_pdml(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted(r.packet_number for r in got.collect()) == [1, 2]
     assert spark.read.parquet(out + "_rejects").count() == 1
+
+
+def test_parse_run_summary_counts_from_the_write(spark, tmp_path):
+    from sigtrace.sources.packets import normalize_packets, parse_run_summary, read_jsonl
+
+    good, bad = read_jsonl(spark, os.path.join(DATA, "sample.jsonl"))
+    s = parse_run_summary(normalize_packets(good), bad, str(tmp_path / "packets"))
+    assert s["packets"] == 2 and s["malformed"] == 1 and s["output_bytes"] > 0
+    assert spark.read.parquet(str(tmp_path / "packets")).count() == 2
