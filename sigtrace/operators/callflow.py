@@ -160,7 +160,9 @@ def phase_step(state, symbol: str):
 def _phase_states(sp: DataFrame) -> DataFrame:
     """Phase number / name per session packet from the chunked state machine."""
     st = fsm_scan(sp, "session", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step)
-    names = F.element_at(F.array(*[F.lit(PHASES[p]) for p, _ in PHASE_STATES]), F.col("state_id") + 1)
+    names = F.lit(None).cast("string")
+    for i, (p, _) in reversed(list(enumerate(PHASE_STATES))):
+        names = F.when(F.col("state_id") == i, F.lit(PHASES[p])).otherwise(names)
     return st.select("session", "packet_number", F.col("segment").alias("phase_no"), names.alias("phase"), "opened", "first")
 
 

@@ -31,15 +31,6 @@ def _first(arr: Column) -> Column:
     return F.get(F.filter(arr, lambda x: x.isNotNull()), 0)
 
 
-def _layer_value(pred, keys: list[str], layers: Column | str = LAYERS) -> Column:
-    """First non-empty value of ``keys`` (in key order) over layers matching ``pred``, layer order first."""
-    per_layer = F.transform(
-        F.filter(_c(layers), pred),
-        lambda l: F.coalesce(*[_truthy(l["fields"][k]) for k in keys]),
-    )
-    return _first(per_layer)
-
-
 # ---------------------------------------------------------------------------
 # B1 / B2: code decoding
 # ---------------------------------------------------------------------------
@@ -68,27 +59,9 @@ def decode_nas_5gs(mm_code: Column, sm_code: Column | None = None) -> Column:
 # UE id
 # ---------------------------------------------------------------------------
 def extract_ue_id(layers: Column | str = LAYERS) -> Column:
-    """First identifier by priority, each looked up only in its own layers."""
-    layers = _c(layers)
-    name = lambda l: l["protocol_name"]
-    ran = _layer_value(lambda l: name(l) == "ngap", ["ngap.RAN_UE_NGAP_ID", "ngap.ngap.RAN_UE_NGAP_ID"], layers)
-    enb = _layer_value(
-        lambda l: name(l) == "s1ap",
-        ["s1ap.ENB_UE_S1AP_ID", "s1ap.s1ap.ENB_UE_S1AP_ID", "s1ap.MME_UE_S1AP_ID", "s1ap.s1ap.MME_UE_S1AP_ID"],
-        layers,
-    )
-    imsi = _layer_value(lambda l: name(l).isin("nas-eps", "nas-5gs", "gsm_a.gm"), ["nas_eps.emm.imsi", "nas_5gs.mm.imsi", "e212.imsi"], layers)
-    guti = _layer_value(lambda l: name(l).isin("nas-eps", "nas-5gs"), ["nas_eps.emm.guti", "nas_5gs.mm.5g_guti"], layers)
-    tmsi = _layer_value(lambda l: name(l).isin("nas-eps", "gsm_a.gm"), ["nas_eps.emm.m_tmsi", "gsm_a.tmsi"], layers)
-    rnti = _layer_value(lambda l: name(l) == "rrc", ["rrc.c_rnti", "lte-rrc.c_rnti", "nr-rrc.c_rnti"], layers)
-    return F.coalesce(
-        ran,
-        enb,
-        F.concat(F.lit("IMSI:"), imsi),
-        F.concat(F.lit("GUTI:"), guti),
-        F.concat(F.lit("TMSI:"), tmsi),
-        F.concat(F.lit("RNTI:"), rnti),
-    )
+    """First identifier by priority (RAN, ENB/MME, IMSI, GUTI, TMSI, RNTI), each
+    looked up only in its own layers."""
+    return _ue_id_from(layer_facts(layers))
 
 
 # ---------------------------------------------------------------------------
@@ -141,8 +114,7 @@ def _layer_message_type(l: Column) -> Column:
 
 def extract_message_type(layers: Column | str = LAYERS) -> Column:
     """First layer (stack order) yielding a message type; S1AP/NGAP codes decoded."""
-    layers = _c(layers)
-    return _first(F.transform(layers, _layer_message_type))
+    return layer_facts(layers)["mt"]
 
 
 # ---------------------------------------------------------------------------
@@ -151,24 +123,9 @@ def extract_message_type(layers: Column | str = LAYERS) -> Column:
 PROTOCOL_PRIORITY = ["rrc", "nas-5gs", "nas-eps", "s1ap", "x2ap", "ngap", "gtpv2", "diameter"]
 
 
-def _name_contains(proto: str):
-    return lambda l: F.lower(l["protocol_name"]).contains(proto)
-
-
 def extract_protocol(layers: Column | str = LAYERS) -> Column:
     """Highest-priority 3GPP protocol present (``rlc-lte`` carrying RRC fields counts as RRC)."""
-    layers = _c(layers)
-    out = F.lit(None).cast("string")
-    for proto in reversed(PROTOCOL_PRIORITY):
-        present = F.exists(layers, _name_contains(proto))
-        if proto == "rrc":
-            present = present | F.exists(
-                layers,
-                lambda l: (l["protocol_name"] == "rlc-lte")
-                & F.exists(F.map_keys(l["fields"]), lambda k: k.startswith("lte-rrc.") | k.startswith("nr-rrc.")),
-            )
-        out = F.when(F.coalesce(present, F.lit(False)), F.lit(proto.upper().replace("-", "_"))).otherwise(out)
-    return out
+    return _protocol_from(layer_facts(layers))
 
 
 def extract_interface(stack: Column | str = STACK, src_port: Column | None = None, dst_port: Column | None = None) -> Column:
@@ -198,32 +155,7 @@ DOWNLINK_NAS = ["attach accept", "attach reject", "registration accept", "authen
 
 def extract_direction(layers: Column | str = LAYERS) -> Column:
     """RRC direction text, else NAS message name lists (NAS codes decoded first, K13)."""
-    layers = _c(layers)
-    rrc_dir = _first(
-        F.transform(
-            F.filter(layers, lambda l: F.lower(l["protocol_name"]).contains("rrc")),
-            lambda l: _truthy(l["fields"]["rrc.direction"]),
-        )
-    )
-    rd = F.lower(rrc_dir)
-    from_rrc = F.when(rd.contains("uplink") | rd.contains("ul"), "UL").when(rd.contains("downlink") | rd.contains("dl"), "DL")
-
-    def nas_dir(l: Column) -> Column:
-        mt = _layer_message_type(l)
-        named = F.when(
-            F.lower(l["protocol_name"]).contains("nas-5gs"), F.coalesce(decode_nas_5gs(mt), mt)
-        ).otherwise(mt)
-        low = F.lower(named)
-        up = F.lit(False)
-        for w in UPLINK_NAS:
-            up = up | low.contains(w)
-        down = F.lit(False)
-        for w in DOWNLINK_NAS:
-            down = down | low.contains(w)
-        return F.when(up, "UL").when(down, "DL")
-
-    from_nas = _first(F.transform(F.filter(layers, lambda l: F.lower(l["protocol_name"]).contains("nas")), nas_dir))
-    return F.coalesce(from_rrc, from_nas)
+    return _direction_from(layer_facts(layers))
 
 
 # ---------------------------------------------------------------------------
@@ -266,17 +198,117 @@ def has_protocol(name: str, stack: Column | str = STACK) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Everything in one projection
+# Everything in one pass over the layers
 # ---------------------------------------------------------------------------
+PROTOCOL_NAMES = [p.upper().replace("-", "_") for p in PROTOCOL_PRIORITY]
+
+
+def _layer_rank(l: Column) -> Column:
+    """Priority rank of the most important protocol a layer names (NULL when none)."""
+    lname = F.lower(l["protocol_name"])
+    rrc_fields = (l["protocol_name"] == "rlc-lte") & F.exists(
+        F.map_keys(l["fields"]), lambda k: k.startswith("lte-rrc.") | k.startswith("nr-rrc.")
+    )
+    expr = None
+    for i, proto in reversed(list(enumerate(PROTOCOL_PRIORITY))):
+        cond = lname.contains(proto)
+        if proto == "rrc":
+            cond = cond | F.coalesce(rrc_fields, F.lit(False))
+        expr = F.when(cond, F.lit(i)) if expr is None else F.when(cond, F.lit(i)).otherwise(expr)
+    return expr
+
+
+def _first_keys(f: Column, keys: list[str]) -> Column:
+    return F.coalesce(*[_truthy(f[k]) for k in keys])
+
+
+def layer_facts(layers: Column | str = LAYERS) -> Column:
+    """Every per-packet enrichment fact in two passes over the layers.
+
+    ``transform`` evaluates each layer's candidates once (message type, ids, RRC
+    direction, protocol rank); ``aggregate`` keeps the first non-null of each in stack
+    order (and the best protocol rank).  One interpreted lambda pass per layer instead
+    of one per fact, which is what makes enrichment cheap enough for capture-sized input.
+    """
+    layers = _c(layers)
+
+    def per_layer(l: Column) -> Column:
+        name, f = l["protocol_name"], l["fields"]
+        return F.struct(
+            name.alias("name"),
+            F.when(name == "ngap", _first_keys(f, ["ngap.RAN_UE_NGAP_ID", "ngap.ngap.RAN_UE_NGAP_ID"])).alias("ran"),
+            F.when(name == "s1ap", _first_keys(f, ["s1ap.ENB_UE_S1AP_ID", "s1ap.s1ap.ENB_UE_S1AP_ID", "s1ap.MME_UE_S1AP_ID", "s1ap.s1ap.MME_UE_S1AP_ID"])).alias("enb"),
+            F.when(name.isin("nas-eps", "nas-5gs", "gsm_a.gm"), _first_keys(f, ["nas_eps.emm.imsi", "nas_5gs.mm.imsi", "e212.imsi"])).alias("imsi"),
+            F.when(name.isin("nas-eps", "nas-5gs"), _first_keys(f, ["nas_eps.emm.guti", "nas_5gs.mm.5g_guti"])).alias("guti"),
+            F.when(name.isin("nas-eps", "gsm_a.gm"), _first_keys(f, ["nas_eps.emm.m_tmsi", "gsm_a.tmsi"])).alias("tmsi"),
+            F.when(name == "rrc", _first_keys(f, ["rrc.c_rnti", "lte-rrc.c_rnti", "nr-rrc.c_rnti"])).alias("rnti"),
+            _layer_message_type(l).alias("mt"),
+            F.when(F.lower(name).contains("rrc"), _truthy(f["rrc.direction"])).alias("rrc_dir"),
+            _layer_rank(l).alias("rank"),
+        )
+
+    def nas_dir(x: Column) -> Column:
+        lname = F.lower(x["name"])
+        named = F.when(lname.contains("nas-5gs"), F.coalesce(decode_nas_5gs(x["mt"]), x["mt"])).otherwise(x["mt"])
+        low = F.lower(named)
+        up = F.lit(False)
+        for w in UPLINK_NAS:
+            up = up | low.contains(w)
+        down = F.lit(False)
+        for w in DOWNLINK_NAS:
+            down = down | low.contains(w)
+        return F.when(lname.contains("nas"), F.when(up, "UL").when(down, "DL"))
+
+    string_facts = ["ran", "enb", "imsi", "guti", "tmsi", "rnti", "mt", "rrc_dir", "nas_dir"]
+    init = F.struct(*[F.lit(None).cast("string").alias(n) for n in string_facts], F.lit(None).cast("int").alias("rank"))
+    return F.aggregate(
+        F.transform(layers, per_layer),
+        init,
+        lambda acc, x: F.struct(
+            *[F.coalesce(acc[n], x[n]).alias(n) for n in string_facts if n != "nas_dir"],
+            F.coalesce(acc["nas_dir"], nas_dir(x)).alias("nas_dir"),
+            F.least(acc["rank"], x["rank"]).alias("rank"),
+        ),
+    )
+
+
+def _ue_id_from(facts: Column) -> Column:
+    return F.coalesce(
+        facts["ran"], facts["enb"], F.concat(F.lit("IMSI:"), facts["imsi"]), F.concat(F.lit("GUTI:"), facts["guti"]),
+        F.concat(F.lit("TMSI:"), facts["tmsi"]), F.concat(F.lit("RNTI:"), facts["rnti"]),
+    )
+
+
+def _direction_from(facts: Column) -> Column:
+    rd = F.lower(facts["rrc_dir"])
+    from_rrc = F.when(rd.contains("uplink") | rd.contains("ul"), "UL").when(rd.contains("downlink") | rd.contains("dl"), "DL")
+    return F.coalesce(from_rrc, facts["nas_dir"])
+
+
+def _protocol_from(facts: Column) -> Column:
+    # a CASE chain, not element_at(array literal, idx): the optimizer's rewrite of that
+    # form returned the last element for a NULL index
+    expr = F.lit(None).cast("string")
+    for i, n in reversed(list(enumerate(PROTOCOL_NAMES))):
+        expr = F.when(facts["rank"] == i, F.lit(n)).otherwise(expr)
+    return expr
+
+
 def enrich_packets(layered: DataFrame) -> DataFrame:
-    """Add ue_id, message_type, protocol, interface, direction and the flat field map."""
-    return layered.select(
-        "*",
-        extract_ue_id().alias("ue_id"),
-        extract_message_type().alias("message_type"),
-        extract_protocol().alias("protocol"),
+    """Add ue_id, message_type, protocol, interface, direction and the flat field map.
+
+    The facts struct is produced behind a one-element ``explode`` so it is computed
+    once per packet and then only read (not re-inlined into every derived column).
+    """
+    with_facts = layered.select("*", F.explode(F.array(layer_facts())).alias("_facts"))
+    f = F.col("_facts")
+    return with_facts.select(
+        *[c for c in layered.columns],
+        _ue_id_from(f).alias("ue_id"),
+        f["mt"].alias("message_type"),
+        _protocol_from(f).alias("protocol"),
         extract_interface().alias("interface"),
-        extract_direction().alias("direction"),
+        _direction_from(f).alias("direction"),
         flatten_fields().alias("protocol_fields"),
     )
 

@@ -53,24 +53,36 @@ def normalize_packets(df: DataFrame) -> DataFrame:
 
 
 def write_packets(
-    df: DataFrame, path: str, mode: str = "overwrite", partition_by_date: bool = True, observation: Observation | None = None
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    partition_by_date: bool = True,
+    observation: Observation | None = None,
+    range_partition: bool = False,
+    max_records_per_file: int = 5_000_000,
 ) -> None:
-    """A5: Parquet sink (snappy, dictionary, statistics).  Partitioned by capture date for
-    pruning and sorted within files by packet number so min/max statistics skip row groups."""
+    """A5: Parquet sink (snappy, dictionary, statistics), partitioned by capture date.
+
+    By default no shuffle: captures arrive in time order, so each task writes the
+    dates of its own splits, rows sorted by packet number inside each file so the
+    min/max statistics prune row groups.  ``range_partition=True`` adds a sampled
+    range exchange on (capture_date, packet_number) for inputs in arbitrary order (it
+    evaluates the input twice: once to sample the range bounds, once to write).
+    """
     out = df
     writer_cols = []
     if partition_by_date:
         out = out.withColumn("capture_date", F.to_date("timestamp_hour"))
         writer_cols = ["capture_date"]
-        # Range partitioning (sampled boundaries) keeps tasks balanced even when one
-        # day holds most packets, and gives each file a narrow packet_number range.
-        out = out.repartitionByRange("capture_date", "packet_number").sortWithinPartitions("capture_date", "packet_number")
+        if range_partition:
+            out = out.repartitionByRange("capture_date", "packet_number")
+        out = out.sortWithinPartitions("capture_date", "packet_number")
     else:
         out = out.sortWithinPartitions("packet_number")
     if observation is not None:
-        # observed after the range exchange: its sampling job does not run this node
+        # observed after any range exchange: its sampling job does not run this node
         out = out.observe(observation, F.count(F.lit(1)).alias("n"))
-    w = out.write.mode(mode).option("compression", "snappy")
+    w = out.write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", max_records_per_file)
     if writer_cols:
         w = w.partitionBy(*writer_cols)
     w.parquet(path)
