@@ -168,12 +168,31 @@ def resolve_message_types(spellings: DataFrame) -> DataFrame:
     ).select("spelling", F.col("s.canonical").alias("canonical"), F.col("s.value").alias("message_type"))
 
 
+def canonical_message_values(spellings: Sequence[str]) -> list[str]:
+    """Parameter resolution (no data): spellings -> message_type values via the fixed synonym table."""
+    import re
+
+    best: dict[str, tuple[int, str]] = {}
+    for order, spelling, _canonical, value in codes.DIM_MESSAGE_SYNONYM.rows:
+        key = re.sub(r"\s", "", spelling.lower())
+        if key not in best or order < best[key][0]:
+            best[key] = (order, value)
+    out = []
+    for s in spellings:
+        hit = best.get(re.sub(r"\s", "", s.lower()))
+        if hit and hit[1] not in out:
+            out.append(hit[1])
+    return out
+
+
 def message_type_in(packets: DataFrame, spellings: Sequence[str]) -> DataFrame:
-    """Packets whose message type is the canonical value of any given spelling."""
-    spark = packets.sparkSession
-    wanted = resolve_message_types(spark.createDataFrame([(s,) for s in spellings], "spelling string"))
-    types = wanted.select("message_type").distinct()
-    return packets.join(F.broadcast(types), "message_type", "left_semi")
+    """Packets whose message type is the canonical value of any given spelling.
+
+    The spellings are parameters, resolved against the fixed synonym table before the
+    query runs, so the filter is a plain ``IN`` list that reaches the Parquet scan.
+    (:func:`resolve_message_types` does the same for a DataFrame of spellings.)
+    """
+    return packets.where(F.col("message_type").isin(canonical_message_values(spellings)))
 
 
 def message_type_like(packets: DataFrame, pattern: str) -> DataFrame:

@@ -259,3 +259,13 @@ def test_parse_run_summary_counts_from_the_write(spark, tmp_path):
     s = parse_run_summary(normalize_packets(good), bad, str(tmp_path / "packets"))
     assert s["packets"] == 2 and s["malformed"] == 1 and s["output_bytes"] > 0
     assert spark.read.parquet(str(tmp_path / "packets")).count() == 2
+
+
+def test_synonym_resolution_dataframe_matches_parameters(spark):
+    from sigtrace.operators.predicates import canonical_message_values, resolve_message_types
+
+    sp = ["Handover Required", "security mode command", "RRC Connection Setup Complete", "nonsense", "Attach Request"]
+    df = resolve_message_types(spark.createDataFrame([(s,) for s in sp], "spelling string"))
+    by_df = {r.spelling: r.message_type for r in df.collect()}
+    assert canonical_message_values(sp) == [by_df[s] for s in sp if s in by_df]
+    assert by_df["security mode command"] == "securityModeCommand"  # repeated spelling keeps its later value
