@@ -393,13 +393,14 @@ LTE_TRACE_KEYS = {
 
 
 def lte_call_flow(packets: DataFrame, id_type: str = "rlc_ueid") -> DataFrame:
-    """T10 (all ids of a kind): 4G trace rows with the first 200 characters of the fields."""
+    """T10 (all ids of a kind): 4G trace rows; ``summary`` is the reference's 200-character
+    preview of the fields, ``protocol_fields_json`` the whole text."""
     df = with_fields(packets)
     m = F.col("m")
     ids = F.array_distinct(F.filter(F.array(*[val(m, k) for k in LTE_TRACE_KEYS[id_type]]), lambda x: x.isNotNull()))
     return df.select(
         F.explode(ids).alias("trace_id"), "packet_number", "timestamp_iso", "protocol", "message_type",
-        "direction", "interface", F.substring("protocol_fields_json", 1, 200).alias("summary"),
+        "direction", "interface", F.substring("protocol_fields_json", 1, 200).alias("summary"), "protocol_fields_json",
     )
 
 

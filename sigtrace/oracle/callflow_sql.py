@@ -206,7 +206,7 @@ def lte_call_flow() -> str:
     ids = "list_distinct(list_filter([" + ", ".join(f"m[{q(k)}]" for k in keys) + "], lambda x: x IS NOT NULL))"
     return with_packets(f"""
 SELECT unnest({ids}) AS trace_id, packet_number, timestamp_iso, protocol, message_type, direction, interface,
-       substr(protocol_fields_json, 1, 200) AS summary FROM pm""")
+       substr(protocol_fields_json, 1, 200) AS summary, protocol_fields_json FROM pm""")
 
 
 def procedure_step_match() -> str:

@@ -128,7 +128,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row["_error"] = None
                 row["_record"] = None
             except Exception as e:  # noqa: BLE001 - a bad packet becomes a reject row
-                row = dict(empty, _error=f"{type(e).__name__}: {e}"[:500], _record=xml_text[:2000])
+                row = dict(empty, _error=f"{type(e).__name__}: {e}", _record=xml_text)  # whole record kept
             out.append(row)
         yield pd.DataFrame(out, columns=[f.name for f in PARSED.fields])
 
