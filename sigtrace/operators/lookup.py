@@ -2,8 +2,8 @@
 
 All lookups run over ``explode(map_entries(m))`` of the whole table.  "Use the
 exact field if the data has it, else fall back to fuzzy matches" is decided with a
-one-row aggregated flag joined back (broadcast of a single row), never with a
-driver-side count, so the whole decision stays inside one Spark plan.
+scalar subquery (one aggregated value), never with a driver-side count, so the
+whole decision stays inside one Spark plan.
 """
 
 from __future__ import annotations
