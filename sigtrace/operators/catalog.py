@@ -46,9 +46,14 @@ def top_protocols(packets: DataFrame, n: int = 10) -> DataFrame:
 
 
 def dataset_stats(df: DataFrame) -> DataFrame:
-    """Rows and bytes per file of a Parquet dataset, from the hidden ``_metadata`` column."""
-    return df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").agg(
-        F.count(F.lit(1)).alias("rows")
+    """Rows and bytes per file of a Parquet dataset (hidden ``_metadata`` column), with
+    the column count of the schema; total rows / files / bytes are one ``agg`` away."""
+    ncols = len(df.columns)
+    return (
+        df.select("_metadata.file_path", "_metadata.file_size")
+        .groupBy("file_path", "file_size")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("columns", F.lit(ncols))
     )
 
 
