@@ -58,24 +58,31 @@ def write_packets(
     mode: str = "overwrite",
     partition_by_date: bool = True,
     observation: Observation | None = None,
-    range_partition: bool = False,
+    layout: str = "rebalance",
     max_records_per_file: int = 5_000_000,
 ) -> None:
     """A5: Parquet sink (snappy, dictionary, statistics), partitioned by capture date.
 
-    By default no shuffle: captures arrive in time order, so each task writes the
-    dates of its own splits, rows sorted by packet number inside each file so the
-    min/max statistics prune row groups.  ``range_partition=True`` adds a sampled
-    range exchange on (capture_date, packet_number) for inputs in arbitrary order (it
-    evaluates the input twice: once to sample the range bounds, once to write).
+    ``layout``:
+    * ``"rebalance"`` (default) - a REBALANCE hint on the date: AQE sizes the write tasks,
+      splitting a date that holds most packets into several tasks and merging small
+      ones, so files are neither tiny nor skewed (one shuffle, input read once);
+    * ``"range"`` - sampled range exchange on (date, packet_number) for globally ordered
+      files (reads the input twice: once for the range bounds);
+    * ``"none"`` - no shuffle, for captures already arriving in time order.
+    Rows are sorted by packet number inside each file so min/max statistics prune.
     """
     out = df
     writer_cols = []
     if partition_by_date:
         out = out.withColumn("capture_date", F.to_date("timestamp_hour"))
         writer_cols = ["capture_date"]
-        if range_partition:
+        if layout == "rebalance":
+            out = out.hint("rebalance", "capture_date")
+        elif layout == "range":
             out = out.repartitionByRange("capture_date", "packet_number")
+        elif layout != "none":
+            raise ValueError(f"unknown layout: {layout}")
         out = out.sortWithinPartitions("capture_date", "packet_number")
     else:
         out = out.sortWithinPartitions("packet_number")
