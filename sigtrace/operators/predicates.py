@@ -53,7 +53,17 @@ def _value_in(m: Column, keys: Sequence[str], value: Column) -> Column:
 
 
 def field_equals(packets: DataFrame, key: str, value: str) -> DataFrame:
-    """Packets where the field ``key`` equals ``value`` exactly."""
+    """Packets where the field ``key`` equals ``value`` exactly.
+
+    When the table carries the key as a materialised hot column (written by
+    ``write_packets``), the predicate is on that column, so Parquet pushes it down and
+    skips row groups by min/max statistics.
+    """
+    from sigtrace.sources.schema import HOT_KEYS
+
+    hot = next((c for c, k in HOT_KEYS.items() if k == key and c in packets.columns), None)
+    if hot is not None:
+        return with_fields(packets.where(F.col(hot) == F.lit(value)))
     df = with_fields(packets)
     return df.where(val(F.col("m"), key) == F.lit(value))
 

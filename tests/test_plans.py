@@ -77,3 +77,15 @@ def test_sampled_catalog_limits_per_type_before_shuffle(packets_table):
     df = field_catalog(packets_table, sample_per_type=5)
     assert "WindowGroupLimit" in _plan(df)
     assert df.agg(F.max("packets")).collect()[0][0] <= 5
+
+
+def test_hot_id_column_predicate_is_pushed(spark, packets_table, tmp_path):
+    from sigtrace.operators.predicates import field_equals
+    from sigtrace.sources.schema import HOT_KEYS
+
+    path = str(tmp_path / "hot")
+    packets_table.select("*", *[F.col("fields")[k].alias(c) for c, k in HOT_KEYS.items()]).write.parquet(path)
+    t = spark.read.parquet(path)
+    df = field_equals(t, "ngap.ngap.procedureCode", "29")
+    assert "EqualTo(ngap_procedure_code,29)" in _plan(df)
+    assert df.count() == packets_table.where(F.col("fields")["ngap.ngap.procedureCode"] == "29").count()
