@@ -55,7 +55,19 @@ def session_packets(packets: DataFrame) -> DataFrame:
     return by_amf.unionByName(by_ran)
 
 
-def ue_session(packets: DataFrame, target_ran: str | DataFrame) -> DataFrame:
+def write_sessions(packets: DataFrame, path: str) -> DataFrame:
+    """Materialise :func:`session_packets` once (Parquet) and return the table, so the
+    session operators below can share it (``sessions=`` argument) instead of each
+    rebuilding it from the packets."""
+    session_packets(packets).write.mode("overwrite").parquet(path)
+    return packets.sparkSession.read.parquet(path)
+
+
+def _sessions(packets: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    return session_packets(packets) if sessions is None else sessions
+
+
+def ue_session(packets: DataFrame, target_ran: str | DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """T1 for chosen RAN ids (literal or a DataFrame column ``value``): ``target`` x its session packets."""
     d = _ids(packets)
     if isinstance(target_ran, DataFrame):
@@ -69,14 +81,14 @@ def ue_session(packets: DataFrame, target_ran: str | DataFrame) -> DataFrame:
         .select("target", F.col("amf").alias("session"))
         .distinct()
     )
-    sp = session_packets(packets)
+    sp = _sessions(packets, sessions)
     return sp.join(amfs, "session").dropDuplicates(["target", "packet_number"])
 
 
-def session_summary(packets: DataFrame) -> DataFrame:
+def session_summary(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """T2 per session: RAN ids, messages, first / last time, PDU sessions, handover attempts,
     releases and distinct message types (counts; id lists come from :func:`ran_id_evolution`)."""
-    sp = session_packets(packets)
+    sp = _sessions(packets, sessions)
     m = F.col("m")
     own = F.col("amf") == F.col("session")  # ids and PDU sessions come from packets carrying the AMF id
     pdu_vals = F.transform(
@@ -105,9 +117,9 @@ def session_summary(packets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # RAN id evolution
 # ---------------------------------------------------------------------------
-def ran_id_evolution(packets: DataFrame) -> DataFrame:
+def ran_id_evolution(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """The first RAN id of each session and every later change, in packet order."""
-    sp = session_packets(packets).where(F.col("ran").isNotNull())
+    sp = _sessions(packets, sessions).where(F.col("ran").isNotNull())
     seq = sequence(sp, "session", "packet_number", lag_cols=["ran"])
     ch = seq.where(F.col("prev_ran").isNull() | (F.col("prev_ran") != F.col("ran")))
     reason = F.coalesce(lookup(codes.RAN_CHANGE_REASONS, F.col("message_type")), F.lit(codes.RAN_CHANGE_DEFAULT_REASON))
@@ -166,20 +178,20 @@ def _phase_states(sp: DataFrame) -> DataFrame:
     return st.select("session", "packet_number", F.col("segment").alias("phase_no"), names.alias("phase"), "opened", "first")
 
 
-def session_phase_rows(packets: DataFrame) -> DataFrame:
+def session_phase_rows(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Per session packet: phase number and phase name (state machine over packet order)."""
-    sp = session_packets(packets)
+    sp = _sessions(packets, sessions)
     return sp.join(_phase_states(sp), ["session", "packet_number"])
 
 
-def session_phases(packets: DataFrame) -> DataFrame:
+def session_phases(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """T4: phases per session: number, name, first / last packet, message count.
 
     A session whose first message opens a phase starts with an empty
     'Registration and Attach' phase (start = end = first packet, 0 messages); that
     row is emitted by the same single aggregation (a zero-weight companion row).
     """
-    rows = _phase_states(session_packets(packets))
+    rows = _phase_states(_sessions(packets, sessions))
     real = F.struct(F.col("phase_no").alias("p"), F.col("phase").alias("n"), F.lit(1).alias("w"))
     empty = F.struct(F.lit(1).cast("long").alias("p"), F.lit(PHASES[0]).alias("n"), F.lit(0).alias("w"))
     parts = F.when(F.col("first") & F.col("opened"), F.array(real, empty)).otherwise(F.array(real))
@@ -192,9 +204,9 @@ def session_phases(packets: DataFrame) -> DataFrame:
     )
 
 
-def session_message_counts(packets: DataFrame, top: int = 10) -> DataFrame:
+def session_message_counts(packets: DataFrame, top: int = 10, sessions: DataFrame | None = None) -> DataFrame:
     """T5: top message types per session by count (ties by name)."""
-    sp = session_packets(packets).where(F.col("message_type").isNotNull())
+    sp = _sessions(packets, sessions).where(F.col("message_type").isNotNull())
     c = sp.groupBy("session", "message_type").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("session").orderBy(F.desc("count"), F.asc("message_type"))
     return c.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
@@ -209,9 +221,9 @@ def step_cause(m: Column) -> Column:
     return F.when(grp.isNotNull() & (gname == "radioNetwork") & cv.isNotNull(), F.concat(gname, F.lit(": "), name))
 
 
-def session_steps(packets: DataFrame) -> DataFrame:
+def session_steps(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Every message of every phase with its index, sub-message tag, ids and cause."""
-    rows = session_phase_rows(packets)
+    rows = session_phase_rows(packets, sessions)
     rows = sequence(rows, ["session", "phase_no"], "packet_number", seq_col="index_in_phase")
     m = F.col("m")
     sub = (

@@ -129,3 +129,18 @@ def test_ue_has_message_prefix_and_submessage(spark):
     # 'handovernotify' vs 'handovernotification': first 80 % of the shorter name agree
     assert ("handover notify", 2, "HandoverNotification") in got
     assert all(r[0] != "UEContextRelease" for r in got)
+
+
+def test_shared_session_table_gives_same_results(spark, tmp_path):
+    from tests.conftest import SF_SMALL
+
+    from sigtrace.operators import callflow as T
+    from sigtrace.sources.events_projection import packets_from_events
+
+    p = packets_from_events(spark, SF_SMALL)
+    shared = T.write_sessions(p, str(tmp_path / "sessions"))
+    for fn in (T.session_summary, T.session_phases, T.ran_id_evolution, T.session_message_counts):
+        a = sorted(tuple(r) for r in fn(p).collect())
+        b = sorted(tuple(r) for r in fn(p, sessions=shared).collect())
+        assert a == b, fn.__name__
+    assert T.ue_session(p, "1402", sessions=shared).count() == T.ue_session(p, "1402").count()
