@@ -53,9 +53,6 @@ def first_of(m: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[truthy(val(m, k)) for k in keys])
 
 
-def first_present(m: Column, keys: Sequence[str]) -> Column:
-    """First value whose key exists (``for k in keys: if k in d``), empty allowed."""
-    return F.coalesce(*[val(m, k) for k in keys])
 
 
 def keys_where(m: Column, pred: Callable[[Column], Column]) -> Column:
@@ -67,9 +64,6 @@ def first_key(m: Column, pred: Callable[[Column], Column]) -> Column:
     return F.get(keys_where(m, pred), 0)
 
 
-def first_value_where_key(m: Column, pred: Callable[[Column], Column]) -> Column:
-    """Value of the first key (JSON order) satisfying ``pred``."""
-    return m[first_key(m, pred)]
 
 
 def first_entry_where(m: Column, pred: Callable[[Column, Column], Column]) -> Column:
@@ -81,20 +75,10 @@ def has_key(m: Column, pred: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.exists(F.map_keys(m), pred), F.lit(False))
 
 
-def lower_contains(c: Column, needle: str) -> Column:
-    return F.lower(c).contains(needle.lower())
 
 
-def normalise_name(c: Column, extra_chars: str = "") -> Column:
-    """Lower-case and drop ``- _ .`` and blanks (field-name and message matching)."""
-    return F.regexp_replace(F.lower(c), "[-_. " + extra_chars + "]", "")
 
 
-def normalise_literal(s: str, extra_chars: str = "") -> str:
-    out = s.lower()
-    for ch in "-_. " + extra_chars:
-        out = out.replace(ch, "")
-    return out
 
 
 # ---------------------------------------------------------------------------
@@ -109,13 +93,3 @@ RLC_KEYS = ["rlc_lte.rlc-lte.ueid", "rlc_lte.pdcp-lte.ueid"]
 M_TMSI_KEYS = ["nas_eps.nas-eps.emm.m_tmsi", "s1ap.nas-eps.emm.m_tmsi", "rlc_lte.nas-eps.emm.m_tmsi", "nas_eps.3gpp.tmsi"]
 GUTI_KEYS = ["nas_eps.nas-eps.emm.guti", "s1ap.nas-eps.emm.guti"]
 IMSI_KEYS = ["e212.imsi", "nas_eps.e212.imsi", "s1ap.e212.imsi"]
-X2_OLD_KEYS = ["x2ap.x2ap.Old_ENB_UE_X2AP_ID"]
-X2_NEW_KEYS = ["x2ap.x2ap.New_ENB_UE_X2AP_ID"]
-
-
-def ran_id(m: Column) -> Column:
-    return first_of(m, RAN_KEYS)
-
-
-def amf_id(m: Column) -> Column:
-    return first_of(m, AMF_KEYS)

@@ -26,11 +26,6 @@ def _truthy(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _first(arr: Column) -> Column:
-    """First non-null element of an array (NULL when none)."""
-    return F.get(F.filter(arr, lambda x: x.isNotNull()), 0)
-
-
 # ---------------------------------------------------------------------------
 # B1 / B2: code decoding
 # ---------------------------------------------------------------------------

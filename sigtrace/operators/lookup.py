@@ -16,8 +16,6 @@ from sigtrace.operators.catalog import field_score
 
 # FIXED VALUES: fields that name a UE on a lookup row, in priority order.
 UE_ID_KEYS = ["s1ap.s1ap.ENB_UE_S1AP_ID", "rlc_lte.rlc-lte.ueid", "s1ap.s1ap.MME_UE_S1AP_ID", "ngap.RAN_UE_NGAP_ID"]
-# Identity fields listed first in lookup results.
-IDENTITY_HINTS = ["m_tmsi", "pdn_ipv4", "guti", "imsi", "ran_ue_ngap_id"]
 
 
 def _norm_key(c: Column) -> Column:

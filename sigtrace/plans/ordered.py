@@ -94,10 +94,3 @@ def carry_forward(
     summ = summ.select(*keys, "_chunk", F.last("_clast", ignorenulls=True).over(w2).alias("_before"))
     out = d.join(summ, [*keys, "_chunk"])
     return out.withColumn(out_col, F.coalesce(F.col("_loc"), F.col("_before"))).drop("_chunk", "_loc", "_before")
-
-
-def last_in_key(df: DataFrame, key: str | Sequence[str], order: str, flag_col: str = "is_last") -> DataFrame:
-    """Flag the last row of each key (max of ``order``) with a partial aggregate + join, no window."""
-    keys = _keys(key)
-    mx = df.groupBy(*keys).agg(F.max(order).alias("_mx"))
-    return df.join(mx, keys).withColumn(flag_col, F.col(order) == F.col("_mx")).drop("_mx")
