@@ -156,6 +156,7 @@ def match_fields(packets: DataFrame, query_field: str, message_type: str | None
     return cat.where(fn.contains(qn) | qn.contains(fn))
 
 
+# FIXED VALUES: identity field tokens that add to a field-name match score.
 IDENTITY_TOKENS = ["m_tmsi", "mme_ue_s1ap_id", "enb_ue_s1ap_id", "ran_ue_ngap_id", "ueid"]
 
 

@@ -72,7 +72,7 @@ MESSAGE_FIELDS = [
     ("ngap", ["ngap.procedureCode"]),
     ("gtpv2", ["gtpv2.message_type"]),
 ]
-# RRC container elements that do not name a message.
+# FIXED VALUES: RRC container elements that do not name a message.
 RRC_CONTAINERS = [
     "DL_CCCH_Message", "UL_CCCH_Message", "DL_DCCH_Message", "UL_DCCH_Message",
     "BCCH_BCH_Message", "BCCH_DL_SCH_Message", "PCCH_Message", "criticalExtensions",
@@ -115,6 +115,7 @@ def extract_message_type(layers: Column | str = LAYERS) -> Column:
 # ---------------------------------------------------------------------------
 # Protocol, interface, direction
 # ---------------------------------------------------------------------------
+# FIXED VALUES: protocol classification priority (first present wins).
 PROTOCOL_PRIORITY = ["rrc", "nas-5gs", "nas-eps", "s1ap", "x2ap", "ngap", "gtpv2", "diameter"]
 
 
@@ -144,6 +145,7 @@ def extract_interface(stack: Column | str = STACK, src_port: Column | None = Non
     )
 
 
+# FIXED VALUES: NAS message names that imply uplink / downlink.
 UPLINK_NAS = ["attach request", "registration request", "service request", "authentication response"]
 DOWNLINK_NAS = ["attach accept", "attach reject", "registration accept", "authentication request"]
 

@@ -112,6 +112,7 @@ def value_search(packets: DataFrame, token: str, top: int = 10) -> DataFrame:
     return ranked.orderBy("r_exact", "r_start", "r_len", "field", "value").limit(top)
 
 
+# FIXED VALUES: a TAC field name is "tac" bounded by start/end or one of _ . -
 TAC_PATTERN = r"(^|[_.-])tac($|[_.-])"
 
 
