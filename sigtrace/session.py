@@ -61,6 +61,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
+    # A driver-side build artefact, not data: addPyFile serves it to the executors.
     out = os.path.join(tempfile.mkdtemp(prefix="sigtrace-pyfiles-"), "sigtrace.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(pkg_dir):

@@ -6,6 +6,7 @@ usage: python tools/compare.py [sf_dir] [name ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -42,7 +43,8 @@ def main():
     load_all()
     spark = local_session()
     con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
+    if os.environ.get("COMPARE_TZ", "UTC"):
+        con.execute(f"SET TimeZone='{os.environ.get('COMPARE_TZ', 'UTC')}'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     bad = 0
