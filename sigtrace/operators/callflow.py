@@ -19,7 +19,7 @@ from sigtrace.functions import codes
 from sigtrace.functions.fields import has_key, val, with_fields
 from sigtrace.functions.lookup import lookup
 from sigtrace.plans.fsm import fsm_scan
-from sigtrace.plans.ordered import carry_forward, sequence
+from sigtrace.plans.ordered import DEFAULT_CHUNK, carry_forward, sequence
 
 RAN = "ngap.ngap.RAN_UE_NGAP_ID"
 AMF = "ngap.ngap.AMF_UE_NGAP_ID"
@@ -117,10 +117,10 @@ def session_summary(packets: DataFrame, sessions: DataFrame | None = None) -> Da
 # ---------------------------------------------------------------------------
 # RAN id evolution
 # ---------------------------------------------------------------------------
-def ran_id_evolution(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+def ran_id_evolution(packets: DataFrame, sessions: DataFrame | None = None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """The first RAN id of each session and every later change, in packet order."""
     sp = _sessions(packets, sessions).where(F.col("ran").isNotNull())
-    seq = sequence(sp, "session", "packet_number", lag_cols=["ran"])
+    seq = sequence(sp, "session", "packet_number", lag_cols=["ran"], chunk_size=chunk_size)
     ch = seq.where(F.col("prev_ran").isNull() | (F.col("prev_ran") != F.col("ran")))
     reason = F.coalesce(lookup(codes.RAN_CHANGE_REASONS, F.col("message_type")), F.lit(codes.RAN_CHANGE_DEFAULT_REASON))
     return ch.select(
@@ -169,9 +169,11 @@ def phase_step(state, symbol: str):
     return (phase, min(n + 1, LEN_CAP)), False
 
 
-def _phase_states(sp: DataFrame) -> DataFrame:
+def _phase_states(sp: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Phase number / name per session packet from the chunked state machine."""
-    st = fsm_scan(sp, "session", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step)
+    st = fsm_scan(
+        sp, "session", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step, chunk_size
+    )
     names = F.lit(None).cast("string")
     for i, (p, _) in reversed(list(enumerate(PHASE_STATES))):
         names = F.when(F.col("state_id") == i, F.lit(PHASES[p])).otherwise(names)
@@ -184,14 +186,14 @@ def session_phase_rows(packets: DataFrame, sessions: DataFrame | None = None) ->
     return sp.join(_phase_states(sp), ["session", "packet_number"])
 
 
-def session_phases(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+def session_phases(packets: DataFrame, sessions: DataFrame | None = None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """T4: phases per session: number, name, first / last packet, message count.
 
     A session whose first message opens a phase starts with an empty
     'Registration and Attach' phase (start = end = first packet, 0 messages); that
     row is emitted by the same single aggregation (a zero-weight companion row).
     """
-    rows = _phase_states(_sessions(packets, sessions))
+    rows = _phase_states(_sessions(packets, sessions), chunk_size)
     real = F.struct(F.col("phase_no").alias("p"), F.col("phase").alias("n"), F.lit(1).alias("w"))
     empty = F.struct(F.lit(1).cast("long").alias("p"), F.lit(PHASES[0]).alias("n"), F.lit(0).alias("w"))
     parts = F.when(F.col("first") & F.col("opened"), F.array(real, empty)).otherwise(F.array(real))
@@ -247,13 +249,13 @@ def _nas_code(c: Column) -> Column:
     return F.when(F.lower(c).startswith("0x"), F.conv(F.substring(c, 3, 64), 16, 10)).otherwise(c)
 
 
-def enriched_call_flow(packets: DataFrame) -> DataFrame:
+def enriched_call_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """T7 for every RAN id: steps with time, delta, procedure, ids, PDU, UE IP, flow direction, notes."""
     df = with_fields(packets)
     m = F.col("m")
     anchor = F.array_distinct(F.filter(F.array(*[val(m, k) for k in RAN_VARIANTS]), lambda x: x.isNotNull()))
     base = df.select("packet_number", "timestamp", "m", F.explode(anchor).alias("ue"))
-    base = sequence(base, "ue", "packet_number", lag_cols=["timestamp"], seq_col="_rn")
+    base = sequence(base, "ue", "packet_number", lag_cols=["timestamp"], seq_col="_rn", chunk_size=chunk_size)
     proc = m["ngap.ngap.procedureCode"]
     pdu = F.coalesce(F.nullif(m["ngap.ngap.pDUSessionID"], F.lit("")), F.nullif(m["ngap.nas-5gs.pdu_session_id"], F.lit("")))
     ue_ip = F.coalesce(
@@ -299,7 +301,7 @@ def enriched_call_flow(packets: DataFrame) -> DataFrame:
         flow_dir.alias("flow_dir"),
         F.nullif(notes, F.lit("")).alias("notes"),
     )
-    return sequence(rows, "ran_target", "packet_number", seq_col="step")
+    return sequence(rows, "ran_target", "packet_number", seq_col="step", chunk_size=chunk_size)
 
 
 # ---------------------------------------------------------------------------
@@ -341,7 +343,7 @@ def _phase_of(patterns, mt: Column) -> Column:
     return expr
 
 
-def handover_flow(packets: DataFrame) -> DataFrame:
+def handover_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Handover trace rows annotated with step, flow marker, specific message, ids,
     sticky handover type (X2/S1) and sticky phase."""
     tr = handover_trace(packets)
@@ -349,13 +351,13 @@ def handover_flow(packets: DataFrame) -> DataFrame:
     mt = F.lower(F.coalesce(F.col("message_type"), F.lit("")))
     ho_set = F.when(F.col("protocol") == "X2AP", "X2").when((F.col("protocol") == "S1AP") & mt.contains("handover"), "S1")
     tr = tr.withColumn("_ho_set", ho_set)
-    tr = carry_forward(tr, "trace_ue", "packet_number", "_ho_set", "ho_type")
+    tr = carry_forward(tr, "trace_ue", "packet_number", "_ho_set", "ho_type", chunk_size)
     phase_set = F.when((F.col("protocol") == "RRC") & (mt.contains("mobility") | mt.contains("reconfiguration")), "EXECUTION").otherwise(
         F.when(F.col("ho_type") == "X2", _phase_of(X2_PATTERNS, mt)).when(F.col("ho_type") == "S1", _phase_of(S1_PATTERNS, mt))
     )
     tr = tr.withColumn("_phase_set", phase_set)
-    tr = carry_forward(tr, "trace_ue", "packet_number", "_phase_set", "phase")
-    tr = sequence(tr, "trace_ue", "packet_number", seq_col="step", last_col="is_last")
+    tr = carry_forward(tr, "trace_ue", "packet_number", "_phase_set", "phase", chunk_size)
+    tr = sequence(tr, "trace_ue", "packet_number", seq_col="step", last_col="is_last", chunk_size=chunk_size)
     spec = F.get(
         F.filter(
             F.transform(

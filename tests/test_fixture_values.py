@@ -49,3 +49,13 @@ def test_release_and_pdn_counts(packets):
 
     assert release_stats(packets).collect()[0].total_releases == 1365
     assert field_values(packets, "pdn_ipv4").count() == 319
+
+
+def test_chunked_scans_independent_of_chunk_size(packets):
+    """Cut every session / UE into ~100 chunks: results must equal the default (one chunk)."""
+    from sigtrace.operators import callflow as T
+
+    for fn in (T.session_phases, T.ran_id_evolution, T.enriched_call_flow, T.handover_flow):
+        a = sorted(tuple(r) for r in fn(packets).collect())
+        b = sorted(tuple(r) for r in fn(packets, chunk_size=97).collect())
+        assert a == b, fn.__name__
