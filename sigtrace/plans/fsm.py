@@ -45,24 +45,30 @@ def _table(states: list, step: Step):
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]):
-    """Yield (key tuple, rows DataFrame) for consecutive equal keys of sorted batches."""
-    pending = None
+    """Yield (key tuple, rows DataFrame) for consecutive equal keys of sorted batches.
+
+    A group that straddles batches is collected as a list of pieces and concatenated
+    once when it ends (linear, whatever the number of batches it spans).
+    """
+    pieces: list[pd.DataFrame] = []
+    current = None
     for pdf in batches:
         if pdf.empty:
             continue
-        if pending is not None:
-            pdf = pd.concat([pending, pdf], ignore_index=True)
-            pending = None
         kv = list(zip(*[pdf[k].tolist() for k in keys]))
         start = 0
         for i in range(1, len(kv) + 1):
-            if i == len(kv):
-                pending = pdf.iloc[start:].reset_index(drop=True)
-            elif kv[i] != kv[start]:
-                yield kv[start], pdf.iloc[start:i]
-                start = i
-    if pending is not None and not pending.empty:
-        yield tuple(pending[k].iloc[0] for k in keys), pending
+            if i < len(kv) and kv[i] == kv[start]:
+                continue
+            piece = pdf.iloc[start:i]
+            if current is not None and kv[start] != current:
+                yield current, pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0]
+                pieces = []
+            current = kv[start]
+            pieces.append(piece)
+            start = i
+    if pieces:
+        yield current, pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0]
 
 
 def fsm_scan(

@@ -269,3 +269,14 @@ def test_synonym_resolution_dataframe_matches_parameters(spark):
     by_df = {r.spelling: r.message_type for r in df.collect()}
     assert canonical_message_values(sp) == [by_df[s] for s in sp if s in by_df]
     assert by_df["security mode command"] == "securityModeCommand"  # repeated spelling keeps its later value
+
+
+def test_group_iteration_across_batches():
+    import pandas as pd
+
+    from sigtrace.plans.fsm import _groups
+
+    batches = [pd.DataFrame({"k": ["a", "a", "b"], "v": [1, 2, 3]}), pd.DataFrame({"k": [], "v": []}),
+               pd.DataFrame({"k": ["b", "b"], "v": [4, 5]}), pd.DataFrame({"k": ["b", "c"], "v": [6, 7]})]
+    out = [(k, g["v"].tolist()) for k, g in _groups(iter(batches), ["k"])]
+    assert out == [(("a",), [1, 2]), (("b",), [3, 4, 5, 6]), (("c",), [7])]
