@@ -52,6 +52,15 @@ def ingest_stream(
     parsed = _parsed_stream(spark, source_dir, fmt, max_files_per_trigger)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # two sinks per micro-batch: persist so the parse runs once (the documented
+        # foreachBatch idiom); a lost executor just recomputes the batch from its files
+        batch = batch.persist()
+        try:
+            _write(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _write(batch: DataFrame, batch_id: int) -> None:
         good = batch.where("_ok")
         if fmt == "pdml":
             good = enrich_packets(good.drop("_ok", "_error", "_record"))
