@@ -169,15 +169,23 @@ def phase_step(state, symbol: str):
     return (phase, min(n + 1, LEN_CAP)), False
 
 
+def _phase_name(idx: Column) -> Column:
+    expr = F.lit(None).cast("string")
+    for i, name in reversed(list(enumerate(PHASES))):
+        expr = F.when(idx == i, F.lit(name)).otherwise(expr)
+    return expr
+
+
 def _phase_states(sp: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Phase number / name per session packet from the chunked state machine."""
     st = fsm_scan(
         sp, "session", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step, chunk_size
     )
-    names = F.lit(None).cast("string")
-    for i, (p, _) in reversed(list(enumerate(PHASE_STATES))):
-        names = F.when(F.col("state_id") == i, F.lit(PHASES[p])).otherwise(names)
-    return st.select("session", "packet_number", F.col("segment").alias("phase_no"), names.alias("phase"), "opened", "first")
+    idx = F.floor(F.col("state_id") / (LEN_CAP + 1)).cast("int")  # state id = phase * 7 + length
+    return st.select(
+        "session", "packet_number", F.col("segment").alias("phase_no"), idx.alias("phase_idx"),
+        _phase_name(idx).alias("phase"), "opened", "first",
+    )
 
 
 def session_phase_rows(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -194,16 +202,18 @@ def session_phases(packets: DataFrame, sessions: DataFrame | None = None, chunk_
     row is emitted by the same single aggregation (a zero-weight companion row).
     """
     rows = _phase_states(_sessions(packets, sessions), chunk_size)
-    real = F.struct(F.col("phase_no").alias("p"), F.col("phase").alias("n"), F.lit(1).alias("w"))
-    empty = F.struct(F.lit(1).cast("long").alias("p"), F.lit(PHASES[0]).alias("n"), F.lit(0).alias("w"))
+    real = F.struct(F.col("phase_no").alias("p"), F.col("phase_idx").alias("i"), F.lit(1).alias("w"))
+    empty = F.struct(F.lit(1).cast("long").alias("p"), F.lit(0).alias("i"), F.lit(0).alias("w"))
     parts = F.when(F.col("first") & F.col("opened"), F.array(real, empty)).otherwise(F.array(real))
     x = rows.select("session", "packet_number", F.explode(parts).alias("x"))
-    return x.groupBy("session", F.col("x.p").alias("phase_no")).agg(
-        F.first("x.n").alias("phase"),  # constant within a phase
+    # numeric buffers only, so Spark plans a hash aggregate (no sort)
+    agg = x.groupBy("session", F.col("x.p").alias("phase_no")).agg(
+        F.min("x.i").alias("_i"),  # constant within a phase
         F.min("packet_number").alias("start_packet"),
         F.max("packet_number").alias("end_packet"),
         F.sum("x.w").cast("long").alias("messages"),
     )
+    return agg.select("session", "phase_no", _phase_name(F.col("_i")).alias("phase"), "start_packet", "end_packet", "messages")
 
 
 def session_message_counts(packets: DataFrame, top: int = 10, sessions: DataFrame | None = None) -> DataFrame:

@@ -187,8 +187,15 @@ def fsm_scan(
                 out = {name: [] for name in out}
         yield pd.DataFrame(out)
 
+    # Join on one combined key, then repartition explicitly by (k, c): the join's own
+    # partitioning is not (k, c), so the repartition is never optimised away, and the
+    # grouping the Python pass relies on holds even if AQE turns the join into a
+    # broadcast join with a local shuffle read.
+    kc = F.concat_ws("\u0001", F.col("k"), F.col("c").cast("string"))
     rows = (
-        base.join(entries, ["k", "c"])
+        base.withColumn("_kc", kc)
+        .join(entries.select(kc.alias("_kc"), "entry", "offset"), "_kc")
+        .drop("_kc")
         .repartition("k", "c")
         .sortWithinPartitions("k", "c", "o")
         .mapInPandas(replay, "k string, o long, state_id int, segment long, opened boolean, first boolean")
