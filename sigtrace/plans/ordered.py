@@ -50,9 +50,11 @@ def sequence(
     d = d.withColumn("_lrn", F.row_number().over(w))
     for c in lag_cols:
         d = d.withColumn(f"_lp_{c}", F.lag(c).over(w))
-    aggs = [F.count(F.lit(1)).alias("_n"), F.max(order).alias("_maxo")]
+    # The summary reads the window's output (_lrn), so both branches share one exchange
+    # (Spark reuses it) and the input is scanned and shuffled once.
+    aggs = [F.max("_lrn").alias("_n"), F.max(order).alias("_maxo")]
     if lag_cols:
-        aggs.append(F.max_by(F.struct(*[F.col(c) for c in lag_cols]), F.col(order)).alias("_last"))
+        aggs.append(F.max_by(F.struct(*[F.col(c) for c in lag_cols]), F.col("_lrn")).alias("_last"))
     summ = d.groupBy(*keys, "_chunk").agg(*aggs)
     w2 = Window.partitionBy(*keys).orderBy("_chunk")
     cols = [*keys, "_chunk", F.sum("_n").over(w2.rowsBetween(Window.unboundedPreceding, -1)).alias("_off")]
@@ -87,9 +89,9 @@ def carry_forward(
     d = df.withColumn("_chunk", chunk_of(F.col(order), chunk_size))
     w = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc", F.last(col, ignorenulls=True).over(w))
-    summ = d.groupBy(*keys, "_chunk").agg(
-        F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(order))).alias("_clast")
-    )
+    # last non-null of the chunk = the running value on its last row (a window output,
+    # so the summary shares the window's exchange instead of re-reading the input)
+    summ = d.groupBy(*keys, "_chunk").agg(F.max_by(F.col("_loc"), F.col(order)).alias("_clast"))
     w2 = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*keys, "_chunk", F.last("_clast", ignorenulls=True).over(w2).alias("_before"))
     out = d.join(summ, [*keys, "_chunk"])
