@@ -280,3 +280,18 @@ def test_group_iteration_across_batches():
                pd.DataFrame({"k": ["b", "b"], "v": [4, 5]}), pd.DataFrame({"k": ["b", "c"], "v": [6, 7]})]
     out = [(k, g["v"].tolist()) for k, g in _groups(iter(batches), ["k"])]
     assert out == [(("a",), [1, 2]), (("b",), [3, 4, 5, 6]), (("c",), [7])]
+
+
+def test_write_packets_layouts(spark, tmp_path):
+    import pytest
+
+    from sigtrace.sources.packets import normalize_packets, read_jsonl, write_packets
+
+    good, _ = read_jsonl(spark, os.path.join(DATA, "sample.jsonl"))
+    n = normalize_packets(good)
+    for layout in ("rebalance", "range", "none"):
+        out = str(tmp_path / layout)
+        write_packets(n, out, layout=layout)
+        assert sorted(r.packet_number for r in spark.read.parquet(out).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        write_packets(n, str(tmp_path / "bad"), layout="zigzag")
