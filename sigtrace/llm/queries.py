@@ -43,3 +43,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(docs, keep=("doc_id", "text_crc32"))
     back = decode(coded, keep=("doc_id", "ids", "n_tokens", "text_crc32"))
     return back.select("doc_id", "n_tokens", "ids", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+
+
+@query
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigtrace.llm.line_rules import judge
+
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
+def _line_rules_sql() -> str:
+    from sigtrace.llm.line_rules_sql import SQL
+
+    return SQL
+
+
+ORACLES["op8_line_rules"] = _line_rules_sql()
