@@ -60,3 +60,10 @@ def _line_rules_sql() -> str:
 
 
 ORACLES["op8_line_rules"] = _line_rules_sql()
+
+
+@query
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigtrace.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
