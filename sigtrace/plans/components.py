@@ -1,16 +1,15 @@
-"""Connected components of an edge DataFrame, as an iterative DataFrame job.
-
-Min-label propagation with pointer jumping: every round each node takes the
-smallest label among itself and its neighbours, then jumps to its label's label.
-Pointer jumping halves label chains, so long paths converge in O(log diameter)
-rounds instead of O(diameter).  Each round is two shuffles (a join on the edge
-source and a min-aggregate with map-side partial aggregation); a hub node with a
-huge degree is a skewed join key that AQE's skew-join splitting handles.
-
-Lineage is cut every round with a *reliable* ``checkpoint()`` into the session's
-checkpoint folder (``spark.checkpoint.dir``), so a lost executor never forces a
-recomputation of earlier rounds, and convergence is detected with one count of
-changed labels per round (a number, not data, reaches the driver).
+"""Connected components of an edge DataFrame by alternating large-star and small-star steps.
+
+An edge ``(u, v)`` has ``u > v``.  A large-star step links every larger neighbour of a node
+to the smallest node of its neighbourhood, a small-star step every smaller one; the edges
+become a forest of stars around the smallest node of each component.  The steps move whole
+neighbourhoods, not one label along one edge, so a chain shrinks geometrically whatever the
+order of its nodes, and the loop ends when a round leaves the edges as they were - there is
+no limit on rounds.
+
+Each step is a min-aggregate with map-side combine and a join on the same key, where AQE can
+split a hub's rows; a hub is never gathered in one group.  Lineage is cut every round with a
+reliable ``checkpoint()``; one row (count and checksum) a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,38 +20,34 @@ from pyspark.sql import functions as F
 from sigtrace.session import ensure_checkpoint_dir
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+def _large_star(e: DataFrame) -> DataFrame:
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    moved = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Return ``(node, component)`` where ``component`` is the smallest node of its component.
 
-    ``edges`` holds undirected edges between comparable node keys; isolated nodes
-    must appear as self-edges ``(n, n)``.
+    ``edges`` holds undirected edges between comparable node keys; isolated nodes must appear
+    as self-edges ``(n, n)``.  Edges with a null end are left out.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    und = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-
-    labels = und.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(max_rounds):
-        # 1. propagate: neighbours' labels
-        from_nbrs = und.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
-        prop = from_nbrs.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        # 2. pointer jumping: label <- min(label, label(label))
-        hop = prop.select(F.col("node").alias("label"), F.col("label").alias("label2"))
-        nxt = (
-            prop.join(hop, "label", "left")
-            .select("node", F.least("label", F.coalesce("label2", "label")).alias("label"))
-            .checkpoint()
-        )
-        changed = (
-            nxt.join(labels.withColumnRenamed("label", "old"), "node")
-            .where(F.col("label") != F.col("old"))
-            .limit(1)
-            .count()
-        )
-        labels = nxt
-        if changed == 0:
+    ensure_checkpoint_dir(edges.sparkSession)
+    whole = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    given = whole.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct().checkpoint()
+    stars = given.where("u != v")
+    before = None
+    while True:
+        stars = _small_star(_large_star(stars)).checkpoint()
+        after = tuple(stars.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+        if after == before:
             break
-    else:  # pragma: no cover - guard against pathological inputs
-        raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-    return labels.withColumnRenamed("label", "component")
+        before = after
+    nodes = given.select("u").union(given.select("v")).distinct()
+    return nodes.join(stars, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
