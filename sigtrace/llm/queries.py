@@ -67,3 +67,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigtrace.llm.pii import find
 
     return find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigtrace.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
