@@ -74,3 +74,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigtrace.llm.jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigtrace.llm.kneser_ney import classify
+
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return classify(table(spark, sf_dir, "documents"), trusted)
