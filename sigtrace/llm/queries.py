@@ -82,3 +82,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return classify(table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learnt from rows whose remainder of crc32(doc_id) by 5 is not 0."""
+    from sigtrace.llm.toxicity import score
+
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = table(spark, sf_dir, "labels").where(fold != 0)
+    scored = score(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
