@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Training takes a bounded sample of labelled rows: at most ``per_class`` documents of either
-label, those of smallest id hash.  Features are words and the first ``STEM`` characters of
-longer words; those that tell the labels apart (chi-square, at most ``features``) are kept,
-and their document frequencies are counted over all documents.
+label, those of smallest id hash.  Features are words, the first characters of longer words
+(``STEMS`` of them), and each of these being there ``MARKS`` times or more - a cosine alone
+does not tell one chance hit from many.  Those that tell the labels apart (chi-square, at
+most ``features``) are kept, and their document frequencies are counted over all documents.
 
 The examples are an inverted index in blocks with the largest weight of each feature per
 block.  A document takes the blocks in order of their upper bound and stops when no further
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from sigtrace.llm.common import BoundedCache, text_groups, written
 
-STEM = 4
+STEMS = (4, 5, 6)
+MARKS = (2, 4)
 #: Chi-square of one degree of freedom at p = 0.001.
 SIGNIFICANT = 10.83
 BLOCK = 64
@@ -44,14 +46,24 @@ def words_of(text: str) -> list[str]:
 
 
 def features_of(word: str) -> tuple[str, ...]:
-    return (word, f"{word[:STEM]}-") if len(word) > STEM else (word,)
+    return (word, *(f"{word[:n]}-" for n in STEMS if len(word) > n))
+
+
+def all_features(text: str) -> set[str]:
+    found = Counter(f for w in words_of(text) for f in features_of(w))
+    return {*found, *(f"{f}@{m}" for f, n in found.items() for m in MARKS if n >= m)}
 
 
 class Vectors:
-    """Term counts over the chosen features, word by word through a bounded cache."""
+    """Counts of the chosen features, word by word through a bounded cache."""
 
     def __init__(self, names: list[str]):
-        self.number = {n: i for i, n in enumerate(names)}
+        plain = sorted({n.rpartition("@")[0] or n for n in names})
+        number = {n: i for i, n in enumerate(names)}
+        self.stems = {p: i for i, p in enumerate(plain)}
+        # of each plain feature: its own number and those of its marks
+        self.plain = [number.get(p) for p in plain]
+        self.marks = [[(m, number[f"{p}@{m}"]) for m in MARKS if f"{p}@{m}" in number] for p in plain]
         self.cache = BoundedCache(limit=400_000)
 
     def counts(self, texts: list[str]) -> list[dict[int, int]]:
@@ -59,8 +71,18 @@ class Vectors:
         needed = set().union(*split)
         self.cache.room(len(needed))
         new = list(needed.difference(self.cache))
-        self.cache.learn(new, [tuple(self.number[f] for f in features_of(w) if f in self.number) for w in new])
-        return [Counter(i for held in map(self.cache.__getitem__, words) if held for i in held) for words in split]
+        self.cache.learn(new, [tuple(self.stems[f] for f in features_of(w) if f in self.stems) for w in new])
+        out = []
+        for words in split:
+            held: dict[int, int] = {}
+            for i, n in Counter(i for own in map(self.cache.__getitem__, words) if own for i in own).items():
+                if self.plain[i] is not None:
+                    held[self.plain[i]] = n
+                for m, mark in self.marks[i]:
+                    if n >= m:
+                        held[mark] = 1
+            out.append(held)
+        return out
 
 
 class Index:
@@ -179,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         found: list[Counter] = [Counter(), Counter()]
         for part, group in text_groups(batches, 0):
             for t, y in zip(group, part.column(2).to_pylist()):
-                found[y].update({f for w in set(words_of(t)) for f in features_of(w)})
+                found[y].update(all_features(t))
         names = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in found)], ["f", "b", "a"])
 
