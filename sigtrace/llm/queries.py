@@ -100,3 +100,25 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigtrace.llm.style_tree import extract
 
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigtrace.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+ORACLES["op4_topk_search"] = """
+WITH ints AS (
+  SELECT vec_id, max(list_transform(embedding, lambda x: floor(256 * x::double))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score
+  FROM ints q JOIN ints c ON q.vec_id != c.vec_id AND q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
