@@ -112,6 +112,11 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
 
 
+def text_hash(text):
+    """The key documents of equal text share."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     """The three discounts of one order, from its counts of counts (four numbers)."""
     row = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
@@ -173,7 +178,7 @@ def _frequent(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]
 
 
 def score(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, frequent: int = 300_000) -> DataFrame:
-    """(d, lang, calibrates, n_scored, logp): ``logp`` is the sum over the text's grams.
+    """(d, lang, x, calibrates, n_scored, logp): ``x`` is the text's hash, ``logp`` is the sum over the text's grams.
 
     ``trusted`` has one column, the ids of trusted documents.
     """
@@ -203,18 +208,18 @@ def score(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
             rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams, pa.string()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), pa.array(g.counts, pa.int64()), pa.array(total, pa.float64()), rest], ["d", "lang", "x", "calibrates", "n_scored", "common", "rest"])
 
-    keyed = rows.select("d", "t", "lang", F.xxhash64(F.coalesce("t", F.lit(""))).alias("x"), F.coalesce("calibrates", F.lit(False)).alias("calibrates"))
+    keyed = rows.select("d", "t", "lang", text_hash(F.col("t")).alias("x"), F.coalesce("calibrates", F.lit(False)).alias("calibrates"))
     kind = keyed.schema["d"].dataType.simpleString()
     first = written(keyed.mapInArrow(scored, f"d {kind}, lang string, x long, calibrates boolean, n_scored long, common double, rest array<string>"), "kneser-ney-scores")
     rare = first.where(F.size("rest") > 0).select("x", "rest").groupBy("x").agg(F.first("rest").alias("rest"))
     rare = rare.select("x", F.explode("rest").alias("gram")).groupBy("x", "gram").agg(F.count("*").alias("k"))
     more = rare.join(model.select("gram", "logp"), "gram").groupBy("x").agg(F.sum(F.col("k") * F.col("logp")).alias("more"))
     whole = first.drop("rest").join(more, "x", "left")
-    return whole.select("d", "lang", "calibrates", "n_scored", (F.col("common") + F.coalesce("more", F.lit(0.0))).alias("logp"))
+    return whole.select("d", "lang", "x", "calibrates", "n_scored", (F.col("common") + F.coalesce("more", F.lit(0.0))).alias("logp"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, frequent: int = 300_000, upper: float = 0.99, slack: float = 1.0) -> DataFrame:
-    """(doc_id, lang, n_scored, perplexity, log_limit, kept) of every row."""
+    """(doc_id, lang, text_hash, n_scored, perplexity, log_limit, kept) of every row."""
     scores = written(score(docs, trusted, doc_id, text, lang, order, frequent), "kneser-ney-sums")
     good = scores.where("calibrates")
     prior = good.agg(F.sum("logp"), F.sum("n_scored")).first()
@@ -228,4 +233,4 @@ def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text:
     default = float(limit(overall["q"])) if overall["q"] else None
     judged = ppl.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("log_limit", F.coalesce("own_limit", F.lit(default).cast("double")))
     kept = F.coalesce(F.col("log_ppl") <= F.col("log_limit"), F.lit(True))
-    return judged.select(F.col("d").alias("doc_id"), "lang", "n_scored", F.exp("log_ppl").alias("perplexity"), "log_limit", kept.alias("kept"))
+    return judged.select(F.col("d").alias("doc_id"), "lang", F.col("x").alias("text_hash"), "n_scored", F.exp("log_ppl").alias("perplexity"), "log_limit", kept.alias("kept"))

@@ -107,6 +107,8 @@ def judge(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> Data
         "lost_chars": F.length(F.array_join("_failed", "")).cast("long"),
         "line_chars": F.length(F.array_join("_lines", "")).cast("long"),
     })
-    kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("line_chars") * max_lost)
+    # the row number is never negative; it keeps a filter on the verdict above these projections,
+    # where pushing it down would copy all their expressions into it
+    kept = (F.monotonically_increasing_id() >= 0) & ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("line_chars") * max_lost)
     clean = F.when(F.size("_failed") == 0, F.col("_t")).otherwise(F.array_join(F.filter(F.split("_t", "\n"), lambda x: ~_line_fails(x, symbols, bangs) | (F.trim(x, F.lit(SPACE)) == "")), "\n"))
     return step.withColumns({"kept": kept, "clean_text": clean}).drop("_t", "_lines", "_failed")

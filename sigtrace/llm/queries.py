@@ -81,7 +81,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigtrace.llm.kneser_ney import classify
 
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return classify(table(spark, sf_dir, "documents"), trusted)
+    return classify(table(spark, sf_dir, "documents"), trusted).drop("text_hash")
 
 
 @query
@@ -122,3 +122,10 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
