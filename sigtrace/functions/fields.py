@@ -93,3 +93,8 @@ RLC_KEYS = ["rlc_lte.rlc-lte.ueid", "rlc_lte.pdcp-lte.ueid"]
 M_TMSI_KEYS = ["nas_eps.nas-eps.emm.m_tmsi", "s1ap.nas-eps.emm.m_tmsi", "rlc_lte.nas-eps.emm.m_tmsi", "nas_eps.3gpp.tmsi"]
 GUTI_KEYS = ["nas_eps.nas-eps.emm.guti", "s1ap.nas-eps.emm.guti"]
 IMSI_KEYS = ["e212.imsi", "nas_eps.e212.imsi", "s1ap.e212.imsi"]
+
+
+def packet_key(df) -> list[str]:
+    """Columns that identify a packet: its number, which restarts in every capture, and the capture where the table has one."""
+    return ["capture", "packet_number"] if "capture" in df.columns else ["packet_number"]

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrace.functions import codes
-from sigtrace.functions.fields import has_key, val, with_fields
+from sigtrace.functions.fields import has_key, packet_key, val, with_fields
 from sigtrace.functions.lookup import lookup
+from sigtrace.operators.enrich import nas_code
 from sigtrace.plans.fsm import fsm_scan
 from sigtrace.plans.ordered import DEFAULT_CHUNK, carry_forward, sequence
 
@@ -43,15 +44,10 @@ def session_packets(packets: DataFrame) -> DataFrame:
     AMF id, so the union has no duplicates and needs no distinct (no extra shuffle).
     """
     d = _ids(packets)
-    pairs = d.where(F.col("ran").isNotNull() & F.col("amf").isNotNull()).select(
-        F.col("ran").alias("p_ran"), F.col("amf").alias("session")
-    ).distinct()
+    scope = packet_key(d)[:-1]  # ids are counters of their network: those of two captures have nothing to do with each other
+    pairs = d.where(F.col("ran").isNotNull() & F.col("amf").isNotNull()).select(*scope, "ran", F.col("amf").alias("session")).distinct()
     by_amf = d.where(F.col("amf").isNotNull()).withColumn("session", F.col("amf"))
-    by_ran = (
-        d.join(pairs, d["ran"] == pairs["p_ran"])
-        .where(F.col("amf").isNull() | (F.col("session") != F.col("amf")))
-        .drop("p_ran")
-    )
+    by_ran = d.join(pairs, [*scope, "ran"]).where(F.col("amf").isNull() | (F.col("session") != F.col("amf")))
     return by_amf.unionByName(by_ran)
 
 
@@ -63,26 +59,43 @@ def write_sessions(packets: DataFrame, path: str) -> DataFrame:
     return packets.sparkSession.read.parquet(path)
 
 
+def _session_keys(sp: DataFrame) -> list[str]:
+    """What identifies a session: its id, within a capture where the table has several."""
+    return ["capture", "session"] if "capture" in sp.columns else ["session"]
+
+
 def _sessions(packets: DataFrame, sessions: DataFrame | None) -> DataFrame:
     return session_packets(packets) if sessions is None else sessions
 
 
 def ue_session(packets: DataFrame, target_ran: str | DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """T1 for chosen RAN ids (literal or a DataFrame column ``value``): ``target`` x its session packets."""
+    """T1 for chosen RAN ids (literal or a DataFrame column ``value``): ``target`` x its session packets.
+
+    The sessions of all AMF ids of the target are one: each packet is there once, under
+    ``session`` = target, so T2-T6 can be given the result as ``sessions``.
+    """
     d = _ids(packets)
     if isinstance(target_ran, DataFrame):
         # Any number of targets: no hint, AQE broadcasts it only if its measured size is small.
         targets = target_ran.select(F.col("value").alias("target")).distinct()
     else:
         targets = F.broadcast(d.sparkSession.range(1).select(F.lit(str(target_ran)).alias("target")))  # one row
+    scope = packet_key(d)[:-1]
     amfs = (
         d.where(F.col("amf").isNotNull())
         .join(targets, d["ran"] == targets["target"])
-        .select("target", F.col("amf").alias("session"))
+        .select(*scope, "target", F.col("amf").alias("session"))
         .distinct()
     )
     sp = _sessions(packets, sessions)
-    return sp.join(amfs, "session").dropDuplicates(["target", "packet_number"])
+    member = sp.join(amfs, [*scope, "session"])
+    # a packet of one of the target's AMF ids is its own; others come through a RAN id, maybe of several AMF ids
+    own = member.where(F.col("amf") == F.col("session"))
+    others = member.where(F.col("amf").isNull() | (F.col("amf") != F.col("session"))).drop("session")
+    mine = amfs.withColumnRenamed("session", "amf")
+    others = others.dropDuplicates(["target", *packet_key(d)]).join(mine, [*scope, "target", "amf"], "left_anti")
+    merged = own.drop("session").withColumn("own", F.lit(True)).unionByName(others.withColumn("own", F.lit(False)))
+    return merged.withColumn("session", F.col("target"))
 
 
 def session_summary(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -90,15 +103,16 @@ def session_summary(packets: DataFrame, sessions: DataFrame | None = None) -> Da
     releases and distinct message types (counts; id lists come from :func:`ran_id_evolution`)."""
     sp = _sessions(packets, sessions)
     m = F.col("m")
-    own = F.col("amf") == F.col("session")  # ids and PDU sessions come from packets carrying the AMF id
+    keys = _session_keys(sp)
+    own = F.col("own") if "own" in sp.columns else F.col("amf") == F.col("session")  # ids and PDU sessions come from packets carrying the AMF id
     pdu_vals = F.transform(
         F.filter(F.map_entries(m), lambda e: (e["key"].contains("pDUSessionID") | e["key"].contains("PDUSessionID")) & (e["value"] != "")),
         lambda e: e["value"],
     )
-    pdus = sp.where(own).select("session", F.explode(pdu_vals).alias("pdu")).groupBy("session").agg(
+    pdus = sp.where(own).select(*keys, F.explode(pdu_vals).alias("pdu")).groupBy(*keys).agg(
         F.countDistinct("pdu").alias("pdu_sessions")
     )
-    main = sp.groupBy("session").agg(
+    main = sp.groupBy(*keys).agg(
         F.countDistinct(F.when(own, F.col("ran"))).alias("ran_ids"),
         F.count(F.lit(1)).alias("messages"),
         F.min("timestamp_iso").alias("first_time"),
@@ -107,8 +121,8 @@ def session_summary(packets: DataFrame, sessions: DataFrame | None = None) -> Da
         F.count_if(F.coalesce(F.col("message_type").contains("Release"), F.lit(False))).alias("releases"),
         F.countDistinct("message_type").alias("message_types"),
     )
-    return main.join(pdus, "session", "left").select(
-        "session", "ran_ids", "messages", "first_time", "last_time",
+    return main.join(pdus, keys, "left").select(
+        *keys, "ran_ids", "messages", "first_time", "last_time",
         F.coalesce("pdu_sessions", F.lit(0)).cast("bigint").alias("pdu_sessions"),
         "handover_attempts", "releases", "message_types",
     )
@@ -120,11 +134,12 @@ def session_summary(packets: DataFrame, sessions: DataFrame | None = None) -> Da
 def ran_id_evolution(packets: DataFrame, sessions: DataFrame | None = None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """The first RAN id of each session and every later change, in packet order."""
     sp = _sessions(packets, sessions).where(F.col("ran").isNotNull())
-    seq = sequence(sp, "session", "packet_number", lag_cols=["ran"], chunk_size=chunk_size)
+    keys = _session_keys(sp)
+    seq = sequence(sp, keys, "packet_number", lag_cols=["ran"], chunk_size=chunk_size)
     ch = seq.where(F.col("prev_ran").isNull() | (F.col("prev_ran") != F.col("ran")))
     reason = F.coalesce(lookup(codes.RAN_CHANGE_REASONS, F.col("message_type")), F.lit(codes.RAN_CHANGE_DEFAULT_REASON))
     return ch.select(
-        "session",
+        *keys,
         "packet_number",
         F.col("prev_ran").alias("previous_ran"),
         F.col("ran").alias("new_ran"),
@@ -178,12 +193,15 @@ def _phase_name(idx: Column) -> Column:
 
 def _phase_states(sp: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Phase number / name per session packet from the chunked state machine."""
+    keys = _session_keys(sp)
+    sp = sp.withColumn("_key", F.to_json(F.struct(*keys)))
     st = fsm_scan(
-        sp, "session", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step, chunk_size
+        sp, "_key", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step, chunk_size
     )
     idx = F.floor(F.col("state_id") / (LEN_CAP + 1)).cast("int")  # state id = phase * 7 + length
+    parts = F.from_json("_key", ", ".join(f"{k} string" for k in keys))
     return st.select(
-        "session", "packet_number", F.col("segment").alias("phase_no"), idx.alias("phase_idx"),
+        *[parts[k].alias(k) for k in keys], "packet_number", F.col("segment").alias("phase_no"), idx.alias("phase_idx"),
         _phase_name(idx).alias("phase"), "opened", "first",
     )
 
@@ -191,7 +209,7 @@ def _phase_states(sp: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
 def session_phase_rows(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Per session packet: phase number and phase name (state machine over packet order)."""
     sp = _sessions(packets, sessions)
-    return sp.join(_phase_states(sp), ["session", "packet_number"])
+    return sp.join(_phase_states(sp), [*_session_keys(sp), "packet_number"])
 
 
 def session_phases(packets: DataFrame, sessions: DataFrame | None = None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
@@ -205,22 +223,24 @@ def session_phases(packets: DataFrame, sessions: DataFrame | None = None, chunk_
     real = F.struct(F.col("phase_no").alias("p"), F.col("phase_idx").alias("i"), F.lit(1).alias("w"))
     empty = F.struct(F.lit(1).cast("long").alias("p"), F.lit(0).alias("i"), F.lit(0).alias("w"))
     parts = F.when(F.col("first") & F.col("opened"), F.array(real, empty)).otherwise(F.array(real))
-    x = rows.select("session", "packet_number", F.explode(parts).alias("x"))
+    keys = _session_keys(rows)
+    x = rows.select(*keys, "packet_number", F.explode(parts).alias("x"))
     # numeric buffers only, so Spark plans a hash aggregate (no sort)
-    agg = x.groupBy("session", F.col("x.p").alias("phase_no")).agg(
+    agg = x.groupBy(*keys, F.col("x.p").alias("phase_no")).agg(
         F.min("x.i").alias("_i"),  # constant within a phase
         F.min("packet_number").alias("start_packet"),
         F.max("packet_number").alias("end_packet"),
         F.sum("x.w").cast("long").alias("messages"),
     )
-    return agg.select("session", "phase_no", _phase_name(F.col("_i")).alias("phase"), "start_packet", "end_packet", "messages")
+    return agg.select(*keys, "phase_no", _phase_name(F.col("_i")).alias("phase"), "start_packet", "end_packet", "messages")
 
 
 def session_message_counts(packets: DataFrame, top: int = 10, sessions: DataFrame | None = None) -> DataFrame:
     """T5: top message types per session by count (ties by name)."""
     sp = _sessions(packets, sessions).where(F.col("message_type").isNotNull())
-    c = sp.groupBy("session", "message_type").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("session").orderBy(F.desc("count"), F.asc("message_type"))
+    keys = _session_keys(sp)
+    c = sp.groupBy(*keys, "message_type").agg(F.count(F.lit(1)).alias("count"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("count"), F.asc("message_type"))
     return c.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
 
 
@@ -236,7 +256,8 @@ def step_cause(m: Column) -> Column:
 def session_steps(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Every message of every phase with its index, sub-message tag, ids and cause."""
     rows = session_phase_rows(packets, sessions)
-    rows = sequence(rows, ["session", "phase_no"], "packet_number", seq_col="index_in_phase")
+    keys = _session_keys(rows)
+    rows = sequence(rows, [*keys, "phase_no"], "packet_number", seq_col="index_in_phase")
     m = F.col("m")
     sub = (
         F.when(m["ngap.ngap.HandoverRequired_element"].isNotNull(), "HandoverRequired")
@@ -244,7 +265,7 @@ def session_steps(packets: DataFrame, sessions: DataFrame | None = None) -> Data
         .when(m["ngap.ngap.HandoverRequest_element"].isNotNull(), "HandoverRequest")
     )
     return rows.select(
-        "session", "phase_no", "phase", "index_in_phase", "packet_number",
+        *keys, "phase_no", "phase", "index_in_phase", "packet_number",
         F.substring("timestamp_iso", 1, 19).alias("time"), "message_type", sub.alias("sub_message"),
         F.coalesce(m[RAN], F.lit("-")).alias("ran_ue_id"), F.coalesce(m[AMF], F.lit("-")).alias("amf_ue_id"),
         step_cause(m).alias("cause"),
@@ -254,11 +275,6 @@ def session_steps(packets: DataFrame, sessions: DataFrame | None = None) -> Data
 # ---------------------------------------------------------------------------
 # Enriched call flow per RAN id
 # ---------------------------------------------------------------------------
-def _nas_code(c: Column) -> Column:
-    """Hex ``0x..`` or decimal NAS message code -> decimal text."""
-    return F.when(F.lower(c).startswith("0x"), F.conv(F.substring(c, 3, 64), 16, 10)).otherwise(c)
-
-
 def enriched_call_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """T7 for every RAN id: steps with time, delta, procedure, ids, PDU, UE IP, flow direction, notes."""
     df = with_fields(packets)
@@ -286,8 +302,8 @@ def enriched_call_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> D
     )
     mm = F.coalesce(F.nullif(m["ngap.nas-5gs.mm.message_type"], F.lit("")), F.nullif(m["nas-5gs.mm.message_type"], F.lit("")))
     sm = F.coalesce(F.nullif(m["ngap.nas-5gs.sm.message_type"], F.lit("")), F.nullif(m["nas-5gs.sm.message_type"], F.lit("")))
-    nas_name = F.when(mm.isNotNull(), F.coalesce(lookup(codes.NAS_5GS_MM, _nas_code(mm)), _nas_code(mm))).when(
-        sm.isNotNull(), F.coalesce(lookup(codes.NAS_5GS_SM, _nas_code(sm)), _nas_code(sm))
+    nas_name = F.when(mm.isNotNull(), F.coalesce(lookup(codes.NAS_5GS_MM, nas_code(mm)), nas_code(mm))).when(
+        sm.isNotNull(), F.coalesce(lookup(codes.NAS_5GS_SM, nas_code(sm)), nas_code(sm))
     )
     nas_note = F.when(F.coalesce(proc.isin("4", "46"), F.lit(False)) & nas_name.isNotNull(), F.concat(F.lit("NAS: "), nas_name))
     notes = F.concat_ws(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.functions.fields import GUTI_KEYS, IMSI_KEYS, M_TMSI_KEYS, RLC_KEYS, first_of, val, with_fields
+from sigtrace.functions.fields import GUTI_KEYS, IMSI_KEYS, M_TMSI_KEYS, RLC_KEYS, first_of, packet_key, val, with_fields
 from sigtrace.plans.components import connected_components
 
 # Identifier kinds, in the order the reference extracts them (fixed values).
@@ -35,13 +35,13 @@ def ue_identifiers(packets: DataFrame) -> DataFrame:
     """G1: every UE identifier per packet: (packet_number, id_type, value, ts, ids_in_packet)."""
     df = with_fields(packets)
     m = F.col("m")
-    with_ids = df.select("packet_number", val(m, "frame.frame.time").alias("ts"), _ids_array(m).alias("ids"))
+    with_ids = df.select(*packet_key(df), val(m, "frame.frame.time").alias("ts"), _ids_array(m).alias("ids"))
     return with_ids.select(
-        "packet_number",
+        *packet_key(df),
         F.explode("ids").alias("i"),
         "ts",
         F.size("ids").cast("bigint").alias("ids_in_packet"),
-    ).select("packet_number", "i.id_type", "i.value", "ts", "ids_in_packet")
+    ).select(*packet_key(df), "i.id_type", "i.value", "ts", "ids_in_packet")
 
 
 def _node(id_type: Column, value: Column) -> Column:
@@ -51,14 +51,14 @@ def _node(id_type: Column, value: Column) -> Column:
 def ue_id_edges(packets: DataFrame) -> DataFrame:
     """Distinct pairs of identifiers seen in one packet (packets with >= 2 ids).
 
-    A packet holds at most six identifiers, so the pairs per packet are bounded (<= 15).
+    A packet holds one identifier per kind at most, so the pairs per packet are bounded.
     """
     df = with_fields(packets)
     ids = df.select(_ids_array(F.col("m")).alias("ids")).where(F.size("ids") >= 2)
     idx = ids.select(F.posexplode("ids").alias("i", "x"), "ids")
     pairs = idx.select(
         F.col("x").alias("a"),
-        F.explode(F.slice("ids", F.col("i") + 2, 6)).alias("b"),
+        F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"),
     )
     return pairs.select(
         F.col("a.id_type").alias("type_a"), F.col("a.value").alias("value_a"),
@@ -89,7 +89,7 @@ def ue_groups(packets: DataFrame) -> DataFrame:
     )
     star = arr.select(
         _node(F.col("ids")[0]["id_type"], F.col("ids")[0]["value"]).alias("src"),
-        F.explode(F.slice("ids", 2, 6)).alias("x"),
+        F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("x"),
     ).select("src", _node(F.col("x.id_type"), F.col("x.value")).alias("dst"))
     comp = connected_components(star)
     return nodes.join(comp, "node").select(
@@ -123,8 +123,9 @@ def correlated_ids(groups: DataFrame, target: DataFrame) -> DataFrame:
 def expand_by_correlation(packets: DataFrame, groups: DataFrame, target: DataFrame) -> DataFrame:
     """All packets carrying any identifier correlated with the target."""
     ids = correlated_ids(groups, target).select("id_type", "value").distinct()
-    carriers = ue_identifiers(packets).join(ids, ["id_type", "value"], "left_semi").select("packet_number").distinct()
-    return packets.join(carriers, "packet_number", "left_semi")
+    key = packet_key(packets)
+    carriers = ue_identifiers(packets).join(ids, ["id_type", "value"], "left_semi").select(*key).distinct()
+    return packets.join(carriers, key, "left_semi")
 
 
 def smallest_id(packets: DataFrame, id_type: str) -> DataFrame:

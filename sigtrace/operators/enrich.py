@@ -37,7 +37,7 @@ def decode_procedure(protocol: str, code: Column) -> Column:
 
 def nas_code(c: Column) -> Column:
     """NAS-5GS message code, hex (``0x41``) or decimal -> decimal text."""
-    return F.when(F.lower(c).startswith("0x"), F.conv(F.substring(c, 3, 64), 16, 10)).otherwise(c)
+    return F.when(F.lower(c).startswith("0x"), F.conv(F.right(c, F.length(c) - 2), 16, 10)).otherwise(c)
 
 
 def decode_nas_5gs(mm_code: Column, sm_code: Column | None = None) -> Column:
@@ -326,7 +326,7 @@ def layers_from_fields(packets: DataFrame) -> DataFrame:
             F.map_from_entries(
                 F.transform(
                     F.filter(F.map_entries("m"), lambda e: F.substring_index(e["key"], ".", 1) == p),
-                    lambda e: F.struct(F.substring(e["key"], F.length(p) + 2, 1 << 20).alias("key"), e["value"].alias("value")),
+                    lambda e: F.struct(F.right(e["key"], F.length(e["key"]) - F.length(p) - 1).alias("key"), e["value"].alias("value")),
                 )
             ).alias("fields"),
         ),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.functions.fields import first_of, with_fields
+from sigtrace.functions.fields import first_of, packet_key, with_fields
 from sigtrace.operators.catalog import field_score
 
 # FIXED VALUES: fields that name a UE on a lookup row, in priority order.
@@ -28,12 +28,13 @@ def _norm_term(s: str) -> str:
 
 def _entries(packets: DataFrame) -> DataFrame:
     df = with_fields(packets)
+    key = packet_key(df)
     return df.select(
-        "packet_number",
+        *key,
         "message_type",
         F.coalesce(first_of(F.col("m"), UE_ID_KEYS), F.lit("")).alias("ue_id"),
         F.posexplode(F.map_entries("m")).alias("pos", "e"),
-    ).select("packet_number", "message_type", "ue_id", "pos", F.col("e.key").alias("field"), F.col("e.value").alias("value"))
+    ).select(*key, "message_type", "ue_id", "pos", F.col("e.key").alias("field"), F.col("e.value").alias("value"))
 
 
 def field_values(packets: DataFrame, name: str) -> DataFrame:
@@ -54,7 +55,8 @@ def field_values(packets: DataFrame, name: str) -> DataFrame:
     fuzzy = ent.where(_norm_key(F.col("field")).contains(F.lit(_norm_term(name))))
     has_exact = exact.agg((F.count(F.lit(1)) > 0).alias("x")).scalar()  # one value for the whole table
     rows = exact.unionByName(fuzzy.where(~has_exact))  # fuzzy tier only when no exact hit exists anywhere
-    out = rows.select("packet_number", "ue_id", "field", "value").dropDuplicates(["packet_number", "field", "value"])
+    key = packet_key(packets)
+    out = rows.select(*key, "ue_id", "field", "value").dropDuplicates([*key, "field", "value"])
     if "flag" not in name.lower():
         out = out.where(~F.lower(F.col("field")).contains("flag"))
     return out
@@ -119,14 +121,14 @@ TAC_PATTERN = r"(^|[_.-])tac($|[_.-])"
 def plmn_tac(packets: DataFrame, registration_complete: bool = False) -> DataFrame:
     """V5: PLMN identity (or ``MCC=.., MNC=..``) and TAC, first in packet order.
 
-    Candidate packets mention a PLMN field and a TAC; with ``registration_complete``
-    they must also be Registration Complete messages, a filter dropped again when it
-    leaves nothing (decided by an aggregate, inside the plan).
+    The two are looked up separately, so a packet that carries only one counts for it.
+    With ``registration_complete`` only Registration Complete messages count, a filter
+    dropped again when it leaves nothing (decided by an aggregate, inside the plan).
     """
     df = with_fields(packets)
     low = F.lower(F.col("protocol_fields_json"))
     cand = df.where(
-        (low.contains("plmnidentity") | low.contains("plmn-id.mcc") | low.contains("plmn-id.mnc")) & low.contains("tac")
+        low.contains("plmnidentity") | low.contains("plmn-id.mcc") | low.contains("plmn-id.mnc") | low.contains("tac")
     )
     if registration_complete:
         reg = (F.lower(F.col("message_type")) == "registrationcomplete") | low.contains("registrationcomplete")

@@ -3,9 +3,8 @@
 All filters are per-row expressions over the parsed map, so they compose with any
 other ``where`` (Catalyst combines them) and filters on plain columns
 (``protocol``, ``message_type``, ``direction``) reach the Parquet scan as pushed
-filters.  Parameters that name "a UE" can be a literal or a one-row DataFrame
-chosen by another query (see :func:`busiest_value`); the latter is joined as a
-broadcast of exactly one row.
+filters.  Parameters that name "a UE" can be a literal or a DataFrame of
+targets chosen by another query (see :func:`busiest_value`), which is joined.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrace.functions import codes
-from sigtrace.functions.fields import has_key, val, with_fields
+from sigtrace.functions.fields import has_key, packet_key, val, with_fields
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: bare field names -> stored key paths (alias table of the reference).
@@ -75,12 +74,12 @@ def alias_keys(name: str) -> list[str]:
 def field_equals_any(packets: DataFrame, name: str, value: str | DataFrame) -> DataFrame:
     """Packets where any stored spelling of ``name`` equals ``value``.
 
-    ``value`` may be a one-row DataFrame with column ``value`` (target picked by a query).
+    ``value`` may be a DataFrame with column ``value``: targets picked by a query, any number.
     """
     df = with_fields(packets)
     keys = alias_keys(name)
     if isinstance(value, DataFrame):
-        return _semi_on_values(df, keys, value.select(F.col("value").alias("_target")).limit(1))
+        return _semi_on_values(df, keys, value.select(F.col("value").alias("_target")).distinct())
     return df.where(_value_in(F.col("m"), keys, F.lit(value)))
 
 
@@ -89,14 +88,20 @@ def _alias_values(keys: Sequence[str]) -> Column:
 
 
 def _semi_on_values(df: DataFrame, keys: Sequence[str] | Column, target: DataFrame) -> DataFrame:
-    """Packets whose value under any of ``keys`` equals the one-row ``target`` (column ``_target``).
+    """Packets whose value under any of ``keys`` is one of the distinct ``target`` values (column ``_target``).
 
-    An equi-join on the packet's distinct alias values (broadcast hash join against one
-    row), so no nested-loop join is needed; each packet matches at most once.
+    An equi-join on the packet's distinct alias values, so no nested-loop join is needed;
+    Spark broadcasts the targets where their size allows.  A packet whose spellings hold
+    several values can match several targets; it is returned once.
     """
     arr = keys if isinstance(keys, Column) else _alias_values(keys)
-    exploded = df.select("*", F.explode(F.array_distinct(arr)).alias("_v")).where(F.col("_v").isNotNull())
-    return exploded.join(F.broadcast(target), F.col("_v") == F.col("_target"), "left_semi").drop("_v")
+    values = F.array_except(arr, F.array(F.lit(None).cast("string")))  # distinct, without nulls
+    one = df.where(F.size(values) == 1).withColumn("_v", F.get(values, 0)).join(target, F.col("_v") == F.col("_target"), "left_semi")
+    if not isinstance(keys, Column) and len(keys) == 1:
+        return one.drop("_v")
+    more = df.where(F.size(values) > 1)
+    hit = more.select(*packet_key(df), F.explode(values).alias("_v")).join(target, F.col("_v") == F.col("_target"), "left_semi").select(*packet_key(df)).distinct()
+    return one.drop("_v").unionByName(more.join(hit, packet_key(df), "left_semi"))
 
 
 def has_field_like(packets: DataFrame, name: str) -> DataFrame:
@@ -139,7 +144,7 @@ def ue_anchor(packets: DataFrame, anchor: str, value: str | DataFrame) -> DataFr
     """
     df = with_fields(packets)
     if isinstance(value, DataFrame):
-        target = value.select(F.col("value").alias("_target")).limit(1)
+        target = value.select(F.col("value").alias("_target")).distinct()
     else:
         target = df.sparkSession.range(1).select(F.lit(str(value)).alias("_target"))
     if anchor == "ue":

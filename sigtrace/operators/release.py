@@ -220,12 +220,12 @@ def release_by_cause(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_
     """Per (category, cause): count, % of releases, NORMAL/ABNORMAL, standard class."""
     ev = release_events(packets, release_codes)
     g = ev.groupBy("cause_category", "cause_raw", "normal").agg(F.count(F.lit(1)).alias("count"))
-    # Global window over the aggregated rows only (one per distinct cause text).
+    total = ev.agg(F.count(F.lit(1)).alias("n")).scalar()  # one number for the whole table
     return g.select(
         "cause_category",
         "cause_raw",
         "count",
-        F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy()), 4).alias("pct_of_releases"),
+        F.round(F.col("count") * 100.0 / total, 4).alias("pct_of_releases"),
         F.when(F.col("normal"), "NORMAL").otherwise("ABNORMAL").alias("classification"),
         F.when(classify_standard(F.col("cause_raw")), "NORMAL").otherwise("ABNORMAL").alias("standard_classification"),
     )

@@ -75,8 +75,8 @@ FROM h ORDER BY r_exact, r_start, r_len, field, value LIMIT 10""")
 def plmn_tac() -> str:
     low = "lower(protocol_fields_json)"
     return with_packets(f""",
-cand AS (SELECT * FROM pm WHERE (contains({low}, 'plmnidentity') OR contains({low}, 'plmn-id.mcc') OR contains({low}, 'plmn-id.mnc'))
-         AND contains({low}, 'tac')),
+cand AS (SELECT * FROM pm WHERE (contains({low}, 'plmnidentity') OR contains({low}, 'plmn-id.mcc') OR contains({low}, 'plmn-id.mnc')
+         OR contains({low}, 'tac'))),
 r AS (SELECT packet_number,
   coalesce(list_filter(map_entries(m), lambda e: contains(lower(e.key), 'plmnidentity') AND e.value <> '')[1].value,
     CASE WHEN coalesce(list_filter(map_entries(m), lambda e: ends_with(lower(e.key), '.mcc'))[1].value, '') <> ''

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigtrace.operators.sqlsurface import UE_FILTER_PATTERNS, _synonyms_in_order
+from sigtrace.operators.sqlsurface import UE_KEYS_COMPARED, UE_KEYS_IN_JSON, _synonyms_in_order
 from sigtrace.oracle import q, with_packets
 
 RUN_SQL_TEXT = """
@@ -18,10 +18,11 @@ def run_sql() -> str:
 
 
 def ue_filter_in_sql() -> str:
-    field = "CASE " + " ".join(f"WHEN regexp_matches(text, {q('(?i)' + p)}) THEN {q(n)}" for p, n in UE_FILTER_PATTERNS) + " END"
-    value = "CASE " + " ".join(
-        f"WHEN regexp_matches(text, {q('(?i)' + p)}) THEN regexp_extract(text, {q('(?i)' + p)}, 1)" for p, _ in UE_FILTER_PATTERNS
-    ) + " END"
+    digits = r"['\"]?([0-9]+)"
+    order = [(k.replace(".", "[.]") + r"['\"]?:\s*" + digits, f) for k, f in UE_KEYS_IN_JSON.items()]
+    order += [(k.replace(".", "[.]") + r"['\"]?\s*=\s*" + digits, f) for k, f in UE_KEYS_COMPARED.items()]
+    field = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), {q(p)}) THEN {q(n)}" for p, n in order) + " END"
+    value = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), {q(p)}) THEN regexp_extract(lower(text), {q(p)}, 1)" for p, _ in order) + " END"
     return with_packets(f""",
 log AS (SELECT packet_number AS query_id,
           CASE WHEN packet_number % 2 = 0

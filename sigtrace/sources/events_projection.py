@@ -86,10 +86,5 @@ def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     view = "sigtrace_events_" + hashlib.sha1(path.encode()).hexdigest()[:10]
     events = spark.read.parquet(path)
-    # A small file is one split; spread it so local runs use every core.  Large
-    # inputs (many files / row groups) already have enough splits and skip this.
-    parallelism = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < parallelism:
-        events = events.repartition(parallelism)
     events.createOrReplaceTempView(view)
     return spark.sql(_fill(PROJECTION_SQL, {**SPARK_PLACEHOLDERS, "{EVENTS}": view}))

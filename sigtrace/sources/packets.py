@@ -117,11 +117,11 @@ def filter_by_protocol_stack(df: DataFrame, protocols: Sequence[str] | None = DE
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
-    """Results as JSON lines or CSV with a header (NULL written as an empty field)."""
+    """Results as JSON lines (nulls kept) or CSV with a header (RFC 4180 quoting, NULL as an empty field)."""
     if fmt == "json":
-        df.write.mode(mode).json(path)
+        df.write.mode(mode).option("ignoreNullFields", False).json(path)
     elif fmt == "csv":
-        df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+        df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
     else:
         raise ValueError(f"unknown result format: {fmt}")
 

@@ -10,6 +10,8 @@ after a failure replaces its own output instead of duplicating it.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -47,7 +49,9 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start the ingest stream; returns the running query (``awaitTermination()`` to wait)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    checkpoint_path = checkpoint_path or f"{base}/streams/ingest-{abs(hash((source_dir, output_path)))}"
+    # the same path in every process, so a restarted stream goes on where it stopped
+    name = hashlib.sha256(f"{source_dir}\n{output_path}".encode()).hexdigest()[:16]
+    checkpoint_path = checkpoint_path or f"{base}/streams/ingest-{name}"
     rejects_path = rejects_path or output_path.rstrip("/") + "_rejects"
     parsed = _parsed_stream(spark, source_dir, fmt, max_files_per_trigger)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import os
 
 from pyspark.sql import functions as F
@@ -295,3 +297,86 @@ def test_write_packets_layouts(spark, tmp_path):
         assert sorted(r.packet_number for r in spark.read.parquet(out).collect()) == [1, 2]
     with pytest.raises(ValueError):
         write_packets(n, str(tmp_path / "bad"), layout="zigzag")
+
+
+# ---------------------------------------------------------------------------
+# Several captures, several targets, no caps
+# ---------------------------------------------------------------------------
+def _two_captures(spark):
+    from pyspark.sql import functions as F
+
+    ngap = lambda ran, amf=None: {"ngap.ngap.RAN_UE_NGAP_ID": ran, **({"ngap.ngap.AMF_UE_NGAP_ID": amf} if amf else {})}
+    rows = [
+        {"packet_number": 1, "protocol": "NGAP", "message_type": "InitialUEMessage", "fields": ngap("7")},
+        {"packet_number": 2, "protocol": "NGAP", "message_type": "DownlinkNASTransport", "fields": ngap("7", "70")},
+        {"packet_number": 3, "protocol": "NGAP", "message_type": "UEContextRelease", "fields": ngap("7", "71")},
+    ]
+    one = make_packets(spark, rows).withColumn("capture", F.lit("a"))
+    two = make_packets(spark, rows[:2]).withColumn("capture", F.lit("b"))
+    return one.unionByName(two)
+
+
+def test_sessions_of_two_captures_stay_apart(spark):
+    from sigtrace.operators import callflow
+
+    p = _two_captures(spark)
+    got = sorted((r.capture, r.packet_number, r.session) for r in callflow.ue_session(p, "7").collect())
+    assert got == [("a", 1, "7"), ("a", 2, "7"), ("a", 3, "7"), ("b", 1, "7"), ("b", 2, "7")]
+    merged = callflow.ue_session(p, "7")
+    assert callflow.session_steps(p, sessions=merged).count() == 5
+    summary = {r.capture: (r.messages, r.ran_ids) for r in callflow.session_summary(p, sessions=merged).collect()}
+    assert summary == {"a": (3, 1), "b": (2, 1)}
+    assert sorted((r.capture, r.session, r.messages) for r in callflow.session_summary(p).collect()) == [("a", "70", 3), ("a", "71", 3), ("b", "70", 2)]
+
+
+def test_every_target_is_answered(spark):
+    from sigtrace.operators.predicates import field_equals_any, ue_anchor
+
+    p = make_packets(spark, [{"packet_number": i, "protocol": "NGAP", "fields": {"ngap.ngap.RAN_UE_NGAP_ID": str(i)}} for i in range(4)])
+    targets = spark.createDataFrame([("1",), ("2",), ("2",)], "value string")
+    assert sorted(r.packet_number for r in ue_anchor(p, "ran", targets).collect()) == [1, 2]
+    assert sorted(r.packet_number for r in field_equals_any(p, "ngap.ngap.RAN_UE_NGAP_ID", targets).collect()) == [1, 2]
+
+
+def test_run_sql_by_its_plan(spark):
+    from sigtrace.operators.sqlsurface import run_sql
+
+    p = make_packets(spark, [{"packet_number": i, "message_type": "A_B"} for i in range(300)])
+    assert run_sql(spark, p, "SELECT * FROM packets ORDER BY packet_number LIMIT 250 OFFSET 10").count() == 250
+    assert run_sql(spark, p, "SELECT replace(message_type, '_', ' ') AS use FROM packets").count() == 300
+    assert run_sql(spark, p, "WITH x AS (SELECT 1 AS a) SELECT * FROM x;").count() == 1
+    for bad in ("DROP TABLE packets", "INSERT INTO packets SELECT * FROM packets", "SELECT 1; SELECT 2", "CREATE VIEW v AS SELECT 1", "SET a=b", "SELEC 1"):
+        with pytest.raises(ValueError):
+            run_sql(spark, p, bad)
+
+
+def test_components_of_chains_in_any_order(spark):
+    import random
+
+    from sigtrace.plans.components import connected_components
+
+    n = 300
+    orders = [[0, *range(n, 0, -1)], random.Random(3).sample(range(n + 1), n + 1)]
+    for order in orders:
+        edges = spark.createDataFrame(list(zip(order, order[1:])), "src long, dst long")
+        got = connected_components(edges).collect()
+        assert len(got) == n + 1 and {r.component for r in got} == {0}
+
+
+def test_plmn_and_tac_from_different_packets(spark):
+    from sigtrace.operators.lookup import plmn_tac
+
+    p = make_packets(spark, [{"packet_number": 1, "fields": {"ngap.ngap.tac": "12"}}, {"packet_number": 2, "fields": {"ngap.ngap.pLMNIdentity": "00f110"}}])
+    assert tuple(plmn_tac(p).first()) == ("00f110", "12")
+
+
+def test_csv_result_is_read_by_a_standard_reader(spark, tmp_path):
+    import csv
+    import glob
+
+    from sigtrace.sources.packets import write_results
+
+    text = '{"a.b": "1", "c": "2"}'
+    write_results(spark.createDataFrame([(1, text)], "n int, t string").coalesce(1), str(tmp_path / "out"), "csv")
+    with open(glob.glob(str(tmp_path / "out" / "*.csv"))[0], newline="") as f:
+        assert list(csv.reader(f)) == [["n", "t"], ["1", text]]
