@@ -25,12 +25,16 @@ from sigtrace.llm.pii import find
 from sigtrace.session import configure
 
 
-def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
-    """``columns`` of ``docs`` with another text, and its length where the table has one."""
-    changed = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast("long"))
-    return changed.select(*columns)
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named so that no operator's own columns clash, and those names by the old ones."""
+    names = {c: f"own{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _with_text(changed: DataFrame, names: dict[str, str], text) -> DataFrame:
+    """The columns ``names`` of ``_plain`` with another text, and its length where the table has one."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return changed.select(*[(new[c] if c in new else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +44,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     judged = classify(docs, trusted)
     # a decision depends on text and language; a written table's size is known, so Spark broadcasts it only if small
     rejected = written(judged.where(~F.col("kept")).select(F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct(), "pipeline-rejected")
-    same = (text_hash(F.col("text")) == F.col("_hash")) & F.col("lang").cast("string").eqNullSafe(F.col("_lang"))
+    same = (text_hash(docs["text"]) == rejected["_hash"]) & docs["lang"].cast("string").eqNullSafe(rejected["_lang"])
     return docs.join(rejected, same, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep enough of their lines, without the lines that failed."""
     configure(spark)
-    kept = judge(docs).where("kept")
-    return _with_text(kept, docs.columns, F.col("clean_text"))
+    plain, names = _plain(docs)
+    return _with_text(judge(plain, text=names["text"]).where("kept"), names, F.col("clean_text"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +67,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
     configure(spark)
-    others = tuple(c for c in docs.columns if c != "text")
-    found = find(docs, keep=others, redacted=True)
-    return _with_text(found, docs.columns, F.col("redacted"))
+    plain, names = _plain(docs)
+    others = tuple(n for c, n in names.items() if c != "text")
+    found = find(plain, text=names["text"], keep=others, redacted=True)
+    return _with_text(found, names, F.col("redacted"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,9 +67,10 @@ def judge(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> Data
     """``docs`` with the columns of ``OWN``; ``clean_text`` is the text without failed lines."""
     at = lambda a, i: F.element_at(a, i + 1)
     none = F.array().cast("array<string>")
-    own = [c for c in docs.columns if c not in OWN]
+    names = {f"own{i}": c for i, c in enumerate(c for c in docs.columns if c not in OWN)}  # no clash with the columns made here
+    own = list(names)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    step = docs.select(*own, whole.alias("_t"), F.trim(whole, F.lit(SPACE)).alias("_body"))
+    step = docs.select(*[F.col(c).alias(n) for n, c in names.items()], whole.alias("_t"), F.trim(whole, F.lit(SPACE)).alias("_body"))
     step = step.select(
         *own, "_t",
         F.when(F.col("_body") == "", none).otherwise(F.split("_body", "[\\x20\\x09-\\x0D]+")).alias("_words"),
@@ -111,4 +112,4 @@ def judge(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> Data
     # where pushing it down would copy all their expressions into it
     kept = (F.monotonically_increasing_id() >= 0) & ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("line_chars") * max_lost)
     clean = F.when(F.size("_failed") == 0, F.col("_t")).otherwise(F.array_join(F.filter(F.split("_t", "\n"), lambda x: ~_line_fails(x, symbols, bangs) | (F.trim(x, F.lit(SPACE)) == "")), "\n"))
-    return step.withColumns({"kept": kept, "clean_text": clean}).drop("_t", "_lines", "_failed")
+    return step.withColumns({"kept": kept, "clean_text": clean}).drop("_t", "_lines", "_failed").withColumnsRenamed(names)
