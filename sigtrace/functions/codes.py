@@ -158,7 +158,7 @@ STEP_CAUSE_NAMES = {
     "31": "ng-intra-system-handover-triggered", "32": "ng-inter-system-handover-triggered",
 }
 
-# Interpretation notes per cause, first matching substring rule wins.
+# Interpretation notes per cause (fixed output text), first matching substring rule wins.
 CAUSE_NOTES = [
     ("user-inactivity", "user-inactivity: UE became idle after inactivity timer expiry (normal behavior)"),
     ("deregister", "deregister: UE initiated detach/deregistration (user or device action)"),
@@ -175,6 +175,14 @@ HO_FAILURE_NOTES = [
     ("ho-target-not-allowed", "ho-target-not-allowed: Handover to target cell is not permitted."),
 ]
 
+# Possible reasons shown with each handover failure note (fixed output text), by the same patterns.
+HO_FAILURE_REASONS = [
+    ("cancelled", "Network congestion, target cell unavailable, UE moved out of range."),
+    ("partial", "Target cell lacks resources for all sessions, QoS constraints."),
+    ("ho-failure", "Target cell overload, configuration mismatch, X2/Xn interface issues."),
+    ("ho-target-not-allowed", "Access restrictions, roaming policies, cell barring."),
+]
+
 # Why a RAN UE NGAP id changed, by the message type that carries the new id.
 RAN_CHANGE_REASONS = {
     "HandoverResourceAllocation": "Target gNB assigns new RAN-UE-NGAP-ID after handover request",

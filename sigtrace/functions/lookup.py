@@ -1,7 +1,7 @@
 """Literal-map lookups and small classifiers as JVM expressions.
 
 A code table of a few dozen entries becomes a constant ``map(...)`` literal: the
-lookup is an in-row hash probe inside whole-stage codegen, with no join and no
+lookup is an in-row linear search inside whole-stage codegen, with no join and no
 exchange at all (cheaper than even a broadcast join).
 """
 

@@ -24,18 +24,28 @@ ID_KINDS: list[tuple[str, list[str]]] = [
 ]
 
 
-def _ids_array(m: Column) -> Column:
+# NGAP identifiers, for callers that want 5G packets correlated too (``id_kinds=ID_KINDS + NGAP_KINDS``).
+NGAP_KINDS: list[tuple[str, list[str]]] = [
+    ("ran_ue_ngap_id", ["ngap.RAN_UE_NGAP_ID", "ngap.ngap.RAN_UE_NGAP_ID", "RAN_UE_NGAP_ID"]),
+    ("amf_ue_ngap_id", ["ngap.AMF_UE_NGAP_ID", "ngap.ngap.AMF_UE_NGAP_ID", "AMF_UE_NGAP_ID"]),
+]
+
+
+def _ids_array(m: Column, id_kinds: list[tuple[str, list[str]]] = ID_KINDS) -> Column:
     return F.filter(
-        F.array(*[F.struct(F.lit(kind).alias("id_type"), first_of(m, keys).alias("value")) for kind, keys in ID_KINDS]),
+        F.array(*[F.struct(F.lit(kind).alias("id_type"), first_of(m, keys).alias("value")) for kind, keys in id_kinds]),
         lambda s: s["value"].isNotNull(),
     )
 
 
-def ue_identifiers(packets: DataFrame) -> DataFrame:
-    """G1: every UE identifier per packet: (packet_number, id_type, value, ts, ids_in_packet)."""
+def ue_identifiers(packets: DataFrame, id_kinds: list[tuple[str, list[str]]] = ID_KINDS) -> DataFrame:
+    """G1: every UE identifier per packet: (packet_number, id_type, value, ts, ids_in_packet).
+
+    ``id_kinds`` lists the kinds and, for each, the field names tried in order.
+    """
     df = with_fields(packets)
     m = F.col("m")
-    with_ids = df.select(*packet_key(df), val(m, "frame.frame.time").alias("ts"), _ids_array(m).alias("ids"))
+    with_ids = df.select(*packet_key(df), val(m, "frame.frame.time").alias("ts"), _ids_array(m, id_kinds).alias("ids"))
     return with_ids.select(
         *packet_key(df),
         F.explode("ids").alias("i"),
@@ -48,13 +58,13 @@ def _node(id_type: Column, value: Column) -> Column:
     return F.concat(id_type, F.lit(":"), value)
 
 
-def ue_id_edges(packets: DataFrame) -> DataFrame:
+def ue_id_edges(packets: DataFrame, id_kinds: list[tuple[str, list[str]]] = ID_KINDS) -> DataFrame:
     """Distinct pairs of identifiers seen in one packet (packets with >= 2 ids).
 
     A packet holds one identifier per kind at most, so the pairs per packet are bounded.
     """
     df = with_fields(packets)
-    ids = df.select(_ids_array(F.col("m")).alias("ids")).where(F.size("ids") >= 2)
+    ids = df.select(_ids_array(F.col("m"), id_kinds).alias("ids")).where(F.size("ids") >= 2)
     idx = ids.select(F.posexplode("ids").alias("i", "x"), "ids")
     pairs = idx.select(
         F.col("x").alias("a"),
@@ -66,7 +76,7 @@ def ue_id_edges(packets: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def ue_groups(packets: DataFrame) -> DataFrame:
+def ue_groups(packets: DataFrame, id_kinds: list[tuple[str, list[str]]] = ID_KINDS) -> DataFrame:
     """(ue_group, id_type, value, first_packet); ue_group = smallest ``type:value`` key.
 
     Only identifiers from packets carrying two or more identifiers take part (as in
@@ -77,7 +87,7 @@ def ue_groups(packets: DataFrame) -> DataFrame:
     # Multi-identifier packets only; materialised once (reliable checkpoint) because
     # both the node table and the edge list read it, and the iterative job follows.
     arr = (
-        df.select("packet_number", _ids_array(F.col("m")).alias("ids"))
+        df.select("packet_number", _ids_array(F.col("m"), id_kinds).alias("ids"))
         .where(F.size("ids") >= 2)
         .checkpoint()
     )
@@ -120,11 +130,13 @@ def correlated_ids(groups: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def expand_by_correlation(packets: DataFrame, groups: DataFrame, target: DataFrame) -> DataFrame:
+def expand_by_correlation(
+    packets: DataFrame, groups: DataFrame, target: DataFrame, id_kinds: list[tuple[str, list[str]]] = ID_KINDS
+) -> DataFrame:
     """All packets carrying any identifier correlated with the target."""
     ids = correlated_ids(groups, target).select("id_type", "value").distinct()
     key = packet_key(packets)
-    carriers = ue_identifiers(packets).join(ids, ["id_type", "value"], "left_semi").select(*key).distinct()
+    carriers = ue_identifiers(packets, id_kinds).join(ids, ["id_type", "value"], "left_semi").select(*key).distinct()
     return packets.join(carriers, key, "left_semi")
 
 

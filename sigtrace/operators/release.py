@@ -341,19 +341,28 @@ def cause_note(cause: Column) -> Column:
     return expr
 
 
-def handover_note(cause: Column) -> Column:
+def _first_contained(cause: Column, rules: Sequence[tuple[str, str]]) -> Column:
     expr = F.lit(None).cast("string")
-    for pattern, note in reversed(codes.HO_FAILURE_NOTES):
-        expr = F.when(cause.contains(pattern), F.lit(note)).otherwise(expr)
+    for pattern, text in reversed(rules):
+        expr = F.when(cause.contains(pattern), F.lit(text)).otherwise(expr)
     return expr
 
 
+def handover_note(cause: Column) -> Column:
+    return _first_contained(cause, codes.HO_FAILURE_NOTES)
+
+
+def handover_reasons(cause: Column) -> Column:
+    return _first_contained(cause, codes.HO_FAILURE_REASONS)
+
+
 def cause_notes(packets: DataFrame) -> DataFrame:
-    """Distinct release causes with their interpretation note (NULL when none applies)."""
+    """Distinct release causes with their interpretation note (NULL when none applies);
+    handover failures also with the possible reasons."""
     d = ue_release_detail(packets).select("cause").distinct()
     h = handover_events(packets).where(F.col("outcome") == "failure").select("cause").distinct()
-    return d.select("cause", cause_note(F.col("cause")).alias("note"), F.lit("release").alias("kind")).unionByName(
-        h.select("cause", handover_note(F.col("cause")).alias("note"), F.lit("handover_failure").alias("kind"))
+    return d.select("cause", cause_note(F.col("cause")).alias("note"), F.lit("release").alias("kind"), F.lit(None).cast("string").alias("possible_reasons")).unionByName(
+        h.select("cause", handover_note(F.col("cause")).alias("note"), F.lit("handover_failure").alias("kind"), handover_reasons(F.col("cause")).alias("possible_reasons"))
     )
 
 

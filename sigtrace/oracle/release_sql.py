@@ -185,11 +185,12 @@ def cause_notes() -> str:
         for p, n in codes.CAUSE_NOTES
     ) + " END"
     ho_note = "CASE " + " ".join(f"WHEN contains(cause, {q(p)}) THEN {q(n)}" for p, n in codes.HO_FAILURE_NOTES) + " END"
+    reasons = "CASE " + " ".join(f"WHEN contains(cause, {q(p)}) THEN {q(n)}" for p, n in codes.HO_FAILURE_REASONS) + " END"
     return with_packets(CAUSE_CTES + _ho_events_cte() + f""",
 d AS (SELECT DISTINCT detail_cause AS cause FROM c3 WHERE {DETAIL_WHERE}),
 h AS (SELECT DISTINCT cause FROM he WHERE outcome = 'failure')
-SELECT cause, {note} AS note, 'release' AS kind FROM d
-UNION ALL SELECT cause, {ho_note} AS note, 'handover_failure' AS kind FROM h""")
+SELECT cause, {note} AS note, 'release' AS kind, CAST(NULL AS VARCHAR) AS possible_reasons FROM d
+UNION ALL SELECT cause, {ho_note} AS note, 'handover_failure' AS kind, {reasons} AS possible_reasons FROM h""")
 
 
 def ue_has_message() -> str:

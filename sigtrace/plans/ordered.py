@@ -50,8 +50,8 @@ def sequence(
     d = d.withColumn("_lrn", F.row_number().over(w))
     for c in lag_cols:
         d = d.withColumn(f"_lp_{c}", F.lag(c).over(w))
-    # The summary reads the window's output (_lrn), so both branches share one exchange
-    # (Spark reuses it) and the input is scanned and shuffled once.
+    # The summary reads the window's output (_lrn), so both branches can share one exchange
+    # where Spark reuses it.
     aggs = [F.max("_lrn").alias("_n"), F.max(order).alias("_maxo")]
     if lag_cols:
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in lag_cols]), F.col("_lrn")).alias("_last"))

@@ -132,8 +132,8 @@ def parse_run_summary(
     """A5 + A10: write the packets table (and the rejects) and report packets parsed,
     malformed records and output bytes.
 
-    The counts are ``observe()`` metrics of the write jobs themselves - no extra pass
-    over the data - and the byte count comes from the written files' metadata.
+    The counts are ``observe()`` metrics of the two write jobs (each reads its input once)
+    and the byte count comes from the written files' metadata.
     """
     obs_p, obs_r = Observation("packets"), Observation("rejects")
     write_packets(packets, path, partition_by_date=partition_by_date, observation=obs_p)
