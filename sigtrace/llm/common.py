@@ -22,6 +22,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of what has been written
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,6 +41,36 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: int = 1, size: int =
             yield batch.slice(start), texts
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """(d, z): the texts ``t`` of ``rows`` (d, t) in zstd, where they must be shuffled."""
+    import zstandard
+
+    def packed(batches: Iterator[pa.RecordBatch]):
+        pack = zstandard.ZstdCompressor(level=3)
+        for part, texts in text_groups(batches):
+            z = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], ["d", "z"])
+
+    return rows.select("d", "t").mapInArrow(packed, f"d {rows.schema['d'].dataType.simpleString()}, z binary")
+
+
+def unpacked_groups(batches: Iterator[pa.RecordBatch], column: int, size: int = GROUP_CHARS):
+    """Like ``text_groups`` for a column of ``compressed`` texts."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        start, held, texts = 0, 0, []
+        for i in range(batch.num_rows):
+            texts.append(unpack.decompress(batch.column(column)[i].as_py()).decode("utf-8", "surrogatepass"))
+            held += len(texts[-1])
+            if held >= size:
+                yield batch.slice(start, i + 1 - start), texts
+                start, held, texts = i + 1, 0, []
+        if texts:
+            yield batch.slice(start), texts
+
+
 class BoundedCache(dict):
     """A worker's dictionary that forgets what it has learned once it holds too much.
 

@@ -9,9 +9,10 @@ result is the connected component of every document.
 * **Light side** (smaller set within the boundary): both sets enumerate their subsets of
   size ``o(a, b)``.  Sharing one *is* a link, so no check follows.
 * **Heavy side**: inverted lists.  A set posts its extended prefix (the smallest hashes; any
-  linked pair shares several of these).  Shingles no other set posts are dropped, then sets
-  with too few left - most of the corpus.  Of the rest each set keeps its rarest shingles,
-  enough that linked pairs still share one.  The lists are scanned in rounds: every list
+  linked pair shares several of these), and sets that share too few of them with any other are
+  out - most of the corpus.  The rest post all their shingles; a set of which others hold less
+  than the least overlap is out, too.  Of the shared ones each set keeps its rarest, enough
+  that linked pairs still meet in one.  The lists are scanned in rounds: every list
   tests its members against one centre; members already in one component need no test.  After
   a few rounds with other centres, all pairs of a list that are in different components and
   untested are tested.  So a group of m near copies costs about m tests, and no link between
@@ -36,15 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.llm.common import text_groups, written
+from sigtrace.llm.common import compressed, text_groups, unpacked_groups, written
 from sigtrace.llm.shingles import set_id, shingle_sets
 from sigtrace.plans.components import connected_components
 
 #: Sizes the boundary is chosen from, and what testing costs per shingle beside posting one.
 MAX_LIGHT = 16
 TEST_COST = 2.0
-#: The extended prefix holds ``size / EXTRA`` shingles more than a plain one.
-EXTRA = 16
+#: The extended prefix holds ``size / EXTRA`` shingles more than a plain one, and at least so many.
+EXTRA, EXTRA_LEAST = 16, 32
 ROUNDS = 2
 
 
@@ -65,9 +66,8 @@ class Bounds:
     def most(self, size: int) -> int:
         return 100 * size // self.percent
 
-    @staticmethod
-    def extra(size: int) -> int:
-        return -(-size // EXTRA)
+    def extra(self, size: int) -> int:
+        return min(self.least(size), max(EXTRA_LEAST, -(-size // EXTRA)))
 
     def prefix(self, size: int) -> int:
         return min(size, size - self.least(size) + self.extra(size))
@@ -164,20 +164,42 @@ def _postings(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> Dat
     return docs.mapInArrow(posted, "h long, node long, size int")
 
 
-def _lists(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
-    """(h, node, size): inverted lists in which every linked pair of heavy sets meets."""
-    # the order of shingles may use any function of the shingle: counts of its leading 48 bits do
+def _candidates(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
+    """(node): heavy sets that share enough of their extended prefix with others to have a partner."""
+    # counts of the leading 48 bits: at least those of the shingle
     group = F.shiftright("h", 16).alias("g")
-    counts = _postings(docs, words, bounds, boundary).select(group).groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    common = _postings(docs, words, bounds, boundary).withColumn("g", group).join(counts, "g")
-    kept = common.groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_set(F.struct("c", "h"))).alias("held"))
-    least = F.ceil(F.ceil(F.col("size") * bounds.percent / 100) / EXTRA).cast("int")
-    short = kept.select("node", "size", F.slice("held", F.lit(1), F.greatest(F.size("held") - least + 1, F.lit(0))).alias("held"))
-    return short.select("node", "size", F.explode("held.h").alias("h"))
+    counts = _postings(docs, words, bounds, boundary).select(group).groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    common = _postings(docs, words, bounds, boundary).withColumn("g", group).join(counts, "g", "left_semi")
+    least = F.ceil(F.col("size") * bounds.percent / 100)
+    own = F.ceil(least * bounds.percent / 100)
+    shared = F.least(own, F.greatest(F.lit(EXTRA_LEAST), F.ceil(least / EXTRA)))  # Bounds.shared
+    return common.groupBy("node").agg(F.first("size").alias("size"), F.count("*").alias("k")).where(F.col("k") >= shared).select("node")
 
 
-def _testable(bounds: Bounds, a: str, b: str):
-    return (F.col(a) * 100 >= F.col(b) * bounds.percent) & (F.col(b) * 100 >= F.col(a) * bounds.percent)
+def _lists(texts: DataFrame, words: int, bounds: Bounds) -> DataFrame:
+    """(h, node, size, left): inverted lists of the candidates in which every linked pair meets.
+
+    ``left`` is how many of its shared shingles the set has from this one on, rarest first.
+    """
+
+    def posted(batches):
+        for part, group in unpacked_groups(batches, 1):
+            sets = shingle_sets(group, words)
+            n = np.array([len(x) for x in sets], np.int64)
+            yield _rows(["h", "node", "size"], np.concatenate(sets).view(np.int64), np.repeat(part.column(0).to_numpy(), n), np.repeat(n.astype(np.int32), n))
+
+    posts = texts.select("node", "z").mapInArrow(posted, "h long, node long, size int")
+    counts = posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    kept = posts.join(counts, "h").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("held"))
+    least = F.ceil(F.col("size") * bounds.percent / 100).cast("int")
+    short = kept.where(F.size("held") >= least).select("node", "size", F.size("held").alias("n_held"), F.slice("held", F.lit(1), F.size("held") - least + 1).alias("held"))
+    listed = short.select("node", "size", F.posexplode("held.h").alias("at", "h"), "n_held")
+    return listed.select("h", "node", "size", (F.col("n_held") - F.col("at")).alias("left"))
+
+
+def _testable(bounds: Bounds, a: str, b: str, left_a: str, left_b: str):
+    """Whether sets of these sizes can link if this is the first shingle they share: what is left must suffice."""
+    return F.least(left_a, left_b) * (100 + bounds.percent) >= (F.col(a) + F.col(b)) * bounds.percent
 
 
 def _tested(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -206,27 +228,16 @@ def _tested(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return both.mapInArrow(compared, "src long, dst long, linked boolean")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(d, z): compressed texts, so that shuffling them costs less."""
-    import zstandard
-
-    def packed(batches):
-        pack = zstandard.ZstdCompressor(level=3)
-        for part, texts in text_groups(batches):
-            yield _rows(["d", "z"], part.column(0), pa.array([pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary()))
-
-    return docs.mapInArrow(packed, f"d {docs.schema['d'].dataType.simpleString()}, z binary")
-
-
 def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
     """(src, dst) links that connect what is connected among sets above the boundary."""
-    lists = written(_lists(docs, words, bounds, boundary), "jaccard-lists")
+    # one row of each candidate's set stands for it
+    candidates = _candidates(docs, words, bounds, boundary)
+    stand_in = written(sizes.join(candidates, "node", "left_semi").groupBy("node").agg(F.min("d").alias("d")), "jaccard-candidates")
+    texts = written(compressed(docs).join(stand_in, "d").select("node", "z").dropDuplicates(["node"]), "jaccard-texts")
+    lists = written(_lists(texts, words, bounds), "jaccard-lists")
     span = lists.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("h")
     lists = written(lists.join(span, "h"), "jaccard-shared")
     members = lists.select("node").distinct()
-    # one row of each member's set stands for it
-    stand_in = sizes.join(members, "node", "left_semi").groupBy("node").agg(F.min("d").alias("d"))
-    texts = written(_packed(docs).join(stand_in, "d").select("node", "z"), "jaccard-texts")
 
     tested, linked = None, None
     label = members.withColumn("component", F.col("node"))
@@ -236,12 +247,12 @@ def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds,
         held = held.join(open_lists, "h")
         if turn < ROUNDS:
             order = F.xxhash64("node", F.lit(turn), F.pmod("h", F.lit(4)) if turn else F.lit(0))
-            centre = held.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("src"), F.col("size").alias("a"), F.col("component").alias("of")), order).alias("x")).select("h", "x.*")
+            centre = held.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("src"), F.col("size").alias("a"), F.col("left").alias("left_a"), F.col("component").alias("of")), order).alias("x")).select("h", "x.*")
             pairs = held.join(centre, "h").where("component != of")
         else:
-            other = held.select("h", F.col("node").alias("src"), F.col("size").alias("a"), F.col("component").alias("of"))
+            other = held.select("h", F.col("node").alias("src"), F.col("size").alias("a"), F.col("left").alias("left_a"), F.col("component").alias("of"))
             pairs = held.join(other, "h").where("component != of AND node < src")
-        pairs = pairs.where(_testable(bounds, "a", "size")).select(F.least("src", "node").alias("src"), F.greatest("src", "node").alias("dst")).distinct()
+        pairs = pairs.where(_testable(bounds, "a", "size", "left_a", "left")).select(F.least("src", "node").alias("src"), F.greatest("src", "node").alias("dst")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("src", "dst"), ["src", "dst"], "left_anti")
         result = written(_tested(pairs, texts, words, bounds.percent), "jaccard-tested")
