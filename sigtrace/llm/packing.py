@@ -54,23 +54,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = BoundedCache(limit=cache_size)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        self.ends[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """Chunks between spaces and line feeds; the tokenizer lower-cases, so ASCII is lower-cased to repeat more often."""
-        if text.isascii() and "<|" not in text:
+        """Chunks between spaces and line feeds.
+
+        The tokenizer lower-cases; where its rule can't differ from Python's (code points below
+        U+0130, no added token in the text) that is done first, so more chunks are alike.
+        """
+        if "<|" not in text and (text.isascii() or max(text) < "\u0130"):
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of Latin letters only: each is one pre-token, so a line of many is encoded at once."""
+        for at in range(0, len(words), 5_000):
+            some = words[at : at + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edges = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(edges) != len(some) + 1:
+                raise ValueError("a word of letters is not one pre-token")
+            ids = ids.tobytes()
+            self.cache.learn(some, [ids[4 * a : 4 * b] for a, b in zip(edges, edges[1:])])
+
+    def _learn(self, chunks: set[str]) -> None:
+        plain = lambda w: w.isalpha() and (w.isascii() or max(w) < "\u0130")
+        ended = [w for w in chunks if w[-1:] in (".", ",") and plain(w[:-1])]  # a word, and one mark
+        words = {w for w in chunks if plain(w)}
+        words.update(w[:-1] for w in ended)
+        self._learn_words([w for w in words if w not in self.cache])
+        rest = [w for w in chunks.difference(words, ended) | {".", ","} if w not in self.cache]
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.cache.learn(some, [np.array(c.ids, "<u4").tobytes() for c in coded])
+        self.cache.learn(ended, [self.cache[w[:-1]] + self.cache[w[-1]] for w in ended])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
         needed = set().union(*split)
-        self.cache.room(len(needed))
-        new = list(needed.difference(self.cache))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.cache.learn(some, [np.array(c.ids, "<u4").tobytes() for c in coded])
+        self.cache.room(2 * len(needed) + 2)
+        self._learn(needed.difference(self.cache))
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in split]
 
 
@@ -80,7 +107,7 @@ def _encoder(path: str, cache_size: int) -> WordEncoder:
     return _STATE["encoder"]
 
 
-def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, cache_size: int = 300_000) -> DataFrame:
+def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, cache_size: int = 800_000) -> DataFrame:
     """One row per piece, with ``task`` and ``task_rank`` (its number among the task's pieces of that length)."""
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
@@ -167,7 +194,7 @@ class Rounds:
         return self
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, cache_size: int = 300_000) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, cache_size: int = 800_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     cut = written(pieces_of(docs, doc_id, text, capacity, end_id, tokenizer, cache_size), "packing-pieces")
