@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.llm.common import text_groups, written
+from sigtrace.llm.common import compressed, text_groups, unpacked_groups, written
 
 PAD = "\x02"
 END = "\x03"
 PRIOR = 200
 MIN_TRUSTED = 30
 HELD_OUT = 5
+#: Characters worked on at once.
+GROUP = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +82,7 @@ def hashed(grams: list[str], order: int) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, n, trusted): occurrences in all and in trusted documents.  ``docs`` has t, good."""
+    """(gram, n, trusted): occurrences in all and in training documents.  ``docs`` has z (compressed text), good."""
 
     def counted(batches: Iterator[pa.RecordBatch]):
         total: dict[str, list[int]] = {}
@@ -91,7 +93,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
             total.clear()
             return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(values[:, 0]), pa.array(values[:, 1])], ["gram", "n", "trusted"])
 
-        for part, texts in text_groups(batches, 0):
+        for part, texts in unpacked_groups(batches, 0, GROUP):
             good = np.array([bool(x) for x in part.column(1).to_pylist()])
             g = Grams(texts, order)
             keys, where, inverse, n = np.unique(g.hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -104,11 +106,11 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
                     held[1] += b
                 else:
                     total[gram] = [a, b]
-            if len(total) > 400_000:
+            if len(total) > 300_000:
                 yield flush()
         yield flush()
 
-    rows = docs.select("t", "good").mapInArrow(counted, "gram string, n long, trusted long")
+    rows = docs.select("z", "good").mapInArrow(counted, "gram string, n long, trusted long")
     return rows.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
 
 
@@ -186,15 +188,16 @@ def score(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     ids = trusted.select(F.col(trusted.columns[0]).alias("d")).where("d IS NOT NULL").distinct()
     held_out = F.pmod(F.xxhash64("d"), F.lit(HELD_OUT)) == 0
     ids = ids.select("d", (~held_out).alias("good"), held_out.alias("calibrates"))
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("lang")).join(ids, "d", "left")
-    counts = written(gram_counts(rows, order), "kneser-ney-grams")
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("lang"))
+    # the join with the labels may shuffle the texts once, so they go compressed
+    counts = written(gram_counts(compressed(rows).join(ids, "d", "left"), order), "kneser-ney-grams")
     model = written(probabilities(counts, order), "kneser-ney-model")
     keys, logp, _ = _frequent(model, frequent)
     held = spark.sparkContext.broadcast((keys, logp))
 
     def scored(batches: Iterator[pa.RecordBatch]):
         keys, logp = held.value
-        for part, texts in text_groups(batches):
+        for part, texts in text_groups(batches, 1, GROUP):
             g = Grams(texts, order)
             unique, where, inverse = np.unique(g.hashes, return_index=True, return_inverse=True)
             at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
@@ -206,16 +209,16 @@ def score(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
             grams = [g.gram(i) for i in missed.tolist()]
             rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams, pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), pa.array(g.counts, pa.int64()), pa.array(total, pa.float64()), rest], ["d", "lang", "x", "calibrates", "n_scored", "common", "rest"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(g.counts, pa.int64()), pa.array(total, pa.float64()), rest], ["d", "lang", "x", "n_scored", "common", "rest"])
 
-    keyed = rows.select("d", "t", "lang", text_hash(F.col("t")).alias("x"), F.coalesce("calibrates", F.lit(False)).alias("calibrates"))
+    keyed = rows.select("d", "t", "lang", text_hash(F.col("t")).alias("x"))
     kind = keyed.schema["d"].dataType.simpleString()
-    first = written(keyed.mapInArrow(scored, f"d {kind}, lang string, x long, calibrates boolean, n_scored long, common double, rest array<string>"), "kneser-ney-scores")
+    first = written(keyed.mapInArrow(scored, f"d {kind}, lang string, x long, n_scored long, common double, rest array<string>"), "kneser-ney-scores")
     rare = first.where(F.size("rest") > 0).select("x", "rest").groupBy("x").agg(F.first("rest").alias("rest"))
     rare = rare.select("x", F.explode("rest").alias("gram")).groupBy("x", "gram").agg(F.count("*").alias("k"))
     more = rare.join(model.select("gram", "logp"), "gram").groupBy("x").agg(F.sum(F.col("k") * F.col("logp")).alias("more"))
-    whole = first.drop("rest").join(more, "x", "left")
-    return whole.select("d", "lang", "x", "calibrates", "n_scored", (F.col("common") + F.coalesce("more", F.lit(0.0))).alias("logp"))
+    whole = first.drop("rest").join(more, "x", "left").join(ids.select("d", "calibrates"), "d", "left")
+    return whole.select("d", "lang", "x", F.coalesce("calibrates", F.lit(False)).alias("calibrates"), "n_scored", (F.col("common") + F.coalesce("more", F.lit(0.0))).alias("logp"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, frequent: int = 300_000, upper: float = 0.99, slack: float = 1.0) -> DataFrame:
