@@ -90,9 +90,7 @@ class Codec:
         prefix = np.zeros((size + 1, n), np.uint64)
         for j in range(size):
             prefix[j + 1] = prefix[j] * _P + codes[:, j]
-        power = np.ones(self.longest + 1, np.uint64)
-        for j in range(self.longest):
-            power[j + 1] = power[j] * _P
+        power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(self.longest, _P))))
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0.0
         back = np.zeros((size + 1, n), np.int32)
