@@ -95,25 +95,32 @@ class Index:
         self.weight = np.where(self.toxic == 1, weight[1], weight[0])
         blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((features, blocks))
-        lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for at, i in enumerate(order):
-            for f, w in vectors[i].items():
-                own = lists.setdefault((f, at // BLOCK), ([], []))
-                own[0].append(at % BLOCK), own[1].append(w)
-                self.most[f, at // BLOCK] = max(self.most[f, at // BLOCK], w)
-        self.lists = {k: (np.array(a), np.array(w)) for k, (a, w) in lists.items()}
+        # a block's postings: a row of weights for each feature found in it, and where that row is
+        self.place = np.full((blocks, features), -1, np.int32)
+        self.rows = []
+        for b in range(blocks):
+            own = order[b * BLOCK : (b + 1) * BLOCK]
+            found = sorted({f for i in own for f in vectors[i]})
+            self.place[b, found] = np.arange(len(found))
+            rows = np.zeros((len(found), BLOCK))
+            for at, i in enumerate(own):
+                for f, w in vectors[i].items():
+                    rows[self.place[b, f], at] = w
+            self.most[found, b] = rows.max(1)
+            self.rows.append(rows)
 
     def nearest(self, vector: dict[int, float], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest examples with a cosine above 0."""
-        bound = sum(w * self.most[f] for f, w in vector.items())
+        features = np.fromiter(vector, np.int64, len(vector))
+        weights = np.fromiter(vector.values(), np.float64, len(vector))
+        bound = weights @ self.most[features]
         at, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or (len(at) >= k and bound[b] < least - 1e-9):
                 break
-            scores = np.zeros(BLOCK)
-            for f, w in vector.items():
-                if (held := self.lists.get((f, int(b)))) is not None:
-                    scores[held[0]] += w * held[1]
+            place = self.place[b, features]
+            held = place >= 0
+            scores = weights[held] @ self.rows[b][place[held]]
             own = np.flatnonzero(scores > 0)
             own = own[own + b * BLOCK != (-1 if without is None else without)]
             at, cosine = np.concatenate((at, own + b * BLOCK)), np.concatenate((cosine, scores[own]))
