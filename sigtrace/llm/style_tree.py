@@ -1,18 +1,22 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree whose nodes are element paths (tags with their
-classes).  Every element of a page votes at its node with two values: the sequence of its
-children's tags (presentation) and its text (content).  The importance of a node is the
-larger normalised entropy of the two over the host's pages: a menu or notice that is alike
-on all pages has little, an article much.  Votes are counted by (host, path, value) with
-map-side combine, so no host is gathered anywhere; the low nodes of a host are one small
-row, joined to its pages by host (Spark broadcasts it where its size allows).
-
-From each page the branches are removed that are noise by their kind (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) and those of low
-importance at a node seen on ``MIN_PAGES`` pages or more.  Paragraphs, headings and the
-containers of the article itself are never low: copies of an article on one host are still
-articles.  Where a page has ``article`` or ``main`` elements, only they count as page text.
+classes).  Every page votes once at each node with two values: the sequences of its children's
+tags (presentation) and its text (content) there.  The importance of a node is the larger
+normalised entropy of the two over the host's pages: a menu or notice that is alike on all
+pages has little, an article much.  Votes are counted by (host, path, value) with map-side
+combine, so no host is gathered anywhere; the low nodes of a host are one small row, joined to
+its pages by host (Spark broadcasts it where its size allows).
+
+From each page the branches of low importance at a node seen on ``MIN_PAGES`` pages or more are
+removed, whatever their tag.  Headings and the parts of lists and tables stay with the varied
+branch they stand in (below ``body``, where every branch stands), inline elements with their
+block.  Where ``html`` or ``body`` is low itself, the pages are copies and the tree tells nothing.
+Name lists decide what the tree cannot: ``NOISE_TAGS`` and hidden elements are removed; a word of
+``NOISE_WORDS`` in a class, id or role, or a form, removes what it holds except ``article`` and
+``main`` and branches whose content varies, if these have no such name of their own.  Where a page
+has ``article`` or ``main`` elements that are not low, only they count as page text; low ones
+(copies of an article are still articles) are kept where less than them would be left.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own name; broken
 markup is read as far as it goes; repeated rows each get a row and count as pages of their
@@ -46,13 +50,17 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template svg iframe object select".split())
-NOISE_TAGS = frozenset("head nav footer aside form button script style noscript template svg iframe object select textarea dialog menu".split())
+NOISE_TAGS = frozenset("head nav footer aside button script style noscript template svg iframe object select textarea dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul br option summary caption".split()
 )
-#: Never low: prose, and what holds the article.
-PROSE = frozenset("html body article main section p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure b i em strong a span br code".split())
+#: Low only directly in ``body``: elsewhere they stay with the branch they stand in.
+HELD = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption figcaption".split())
+#: Parts of a sentence: they have no node of their own.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var".split()
+)
 MAIN = frozenset(("article", "main"))
 #: Words in a class, id or role that name noise.
 NOISE_WORDS = frozenset(
@@ -69,42 +77,54 @@ def path_id(path: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "path", "children", "text", "noise", "main")
+    __slots__ = ("tag", "path", "children", "text", "noise", "named", "main", "copy")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    def __init__(self, tag: str, path: str, noise: bool, named: bool, main: bool, copy: bool):
+        self.tag, self.path, self.noise, self.named, self.main, self.copy = tag, path, noise, named, main, copy
         self.children: list[str] = []
         self.text: list[str] = []
 
 
-def _attributes(rest: str) -> tuple[str, bool]:
-    """The class part of a node's path, and whether an attribute names noise."""
-    classes, noise = "", False
+def _attributes(rest: str) -> tuple[str, bool, bool]:
+    """The class part of a node's path, whether an attribute names noise, and whether one hides the element."""
+    classes, named, hidden = "", False, False
     for m in _ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden":
-            noise = True
+            hidden = True
         elif name == "style":
-            noise |= "display:none" in value.replace(" ", "")
+            hidden |= "display:none" in value.replace(" ", "")
         else:
             if name == "class":
                 classes = "." + ".".join(sorted(value.split()))
-            noise |= not NOISE_WORDS.isdisjoint(_NAME.findall(value))
-    return classes, noise
+            named |= not NOISE_WORDS.isdisjoint(_NAME.findall(value))
+    return classes, named, hidden
 
 
 class Page:
-    """One pass over a page: its blocks of text, and what each element shows at its node."""
+    """One pass over a page: its blocks of text, and what it shows at each node.
+
+    ``low`` has the nodes of low importance, ``varied`` those below a name whose content varies.
+    """
 
-    def __init__(self, html: str, low: frozenset[int] = frozenset(), votes: bool = False):
-        self.blocks: list[str] = []  # text of the page in order, "" where a block ends
+    def __init__(self, html: str, low: frozenset[int] = frozenset(), varied: frozenset[int] = frozenset(), votes: bool = False):
+        self.blocks: list[str] = []  # text of the page in order, " " where a block ends
         self.main_blocks: list[str] = []
+        self.copies: list[str] = []  # text of low articles
+        self.whole: list[str] = []  # blocks and copies
         self.has_main = False
-        self.votes: list[tuple[int, int, str]] = []
-        self._read(html, low, votes)
-
-    def _read(self, html: str, low: frozenset[int], votes: bool) -> None:
-        root = Element("", "", False, False)
+        self.shown: dict[int, tuple[list[str], list[str]]] = {}
+        self.below_name: set[int] = set()
+        self._read(html, low, varied, votes)
+
+    def votes(self) -> Iterator[tuple[int, bool, int, int]]:
+        """(path, below a name, kind, value) of the page's one vote of each kind at each node."""
+        for at, values in self.shown.items():
+            for kind, value in enumerate(values):
+                yield at, at in self.below_name, kind, path_id("\0".join(value))
+
+    def _read(self, html: str, low: frozenset[int], varied: frozenset[int], votes: bool) -> None:
+        root = Element("", "", False, False, False, False)
         stack = [root]
         ids: dict[str, int] = {}
 
@@ -115,13 +135,16 @@ class Page:
 
         def close() -> None:
             e = stack.pop()
-            if votes and e.tag in BLOCKS:
+            if votes and not e.noise and e.tag not in INLINE:
                 text = " ".join("".join(e.text).split())
                 if text:
-                    self.votes.append((node(e.path), 0, " ".join(e.children)))
-                    self.votes.append((node(e.path), 1, text))
-                    stack[-1].text += (" ", text, " ")
-            elif votes:
+                    at = node(e.path)
+                    tags, texts = self.shown.setdefault(at, ([], []))
+                    tags.append(" ".join(e.children)), texts.append(text)
+                    if stack[-1].named:
+                        self.below_name.add(at)
+                    stack[-1].text += (" ", text, " ") if e.tag in BLOCKS else (text,)
+            elif votes and not e.noise:
                 stack[-1].text += e.text
             if e.tag in BLOCKS:
                 self._write(e, " ")
@@ -165,20 +188,36 @@ class Page:
                 stop = html.find(">", at)
                 at = stop + 1 if stop >= 0 else size
                 continue
-            classes, noise = _attributes(m["rest"])
+            classes, named, hidden = _attributes(m["rest"])
             path = f"{top.path}/{tag}{classes}"
-            inner = tag in MAIN
-            noise = tag not in ("html", "body", "article", "main") and (noise or tag in NOISE_TAGS or (tag == "header" and not top.main))
-            if low and tag not in PROSE and node(path) in low:
-                noise = True
-            e = Element(tag, path, top.noise or noise, top.main or inner)
-            self.has_main |= inner and not e.noise
+            inner, page = tag in MAIN, tag in ("html", "body")
+            named |= tag == "form"
+            noise = not (page or inner) and (hidden or tag in NOISE_TAGS or (tag == "header" and not top.main))
+            copy = top.copy
+            if low and not copy and node(path) in low:
+                if page:
+                    low = frozenset()
+                elif inner:
+                    copy = True
+                elif tag not in HELD or top.tag in ("", "html", "body"):
+                    noise = True
+            if page or (inner and not top.named):
+                named = top.named
+            elif top.named and not named:
+                named = not (inner or (varied and node(path) in varied))
+            e = Element(tag, path, top.noise or noise, named, top.main or inner, copy)
+            self.has_main |= inner and not (e.noise or named or copy)
             stack.append(e)
         while len(stack) > 1:
             close()
 
     def _write(self, e: Element, text: str) -> None:
-        if not e.noise:
+        if e.noise or e.named:
+            return
+        self.whole.append(text)
+        if e.copy:
+            self.copies.append(text)
+        else:
             self.blocks.append(text)
             if e.main:
                 self.main_blocks.append(text)
@@ -190,7 +229,14 @@ class Page:
             e.text.append(text)
 
     def text(self) -> str:
-        return " ".join("".join(self.main_blocks if self.has_main else self.blocks).split())
+        if self.has_main:
+            return _joined(self.main_blocks)
+        rest = _joined(self.blocks)
+        return _joined(self.whole) if len(_joined(self.copies)) > len(rest) else rest
+
+
+def _joined(blocks: list[str]) -> str:
+    return " ".join("".join(blocks).split())
 
 
 def _host(url):
@@ -198,39 +244,44 @@ def _host(url):
 
 
 def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of every node of every host's style tree."""
+    """(host, path, below_name, pages, importance, variety) of every node; variety is the entropy of its content alone."""
 
     def voted(batches: Iterator[pa.RecordBatch]):
         for part, texts in text_groups(batches):
-            row, path, kind, value = [], [], [], []
+            row, path, below, kind, value = [], [], [], [], []
             for i, t in enumerate(texts):
-                for p, k, v in set(Page(t, votes=True).votes):
-                    row.append(i), path.append(p), kind.append(k), value.append(path_id(v))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], ["host", "path", "kind", "value"])
+                for p, n, k, v in Page(t, votes=True).votes():
+                    row.append(i), path.append(p), below.append(n), kind.append(k), value.append(v)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(path, pa.int64()), pa.array(below, pa.bool_()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], ["host", "path", "below", "kind", "value"])
 
     rows = pages.select(_host(F.col(url)).alias("host"), F.col(html).cast("string").alias("h"))
-    votes = rows.mapInArrow(voted, "host string, path long, kind int, value long")
-    counts = votes.groupBy("host", "path", "kind", "value").agg(F.count("*").cast("double").alias("n"))
-    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    votes = rows.mapInArrow(voted, "host string, path long, below boolean, kind int, value long")
+    counts = votes.groupBy("host", "path", "kind", "value").agg(F.count("*").cast("double").alias("n"), F.max("below").alias("below"))
+    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("below").alias("below"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    return nodes.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(entropy).alias("importance"))
+    return nodes.groupBy("host", "path").agg(
+        F.max("below").alias("below_name"), F.max("m").alias("pages"), F.max(entropy).alias("importance"), F.max(F.when(F.col("kind") == 1, entropy)).alias("variety")
+    )
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """(page_id, url, text) of every page."""
-    poor = importance(pages, url, html).where((F.col("pages") >= min_pages) & (F.col("importance") < low))
-    by_host = written(poor.groupBy("host").agg(F.collect_list("path").alias("low")), "style-tree-low")
+    poor, rich = F.col("importance") < low, F.col("below_name") & (F.col("variety") >= low)
+    nodes = importance(pages, url, html).where((F.col("pages") >= min_pages) & (poor | rich))
+    held = nodes.groupBy("host").agg(F.collect_list(F.when(poor, F.col("path"))).alias("low"), F.collect_list(F.when(rich, F.col("path"))).alias("varied"))
+    by_host = written(held, "style-tree-low")
 
     def extracted(batches: Iterator[pa.RecordBatch]):
-        for part, texts in text_groups(batches, 3):
+        for part, texts in text_groups(batches, 4):
             out = []
-            for t, held in zip(texts, part.column(2).to_pylist()):
-                text = Page(t, frozenset(held or ())).text()
+            for t, poor, rich in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
+                varied = frozenset(rich or ())
+                text = Page(t, frozenset(poor or ()), varied).text()
                 # a page of nothing but low nodes shows what its site shows everywhere: then that is its text
-                out.append(text or (Page(t).text() if held else ""))
+                out.append(text or (Page(t, varied=varied).text() if poor else ""))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], ["p", "u", "text"])
 
     rows = pages.select(F.col(page_id).alias("p"), F.col(url).alias("u"), _host(F.col(url)).alias("host"), F.col(html).cast("string").alias("h"))
-    joined = rows.join(by_host, "host", "left").select("p", "u", "low", "h")
+    joined = rows.join(by_host, "host", "left").select("p", "u", "low", "varied", "h")
     kinds = dict(rows.dtypes)
     return joined.mapInArrow(extracted, f"p {kinds['p']}, u {kinds['u']}, text string").withColumnsRenamed({"p": "page_id", "u": "url"})

@@ -233,6 +233,27 @@ def test_main_text_of_pages(spark):
     assert extract(table.where("page_id < 0")).count() == 0
 
 
+def test_main_text_is_decided_by_the_tree(spark):
+    from sigtrace.llm.style_tree import extract
+
+    low = "<ul class=m1><li>Start<li>Shop</ul><section class=x>Same note.</section><table><tr><td>Same cell</table><p class=n>Same line.</p>"
+    hosts = {
+        "a.org": f"{HEAD}{low}<div class=qq><h2>Story</h2><p>Text {{i}} of its own.</p></div>",
+        "b.org": f"{HEAD}<article><h1>News {{i}}</h1>{low}<p>Text {{i}} of its own.</p><ul><li>Always<li>Now {{i}}</ul></article>",
+        "c.org": f"{HEAD}<form id=f><div class='page widget'>{low}<article><p>Text {{i}} of its own.</p></article></div></form>",
+        "d.org": f"{HEAD}<div class=banner-page>Name<div class=qq>Text {{i}} of its own.</div></div><div class=ad>Ad {{i}}</div>",
+        "e.org": f"{HEAD}<p>Day {{i}}</p><article><p>The same article on every page.</p></article>",
+        "f.org": f"{HEAD}<article class=promo>Buy.</article><div class=qq>Text {{i}} of its own.</div>",
+    }
+    want = {
+        "a.org": "Story Text {i} of its own.", "b.org": "News {i} Text {i} of its own. Always Now {i}", "c.org": "Text {i} of its own.",
+        "d.org": "Text {i} of its own.", "e.org": "Day {i} The same article on every page.", "f.org": "Text {i} of its own.",
+    }
+    pages = [(i, f"http://{host}/{i}", html.format(i=i)) for host, html in hosts.items() for i in range(8)]
+    for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert r.text == want[r.url.split("/")[2]].format(i=r.page_id), r.url
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
