@@ -26,6 +26,25 @@ def load(model: str):
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
 
+def _model(sp):
+    from sentencepiece import sentencepiece_model_pb2
+
+    return sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
+
+
+def is_bpe(sp) -> bool:
+    """Whether the model encodes by merges; raises for kinds of model that are neither BPE nor unigram."""
+    spec = _model(sp).trainer_spec
+    if spec.model_type not in (spec.BPE, spec.UNIGRAM):
+        raise ValueError("only BPE and unigram models can be encoded")
+    return spec.model_type == spec.BPE
+
+
+def has_special_pieces(sp) -> bool:
+    """Whether pieces are user-defined or unused: these are not merged like others."""
+    return any(p.type in (p.USER_DEFINED, p.UNUSED) for p in _model(sp).pieces)
+
+
 def check_vocabulary(sp) -> None:
     inner = re.compile(f"[^{MARK}]{MARK}")
     bad = [p for p in map(sp.id_to_piece, range(sp.get_piece_size())) if inner.search(p)]

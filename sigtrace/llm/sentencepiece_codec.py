@@ -1,14 +1,22 @@
-"""SentencePiece encoding and decoding with a Viterbi search batched over words.
+"""SentencePiece encoding and decoding, batched over words.
 
 A text falls into chunks that no piece crosses (``pieces.py``).  The distinct new chunks of
-a group of texts are sorted by length and all chunks of one length advance together: at
-each end position the hashes of the last 1..n characters are probed in the sorted array of
-piece hashes, and one maximum over the piece length gives score and back-pointer of every
-chunk.  The segmentation found has the highest total of the model's piece scores; of equal
-totals the one with the longest last piece wins, as in the library's unigram search.  A
-character without a piece costs ``unknown_penalty`` below the lowest score and becomes its
-UTF-8 byte pieces.  (The scores of a BPE model are merge ranks; the search maximises their
-sum, which is not the library's order of merges for such a model.)
+a group of texts are sorted by length and all chunks of one length advance together; pieces
+are found by the hashes of substrings in the sorted array of piece hashes.
+
+BPE models (``MergeCodec``): from single characters on, each step merges in every chunk the
+two neighbours whose joined piece has the highest score, of equal ones the leftmost, until no
+two neighbours form a piece: the library's own order of merges.  Chunks of a length that few
+share, or very long ones, take the same merges from a heap.
+
+Unigram models (``Codec``): a Viterbi search; at each end position the last 1..n characters
+are probed, and one maximum over the piece length gives score and back-pointer of every chunk.
+The segmentation found has the highest total of piece scores; of equal totals the one with the
+longest last piece wins, as in the library.  A character without a piece costs
+``unknown_penalty`` below the lowest score.  (The scores of a BPE model are merge ranks: the
+highest sum of them is not its encoding.)
+
+In both, a character without a piece becomes its UTF-8 byte pieces.
 
 Decoding joins the pieces' bytes and drops the space mark the encoder puts in front, so
 ``decode(encode(text)) == text`` for every text without a literal U+2581, which the model
@@ -20,6 +28,7 @@ to an empty text; repeated rows each get a row; an empty table gives an empty re
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +42,8 @@ from sigtrace.llm.common import BoundedCache, text_groups
 #: An odd multiplier of the substring hash, and cells of one Viterbi step held at once.
 _P = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 4_000_000
+#: Chunks are merged one by one where fewer share a length, or where they are longer.
+_FEW, _LONG = 16, 256
 _STATE: dict = {}
 
 
@@ -83,14 +94,19 @@ class Codec:
                 self._advance(words, same[at : at + step], size, out)
         return out
 
-    def _advance(self, words: list[str], which: np.ndarray, size: int, out: list[bytes]) -> None:
+    def _prefix(self, words: list[str], which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first 0..size characters of each word, and the powers of the multiplier."""
         n = len(which)
         text = "".join(words[i] for i in which)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
         prefix = np.zeros((size + 1, n), np.uint64)
         for j in range(size):
             prefix[j + 1] = prefix[j] * _P + codes[:, j]
-        power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(self.longest, _P))))
+        return prefix, np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(self.longest, _P))))
+
+    def _advance(self, words: list[str], which: np.ndarray, size: int, out: list[bytes]) -> None:
+        n = len(which)
+        prefix, power = self._prefix(words, which, size)
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0.0
         back = np.zeros((size + 1, n), np.int32)
@@ -116,18 +132,122 @@ class Codec:
                 if found >= 0:
                     ids.append(found)
                 else:
-                    ids.extend(self.byte_ids[b] for b in reversed(words[i][end - 1].encode("utf-8", "surrogatepass")))
+                    ids.extend(reversed(self._bytes_of(words[i][end - 1])))
                 end -= span
             out[i] = np.array(ids[::-1], np.int32).tobytes()
 
+    def _bytes_of(self, character: str) -> list[int]:
+        return [int(self.byte_ids[b]) for b in character.encode("utf-8", "surrogatepass")]
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class MergeCodec(Codec):
+    """Codec of a BPE model: merges in the order of the library."""
+
+    def __init__(self, model: str):
+        super().__init__(model)
+        sp = pieces.load(model)
+        if pieces.has_special_pieces(sp):
+            raise ValueError("BPE models with user-defined or unused pieces are not supported")
+        self.known = {sp.id_to_piece(int(i)): (float(s), int(i)) for i, s in zip(self.ids, self.scores)}
+
+    def _advance(self, words: list[str], which: np.ndarray, size: int, out: list[bytes]) -> None:
+        n = len(which)
+        if n < _FEW or size > _LONG:
+            for i in which:
+                out[i] = self._merged(words[i])
+            return
+        prefix, power = self._prefix(words, which, size)
+
+        def find(row, start, stop):
+            span = stop - start
+            hashes = prefix[stop, row] - prefix[start, row] * power[np.minimum(span, self.longest)]
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            return (self.keys[at] == hashes) & (span <= self.longest), at
+
+        def scores(row, start, stop):
+            hit, at = find(row, start, stop)
+            return np.where(hit, self.scores[at], -np.inf)
+
+        # a symbol is the place where it starts; ``end`` is where the next one does, 0 once it is merged away
+        end, prev = np.tile(np.arange(1, size + 1), (n, 1)), np.tile(np.arange(-1, size - 1), (n, 1))
+        live, score = np.arange(n), np.full((n, size), -np.inf)  # score of each symbol joined with the next
+        for start in range(size - 1):
+            score[:, start] = scores(live, np.full(n, start), np.full(n, start + 2))
+        while len(live):
+            top = score.argmax(1)  # the leftmost of equals
+            rows = np.flatnonzero(score[np.arange(len(live)), top] > -np.inf)
+            if len(rows) < 0.7 * len(live):
+                live, score, top, rows = live[rows], score[rows], top[rows], np.arange(len(rows))
+            elif len(rows) == 0:
+                break
+            word, left = live[rows], top[rows]
+            right = end[word, left]
+            stop = end[word, right]
+            end[word, left], end[word, right] = stop, 0
+            score[rows, left] = score[rows, right] = -np.inf
+            on = np.flatnonzero(stop < size)
+            prev[word[on], stop[on]] = left[on]
+            score[rows[on], left[on]] = scores(word[on], left[on], end[word[on], stop[on]])
+            before = prev[word, left]
+            on = np.flatnonzero(before >= 0)
+            score[rows[on], before[on]] = scores(word[on], before[on], stop[on])
+        row, start = np.nonzero(end)
+        hit, at = find(row, start, end[row, start])
+        ids = np.where(hit, self.ids[at], -1).astype(np.int32)
+        edges = np.searchsorted(row, np.arange(n + 1))
+        odd = set(row[~hit].tolist())
+        for k, i in enumerate(which):
+            lo, hi = edges[k], edges[k + 1]
+            if k in odd:
+                symbols = zip(ids[lo:hi].tolist(), start[lo:hi].tolist())
+                out[i] = self._packed((p, words[i][s]) for p, s in symbols)
+            else:
+                out[i] = ids[lo:hi].tobytes()
+
+    def _packed(self, symbols) -> bytes:
+        """Ids of (id or -1, first character) as bytes."""
+        ids: list[int] = []
+        for found, character in symbols:
+            ids.extend([found] if found >= 0 else self._bytes_of(character))
+        return np.array(ids, np.int32).tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        """The same merges for one word, from a heap."""
+        size, known = len(word), self.known
+        end, prev = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(left: int, right: int, stop: int) -> None:
+            if stop - left <= self.longest and (piece := known.get(word[left:stop])):
+                heapq.heappush(heap, (-piece[0], left, right, stop))
+
+        for left in range(size - 1):
+            offer(left, left + 1, left + 2)
+        while heap:
+            _, left, right, stop = heapq.heappop(heap)
+            if end[left] != right or end[right] != stop:
+                continue
+            end[left], end[right] = stop, 0
+            if stop < size:
+                prev[stop] = left
+                offer(left, stop, end[stop])
+            if prev[left] >= 0:
+                offer(prev[left], left, stop)
+        spans = [(s, e) for s, e in enumerate(end) if e]
+        return self._packed((known.get(word[s:e], (0, -1))[1], word[s]) for s, e in spans)
+
+
+def codec_of(model: str) -> Codec:
+    return MergeCodec(model) if pieces.is_bpe(pieces.load(model)) else Codec(model)
+
+
 def _codec(model: str, cache_size: int):
     if _STATE.get("key") != (model, cache_size):
-        _STATE.update(key=(model, cache_size), codec=Codec(model), cache=BoundedCache(limit=cache_size))
+        _STATE.update(key=(model, cache_size), codec=codec_of(model), cache=BoundedCache(limit=cache_size))
     return _STATE["codec"], _STATE["cache"]
 
 

@@ -72,6 +72,39 @@ def test_viterbi_and_round_trip(spark):
     assert encode(no_docs(spark)).count() == 0
 
 
+def test_ids_are_the_library_s(spark, tmp_path):
+    import io
+
+    import sentencepiece
+
+    from sigtrace.llm import sentencepiece_codec
+    from sigtrace.llm.sentencepiece_codec import Codec, MergeCodec, codec_of, encode
+
+    sp = pieces.load(pieces.default_model())
+    codec = codec_of(pieces.default_model())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(150).collect()
+    rng = random.Random(3)
+    words = {k for r in docs for k in pieces.chunk_keys(r.text or "")[:400]}
+    words |= {"".join(rng.choice("abetio  né日\U0001f600<>\n\x00") for _ in range(rng.randint(1, 40))) for _ in range(3000)}
+    words |= {"".join(rng.choice("theinanders") for _ in range(n)) for n in (2, 50, 300, 5000) for _ in range(3)} | {"a" * 999, "=" * 50, "hello"}
+    words = sorted(words)
+    want = [sp.encode(w) for w in words]
+    assert isinstance(codec, MergeCodec)
+    assert [np.frombuffer(x, np.int32).tolist() for x in codec.encode_keys(words)] == want
+    short = [i for i, w in enumerate(words) if len(w) < sentencepiece_codec._LONG]
+    assert [np.frombuffer(codec._merged((pieces.MARK + words[i]).replace(" ", pieces.MARK)), np.int32).tolist() for i in short] == [want[i] for i in short]
+    for r in encode(odd_docs(spark), keep=("text",)).collect():
+        assert r.ids == sp.encode(r.text or "") and r.n_tokens == len(r.ids)
+    # a unigram model keeps the search for the highest total
+    model = io.BytesIO()
+    lines = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "amet"]) + rng.choice(["a", "is", "um"]) for _ in range(8)) for _ in range(200)]
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_writer=model, model_type="unigram", vocab_size=300, byte_fallback=True, hard_vocab_limit=False, normalization_rule_name="identity", minloglevel=2
+    )
+    (tmp_path / "u.model").write_bytes(model.getvalue())
+    assert type(codec_of(str(tmp_path / "u.model"))) is Codec
+
+
 def best_fit_decreasing(counts, capacity):
     """Sequences that one document after the other needs, longest first."""
     from bisect import bisect_left, insort
