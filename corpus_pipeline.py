@@ -8,7 +8,8 @@ Cases (of every stage): null ids, languages and texts, empty and very long texts
 empty tables are handled as the stage's operator says; extra columns pass through.  A null or
 empty text is kept by the quality classifier (its perplexity is the trusted texts' own) and rejected by the
 quality rules.  Repeated rows stay until the join stage, which keeps one row of each group of
-near duplicates (the smallest id; an id names one document) and every row without an id.
+near duplicates (the smallest id, of rows with that id one text), one row of each id and text
+without words, and every row without an id.
 """
 
 from __future__ import annotations
@@ -58,10 +59,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     configure(spark)
-    found = near_duplicates(docs)
-    first = written(found.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    found = near_duplicates(docs, grouped=True).where("doc_id IS NOT NULL")
+    own = F.struct(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    grouped = found.where("group IS NOT NULL").groupBy("group").agg(F.min(own).alias("own")).select("own.*")
+    first = written(grouped.unionByName(found.where("group IS NULL").select(own.alias("own")).select("own.*")).distinct(), "pipeline-first")
+    plain, names = _plain(docs)
+    key = [names["doc_id"], "_hash"]
+    hashed = plain.withColumn("_hash", text_hash(F.col(names["text"]))).join(first.withColumnRenamed("_id", names["doc_id"]), key, "left_semi")
+    named = hashed.dropDuplicates(key).select(*[F.col(n).alias(c) for c, n in names.items()])
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ result is the connected component of every document.
 
 Tests run on the whole texts.  Shingles and set ids are 64-bit hashes.
 
+A set's text is found again by id and text hash, since rows can share an id but not the text.
+
 Cases: null or empty texts, and texts without words, have an empty set and are alone; a row
 with a null id takes no part in components (its ``component_id`` is null); repeated rows each
 get a row, in one class; an empty table gives an empty result; other columns are ignored.
@@ -38,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtrace.llm.common import compressed, text_groups, unpacked_groups, written
+from sigtrace.llm.kneser_ney import text_hash
 from sigtrace.llm.shingles import set_id, shingle_sets
 from sigtrace.plans.components import connected_components
 
@@ -106,14 +109,14 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(d, n, node): id, set size and set id of each row; no node for an empty set."""
+    """(d, n, node, x): id, set size, set id and text hash of each row (d, t, x); no node for an empty set."""
 
     def profiled(batches):
         for part, sets in _sets(batches, words):
             node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield _rows(["d", "n", "node"], part.column(0), pa.array(map(len, sets), pa.int64()), node)
+            yield _rows(["d", "n", "node", "x"], part.column(0), pa.array(map(len, sets), pa.int64()), node, part.column(2))
 
-    return docs.mapInArrow(profiled, f"d {docs.schema['d'].dataType.simpleString()}, n long, node long")
+    return docs.mapInArrow(profiled, f"d {docs.schema['d'].dataType.simpleString()}, n long, node long, x long")
 
 
 def _light_edges(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
@@ -232,8 +235,8 @@ def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds,
     """(src, dst) links that connect what is connected among sets above the boundary."""
     # one row of each candidate's set stands for it
     candidates = _candidates(docs, words, bounds, boundary)
-    stand_in = written(sizes.join(candidates, "node", "left_semi").groupBy("node").agg(F.min("d").alias("d")), "jaccard-candidates")
-    texts = written(compressed(docs).join(stand_in, "d").select("node", "z").dropDuplicates(["node"]), "jaccard-texts")
+    stand_in = written(sizes.join(candidates, "node", "left_semi").groupBy("node").agg(F.min(F.struct("d", "x")).alias("d")), "jaccard-candidates")
+    texts = written(compressed(docs.select(F.struct("d", "x").alias("d"), "t")).join(stand_in, "d").select("node", "z").dropDuplicates(["node"]), "jaccard-texts")
     lists = written(_lists(texts, words, bounds), "jaccard-lists")
     span = lists.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("h")
     lists = written(lists.join(span, "h"), "jaccard-shared")
@@ -263,21 +266,26 @@ def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds,
     return linked
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; a component is named after its smallest id."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, grouped: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; a component is named after its smallest id.
+
+    ``grouped`` adds ``text_hash`` and ``group``, the component itself (null for an empty set): two components can have
+    one smallest id where rows share an id but not the text.
+    """
     bounds = Bounds(percent)
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).withColumn("x", text_hash(F.col("t")))
     known = written(profiles(rows, words), "jaccard-profiles")
     sized = known.where("node IS NOT NULL AND d IS NOT NULL")
     counts = sized.where(F.col("n") <= bounds.most(MAX_LIGHT)).groupBy("n").agg(F.countDistinct("node").alias("k")).collect()  # a few sizes
     boundary = bounds.boundary({r["n"]: r["k"] for r in counts})
 
     present = rows.where("d IS NOT NULL")
-    edges = _light_edges(present, words, bounds, boundary).unionByName(_heavy_edges(present, sized.select("d", "node"), words, bounds, boundary))
+    edges = _light_edges(present, words, bounds, boundary).unionByName(_heavy_edges(present, sized.select("d", "node", "x"), words, bounds, boundary))
     nodes = sized.groupBy("node").agg(F.min("d").alias("first"))
     component = connected_components(edges).join(nodes, "node")
     least = component.groupBy("component").agg(F.min("first").alias("least"))
-    joined = component.join(least, "component").select("node", "least")
-    named = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
+    joined = component.join(least, "component").select("node", "component", "least")
+    named = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "node").alias("group"))
     out = known.join(named, "node", "left")
-    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"))
+    more = [F.col("x").alias("text_hash"), "group"] if grouped else []
+    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component_id", "d")).alias("component_id"), *more)

@@ -233,6 +233,25 @@ def test_main_text_of_pages(spark):
     assert extract(table.where("page_id < 0")).count() == 0
 
 
+def test_join_where_rows_share_an_id_but_not_the_text(spark):
+    import corpus_pipeline
+    from sigtrace.llm.jaccard_join import near_duplicates
+
+    rng = random.Random(8)
+    rows, pairs = [], 12
+    for k in range(pairs):
+        one, two = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200)) for _ in range(2))
+        # one id for both texts, and a near copy of each
+        rows += [(k, one), (k, two), (100 + k, one + " end"), (200 + k, two + " end")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs, grouped=True).collect()
+    assert len(got) == len(rows) and all(r.component_id == r.doc_id % 100 for r in got)
+    assert len({r.group for r in got}) == 2 * pairs
+    kept = corpus_pipeline.jaccard_join(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(x for x in rows if x[0] < 100)
+
+
 def test_main_text_is_decided_by_the_tree(spark):
     from sigtrace.llm.style_tree import extract
 
