@@ -13,32 +13,21 @@ from pyspark.sql import functions as F
 from sigtrace.functions import codes
 
 
-def _commands(spark: SparkSession, sql: str) -> list[str]:
-    """Names of the nodes of the parsed statement that do something else than read."""
-    jvm = spark.sparkContext._jvm
-    package = "org.apache.spark.sql.catalyst.plans.logical."
-    kinds = [jvm.java.lang.Class.forName(package + k) for k in ("Command", "ParsedStatement")]
-    found, open_nodes = [], [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
-    while open_nodes:
-        node = open_nodes.pop()
-        if any(k.isInstance(node) for k in kinds):
-            found.append(node.nodeName())
-        children = node.children()
-        open_nodes += [children.apply(i) for i in range(children.size())]
-    return found
-
-
 def validate_read_only(sql: str, spark: SparkSession | None = None) -> str:
-    """Accept any single query; raise ``ValueError`` for commands, several statements and syntax errors."""
-    from pyspark.errors import ParseException
+    """Accept any single query; raise ``ValueError`` for commands, several statements and syntax errors.
+
+    The text is read as a common table expression, where Spark's parser takes queries only; names are left to the run.
+    """
+    from pyspark.errors import AnalysisException, ParseException
 
     text = sql.strip().rstrip(";").rstrip()
+    session = spark or SparkSession.active()
     try:
-        commands = _commands(spark or SparkSession.active(), text)
+        session.sql(f"WITH _read_only AS (\n{text}\n) SELECT 1")
     except ParseException as e:
         raise ValueError(f"not one readable query: {e}") from e
-    if commands:
-        raise ValueError(f"only queries are allowed, not: {', '.join(commands)}")
+    except AnalysisException:
+        pass
     return text
 
 

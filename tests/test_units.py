@@ -162,6 +162,24 @@ def test_run_sql_read_only(spark):
     assert validate_read_only("SELECT 'drop table' AS s") == "SELECT 'drop table' AS s"
 
 
+def test_run_sql_by_the_public_api(spark):
+    import pytest
+
+    from sigtrace.operators.sqlsurface import validate_read_only
+
+    class Public:
+        """A session with nothing but ``sql``."""
+
+        def sql(self, text):
+            return spark.sql(text)
+
+    for good in ["SELECT 1 -- one", "WITH t AS (SELECT 1 AS a) SELECT * FROM t ORDER BY a;", "VALUES (1)", "SELECT * FROM not_there"]:
+        assert validate_read_only(good, Public()) == good.rstrip(";")
+    for bad in ["CLEAR CACHE", "SHOW TABLES", "RESET", "SET a=1", "CACHE TABLE x", "EXPLAIN SELECT 1", "FROM x INSERT INTO y SELECT *", "SELECT 1; SELECT 2", "DELETE FROM x", ""]:
+        with pytest.raises(ValueError):
+            validate_read_only(bad, Public())
+
+
 # --- plans: chunked scans equal plain windows / sequential folds -------------------------------
 def test_sequence_and_carry_forward_across_chunks(spark):
     from pyspark.sql import Window
