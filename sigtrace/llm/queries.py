@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,6 +125,30 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def _made_periodic(doc_id, words: list[bytes]) -> list[bytes]:
+    """For ids whose crc32 is divisible by 10, the words from some place on repeat a shorter stretch."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigtrace.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=_made_periodic)
+    # exact comparison of length / period; ties by start, then period
+    steepest = """array_sort(runs, (l, r) -> CASE WHEN l.length * r.period != r.length * l.period THEN IF(l.length * r.period > r.length * l.period, -1, 1)
+        WHEN l.start != r.start THEN IF(l.start < r.start, -1, 1) WHEN l.period != r.period THEN IF(l.period < r.period, -1, 1) ELSE 0 END)"""
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.get(F.expr(steepest), F.lit(0)).alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
