@@ -149,6 +149,22 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigtrace.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def _phrases_sql() -> str:
+    from sigtrace.llm.phrases_sql import SQL
+
+    return SQL
+
+
+ORACLES["op13_phrase_collocations"] = _phrases_sql()
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
