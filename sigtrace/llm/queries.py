@@ -125,6 +125,18 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+@query
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model learns from rows whose remainder of crc32(doc_id) by 7 is not 2."""
+    from sigtrace.llm.katz import train
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = train(docs.where("NOT held_out"))
+    scored = model.score(docs, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def _made_periodic(doc_id, words: list[bytes]) -> list[bytes]:
     """For ids whose crc32 is divisible by 10, the words from some place on repeat a shorter stretch."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
