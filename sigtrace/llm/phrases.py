@@ -4,22 +4,27 @@ Words of a text are the runs outside space and tab within a piece (pieces end at
 ``[.,;:!?\\x0A-\\x0D]``), with A-Z lower-cased; a phrase is two to ``longest`` neighbouring words
 of a piece.
 
-* **Shards.**  Each task mines its texts in shards of about ``SHARD`` characters.  A language's
-  shard with ``n_i`` of its ``n`` words has the local support ``ceil(support * n_i / n)``: the
-  ``n_i`` add up to ``n``, so a phrase that stays below it in every shard stays below ``support``
-  altogether.  Within a shard all phrases of that support are found, length by length: a phrase
-  can only have it if its first and its last ``k - 1`` words have.  Small inputs are coalesced
-  into as many shards as leave a local support of ``LEAST_LOCAL``.
-* **Union.**  The locally frequent phrases (and words) of all shards, by language and key.
-* **Count.**  A second reading counts the union in all texts: keys go through a bitmap of fixed
+* **Words** are counted exactly first: their counts are needed for the scores, their sum ``n`` for
+  the local supports, and a phrase with a word below ``support`` is none.
+* **Shards.**  Each task mines its texts in shards of ``SHARD`` words or more.  A language's shard
+  with ``n_i`` of its ``n`` words has the local support ``ceil(support * n_i / n)``: the ``n_i`` add
+  up to ``n``, so a phrase that stays below it in every shard stays below ``support`` altogether.
+  Within a shard all phrases of that support are found, length by length: a phrase can only have
+  it if its first and its last ``k - 1`` words have.  Small inputs have shards that leave a local
+  support of ``LEAST_LOCAL``.
+* **Union.**  The locally frequent phrases of all shards, by language and key.
+* **Count.**  Another reading counts the union in all texts: keys go through a bitmap of fixed
   size (``FILTER_BITS``), each shard adds up what passes, and the sums are joined with the union,
   so a false hit of the bitmap is counted in vain but never kept.  Supports are exact.
+* **Texts.**  A last reading writes out the frequent phrases, from the shards where they reach the
+  local support.
 * **Scores.**  Every cut of a candidate joins the exact counts of its two parts; products are
   decimals of 38 digits.  Candidates inside a longer one of (nearly) equal support are dropped; it
   is enough to look at those one word longer, as counts only grow towards the inner phrase.
 
-Keys are 64-bit hashes of the words and stand for the phrases.  With very many shards the local
-support reaches 1 and the union all phrases: results stay exact, the shuffles approach a plain count.
+Keys are 64-bit hashes of the words and stand for the phrases.  From ``support`` shards on, the local
+support is 1 and the union holds every phrase of frequent words: still exact and in proportion to
+the input, but no longer less than a plain count.
 
 Cases: null and empty texts count no words; a null language is ``und``; texts of any length are
 whole in one shard; ties go by support and the phrase's bytes; repeated rows count as often as
@@ -38,13 +43,15 @@ from pyspark.sql import Window
 
 from sigtrace.llm.common import text_groups, written
 
-#: Characters of a shard, and of the least one that small inputs are cut into.
-SHARD, SMALL_SHARD = 32_000_000, 4_000_000
-#: Small inputs have at most so many shards that the local support stays at this.
+#: Least words of a shard (at most twice as many, or one text), and of the shards of small inputs.
+SHARD, SMALL_SHARD = 2_500_000, 100_000
+#: The local support that shards of small inputs leave.
 LEAST_LOCAL = 4
 FILTER_BITS = 1 << 26
 #: Characters split into words at once.
 GROUP = 1_000_000
+#: Rows given back at once.
+ROWS = 100_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD, _SPACE, _BREAK = 0, 1, 2
@@ -60,10 +67,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of many texts: hashes, places in the joined bytes, and words left in the piece."""
+    """The words of many texts: hashes, places in the texts' bytes, and (up to 255) words left in the piece."""
 
     def __init__(self) -> None:
-        self.bytes, self.n = 0, 0
+        self.n = 0
         self._parts: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, texts: list[str]) -> None:
@@ -71,47 +78,57 @@ class Words:
 
         data = b"\n".join([*(t.encode("utf-8", "surrogatepass") for t in texts), b""]).lower()
         kind = _KIND[np.frombuffer(data, np.uint8)]
-        word = kind == _WORD
-        edges = np.diff(np.concatenate(([False], word)).astype(np.int8))
+        edges = np.diff((kind == _WORD).astype(np.int8), prepend=np.int8(0))
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        if not len(starts):
+            return
         pieces = np.cumsum(kind == _BREAK, dtype=np.int32)[starts]
+        begins = np.flatnonzero(np.diff(pieces, prepend=-1))
+        sizes = np.diff(np.concatenate((begins, [len(starts)])))
+        left = np.repeat(begins + sizes, sizes) - np.arange(len(starts))
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, data.translate(_BLANKS).split()), np.uint64, len(starts))
-        self._parts.append((data, hashes, starts.astype(np.int32), (ends - starts).astype(np.int32), pieces))
-        self.bytes += len(data)
+        self._parts.append((data, hashes, starts.astype(np.int32), (ends - starts).astype(np.int32), np.minimum(left, 255).astype(np.uint8)))
         self.n += len(starts)
 
+    def merge(self, other: "Words") -> None:
+        self._parts += other._parts
+        self.n += other.n
+
     def joined(self) -> "Words":
-        if self.n == 0:
-            self.hashes = np.zeros(0, np.uint64)
-            return self
-        self.text = b"".join(p[0] for p in self._parts)
-        self.hashes = np.concatenate([p[1] for p in self._parts])
-        before = np.cumsum([0, *(len(p[0]) for p in self._parts)])
-        self.starts = np.concatenate([p[2] + at for p, at in zip(self._parts, before)])
-        self.sizes = np.concatenate([p[3] for p in self._parts])
-        pieces = [(p[4], i) for i, p in enumerate(self._parts)]
-        changes = np.concatenate([np.concatenate(([True], np.diff(p) != 0)) for p, _ in pieces if len(p)])
-        begin = np.flatnonzero(changes)
-        self.left = np.repeat(np.concatenate((begin[1:], [self.n])), np.diff(np.concatenate((begin, [self.n])))) - np.arange(self.n)
+        self.hashes = np.concatenate([p[1] for p in self._parts] or [np.zeros(0, np.uint64)])
+        self.left = np.concatenate([p[4] for p in self._parts] or [np.zeros(0, np.uint8)])
+        self.places = [(p[0], p[2], p[3]) for p in self._parts]
+        self.before = np.cumsum([0, *(len(p[1]) for p in self._parts)])
         self._parts = []
         return self
 
-    def phrase(self, at: int, k: int) -> bytes:
-        return b" ".join(self.text[s : s + n] for s, n in zip(self.starts[at : at + k].tolist(), self.sizes[at : at + k].tolist()))
+    def phrases(self, at: np.ndarray, k: int) -> list[str]:
+        """The phrases of k words at these places, joined by one space."""
+        out = []
+        for part, i in zip((np.searchsorted(self.before, at, side="right") - 1).tolist(), at.tolist()):
+            data, starts, sizes = self.places[part]
+            i -= int(self.before[part])
+            out.append(b" ".join(data[s : s + n] for s, n in zip(starts[i : i + k].tolist(), sizes[i : i + k].tolist())).decode("utf-8", "replace"))
+        return out
 
     def levels(self, longest: int):
         """Yield (k, positions, keys) of the phrases of k words; the mask sent back says which may grow."""
-        at, keys = np.arange(self.n), _mixed(self.hashes)
+        at, keys = np.arange(self.n, dtype=np.int32), _mixed(self.hashes)
         for k in range(1, longest + 1):
             taken = yield k, at, keys
             at, keys = at[taken], keys[taken]
             if k == longest or not len(at):
                 return
-            follows = np.searchsorted(at, at + 1)
-            follows[follows == len(at)] = 0
-            good = (at[follows] == at + 1) & (self.left[at] > k)
-            at = at[good]
-            keys = _mixed(keys[good] * _STEP + self.hashes[at + k])
+            good = np.concatenate((np.diff(at) == 1, [False])) & (self.left[at] > k)
+            at, keys = at[good], keys[good]
+            keys = _mixed(keys * _STEP + self.hashes[at + k])
+
+
+def _counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys, where each different key begins in it, and their numbers (leaner than ``np.unique``)."""
+    order = np.argsort(keys)
+    begins = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    return order, begins, np.diff(np.concatenate((begins, [len(keys)])))
 
 
 def _key_of(hashes: np.ndarray) -> np.ndarray:
@@ -122,8 +139,9 @@ def _key_of(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _shards(batches: Iterator[pa.RecordBatch]):
-    """Yield {(lang, n): Words} of about ``SHARD`` characters; rows are (t, lang, n)."""
+def _shards(batches: Iterator[pa.RecordBatch], least: int):
+    """Yield {(lang, n): Words} of ``least`` to twice as many words (the last may be all there is); rows are (t, lang, n)."""
+    ready: dict[tuple[str, int], Words] = {}
     held: dict[tuple[str, int], Words] = {}
     size = 0
     for part, texts in text_groups(batches, 0, GROUP):
@@ -131,42 +149,53 @@ def _shards(batches: Iterator[pa.RecordBatch]):
         for text, lang, n in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist()):
             by.setdefault((lang, n), []).append(text)
         for key, group in by.items():
-            held.setdefault(key, Words()).add(group)
-        size += sum(map(len, texts))
-        if size >= SHARD:
-            yield held
-            held, size = {}, 0
-    if held:
-        yield held
+            words = held.setdefault(key, Words())
+            size -= words.n
+            words.add(group)
+            size += words.n
+        if size >= least:
+            if ready:
+                yield ready
+            ready, held, size = held, {}, 0
+    for key, words in held.items():  # what is left is too little for a shard of its own
+        ready.setdefault(key, Words()).merge(words)
+    if ready:
+        yield ready
+
+
+def _word_counts(rows: DataFrame, least: int) -> DataFrame:
+    """(lang, key, f): frequency of each word; the null key has all words of the language."""
 
+    def counted(batches: Iterator[pa.RecordBatch]):
+        for shard in _shards(batches, least):
+            for (lang, _), words in shard.items():
+                keys = _mixed(words.joined().hashes)
+                order, begins, n = _counted_keys(keys)
+                keys = pa.array(keys[order[begins]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), keys, pa.array(n, pa.int64())], ["lang", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([None], pa.int64()), pa.array([words.n], pa.int64())], ["lang", "key", "n"])
 
-def _word_totals(rows: DataFrame) -> DataFrame:
-    """(lang, n, chars): words and characters of each language."""
+    counts = rows.select("t", "lang", F.lit(0).cast("long").alias("n")).mapInArrow(counted, "lang string, key long, n long")
+    return counts.groupBy("lang", "key").agg(F.sum("n").alias("f"))
 
-    def counted(batches: Iterator[pa.RecordBatch]):
-        total: dict[str, list[int]] = {}
-        for part, texts in text_groups(batches, 0, GROUP):
-            for text, lang in zip(texts, part.column(1).to_pylist()):
-                held = total.setdefault(lang, [0, 0])
-                held[0] += len(text.encode("utf-8", "surrogatepass").translate(_BLANKS).split())
-                held[1] += len(text)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in (0, 1))], ["lang", "n", "chars"])
 
-    counts = rows.select("t", "lang").mapInArrow(counted, "lang string, n long, chars long")
-    return counts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("n > 0")
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _locally_frequent(rows: DataFrame, support: int, longest: int) -> DataFrame:
-    """(lang, key, k, phrase, left, right): what reaches the local support of some shard.
+def _mined(rows: DataFrame, bitmap, support: int, longest: int, least: int, named: bool = False) -> DataFrame:
+    """(lang, key): phrases that reach the local support of some shard; ``bitmap`` has the frequent words.
 
+    ``named``: (lang, key, k, phrase, left, right) of those in the bitmap, which has all words and phrases wanted;
     ``left`` and ``right`` are the keys of the two parts of every cut, shortest first part first.
     """
 
     def mined(batches: Iterator[pa.RecordBatch]):
-        for shard in _shards(batches):
+        bits = bitmap.value
+        for shard in _shards(batches, least):
             for (lang, n), words in shard.items():
-                words.joined()
-                least = -(-support * words.n // n)
+                local = -(-support * words.joined().n // n)
                 steps = words.levels(longest)
                 taken = None
                 while True:
@@ -174,16 +203,28 @@ def _locally_frequent(rows: DataFrame, support: int, longest: int) -> DataFrame:
                         k, at, keys = steps.send(taken)
                     except StopIteration:
                         break
-                    unique, where, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-                    often = counts >= least
-                    taken = often[inverse]
-                    yield _phrases(lang, words, k, unique[often], at[where[often]])
-
-    return rows.mapInArrow(mined, "lang string, key long, k int, phrase string, left array<long>, right array<long>")
+                    taken = _passes(bits, keys) if k == 1 or named else np.ones(len(keys), bool)
+                    if k == 1:
+                        continue
+                    inside = np.flatnonzero(taken) if named else None
+                    order, begins, counts = _counted_keys(keys if inside is None else keys[inside])
+                    often = counts >= local
+                    first = order[begins[often]]
+                    if named:
+                        first = inside[first]
+                        for i in range(0, len(first), ROWS):
+                            yield _phrases(lang, words, k, keys[first[i : i + ROWS]], at[first[i : i + ROWS]])
+                        continue
+                    taken[order] = np.repeat(often, counts)
+                    found = pa.array(keys[first].view(np.int64), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found], ["lang", "key"])
+
+    kept = "lang string, key long, k int, phrase string, left array<long>, right array<long>" if named else "lang string, key long"
+    return rows.mapInArrow(mined, kept)
 
 
 def _phrases(lang: str, words: Words, k: int, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    text = [words.phrase(i, k).decode("utf-8", "replace") for i in at.tolist()]
+    text = words.phrases(at, k)
     hashes = words.hashes[at[:, None] + np.arange(k)] if len(at) else np.zeros((0, k), np.uint64)
     cuts = np.arange(len(at) + 1, dtype=np.int32) * (k - 1)
     if k > 1 and len(at):
@@ -206,25 +247,26 @@ def _bitmap(candidates: DataFrame) -> np.ndarray:
     return bits
 
 
-def _counted(rows: DataFrame, bitmap, longest: int) -> DataFrame:
-    """(lang, key, f): occurrences of what passes the bitmap, added up by shard and then by key."""
+def _counted(rows: DataFrame, bitmap, longest: int, least: int) -> DataFrame:
+    """(lang, key, f): occurrences of the phrases that pass the bitmap, added up by shard and then by key."""
 
     def counts(batches: Iterator[pa.RecordBatch]):
         bits = bitmap.value
-        for shard in _shards(batches):
+        for shard in _shards(batches, least):
             for (lang, _), words in shard.items():
-                words.joined()
-                steps = words.levels(longest)
+                steps = words.joined().levels(longest)
                 taken = None
                 while True:
                     try:
-                        _, _, keys = steps.send(taken)
+                        k, _, keys = steps.send(taken)
                     except StopIteration:
                         break
-                    place = keys & np.uint64(FILTER_BITS - 1)
-                    taken = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                    unique, n = np.unique(keys[taken], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique), pa.string()), pa.array(unique.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["lang", "key", "n"])
+                    taken = _passes(bits, keys)
+                    if k > 1:
+                        keys = keys[taken]
+                        order, begins, n = _counted_keys(keys)
+                        found = pa.array(keys[order[begins]].view(np.int64), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), found, pa.array(n, pa.int64())], ["lang", "key", "n"])
 
     return rows.mapInArrow(counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("f"))
 
@@ -238,21 +280,29 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", suppor
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).cast("string").alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    totals = written(_word_totals(rows), "phrases-totals")
-    chars = totals.agg(F.sum("chars")).first()[0] or 0
-    shards = max(-(-chars // SHARD), min(max(1, support // LEAST_LOCAL), -(-chars // SMALL_SHARD)), 1)
-    # coalescing moves no text: a shard reads more files; larger inputs have more shards than files need be merged
-    known = rows.join(totals.select("lang", "n"), "lang").select("t", "lang", "n").coalesce(shards)
-
-    union = _locally_frequent(known, support, longest).groupBy("lang", "key").agg(*[F.first(c).alias(c) for c in ("k", "phrase", "left", "right")])
-    union = written(union, "phrases-union")
-    bitmap = spark.sparkContext.broadcast(_bitmap(union))
-    frequent = union.join(_counted(known, bitmap, longest).where(F.col("f") >= support), ["lang", "key"])
-    frequent = written(frequent, "phrases-frequent")
+    counted = _word_counts(rows, SHARD)
+    counted = written(counted.where(F.col("key").isNull() | (F.col("f") >= support)), "phrases-words")
+    totals = counted.where("key IS NULL AND f > 0").select("lang", F.col("f").alias("n"))
+    words = counted.where("key IS NOT NULL").select("lang", "key", "f")
+
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    least = min(SHARD, max(SMALL_SHARD, -(-total * LEAST_LOCAL // support)))
+    # coalescing moves no text: a task reads more files, so that it has a whole shard
+    known = rows.join(totals, "lang").select("t", "lang", "n").coalesce(max(1, total // least))
+    bitmap = spark.sparkContext.broadcast(_bitmap(words))
+    union = written(_mined(known, bitmap, support, longest, least).distinct(), "phrases-union")
+    bitmap.destroy()
+
+    bitmap = spark.sparkContext.broadcast(_bitmap(words.select("key").unionAll(union.select("key"))))
+    frequent = written(_counted(known, bitmap, longest, least).where(F.col("f") >= support).join(union, ["lang", "key"]), "phrases-frequent")
+    bitmap.destroy()
+
+    bitmap = spark.sparkContext.broadcast(_bitmap(words.select("key").unionAll(frequent.select("key"))))
+    named = _mined(known, bitmap, support, longest, least, named=True).groupBy("lang", "key").agg(*[F.first(c).alias(c) for c in ("k", "phrase", "left", "right")])
+    candidates = written(frequent.withColumnRenamed("f", "a").join(named, ["lang", "key"]), "phrases-candidates")
     bitmap.destroy()
 
-    counts = frequent.select("lang", "key", "f")
-    candidates = frequent.where("k > 1").withColumnRenamed("f", "a")
+    counts = words.unionByName(frequent)
     longer = candidates.where("k > 2").select("lang", F.col("a").alias("outer"), F.explode(F.array(F.element_at("left", -1), F.get("right", F.lit(0)))).alias("key"))
     absorbed = longer.groupBy("lang", "key").agg(F.max("outer").alias("outer"))
     left = candidates.join(absorbed, ["lang", "key"], "left").where(F.col("outer").isNull() | (100 * F.col("outer") < absorb * F.col("a")))
@@ -260,7 +310,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", suppor
     cuts = left.select("lang", "key", "phrase", "a", F.posexplode(F.arrays_zip("left", "right")).alias("cut", "of")).select("lang", "key", "phrase", "a", "cut", "of.left", "of.right")
     cuts = cuts.join(counts.select("lang", F.col("key").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(counts.select("lang", F.col("key").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    cuts = cuts.join(totals.select("lang", "n"), "lang")
+    cuts = cuts.join(totals, "lang")
     score = F.expr("(CAST(1000 * a AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(19, 0))) div (CAST(l AS DECIMAL(19, 0)) * CAST(r AS DECIMAL(19, 0)))")
     lowest = cuts.withColumn("score", score).groupBy("lang", "key").agg(F.first("phrase").alias("phrase"), F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "cut", "l", "r")).alias("low"))
     scored = lowest.select("lang", "phrase", "a", "low.l", "low.r", "n", "low.score")

@@ -296,7 +296,7 @@ def phrase_rows():
 def test_phrases_against_brute_force(spark, monkeypatch, support, absorb, top):
     from sigtrace.llm import phrases
 
-    monkeypatch.setattr(phrases, "SMALL_SHARD", 5_000)
+    monkeypatch.setattr(phrases, "SMALL_SHARD", 300)
     rows = phrase_rows()
     got = phrases.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(13), support=support, absorb=absorb, top=top).collect()
     want = brute_phrases(rows, support, absorb=absorb, top=top)
