@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,65 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system; a Python worker lives longer than its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def released(fn: Callable) -> Callable:
+    """``fn`` of Arrow batches, releasing memory when its task ends."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
+class Slots:
+    """Places of known 64-bit keys, looked up in a few direct-mapped tables instead of by binary search."""
+
+    _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
+
+    def __init__(self, keys: np.ndarray):
+        """``keys`` are different from each other."""
+        self.keys = keys.astype(np.uint64, copy=False)
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            bits = max(4, int(len(left)).bit_length() + 1)
+            factor, shift = np.uint64(self._FACTORS[len(self.tables) % 5] + 2 * len(self.tables)), np.uint64(64 - bits)
+            place = (self.keys[left] * factor) >> shift
+            table = np.full(1 << bits, -1, np.int32)
+            table[place] = left
+            self.tables.append((factor, shift, table))
+            left = left[table[place] != left]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key, or -1."""
+        out = np.full(len(wanted), -1, np.int32)
+        todo = None
+        for factor, shift, table in self.tables:
+            asked = wanted if todo is None else wanted[todo]
+            at = table[(asked * factor) >> shift]
+            hit = (at >= 0) & (self.keys[at] == asked)
+            if todo is None:
+                out[hit] = at[hit]
+                todo = np.flatnonzero(~hit & (at >= 0))  # an empty slot: the key is in no table
+            else:
+                out[todo[hit]] = at[hit]
+                todo = todo[~hit & (at >= 0)]
+            if not len(todo):
+                break
+        return out
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = GROUP_CHARS):
     """Yield ``(batch slice, texts)`` of about ``size`` characters; a null text counts as empty."""
     for batch in batches:

@@ -39,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.llm.common import text_groups, written
+from sigtrace.llm.common import Slots, release, released, text_groups, written
 from sigtrace.session import scratch_path
 
 #: Occurrences of a bucket, and how many are counted at once in a task.
-BUCKET, FLUSH = 2_500_000, 3_000_000
+BUCKET, FLUSH = 2_000_000, 1_000_000
 #: Entries of the broadcast tables of words and grams.
 COMMON = 1 << 20
 CUTOFF = 5
@@ -160,7 +160,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             w, c = np.unique(hashes, return_counts=True)
             yield _batch({"w": pa.array(w.view(np.int64)), "c": pa.array(c.astype(np.int64))})
 
-    return rows.select("t").mapInArrow(counted, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return rows.select("t").mapInArrow(released(counted), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def _bucket_of(key: np.ndarray, words: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
@@ -250,8 +250,7 @@ class Katz:
         held = self.words.where(common).toArrow() if common is not None else None
         keys = held["w"].to_numpy().view(np.uint64) if held is not None else np.zeros(0, np.uint64)
         c = held["c"].to_numpy() if held is not None else np.zeros(0, np.int64)
-        at = np.argsort(keys)
-        self.common = self.spark.sparkContext.broadcast((keys[at], c[at]))
+        self.common = self.spark.sparkContext.broadcast(_Common(keys, c))
         # a word with more than half a bucket's occurrences: at most two for every bucket
         often = self.words.where(F.col("c") > BUCKET // 2).select("w").toArrow()["w"].to_numpy().view(np.uint64)
         self.hot[2] = np.unique(np.concatenate((often[often != END], [BEGIN])))
@@ -281,9 +280,11 @@ class Katz:
             at = order[begins]
             bucket = np.full(len(at), table["bucket"][0].as_py(), np.int32)
             rows = _packs(bucket, [c[at] for c in columns], key[begins], words[begins], {"counts": n})
-            return pa.Table.from_pylist(list(rows), pa.schema(fields))
+            out = pa.Table.from_pylist(list(rows), pa.schema(fields))
+            release()
+            return out
 
-        types = rows.select("t").mapInArrow(counted, packed).groupBy("bucket").applyInArrow(merged, packed)
+        types = rows.select("t").mapInArrow(released(counted), packed).groupBy("bucket").applyInArrow(merged, packed)
         types = _bucketed(types, f"katz_types_{k}", buckets)
         self._weigh(types, k)
 
@@ -326,14 +327,14 @@ class Katz:
                         "w": pa.array(np.concatenate((np.zeros(len(begins), np.uint64), words[rest])).view(np.int64), mask=~null),
                     })
 
-        rows = written(types.mapInArrow(weighed, "bucket int, key long, total long, freed double, low double, w long"), "katz-histories")
+        rows = written(types.mapInArrow(released(weighed), "bucket int, key long, total long, freed double, low double, w long"), "katz-histories")
         sums = rows.where("bucket IS NOT NULL").select("key", "total", "freed", "low")
         if first:
             rare = rows.where("w IS NOT NULL").select("key", "w").join(self.words, "w")
             p = self.discounts[1].column(F.col("c")) / float(self.total)
             more = rare.groupBy("key").agg(F.sum(p).alias("low"))
         else:
-            asked = types.mapInArrow(self._lower(k), _PACKED)
+            asked = types.mapInArrow(released(self._lower(k)), _PACKED)
             more = self._evaluated(asked, k - 1, plain=True).select(F.col("owner").alias("key"), F.col("value").alias("low"))
         sums = sums.unionByName(more.select("key", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("freed"), "low"))
         sums = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("total", "freed", "low")])
@@ -382,8 +383,8 @@ class Katz:
         """A function of the common words and some words: their probabilities, and which of them are common."""
         discount, total = self.discounts[1], float(self.total)
 
-        def chance(held: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            c, hit = _looked_up(held, words)
+        def chance(held: _Common, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            c, hit = held.find(words)
             return discount.counts(c) / total, hit
 
         return chance
@@ -445,11 +446,13 @@ class Katz:
             answers = pa.table({"owner": pa.array(np.concatenate((who, owners[rare])).view(np.int64)),
                                 "value": pa.array(np.concatenate((total, np.zeros(len(rare)))), mask=np.arange(len(who) + len(rare)) >= len(who)),
                                 "w": pa.array(np.concatenate((np.zeros(len(who), np.uint64), words[rare])).view(np.int64), mask=np.arange(len(who) + len(rare)) < len(who))})
-            return pa.concat_tables([_widened(t, fields) for t in (answers, *map(_table, out))])
+            found = pa.concat_tables([_widened(t, fields) for t in (answers, *map(_table, out))])
+            release()
+            return found
 
         return answer
 
-    def _common_grams(self) -> tuple[np.ndarray, np.ndarray]:
+    def _common_grams(self) -> _Common:
         """At most ``COMMON`` commonest grams of the highest order with their log10 probabilities."""
         k, discount = self.order, self.discounts[self.order]
 
@@ -466,7 +469,7 @@ class Katz:
                 break
             total, least = total + r["n"], r["least"]
         if least is None:
-            return np.zeros(0, np.uint64), np.zeros(0)
+            return _Common(np.zeros(0, np.uint64), np.zeros(0))
 
         def picked(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
@@ -480,10 +483,8 @@ class Katz:
                     h = np.searchsorted(np.frombuffer(row["key"][0].as_py(), np.uint64), key)
                     yield _batch({"gram": pa.array(_mixed(key * _STEP + words[at]).view(np.int64)), "logp": pa.array(np.log10(discount.counts(c[at])) - total[h])})
 
-        found = self.levels[k].mapInArrow(picked, "gram long, logp double").toArrow()
-        grams, logp = found["gram"].to_numpy().view(np.uint64), found["logp"].to_numpy()
-        order = np.argsort(grams)
-        return grams[order], logp[order]
+        found = self.levels[k].mapInArrow(released(picked), "gram long, logp double").toArrow()
+        return _Common(found["gram"].to_numpy().view(np.uint64), found["logp"].to_numpy())
 
     def score(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """``keep`` and (n_tokens, n_known, base_score, score) of every row.
@@ -505,8 +506,8 @@ class Katz:
                 counts = np.concatenate([n for _, n in parts])
                 ends = np.cumsum(counts)
                 edges = ends - counts
-                c, known = _looked_up(words.value, hashes)
-                value, hit = _looked_up(grams.value, _mixed(key_of(histories(hashes, k)) * _STEP + hashes))
+                c, known = words.value.find(hashes)
+                value, hit = grams.value.find(_mixed(key_of(histories(hashes, k)) * _STEP + hashes))
                 rest = np.flatnonzero(~known)
                 left = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, np.concatenate(([0], ends))), pa.int32()), pa.array(hashes[rest].view(np.int64)))
                 sums = {
@@ -521,15 +522,15 @@ class Katz:
             for parts, hashes in _Held(batches):
                 owners = np.concatenate([p.column(1).to_numpy() for p, _ in parts]).view(np.uint64)
                 columns = histories(hashes, k)
-                _, hit = _looked_up(grams.value, _mixed(key_of(columns) * _STEP + hashes))
+                _, hit = grams.value.find(_mixed(key_of(columns) * _STEP + hashes))
                 rest = np.flatnonzero(~hit)
                 if len(rest):
                     who = np.repeat(np.arange(len(owners)), np.concatenate([n for _, n in parts]))[rest]
                     yield _requests([c[rest] for c in columns], hashes[rest], owners, who, hot, buckets)
 
         kinds = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in own)
-        profiles = written(rows.mapInArrow(profiled, f"x long{kinds}, n_tokens long, n_known long, base double, logp double, rest array<long>"), "katz-profiles")
-        sums = self._evaluated(rows.select("t", "x").mapInArrow(asked, _PACKED), k)
+        profiles = written(rows.mapInArrow(released(profiled), f"x long{kinds}, n_tokens long, n_known long, base double, logp double, rest array<long>"), "katz-profiles")
+        sums = self._evaluated(rows.select("t", "x").mapInArrow(released(asked), _PACKED), k)
 
         # equal texts asked together: each has its share
         texts = profiles.groupBy("x").agg(F.count("*").alias("copies"), F.first("rest").alias("rest"))
@@ -577,12 +578,16 @@ def _asked(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], n
     return np.concatenate(names)[before + more["who"]], columns, words
 
 
-def _looked_up(held: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known, values = held
-    if not len(known):
-        return np.zeros(len(keys), values.dtype), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return values[at], known[at] == keys
+class _Common:
+    """Values of the commonest keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.slots, self.values = Slots(keys), np.append(values, values.dtype.type(0))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' values (0 for others), and which of them are common."""
+        at = self.slots.find(keys)
+        return self.values[at], at >= 0
 
 
 def _widened(table: pa.Table, fields) -> pa.Table:

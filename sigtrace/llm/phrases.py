@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sigtrace.llm.common import text_groups, written
+from sigtrace.llm.common import released, text_groups, written
 
 #: Least words of a shard (at most twice as many, or one text), and of the shards of small inputs.
 SHARD, SMALL_SHARD = 2_500_000, 100_000
@@ -175,7 +175,7 @@ def _word_counts(rows: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), keys, pa.array(n, pa.int64())], ["lang", "key", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([None], pa.int64()), pa.array([words.n], pa.int64())], ["lang", "key", "n"])
 
-    counts = rows.select("t", "lang", F.lit(0).cast("long").alias("n")).mapInArrow(counted, "lang string, key long, n long")
+    counts = rows.select("t", "lang", F.lit(0).cast("long").alias("n")).mapInArrow(released(counted), "lang string, key long, n long")
     return counts.groupBy("lang", "key").agg(F.sum("n").alias("f"))
 
 
@@ -220,7 +220,7 @@ def _mined(rows: DataFrame, bitmap, support: int, longest: int, least: int, name
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found], ["lang", "key"])
 
     kept = "lang string, key long, k int, phrase string, left array<long>, right array<long>" if named else "lang string, key long"
-    return rows.mapInArrow(mined, kept)
+    return rows.mapInArrow(released(mined), kept)
 
 
 def _phrases(lang: str, words: Words, k: int, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -268,7 +268,7 @@ def _counted(rows: DataFrame, bitmap, longest: int, least: int) -> DataFrame:
                         found = pa.array(keys[order[begins]].view(np.int64), pa.int64())
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), found, pa.array(n, pa.int64())], ["lang", "key", "n"])
 
-    return rows.mapInArrow(counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("f"))
+    return rows.mapInArrow(released(counts), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("f"))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, longest: int = 5, absorb: int = 100, top: int | None = 2000) -> DataFrame:
