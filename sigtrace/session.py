@@ -44,6 +44,9 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # Later layers overwrite earlier ones when flattening fields.
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    # A batch of 10,000 (the default) long texts or packets takes hundreds of MB of a task, in Python and off the heap.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
