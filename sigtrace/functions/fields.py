@@ -53,8 +53,6 @@ def first_of(m: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[truthy(val(m, k)) for k in keys])
 
 
-
-
 def keys_where(m: Column, pred: Callable[[Column], Column]) -> Column:
     return F.filter(F.map_keys(m), pred)
 
@@ -64,8 +62,6 @@ def first_key(m: Column, pred: Callable[[Column], Column]) -> Column:
     return F.get(keys_where(m, pred), 0)
 
 
-
-
 def first_entry_where(m: Column, pred: Callable[[Column, Column], Column]) -> Column:
     """First ``struct(key, value)`` (JSON order) satisfying ``pred(key, value)``."""
     return F.get(F.filter(F.map_entries(m), lambda e: pred(e["key"], e["value"])), 0)
@@ -75,12 +71,6 @@ def has_key(m: Column, pred: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.exists(F.map_keys(m), pred), F.lit(False))
 
 
-
-
-
-
-
-
 # ---------------------------------------------------------------------------
 # Key aliases used by several operators (fixed values: the stored key spellings).
 # ---------------------------------------------------------------------------
@@ -95,6 +85,11 @@ GUTI_KEYS = ["nas_eps.nas-eps.emm.guti", "s1ap.nas-eps.emm.guti"]
 IMSI_KEYS = ["e212.imsi", "nas_eps.e212.imsi", "s1ap.e212.imsi"]
 
 
+def capture_scope(df) -> list[str]:
+    """The capture column where the table has one: UE ids are counters of their network, so those of two captures are different UEs."""
+    return ["capture"] if "capture" in df.columns else []
+
+
 def packet_key(df) -> list[str]:
     """Columns that identify a packet: its number, which restarts in every capture, and the capture where the table has one."""
-    return ["capture", "packet_number"] if "capture" in df.columns else ["packet_number"]
+    return [*capture_scope(df), "packet_number"]

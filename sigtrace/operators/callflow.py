@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrace.functions import codes
-from sigtrace.functions.fields import has_key, packet_key, val, with_fields
+from sigtrace.functions.fields import capture_scope, has_key, packet_key, val, with_fields
 from sigtrace.functions.lookup import lookup
 from sigtrace.operators.enrich import nas_code
 from sigtrace.plans.fsm import fsm_scan
-from sigtrace.plans.ordered import DEFAULT_CHUNK, carry_forward, sequence
+from sigtrace.plans.ordered import DEFAULT_CHUNK, scan, sequence
 
 RAN = "ngap.ngap.RAN_UE_NGAP_ID"
 AMF = "ngap.ngap.AMF_UE_NGAP_ID"
@@ -44,7 +44,7 @@ def session_packets(packets: DataFrame) -> DataFrame:
     AMF id, so the union has no duplicates and needs no distinct (no extra shuffle).
     """
     d = _ids(packets)
-    scope = packet_key(d)[:-1]  # ids are counters of their network: those of two captures have nothing to do with each other
+    scope = capture_scope(d)  # ids are counters of their network: those of two captures have nothing to do with each other
     pairs = d.where(F.col("ran").isNotNull() & F.col("amf").isNotNull()).select(*scope, "ran", F.col("amf").alias("session")).distinct()
     by_amf = d.where(F.col("amf").isNotNull()).withColumn("session", F.col("amf"))
     by_ran = d.join(pairs, [*scope, "ran"]).where(F.col("amf").isNull() | (F.col("session") != F.col("amf")))
@@ -80,7 +80,7 @@ def ue_session(packets: DataFrame, target_ran: str | DataFrame, sessions: DataFr
         targets = target_ran.select(F.col("value").alias("target")).distinct()
     else:
         targets = F.broadcast(d.sparkSession.range(1).select(F.lit(str(target_ran)).alias("target")))  # one row
-    scope = packet_key(d)[:-1]
+    scope = capture_scope(d)
     amfs = (
         d.where(F.col("amf").isNotNull())
         .join(targets, d["ran"] == targets["target"])
@@ -191,25 +191,24 @@ def _phase_name(idx: Column) -> Column:
     return expr
 
 
-def _phase_states(sp: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
-    """Phase number / name per session packet from the chunked state machine."""
+def _phase_states(sp: DataFrame, chunk_size: int = DEFAULT_CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Phase number / name per session packet from the chunked state machine, with the columns ``keep``."""
     keys = _session_keys(sp)
     sp = sp.withColumn("_key", F.to_json(F.struct(*keys)))
-    st = fsm_scan(
-        sp, "_key", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step, chunk_size
-    )
+    st = fsm_scan(sp, "_key", "packet_number", phase_symbol(F.col("message_type")), PHASE_STATES, (0, 0), phase_step, chunk_size, keep)
     idx = F.floor(F.col("state_id") / (LEN_CAP + 1)).cast("int")  # state id = phase * 7 + length
     parts = F.from_json("_key", ", ".join(f"{k} string" for k in keys))
     return st.select(
-        *[parts[k].alias(k) for k in keys], "packet_number", F.col("segment").alias("phase_no"), idx.alias("phase_idx"),
+        *[parts[k].alias(k) for k in keys], "packet_number", *keep, F.col("segment").alias("phase_no"), idx.alias("phase_idx"),
         _phase_name(idx).alias("phase"), "opened", "first",
     )
 
 
-def session_phase_rows(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Per session packet: phase number and phase name (state machine over packet order)."""
+def session_phase_rows(packets: DataFrame, sessions: DataFrame | None = None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """Per session packet: phase number and phase name (state machine over packet order) beside the packet's columns."""
     sp = _sessions(packets, sessions)
-    return sp.join(_phase_states(sp), [*_session_keys(sp), "packet_number"])
+    own = tuple(c for c in sp.columns if c not in (*_session_keys(sp), "packet_number"))
+    return _phase_states(sp, chunk_size, own)
 
 
 def session_phases(packets: DataFrame, sessions: DataFrame | None = None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
@@ -253,23 +252,27 @@ def step_cause(m: Column) -> Column:
     return F.when(grp.isNotNull() & (gname == "radioNetwork") & cv.isNotNull(), F.concat(gname, F.lit(": "), name))
 
 
-def session_steps(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Every message of every phase with its index, sub-message tag, ids and cause."""
-    rows = session_phase_rows(packets, sessions)
-    keys = _session_keys(rows)
-    rows = sequence(rows, [*keys, "phase_no"], "packet_number", seq_col="index_in_phase")
+def session_steps(packets: DataFrame, sessions: DataFrame | None = None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """Every message of every phase with its index, sub-message tag, ids and cause.
+
+    What a step shows is worked out before the state machine and goes along, so the packets are not joined again.
+    """
+    sp = _sessions(packets, sessions)
+    keys = _session_keys(sp)
     m = F.col("m")
     sub = (
         F.when(m["ngap.ngap.HandoverRequired_element"].isNotNull(), "HandoverRequired")
         .when(m["ngap.ngap.HandoverCommand_element"].isNotNull(), "HandoverCommand")
         .when(m["ngap.ngap.HandoverRequest_element"].isNotNull(), "HandoverRequest")
     )
-    return rows.select(
-        *keys, "phase_no", "phase", "index_in_phase", "packet_number",
-        F.substring("timestamp_iso", 1, 19).alias("time"), "message_type", sub.alias("sub_message"),
-        F.coalesce(m[RAN], F.lit("-")).alias("ran_ue_id"), F.coalesce(m[AMF], F.lit("-")).alias("amf_ue_id"),
-        step_cause(m).alias("cause"),
+    shown = ("time", "message_type", "sub_message", "ran_ue_id", "amf_ue_id", "cause")
+    sp = sp.select(
+        *keys, "packet_number", F.substring("timestamp_iso", 1, 19).alias("time"), "message_type", sub.alias("sub_message"),
+        F.coalesce(m[RAN], F.lit("-")).alias("ran_ue_id"), F.coalesce(m[AMF], F.lit("-")).alias("amf_ue_id"), step_cause(m).alias("cause"),
     )
+    rows = _phase_states(sp, chunk_size, shown)
+    rows = sequence(rows, [*keys, "phase_no"], "packet_number", seq_col="index_in_phase", chunk_size=chunk_size)
+    return rows.select(*keys, "phase_no", "phase", "index_in_phase", "packet_number", *shown)
 
 
 # ---------------------------------------------------------------------------
@@ -280,8 +283,8 @@ def enriched_call_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> D
     df = with_fields(packets)
     m = F.col("m")
     anchor = F.array_distinct(F.filter(F.array(*[val(m, k) for k in RAN_VARIANTS]), lambda x: x.isNotNull()))
-    base = df.select("packet_number", "timestamp", "m", F.explode(anchor).alias("ue"))
-    base = sequence(base, "ue", "packet_number", lag_cols=["timestamp"], seq_col="_rn", chunk_size=chunk_size)
+    scope = capture_scope(df)
+    base = df.select(*scope, "packet_number", "timestamp", "m", F.explode(anchor).alias("ue"))
     proc = m["ngap.ngap.procedureCode"]
     pdu = F.coalesce(F.nullif(m["ngap.ngap.pDUSessionID"], F.lit("")), F.nullif(m["ngap.nas-5gs.pdu_session_id"], F.lit("")))
     ue_ip = F.coalesce(
@@ -312,7 +315,10 @@ def enriched_call_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> D
     known = F.coalesce(lookup(codes.NGAP_PROCEDURES, proc).isNotNull(), F.lit(False))
     include = known | pdu.isNotNull() | ue_ip.isNotNull() | F.coalesce(proc == "4", F.lit(False))
     ts_ms = F.floor(F.round(F.col("timestamp") * 1000000) / 1000).cast("long")
-    rows = base.where(include).select(
+    # one pass: the time before counts every packet of the id, the step those included
+    base = scan(base.withColumn("_in", F.when(include, 1).otherwise(0)), [*scope, "ue"], "packet_number", lag={"prev_timestamp": "timestamp"}, running={"step": "_in"}, chunk_rows=chunk_size)
+    return base.where("_in = 1").select(
+        *scope,
         F.col("ue").alias("ran_target"),
         "packet_number",
         F.concat(F.date_format(F.timestamp_millis(ts_ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")).alias("iso_time"),
@@ -326,8 +332,8 @@ def enriched_call_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> D
         ue_ip.alias("ue_ip"),
         flow_dir.alias("flow_dir"),
         F.nullif(notes, F.lit("")).alias("notes"),
+        "step",
     )
-    return sequence(rows, "ran_target", "packet_number", seq_col="step", chunk_size=chunk_size)
 
 
 # ---------------------------------------------------------------------------
@@ -376,14 +382,10 @@ def handover_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFr
     m = F.col("m")
     mt = F.lower(F.coalesce(F.col("message_type"), F.lit("")))
     ho_set = F.when(F.col("protocol") == "X2AP", "X2").when((F.col("protocol") == "S1AP") & mt.contains("handover"), "S1")
-    tr = tr.withColumn("_ho_set", ho_set)
-    tr = carry_forward(tr, "trace_ue", "packet_number", "_ho_set", "ho_type", chunk_size)
-    phase_set = F.when((F.col("protocol") == "RRC") & (mt.contains("mobility") | mt.contains("reconfiguration")), "EXECUTION").otherwise(
-        F.when(F.col("ho_type") == "X2", _phase_of(X2_PATTERNS, mt)).when(F.col("ho_type") == "S1", _phase_of(S1_PATTERNS, mt))
-    )
-    tr = tr.withColumn("_phase_set", phase_set)
-    tr = carry_forward(tr, "trace_ue", "packet_number", "_phase_set", "phase", chunk_size)
-    tr = sequence(tr, "trace_ue", "packet_number", seq_col="step", last_col="is_last", chunk_size=chunk_size)
+    scope = capture_scope(tr)
+    rrc = F.when((F.col("protocol") == "RRC") & (mt.contains("mobility") | mt.contains("reconfiguration")), "EXECUTION")
+    phases = {"X2": F.coalesce(rrc, _phase_of(X2_PATTERNS, mt)), "S1": F.coalesce(rrc, _phase_of(S1_PATTERNS, mt)), None: rrc}
+    tr = scan(tr, [*scope, "trace_ue"], "packet_number", seq="step", last_value={"ho_type": ho_set}, switched={"phase": ("ho_type", phases)}, last="is_last", chunk_rows=chunk_size)
     spec = F.get(
         F.filter(
             F.transform(
@@ -414,7 +416,7 @@ def handover_flow(packets: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFr
         F.nullif(m["rlc_lte.rlc-lte.ueid"], F.lit("")),
     )
     return tr.select(
-        "trace_ue", "step", flow.alias("flow"), "packet_number", "timestamp_iso", "protocol",
+        *scope, "trace_ue", "step", flow.alias("flow"), "packet_number", "timestamp_iso", "protocol",
         F.coalesce(spec, F.col("message_type")).alias("message_type"),
         F.coalesce(enb, F.lit("-")).alias("enb_ue_id"),
         F.coalesce(F.nullif(m["s1ap.s1ap.MME_UE_S1AP_ID"], F.lit("")), F.lit("-")).alias("mme_ue_id"),
@@ -439,7 +441,7 @@ def lte_call_flow(packets: DataFrame, id_type: str = "rlc_ueid") -> DataFrame:
     m = F.col("m")
     ids = F.array_distinct(F.filter(F.array(*[val(m, k) for k in LTE_TRACE_KEYS[id_type]]), lambda x: x.isNotNull()))
     return df.select(
-        F.explode(ids).alias("trace_id"), "packet_number", "timestamp_iso", "protocol", "message_type",
+        *capture_scope(df), F.explode(ids).alias("trace_id"), "packet_number", "timestamp_iso", "protocol", "message_type",
         "direction", "interface", F.substring("protocol_fields_json", 1, 200).alias("summary"), "protocol_fields_json",
     )
 

@@ -314,7 +314,7 @@ def layers_from_fields(packets: DataFrame) -> DataFrame:
     """Rebuild dissected layers from a flat field map (inverse of B8): keys are grouped by
     their first dot-separated part, in first-seen order; the layer name turns ``_`` back
     into ``-``.  Used to derive layered packets from a flat ``packets`` table."""
-    from sigtrace.functions.fields import with_fields
+    from sigtrace.functions.fields import packet_key, with_fields
 
     df = with_fields(packets)
     prefixes = F.array_distinct(F.transform(F.map_keys("m"), lambda k: F.substring_index(k, ".", 1)))
@@ -332,7 +332,7 @@ def layers_from_fields(packets: DataFrame) -> DataFrame:
         ),
     )
     return df.select(
-        "packet_number",
+        *packet_key(df),
         "timestamp",
         "timestamp_iso",
         "length",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.functions.fields import first_of, packet_key, with_fields
+from sigtrace.functions.fields import capture_scope, first_of, packet_key, with_fields
 from sigtrace.operators.catalog import field_score
 
 # FIXED VALUES: fields that name a UE on a lookup row, in priority order.
@@ -65,13 +65,14 @@ def field_values(packets: DataFrame, name: str) -> DataFrame:
 def field_value_distinct(packets: DataFrame, name: str) -> DataFrame:
     """V2: "what is X" form - the earliest row of each distinct value."""
     rows = field_values(packets, name)
-    return rows.groupBy("value").agg(
+    scope = capture_scope(rows)
+    return rows.groupBy(*scope, "value").agg(
         F.min_by(F.struct("packet_number", "ue_id", "field"), F.col("packet_number")).alias("r")
-    ).select("value", "r.packet_number", "r.ue_id", "r.field")
+    ).select(*scope, "value", "r.packet_number", "r.ue_id", "r.field")
 
 
 def field_value_best(packets: DataFrame, name: str) -> DataFrame:
-    """V3: the single best-scoring (field, value) for a name over the whole table.
+    """V3: the single best-scoring (field, value) for a name over the whole table (of several captures: in each).
 
     Score = length of the normalised name, +10 when the normalised field ends with
     it, +5 for field names under 50 characters, +15 when the field name ends with
@@ -90,10 +91,11 @@ def field_value_best(packets: DataFrame, name: str) -> DataFrame:
         + F.when(F.length("field") < 50, 5).otherwise(0)
         + F.when(ends, 15).otherwise(0)
     )
-    m = ent.where(fk.contains(term)).select("packet_number", "pos", "field", "value", score.alias("score"))
-    return m.agg(
+    scope = capture_scope(ent)
+    m = ent.where(fk.contains(term)).select(*scope, "packet_number", "pos", "field", "value", score.alias("score"))
+    return m.groupBy(*scope).agg(
         F.min_by(F.struct("field", "value", "score", "packet_number"), F.struct(-F.col("score"), F.col("packet_number"), F.col("pos"))).alias("b")
-    ).where(F.col("b").isNotNull()).select("b.field", "b.value", "b.score", "b.packet_number")
+    ).where(F.col("b").isNotNull()).select(*scope, "b.field", "b.value", "b.score", "b.packet_number")
 
 
 def value_search(packets: DataFrame, token: str, top: int = 10) -> DataFrame:
@@ -153,15 +155,15 @@ def plmn_tac(packets: DataFrame, registration_complete: bool = False) -> DataFra
 
 
 def pdn_ip(packets: DataFrame) -> DataFrame:
-    """V6: PDN IPv4 address per ENB UE id, from its first InitialContextSetup carrying one."""
+    """V6: PDN IPv4 address per ENB UE id (of each capture), from its first InitialContextSetup carrying one."""
     df = with_fields(packets)
+    scope = capture_scope(df)
     m = F.col("m")
     ip = m["s1ap.nas-eps.esm.pdn_ipv4"]
     enb = m["s1ap.s1ap.ENB_UE_S1AP_ID"]
     rows = df.where(F.col("message_type").like("%InitialContextSetup%") & enb.isNotNull() & ip.isNotNull()).select(
-        enb.alias("ue_id"), ip.alias("pdn_ip_address"), "packet_number", "message_type"
+        *scope, enb.alias("ue_id"), ip.alias("pdn_ip_address"), "packet_number", "message_type"
     )
-    return rows.groupBy("ue_id").agg(
+    return rows.groupBy(*scope, "ue_id").agg(
         F.min_by(F.struct("pdn_ip_address", "packet_number", "message_type"), F.col("packet_number")).alias("r")
-    ).select("ue_id", "r.pdn_ip_address", "r.packet_number", "r.message_type")
-
+    ).select(*scope, "ue_id", "r.pdn_ip_address", "r.packet_number", "r.message_type")

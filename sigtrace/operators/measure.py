@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.functions.fields import val, with_fields
+from sigtrace.functions.fields import capture_scope, packet_key, val, with_fields
 
 # FIXED VALUES: key suffixes and neighbour-list markers of RRC measurement reports.
 PCELL_RSRP_SUFFIX = "lte-rrc.rsrpResult__context=pcell"
@@ -69,10 +69,10 @@ def rsrp_rsrq(packets: DataFrame) -> DataFrame:
     df = with_fields(packets)
     rsrp, rsrq = serving_cell_values(F.col("m"))
     return (
-        df.select("packet_number", "timestamp_iso", val(F.col("m"), "rlc_lte.rlc-lte.ueid").alias("rlc_ueid"),
+        df.select(*packet_key(df), "timestamp_iso", val(F.col("m"), "rlc_lte.rlc-lte.ueid").alias("rlc_ueid"),
                   rsrp.alias("rsrp_result"), rsrq.alias("rsrq_result"))
         .where(F.col("rsrp_result").isNotNull() & F.col("rsrq_result").isNotNull())
-        .select("packet_number", "timestamp_iso", "rlc_ueid", "rsrp_result",
+        .select(*packet_key(df), "timestamp_iso", "rlc_ueid", "rsrp_result",
                 rsrp_to_dbm(F.col("rsrp_result")).alias("rsrp_dbm"), "rsrq_result",
                 rsrq_to_db(F.col("rsrq_result")).alias("rsrq_db"))
     )
@@ -83,7 +83,7 @@ def _rsrp_packets(packets: DataFrame) -> DataFrame:
     df = with_fields(packets)
     m = F.col("m")
     return df.where(F.exists(F.map_keys(m), lambda k: k.contains("rsrpResult"))).select(
-        "packet_number",
+        *packet_key(df),
         val(m, "rlc_lte.rlc-lte.ueid").alias("rlc"),
         val(m, "s1ap.s1ap.ENB_UE_S1AP_ID").alias("enb"),
         val(m, "s1ap.s1ap.MME_UE_S1AP_ID").alias("mme"),
@@ -97,34 +97,41 @@ def resolve_rlc_ids(packets: DataFrame, groups: DataFrame, requests: DataFrame)
     Tier 2 (correlation): RLC ids grouped with an ENB / MME / m_tmsi id equal to the value.
     Tier 3 (same packet, only for values still unresolved): RLC ids on measurement
     packets whose ENB or MME id equals the value.
+
+    In a table of several captures a value is resolved in each capture on its own (rows carry ``capture``); a group
+    that spans captures gives a capture's value the RLC ids of that capture.
     """
-    req = requests.select(F.col("ue_value").cast("string").alias("ue_value")).distinct()
+    scope = capture_scope(packets)
+    named = capture_scope(requests) if scope else []  # requests may name their capture
+    req = requests.select(*named, F.col("ue_value").cast("string").alias("ue_value")).distinct()
+    by = [*named, "ue_value"]
     meas = _rsrp_packets(packets)
     direct = req.join(
-        meas.where(F.col("rlc").isNotNull()).select(F.col("rlc").alias("ue_value")).distinct(), "ue_value"
-    ).select("ue_value", F.col("ue_value").alias("rlc_ueid"), F.lit(1).alias("tier"))
+        meas.where(F.col("rlc").isNotNull()).select(*scope, F.col("rlc").alias("ue_value")).distinct(), by
+    ).select(*scope, "ue_value", F.col("ue_value").alias("rlc_ueid"), F.lit(1).alias("tier"))
     anchors = groups.where(F.col("id_type").isin("enb_ue_s1ap_id", "mme_ue_s1ap_id", "m_tmsi")).select(
-        F.col("value").alias("ue_value"), "ue_group"
+        *scope, F.col("value").alias("ue_value"), "ue_group"
     )
-    rlc_of_group = groups.where(F.col("id_type") == "rlc_ueid").select("ue_group", F.col("value").alias("rlc_ueid"))
+    rlc_of_group = groups.where(F.col("id_type") == "rlc_ueid").select(*scope, "ue_group", F.col("value").alias("rlc_ueid"))
     corr = (
-        req.join(anchors, "ue_value")
-        .join(rlc_of_group, "ue_group")
-        .select("ue_value", "rlc_ueid", F.lit(2).alias("tier"))
+        req.join(anchors, by)
+        .join(rlc_of_group, [*scope, "ue_group"])
+        .select(*scope, "ue_value", "rlc_ueid", F.lit(2).alias("tier"))
     )
     first_two = direct.unionByName(corr)
-    unresolved = req.join(first_two.select("ue_value").distinct(), "ue_value", "left_anti")
     scan_pairs = meas.where(F.col("rlc").isNotNull()).select(
-        F.explode(F.array_distinct(F.array("enb", "mme"))).alias("ue_value"), F.col("rlc").alias("rlc_ueid")
+        *scope, F.explode(F.array_distinct(F.array("enb", "mme"))).alias("ue_value"), F.col("rlc").alias("rlc_ueid")
     ).where(F.col("ue_value").isNotNull()).distinct()
-    scan = unresolved.join(scan_pairs, "ue_value").select("ue_value", "rlc_ueid", F.lit(3).alias("tier"))
-    out = first_two.unionByName(scan).groupBy("ue_value", "rlc_ueid").agg(F.min("tier").alias("t"))
+    resolved = first_two.select(*scope, "ue_value").distinct()
+    scan = req.join(scan_pairs, by).join(resolved, [*scope, "ue_value"], "left_anti").select(*scope, "ue_value", "rlc_ueid", F.lit(3).alias("tier"))
+    out = first_two.unionByName(scan).groupBy(*scope, "ue_value", "rlc_ueid").agg(F.min("tier").alias("t"))
     tier = F.when(F.col("t") == 1, "direct").when(F.col("t") == 2, "correlation").otherwise("scan")
-    return out.select("ue_value", "rlc_ueid", tier.alias("tier"))
+    return out.select(*scope, "ue_value", "rlc_ueid", tier.alias("tier"))
 
 
 def measurements_for_ue(packets: DataFrame, groups: DataFrame, requests: DataFrame) -> DataFrame:
     """F1 rows of the RLC ids each requested UE value resolves to."""
-    ids = resolve_rlc_ids(packets, groups, requests).select("ue_value", F.col("rlc_ueid").alias("rlc"))
+    scope = capture_scope(packets)
+    ids = resolve_rlc_ids(packets, groups, requests).select(*scope, "ue_value", F.col("rlc_ueid"))
     meas = rsrp_rsrq(packets)
-    return meas.join(ids, meas["rlc_ueid"] == ids["rlc"]).drop("rlc")
+    return meas.join(ids, [*scope, "rlc_ueid"]).select(*meas.columns, "ue_value")

@@ -18,9 +18,11 @@ from sigtrace.functions.fields import (
     AMF_KEYS,
     NGAP_PROC_KEYS,
     RAN_KEYS,
+    capture_scope,
     first_entry_where,
     first_of,
     has_key,
+    packet_key,
     val,
     with_fields,
 )
@@ -29,6 +31,12 @@ from sigtrace.functions.lookup import contains_any, first_keyword, lookup
 DEFAULT_RELEASE_CODES = ("41",)
 
 
+def _in_capture(df: DataFrame, ue_id: Column) -> Column:
+    """What tells a UE id from that of another capture: the id itself, with its capture in a table of several."""
+    scope = capture_scope(df)
+    return F.when(ue_id.isNotNull(), F.struct(*[F.col(c) for c in scope], ue_id.alias("id"))) if scope else ue_id
+
+
 # ---------------------------------------------------------------------------
 # Cause decoding and classification (column expressions)
 # ---------------------------------------------------------------------------
@@ -110,7 +118,7 @@ def release_events(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_RE
     out = (
         df.where(is_release_packet(m, release_codes))
         .select(
-            "packet_number",
+            *packet_key(df),
             first_of(m, RAN_KEYS).alias("ran_ue_id"),
             first_of(m, AMF_KEYS).alias("amf_ue_id"),
             proc.alias("procedure_code"),
@@ -137,10 +145,11 @@ def _initial_ue(m: Column, message_type: Column) -> Column:
     )
 
 
-def _ue_count_columns(m: Column) -> list[Column]:
+def _ue_count_columns(df: DataFrame) -> list[Column]:
+    m = F.col("m")
     return [
-        F.countDistinct(first_of(m, RAN_KEYS)).alias("ran_total"),
-        F.countDistinct(first_of(m, AMF_KEYS)).alias("amf_total"),
+        F.countDistinct(_in_capture(df, first_of(m, RAN_KEYS))).alias("ran_total"),
+        F.countDistinct(_in_capture(df, first_of(m, AMF_KEYS))).alias("amf_total"),
         F.count_if(_initial_ue(m, F.col("message_type"))).alias("initial_ue_messages"),
     ]
 
@@ -148,7 +157,7 @@ def _ue_count_columns(m: Column) -> list[Column]:
 def ngap_ue_counts(packets: DataFrame) -> DataFrame:
     """Distinct RAN ids, distinct AMF ids, InitialUEMessage packets (one row)."""
     df = with_fields(packets)
-    return df.agg(*_ue_count_columns(F.col("m")))
+    return df.agg(*_ue_count_columns(df))
 
 
 def release_stats(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_RELEASE_CODES) -> DataFrame:
@@ -160,6 +169,7 @@ def release_stats(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_REL
     m = F.col("m")
     rel = is_release_packet(m, release_codes)
     flagged = df.select(
+        *capture_scope(df),
         "message_type",
         "m",
         rel.alias("_rel"),
@@ -170,7 +180,7 @@ def release_stats(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_REL
         F.count_if("_rel").alias("total_releases"),
         F.count_if(F.col("_rel") & F.col("_normal")).alias("normal_count"),
         F.count_if(F.col("_rel") & ~F.col("_normal")).alias("abnormal_count"),
-        *_ue_count_columns(m),
+        *_ue_count_columns(flagged),
     )
     total = F.col("total_releases")
     rate = F.when(F.col("ran_total") > 0, F.col("abnormal_count") * 100.0 / F.greatest(F.col("ran_total"), F.lit(1))).otherwise(0.0)
@@ -202,7 +212,7 @@ def release_by_category(packets: DataFrame, release_codes: Sequence[str] = DEFAU
         F.count_if(F.col("normal")).alias("normal"),
         F.count_if(~F.col("normal")).alias("abnormal"),
         F.count(F.lit(1)).alias("total"),
-        F.countDistinct("ran_ue_id").alias("ues"),
+        F.countDistinct(_in_capture(ev, F.col("ran_ue_id"))).alias("ues"),
     )
     # The window runs over the aggregated rows only: one per category (at most 12).
     return by_cat.withColumn(
@@ -213,7 +223,7 @@ def release_by_category(packets: DataFrame, release_codes: Sequence[str] = DEFAU
 def release_category_ues(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_RELEASE_CODES) -> DataFrame:
     """R7 UE lists in long form: (category, RAN id, releases of that UE in the category)."""
     ev = release_events(packets, release_codes).where(F.col("ran_ue_id").isNotNull())
-    return ev.groupBy("cause_category", "ran_ue_id").agg(F.count(F.lit(1)).alias("releases"))
+    return ev.groupBy("cause_category", *capture_scope(ev), "ran_ue_id").agg(F.count(F.lit(1)).alias("releases"))
 
 
 def release_by_cause(packets: DataFrame, release_codes: Sequence[str] = DEFAULT_RELEASE_CODES) -> DataFrame:
@@ -250,7 +260,7 @@ def ue_release_detail(packets: DataFrame, ran_ue_id: str | None = None) -> DataF
     cause = _detail_cause(m)
     return df.select(
         ran.alias("ran_ue_id"),
-        "packet_number",
+        *packet_key(df),
         release_type(m).alias("release_type"),
         cause.alias("cause"),
         classify_category(cause).alias("category"),
@@ -271,7 +281,7 @@ def ue_procedure_timeline(packets: DataFrame, ran_ue_id: str | None = None) -> D
              "21": "UEContextRelease", "29": "PDUSessionResourceSetup"}
     return df.select(
         ran.alias("ran_ue_id"),
-        "packet_number",
+        *packet_key(df),
         proc.alias("procedure_code"),
         F.coalesce(lookup(small, proc), F.concat(F.lit("Procedure-"), F.coalesce(proc, F.lit("None")))).alias("procedure"),
         F.coalesce(F.length(F.nullif(proc, F.lit(""))) > 0, F.lit(False)).alias("is_procedure"),
@@ -282,7 +292,7 @@ def ue_procedure_timeline(packets: DataFrame, ran_ue_id: str | None = None) -> D
 def ue_procedure_totals(packets: DataFrame) -> DataFrame:
     """R10 totals per UE: packets, procedures, release events."""
     t = ue_procedure_timeline(packets)
-    return t.groupBy("ran_ue_id").agg(
+    return t.groupBy(*capture_scope(t), "ran_ue_id").agg(
         F.count(F.lit(1)).alias("packets"),
         F.count_if("is_procedure").alias("procedures"),
         F.count_if("is_release").alias("releases"),
@@ -303,7 +313,7 @@ def handover_events(packets: DataFrame) -> DataFrame:
         ran.isNotNull() & has_key(m, _release_key) & (val(m, "ngap.ngap.Cause") == "0") & cv.isNotNull()
     ).select(
         ran.alias("ran_ue_id"),
-        "packet_number",
+        *packet_key(df),
         cv.alias("cause_code"),
         F.coalesce(lookup(codes.CAUSE_RADIO_NETWORK, cv), F.concat(F.lit("radioNetwork-"), cv)).alias("cause"),
         outcome.alias("outcome"),
@@ -312,7 +322,8 @@ def handover_events(packets: DataFrame) -> DataFrame:
 
 def handover_failures_by_ue(packets: DataFrame) -> DataFrame:
     """R12 per UE: failure and success counts (UEs with any radioNetwork release)."""
-    return handover_events(packets).groupBy("ran_ue_id").agg(
+    events = handover_events(packets)
+    return events.groupBy(*capture_scope(events), "ran_ue_id").agg(
         F.count_if(F.col("outcome") == "failure").alias("failure_count"),
         F.count_if(F.col("outcome") == "success").alias("success_count"),
     )
@@ -376,7 +387,7 @@ def decoded_causes(packets: DataFrame) -> DataFrame:
     grp = val(m, "ngap.ngap.Cause")
     cv = cause_value_field(m, grp)
     return df.where(grp.isNotNull()).select(
-        "packet_number", grp.alias("cause_group"), cv.alias("cause_value"), decode_cause(grp, cv).alias("cause_name")
+        *packet_key(df), grp.alias("cause_group"), cv.alias("cause_value"), decode_cause(grp, cv).alias("cause_name")
     )
 
 
@@ -421,9 +432,10 @@ def ue_has_message(packets: DataFrame, requests: DataFrame) -> DataFrame:
     df = with_fields(packets)
     m = F.col("m")
     ran = F.nullif(val(m, "ngap.ngap.RAN_UE_NGAP_ID"), F.lit(""))
-    pk = df.select("packet_number", "timestamp_iso", "message_type", "m", ran.alias("ue_id")).where(F.col("ue_id").isNotNull())
-    req = requests.select(F.col("ue_id").cast("string").alias("ue_id"), F.col("message").alias("message"))
-    j = pk.join(req, "ue_id")
+    pk = df.select(*packet_key(df), "timestamp_iso", "message_type", "m", ran.alias("ue_id")).where(F.col("ue_id").isNotNull())
+    named = capture_scope(requests) if capture_scope(df) else []  # requests may name their capture
+    req = requests.select(*named, F.col("ue_id").cast("string").alias("ue_id"), F.col("message").alias("message"))
+    j = pk.join(req, [*named, "ue_id"])
     q = _squash(F.col("message"))
     mt = F.col("message_type")
     pn = _squash(mt)
@@ -447,7 +459,7 @@ def ue_has_message(packets: DataFrame, requests: DataFrame) -> DataFrame:
     return matched.where(F.col("_by_type") | F.col("_sub").isNotNull()).select(
         "ue_id",
         "message",
-        "packet_number",
+        *packet_key(df),
         F.when(F.col("_sub").isNotNull(), F.concat(mt, F.lit(" ("), F.col("_sub"), F.lit(")"))).otherwise(mt).alias("matched_message"),
         F.substring("timestamp_iso", 1, 23).alias("time"),
     )
@@ -461,5 +473,5 @@ def ue_message_requests(packets: DataFrame) -> DataFrame:
     """(ue_id, message) for every RAN UE id present and each question (no join: explode)."""
     df = with_fields(packets)
     ran = F.nullif(val(F.col("m"), "ngap.ngap.RAN_UE_NGAP_ID"), F.lit(""))
-    ids = df.select(ran.alias("ue_id")).where(F.col("ue_id").isNotNull()).distinct()
-    return ids.select("ue_id", F.explode(F.array(*[F.lit(x) for x in UE_MESSAGE_QUESTIONS])).alias("message"))
+    ids = df.select(*capture_scope(df), ran.alias("ue_id")).where(F.col("ue_id").isNotNull()).distinct()
+    return ids.select(*ids.columns, F.explode(F.array(*[F.lit(x) for x in UE_MESSAGE_QUESTIONS])).alias("message"))

@@ -1,33 +1,30 @@
-"""Ordered finite-state scans per key, split into chunks (parallel prefix).
-
-Some per-key sequences carry state that depends on itself (the next phase depends
-on the current phase name and length), so neither a window nor an aggregate can
-express them.  When the state space is finite the scan is still parallel: each
-chunk of a key is summarised as its *transfer function* (for every entry state:
-the exit state and how many new segments it opened); composing the small
-per-chunk tables in order gives every chunk's entry state; a last pass replays
-each chunk from its real entry state.  No task ever needs a whole key: a key
-holding a third of all rows is cut into ``chunk_size``-wide chunks of the
-ordering column, spread over many tasks.
-
-All three passes stream sorted partitions through ``mapInPandas`` (Arrow batches,
-groups may straddle batches), so Python runs one tight loop per partition rather
-than one call per group.  Transitions are memoised per (state, symbol); symbols
-should be a small alphabet computed in Spark.
+"""Ordered finite-state scans per key, split into chunks where a key is heavy.
+
+Some per-key sequences carry state that depends on itself (the next phase depends on the current
+phase name and length), so neither a window nor an aggregate can express them.
+
+* An ordinary key (at most ``chunk_size`` rows) is one chunk, replayed from the initial state in one sorted pass.
+* A heavy key is cut by rows into at most ``ordered.PARTS`` chunks.  Each is summarised in one row as its
+  *transfer function*: arrays with, for every entry state, the exit state and the number of openings.
+  Composing a key's functions in order (at most ``PARTS`` rows, a bounded task) gives every chunk's entry
+  state, and the same sorted pass replays each chunk from there.  So the packets of a key that
+  holds a third of all are read by many tasks, whatever the gaps between their numbers.
+
+Python runs one tight loop per partition over Arrow batches; transitions are tabulated per (state, symbol),
+so symbols should be a small alphabet computed in Spark.  Rows without an order value come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.plans.ordered import DEFAULT_CHUNK, chunk_of
+from sigtrace.plans.ordered import DEFAULT_CHUNK, chunked
 
 Step = Callable[[Hashable, str], tuple[Hashable, bool]]
-FLUSH_ROWS = 65536  # rows buffered per output batch (memory stays flat per task)
 
 
 def _table(states: list, step: Step):
@@ -44,33 +41,6 @@ def _table(states: list, step: Step):
     return index, move
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]):
-    """Yield (key tuple, rows DataFrame) for consecutive equal keys of sorted batches.
-
-    A group that straddles batches is collected as a list of pieces and concatenated
-    once when it ends (linear, whatever the number of batches it spans).
-    """
-    pieces: list[pd.DataFrame] = []
-    current = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        kv = list(zip(*[pdf[k].tolist() for k in keys]))
-        start = 0
-        for i in range(1, len(kv) + 1):
-            if i < len(kv) and kv[i] == kv[start]:
-                continue
-            piece = pdf.iloc[start:i]
-            if current is not None and kv[start] != current:
-                yield current, pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0]
-                pieces = []
-            current = kv[start]
-            pieces.append(piece)
-            start = i
-    if pieces:
-        yield current, pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0]
-
-
 def fsm_scan(
     df: DataFrame,
     key: str,
@@ -80,13 +50,13 @@ def fsm_scan(
     initial: Hashable,
     step: Step,
     chunk_size: int = DEFAULT_CHUNK,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Return ``(key, order, state_id, segment, opened, first)`` for every input row.
+    """Return ``(key, order, *keep, state_id, segment, opened, first)`` for every input row.
 
-    ``step(state, symbol) -> (next_state, opened)``; ``segment`` is 1 + the number of
-    openings up to and including the row (so a first row that opens gives 2: the
-    segment before it is empty).  ``state_id`` indexes ``states``; ``first`` marks the
-    first row of each key.  The initial state must not be reachable again after a step.
+    ``step(state, symbol) -> (next_state, opened)``; ``segment`` is 1 + the number of openings up to and
+    including the row (so a first row that opens gives 2: the segment before it is empty).  ``state_id`` indexes
+    ``states``; ``first`` marks the first row of each key.
     """
     states = list(states)
     n_states = len(states)
@@ -94,110 +64,77 @@ def fsm_scan(
     init_id = index[initial]
     sym = F.col(symbol) if isinstance(symbol, str) else symbol
 
-    # The narrow (key, order, symbol, chunk) rows are read by pass 1 and pass 3; a
-    # reliable checkpoint writes them once instead of recomputing the upstream plan.
-    base = df.select(
-        F.col(key).cast("string").alias("k"),
-        F.col(order).cast("long").alias("o"),
-        F.coalesce(sym.cast("string"), F.lit("")).alias("sym"),
-        chunk_of(F.col(order), chunk_size).alias("c"),
-    ).checkpoint()
-
-    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = {"k": [], "c": [], "s_in": [], "s_out": [], "n_open": []}
-        for (k, c), g in _groups(batches, ["k", "c"]):
-            syms = g["sym"].tolist()
-            cur = list(range(n_states))
-            opened = [0] * n_states
-            pos = 0
-            while pos < len(syms) and len(set(cur)) > 1:
-                s = syms[pos]
-                for i in range(n_states):
-                    cur[i], op = move(cur[i], s)
-                    opened[i] += op
-                pos += 1
-            if pos < len(syms):  # all entry states converged: replay one trajectory
-                sid, extra = cur[0], 0
-                for s in syms[pos:]:
-                    sid, op = move(sid, s)
-                    extra += op
-                cur = [sid] * n_states
-                opened = [x + extra for x in opened]
-            out["k"] += [k] * n_states
-            out["c"] += [int(c)] * n_states
-            out["s_in"] += list(range(n_states))
-            out["s_out"] += cur
-            out["n_open"] += opened
-            if len(out["k"]) >= FLUSH_ROWS:
-                yield pd.DataFrame(out)
-                out = {name: [] for name in out}
-        yield pd.DataFrame(out)
-
-    tables = (
-        base.repartition("k", "c")
-        .sortWithinPartitions("k", "c", "o")
-        .mapInPandas(transfer, "k string, c long, s_in int, s_out int, n_open long")
-    )
-
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = {"k": [], "c": [], "entry": [], "offset": []}
-        for (k,), g in _groups(batches, ["k"]):
-            state, offset = init_id, 0
-            cs = g["c"].to_numpy()
-            s_out = g["s_out"].to_numpy()
-            n_open = g["n_open"].to_numpy()
-            s_in = g["s_in"].to_numpy()
-            for c in sorted(set(cs.tolist())):
-                sel = (cs == c) & (s_in == state)
-                j = int(sel.nonzero()[0][0])
-                out["k"].append(k)
-                out["c"].append(int(c))
-                out["entry"].append(state)
-                out["offset"].append(offset)
-                state, offset = int(s_out[j]), offset + int(n_open[j])
-            if len(out["k"]) >= FLUSH_ROWS:
-                yield pd.DataFrame(out)
-                out = {name: [] for name in out}
-        yield pd.DataFrame(out)
-
-    entries = (
-        tables.repartition("k")
-        .sortWithinPartitions("k", "c", "s_in")
-        .mapInPandas(compose, "k string, c long, entry int, offset long")
-    )
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = {"k": [], "o": [], "state_id": [], "segment": [], "opened": [], "first": []}
-        for (k, c), g in _groups(batches, ["k", "c"]):
-            sid = int(g["entry"].iloc[0])
-            seg = int(g["offset"].iloc[0]) + 1
-            first = sid == init_id  # the initial state is only ever the entry of a key's first chunk
-            for o, s in zip(g["o"].tolist(), g["sym"].tolist()):
+    # the narrow rows are read by the count, the summaries and the replay: written once
+    narrow = df.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), F.coalesce(sym.cast("string"), F.lit("")).alias("sym"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+    narrow = narrow.checkpoint()
+    own = narrow.columns[3:]
+    base = chunked(narrow, "k", "o", chunk_size).withColumnRenamed("_chunk", "c")
+
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        current, cur, opened, alike = None, [], [], False
+
+        def ended():
+            if current is not None:
+                out.append((*current, list(cur), list(opened)))
+
+        for batch in batches:
+            for k, c, s in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist()):
+                if (k, c) != current:
+                    ended()
+                    current, cur, opened, alike = (k, c), list(range(n_states)), [0] * n_states, False
+                if alike:  # all entry states have met: one trajectory is left
+                    sid, op = move(cur[0], s)
+                    if op:
+                        opened = [x + 1 for x in opened]
+                    cur = [sid] * n_states
+                else:
+                    for i in range(n_states):
+                        cur[i], op = move(cur[i], s)
+                        opened[i] += op
+                    alike = len(set(cur)) == 1
+        ended()
+        names = ["k", "c", "s_out", "n_open"]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+    heavy = base.where("c > 0").select("k", "o", "sym", "c")
+    functions = heavy.repartition("k", "c").sortWithinPartitions("k", "c", F.asc_nulls_first("o")).mapInArrow(transfer, "k string, c int, s_out array<int>, n_open array<long>")
+
+    def compose(table: pa.Table) -> pa.Table:
+        state, offset = init_id, 0
+        rows = sorted(table.to_pylist(), key=lambda r: r["c"])  # at most PARTS
+        out = []
+        for r in rows:
+            out.append({"k": r["k"], "c": r["c"], "entry": state, "offset": offset})
+            offset += r["n_open"][state]
+            state = r["s_out"][state]
+        return pa.Table.from_pylist(out, pa.schema([("k", pa.string()), ("c", pa.int32()), ("entry", pa.int32()), ("offset", pa.int64())]))
+
+    entries = functions.groupBy("k").applyInArrow(compose, "k string, c int, entry int, offset long")
+    entries = entries.select(F.col("k").alias("_k"), F.col("c").alias("_c"), "entry", "offset")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sid, seg, first = None, init_id, 1, False
+        for batch in batches:
+            state, segment, opened, firsts = [], [], [], []
+            columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
+            for k, s, c, entry, offset in zip(*columns):
+                if (k, c) != current:
+                    current, first = (k, c), c <= 1  # chunks count from 1 in heavy keys, ordinary keys have chunk 0
+                    sid, seg = (init_id, 1) if entry is None else (entry, offset + 1)
                 sid, op = move(sid, s)
                 seg += op
-                out["k"].append(k)
-                out["o"].append(o)
-                out["state_id"].append(sid)
-                out["segment"].append(seg)
-                out["opened"].append(op)
-                out["first"].append(first)
+                state.append(sid), segment.append(seg), opened.append(op), firsts.append(first)
                 first = False
-            if len(out["k"]) >= FLUSH_ROWS:
-                yield pd.DataFrame(out)
-                out = {name: [] for name in out}
-        yield pd.DataFrame(out)
-
-    # Join on one combined key, then repartition explicitly by (k, c): the join's own
-    # partitioning is not (k, c), so the repartition is never optimised away, and the
-    # grouping the Python pass relies on holds even if AQE turns the join into a
-    # broadcast join with a local shuffle read.
-    kc = F.concat_ws("\u0001", F.col("k"), F.col("c").cast("string"))
-    rows = (
-        base.withColumn("_kc", kc)
-        .join(entries.select(kc.alias("_kc"), "entry", "offset"), "_kc")
-        .drop("_kc")
-        .repartition("k", "c")
-        .sortWithinPartitions("k", "c", "o")
-        .mapInPandas(replay, "k string, o long, state_id int, segment long, opened boolean, first boolean")
-    )
-    return rows.withColumnRenamed("k", key).withColumnRenamed("o", order)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *batch.columns[6:], pa.array(state, pa.int32()), pa.array(segment, pa.int64()), pa.array(opened, pa.bool_()), pa.array(firsts, pa.bool_())],
+                ["k", "o", *own, "state_id", "segment", "opened", "first"],
+            )
+
+    rows = base.join(entries, base["k"].eqNullSafe(entries["_k"]) & (base["c"] == entries["_c"]), "left").select("k", "o", "sym", "c", "entry", "offset", *own)
+    # an explicit repartition: the grouping the Python pass relies on holds whatever join AQE chooses
+    rows = rows.repartition("k", "c").sortWithinPartitions("k", "c", F.asc_nulls_first("o"))
+    kinds = "".join(f", {c} {narrow.schema[c].dataType.simpleString()}" for c in own)
+    rows = rows.mapInArrow(replay, f"k string, o long{kinds}, state_id int, segment long, opened boolean, first boolean")
+    return rows.withColumnsRenamed({"k": key, "o": order, **dict(zip(own, keep))})

@@ -177,3 +177,6 @@ register("rsrq_to_db", GS.rsrq_to_db)(lambda p: _rsrp_values(p, "rsrqResult").se
 
 # A and B round trips (ingest and enrichment) register themselves on import.
 from sigtrace import ingest_queries  # noqa: E402,F401
+
+# Operators over a stored table of two captures.
+from sigtrace import capture_queries  # noqa: E402,F401

@@ -4,36 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from sigtrace.sources.schema import HOT_KEYS, JSONL_RECORD
+from sigtrace.functions.fields import capture_scope
+from sigtrace.sources.schema import HOT_KEYS, JSONL_RECORD, LAYER
 
 # Default protocols kept when filtering by stack (empty list = keep everything).
 DEFAULT_PROTOCOLS = ["s1ap", "x2ap", "lte_rrc", "ngap", "f1ap", "nr-rrc"]
 
 
+def source_file() -> Column:
+    """What a reader takes for a packet's capture where nothing else is named: the file it was read from."""
+    return F.col("_metadata.file_path")
+
+
+def with_capture(df: DataFrame, capture: Column | str | None = None) -> DataFrame:
+    """``value`` and ``capture`` of text records: an expression over the source's columns and metadata, or a fixed name."""
+    capture = source_file() if capture is None else F.lit(capture) if isinstance(capture, str) else capture
+    return df.select("value", capture.cast("string").alias("capture"))
+
+
 def parse_jsonl_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Parse JSONL text lines (blank lines skipped); malformed lines keep their text in ``_corrupt``."""
+    """Parse JSONL text lines (blank lines skipped); malformed lines keep their text in ``_corrupt``; ``capture`` goes along."""
     v = F.col(col)
     nonblank = lines.where(F.trim(v) != "")
     rec = F.from_json(v, JSONL_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return nonblank.select(rec.alias("r")).select("r.*")
+    own = [c for c in lines.columns if c == "capture"]
+    return nonblank.select(*own, rec.alias("r")).select(*own, "r.*")
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def read_jsonl(spark: SparkSession, path: str | list[str], capture: Column | str | None = None) -> tuple[DataFrame, DataFrame]:
     """A3: JSONL -> (packets, rejects).  Lines are read as text (split across tasks like
     any text file) and parsed with ``from_json``; blank lines are skipped and malformed
-    lines become reject rows instead of failing the job."""
-    parsed = parse_jsonl_lines(spark.read.text(path))
+    lines become reject rows instead of failing the job.  Packets and rejects carry their ``capture``
+    (see :func:`with_capture`)."""
+    parsed = parse_jsonl_lines(with_capture(spark.read.text(path), capture))
     good = parsed.where(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = parsed.where(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("_record"))
+    bad = parsed.where(F.col("_corrupt").isNotNull()).select("capture", F.col("_corrupt").alias("_record"))
     return good, bad
 
 
 def normalize_packets(df: DataFrame) -> DataFrame:
     """A4: the ``packets`` table shape: numeric timestamp (unparsable -> NULL), hour
-    floor in UTC, nested values as JSON text, native ``fields`` map, hot id columns."""
+    floor in UTC, nested values as JSON text, native ``fields`` map and ``protocol_stack``, hot id columns; a
+    ``capture`` goes along."""
     ts = F.col("timestamp").cast("string").try_cast("double")
     fields = F.col("protocol_fields")
     out = df.withColumn("timestamp", ts).withColumn(
@@ -48,6 +64,7 @@ def normalize_packets(df: DataFrame) -> DataFrame:
         F.to_json("protocol_layers").alias("protocol_layers_json"),
         F.to_json("protocol_stack").alias("protocol_stack_json"),
         fields.alias("fields"),
+        "protocol_stack",
         *[fields[k].alias(name) for name, k in HOT_KEYS.items()],
     )
 
@@ -63,8 +80,11 @@ def write_packets(
 ) -> None:
     """A5: Parquet sink (snappy, dictionary, statistics), partitioned by capture date.
 
+    A ``capture`` column is stored with its packets: files hold a capture's packets together, so
+    statistics prune by capture (a folder per capture would not do for many small ones).
+
     ``layout``:
-    * ``"rebalance"`` (default) - a REBALANCE hint on the date: AQE sizes the write tasks,
+    * ``"rebalance"`` (default) - a REBALANCE hint on date and capture: AQE sizes the write tasks,
       splitting a date that holds most packets into several tasks and merging small
       ones, so files are neither tiny nor skewed (one shuffle, input read once);
     * ``"range"`` - sampled range exchange on (date, packet_number) for globally ordered
@@ -73,19 +93,20 @@ def write_packets(
     Rows are sorted by packet number inside each file so min/max statistics prune.
     """
     out = df
+    own = capture_scope(df)
     writer_cols = []
     if partition_by_date:
         out = out.withColumn("capture_date", F.to_date("timestamp_hour"))
         writer_cols = ["capture_date"]
         if layout == "rebalance":
-            out = out.hint("rebalance", "capture_date")
+            out = out.hint("rebalance", "capture_date", *own)
         elif layout == "range":
-            out = out.repartitionByRange("capture_date", "packet_number")
+            out = out.repartitionByRange("capture_date", *own, "packet_number")
         elif layout != "none":
             raise ValueError(f"unknown layout: {layout}")
-        out = out.sortWithinPartitions("capture_date", "packet_number")
+        out = out.sortWithinPartitions("capture_date", *own, "packet_number")
     else:
-        out = out.sortWithinPartitions("packet_number")
+        out = out.sortWithinPartitions(*own, "packet_number")
     if observation is not None:
         # observed after any range exchange: its sampling job does not run this node
         out = out.observe(observation, F.count(F.lit(1)).alias("n"))
@@ -97,21 +118,34 @@ def write_packets(
 
 def load_packets(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One path, or several combined (UNION ALL by column name); a missing path is an error.
-    Adds ``capture`` = source file of each row."""
+
+    ``capture`` is what was stored at ingest; a table without it is one capture, named after its path (a table's
+    part files are none: how many there are says nothing about the packets)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no packet paths given")
-    frames = [spark.read.parquet(p).withColumn("capture", F.col("_metadata.file_path")) for p in paths]
+    frames = [spark.read.parquet(p) for p in paths]
+    frames = [f if capture_scope(f) else f.withColumn("capture", F.lit(p)) for f, p in zip(frames, paths)]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
+def with_layers(df: DataFrame) -> DataFrame:
+    """``protocol_layers`` and ``protocol_stack`` of a stored table, for the operators over layers."""
+    if "protocol_layers" not in df.columns and "protocol_layers_json" in df.columns:
+        df = df.withColumn("protocol_layers", F.from_json("protocol_layers_json", ArrayType(LAYER)))
+    if "protocol_stack" not in df.columns and "protocol_stack_json" in df.columns:
+        df = df.withColumn("protocol_stack", F.from_json("protocol_stack_json", "array<string>"))
+    return df
+
+
 def filter_by_protocol_stack(df: DataFrame, protocols: Sequence[str] | None = DEFAULT_PROTOCOLS) -> DataFrame:
     """Keep packets whose stack contains any of ``protocols`` (empty / None keeps all)."""
     if not protocols:
         return df
+    df = with_layers(df)
     wanted = F.array(*[F.lit(p) for p in protocols])
     return df.where(F.coalesce(F.arrays_overlap(F.col("protocol_stack"), wanted), F.lit(False)))
 

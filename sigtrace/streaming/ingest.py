@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sigtrace.operators.enrich import enrich_packets
 from sigtrace.session import ensure_checkpoint_dir
-from sigtrace.sources.packets import normalize_packets, parse_jsonl_lines
-from sigtrace.sources.pdml import RECORD_SEPARATOR, parse_pdml_text
+from sigtrace.sources.ingest import good_packets, parsed_records, rejects
+from sigtrace.sources.packets import with_capture
+from sigtrace.sources.pdml import RECORD_SEPARATOR
 
 
 def _parsed_stream(spark: SparkSession, source_dir: str, fmt: str, max_files: int | None) -> DataFrame:
@@ -27,13 +27,8 @@ def _parsed_stream(spark: SparkSession, source_dir: str, fmt: str, max_files: in
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if fmt == "pdml":
-        raw = reader.option("lineSep", RECORD_SEPARATOR).text(source_dir)
-        parsed = parse_pdml_text(raw)
-        return parsed.withColumn("_ok", F.col("_error").isNull())
-    if fmt == "jsonl":
-        parsed = parse_jsonl_lines(reader.text(source_dir))
-        return parsed.withColumn("_ok", F.col("_corrupt").isNull())
-    raise ValueError(f"unknown capture format: {fmt}")
+        reader = reader.option("lineSep", RECORD_SEPARATOR)
+    return parsed_records(with_capture(reader.text(source_dir)), fmt)
 
 
 def ingest_stream(
@@ -65,18 +60,9 @@ def ingest_stream(
             batch.unpersist()
 
     def _write(batch: DataFrame, batch_id: int) -> None:
-        good = batch.where("_ok")
-        if fmt == "pdml":
-            good = enrich_packets(good.drop("_ok", "_error", "_record"))
-        else:
-            good = good.drop("_ok", "_corrupt")
-        packets = normalize_packets(good).withColumn("batch_id", F.lit(batch_id))
-        (packets.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(output_path))
-        bad_cols = ["_error", "_record"] if fmt == "pdml" else ["_corrupt"]
-        bad = batch.where(~F.col("_ok")).select(*bad_cols).withColumn("batch_id", F.lit(batch_id))
-        (bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(rejects_path))
+        for rows, path in ((good_packets(batch, fmt), output_path), (rejects(batch, fmt), rejects_path)):
+            rows = rows.withColumn("batch_id", F.lit(batch_id))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     writer = parsed.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)

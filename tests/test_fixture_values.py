@@ -59,3 +59,5 @@ def test_chunked_scans_independent_of_chunk_size(packets):
         a = sorted(tuple(r) for r in fn(packets).collect())
         b = sorted(tuple(r) for r in fn(packets, chunk_size=97).collect())
         assert a == b, fn.__name__
+        c = sorted(tuple(r) for r in fn(packets, chunk_size=5).collect())  # rows a chunk: every session is a heavy key
+        assert a == c, fn.__name__

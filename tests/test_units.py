@@ -291,15 +291,63 @@ def test_synonym_resolution_dataframe_matches_parameters(spark):
     assert by_df["security mode command"] == "securityModeCommand"  # repeated spelling keeps its later value
 
 
-def test_group_iteration_across_batches():
-    import pandas as pd
+def test_fsm_groups_straddle_arrow_batches(spark):
+    """A key or chunk whose rows come in several Arrow batches is one run of the machine."""
+    from sigtrace.plans.fsm import fsm_scan
 
-    from sigtrace.plans.fsm import _groups
+    rows = [("a", i, "x") for i in range(25)] + [("b", i * 10**12, "x") for i in range(7)] + [(None, 1, "x"), ("c", None, "x"), ("c", 5, "x")]
+    df = spark.createDataFrame(rows, "k string, o long, s string")
+    step = lambda n, _: ((n + 1) % 50, n % 4 == 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for chunk in (4, 1_000):
+            got = sorted((r.k or "", -1 if r.o is None else r.o, r.state_id, r.segment, r.first, r.s) for r in fsm_scan(df, "k", "o", "s", range(50), 0, step, chunk, keep=("s",)).collect())
+            want = [("", 1, 1, 1, True, "x")] + [("a", i, i + 1, 1 + (i + 1) // 4, i == 0, "x") for i in range(25)]
+            want += [("b", i * 10**12, i + 1, 1 + (i + 1) // 4, i == 0, "x") for i in range(7)] + [("c", -1, 1, 1, True, "x"), ("c", 5, 2, 1, False, "x")]
+            assert got == want, chunk
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_scan_carries_everything_over_chunks(spark):
+    """Position, lag, last values, dependent last values, running sums and the last flag, with gaps and NULL order values."""
+    import random
 
-    batches = [pd.DataFrame({"k": ["a", "a", "b"], "v": [1, 2, 3]}), pd.DataFrame({"k": [], "v": []}),
-               pd.DataFrame({"k": ["b", "b"], "v": [4, 5]}), pd.DataFrame({"k": ["b", "c"], "v": [6, 7]})]
-    out = [(k, g["v"].tolist()) for k, g in _groups(iter(batches), ["k"])]
-    assert out == [(("a",), [1, 2]), (("b",), [3, 4, 5, 6]), (("c",), [7])]
+    from sigtrace.plans.ordered import scan
+
+    rng = random.Random(3)
+    rows = []
+    for key, gap in (("hot", 1), ("wide", 10**13), ("small", 5), (None, 3)):
+        size = {"hot": 300, "wide": 200, "small": 6, None: 40}[key]
+        for i in range(size):
+            rows.append((key, None if i == 0 else i * gap, rng.choice(["A", "B", None, None, None, None]), rng.choice("xyz"), rng.randint(0, 1), i))
+    df = spark.createDataFrame(rows, "k string, o long, mode string, v string, n int, i int")
+    for chunk in (7, 10**6):
+        rules = {"A": F.when(F.col("v") == "x", "ax"), "B": F.when(F.col("v") == "y", "by"), None: F.when(F.col("v") == "z", "nz")}
+        out = scan(df, "k", "o", seq="seq", lag={"prev": "v"}, last_value={"now": "mode"}, switched={"phase": ("now", rules)}, running={"sum": "n"}, last="end", chunk_rows=chunk)
+        got = {(r.k, r.i): (r.seq, r.prev, r.now, r.phase, r["sum"], r.end) for r in out.collect()}
+        assert len(got) == len(rows)
+        for key in ("hot", "wide", "small", None):
+            own = [r for r in rows if r[0] == key]
+            now = phase = prev = None
+            total = 0
+            for pos, (_, _, mode, v, n, i) in enumerate(own, 1):
+                now = mode or now
+                phase = {("A", "x"): "ax", ("B", "y"): "by", (None, "z"): "nz"}.get((now, v), phase)
+                total += n
+                assert got[(key, i)] == (pos, prev, now, phase, total, pos == len(own)), (chunk, key, i)
+                prev = v
+
+
+def test_scan_cuts_a_heavy_key_into_even_chunks(spark):
+    from sigtrace.plans.ordered import chunked
+
+    rows = [("hot", i**3) for i in range(3_000)] + [(f"k{i}", i) for i in range(600)]
+    out = chunked(spark.createDataFrame(rows, "k string, o long"), "k", "o", 100).groupBy("k", "_chunk").count().collect()
+    hot = [r["count"] for r in out if r.k == "hot"]
+    assert sum(hot) == 3_000 and max(hot) <= 100 and len(hot) > 30  # by rows, whatever the gaps
+    assert all(r._chunk == 0 for r in out if r.k != "hot")
 
 
 def test_write_packets_layouts(spark, tmp_path):
