@@ -17,6 +17,7 @@ from sigtrace.registry import register, register_raw
 from sigtrace.session import scratch_path
 from sigtrace.sources import packets as S
 from sigtrace.sources.events_projection import packets_from_events
+from sigtrace.sources.ingest import ingest_run
 from sigtrace.sources.pdml import read_pdml, to_pdml_records
 from sigtrace.oracle import ingest_sql as IS
 
@@ -88,22 +89,28 @@ def load_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("packet_number", "timestamp", F.col("capture_date").cast("string").alias("capture_date"), "ran_ue_ngap_id", "enb_ue_s1ap_id")
 
 
-@register_raw("write_packets")
+@register_raw("write_packets", IS.write_packets)
 def write_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5 + C3: files, rows and bytes of the written table (rows-only check)."""
+    """A5 + C3: what the sink's partitions hold, day by day, and that every row is in some file."""
     from sigtrace.operators.catalog import dataset_stats
 
     path = scratch_path(spark, "packets")
-    S.write_packets(S.normalize_packets(_enriched(spark, sf_dir)), path)
-    return dataset_stats(spark.read.parquet(path))
+    S.write_packets(S.normalize_packets(_enriched(spark, sf_dir).withColumn("capture", F.lit("events"))), path)
+    table = spark.read.parquet(path)
+    stored = dataset_stats(table).agg(F.sum("rows").alias("n")).scalar()
+    days = table.groupBy(F.col("capture_date").cast("string").alias("capture_date"), "capture").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("packet_number").alias("first_packet"), F.max("packet_number").alias("last_packet")
+    )
+    return days.select("*", stored.alias("rows_in_files"))
 
 
-@register_raw("dataset_stats")
+@register_raw("dataset_stats", IS.dataset_stats)
 def dataset_stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3 over the driver's events file."""
+    """C3 over the driver's events file: rows and columns, and that every file's bytes are known."""
     from sigtrace.operators.catalog import dataset_stats
 
-    return dataset_stats(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
+    stats = dataset_stats(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
+    return stats.agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"), (F.min("file_size") > 0).alias("sized"))
 
 
 @register("filter_by_protocol_stack", IS.filter_by_protocol_stack)
@@ -135,12 +142,18 @@ def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-@register_raw("parse_run_summary")
+@register_raw("parse_run_summary", IS.parse_run_summary)
 def parse_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10: packets parsed / malformed / bytes of a JSONL ingest run, as one row."""
-    good, bad = S.read_jsonl(spark, _jsonl_capture(spark, sf_dir))
-    summary = S.parse_run_summary(S.normalize_packets(good), bad, scratch_path(spark, "packets"))
-    return spark.createDataFrame([summary], "packets long, malformed long, output_bytes long")
+    """A10: one parse of a JSONL capture with a cut-off line after every 97th packet, both sinks, and what it reports."""
+    rec = _enriched(spark, sf_dir)
+    line = F.to_json(F.struct(*rec.columns))
+    cut = F.when(F.col("packet_number") % 97 == 0, F.array(line, F.substring(line, 1, 40))).otherwise(F.array(line))
+    source, path = scratch_path(spark, "capture-jsonl"), scratch_path(spark, "packets")
+    rec.select(F.explode(cut).alias("value")).write.text(source)
+    said = ingest_run(spark, source, path, fmt="jsonl", capture="events")
+    stored = S.load_packets(spark, path).groupBy("capture").agg(F.count(F.lit(1)).alias("stored"))
+    malformed = spark.read.parquet(path + "_rejects").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return stored.select("capture", "stored", malformed.alias("rejected"), F.lit(said["packets"]).cast("long").alias("packets"), F.lit(said["malformed"]).cast("long").alias("malformed"), F.lit(said["output_bytes"] > 0).alias("written"))
 
 
 # --- B: enrichment ------------------------------------------------------------------

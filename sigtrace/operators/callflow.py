@@ -128,6 +128,27 @@ def session_summary(packets: DataFrame, sessions: DataFrame | None = None) -> Da
     )
 
 
+def session_ids(packets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """T2 id lists in long form: (session, kind, id) with kind ``ran``, ``amf`` or ``pdu_session``.
+
+    RAN ids and PDU sessions come from packets carrying the session's AMF id, AMF ids from all its packets.
+    """
+    sp = _sessions(packets, sessions)
+    own = F.col("own") if "own" in sp.columns else F.coalesce(F.col("amf") == F.col("session"), F.lit(False))
+    held = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("id")))
+    pdus = F.transform(
+        F.filter(F.map_entries("m"), lambda e: (e["key"].contains("pDUSessionID") | e["key"].contains("PDUSessionID")) & (e["value"] != "")),
+        lambda e: e["value"],
+    )
+    none = F.array().cast("array<string>")
+    ids = F.concat(
+        held("ran", F.when(own, F.array_compact(F.array("ran"))).otherwise(none)),
+        held("amf", F.array_compact(F.array("amf"))),
+        held("pdu_session", F.when(own, pdus).otherwise(none)),
+    )
+    return sp.select(*_session_keys(sp), F.explode(ids).alias("x")).select(*_session_keys(sp), "x.kind", "x.id").distinct()
+
+
 # ---------------------------------------------------------------------------
 # RAN id evolution
 # ---------------------------------------------------------------------------
@@ -480,25 +501,65 @@ DIM_PROCEDURE_STEP = codes.Dim(
 )
 
 
-def procedure_step_match(packets: DataFrame) -> DataFrame:
-    """For each LTE procedure step, how many packets match it and the first one.
+# FIXED VALUES: fields that name an LTE UE, tried in this order, and the kind of the id.
+LTE_UE_KEYS = [
+    ("enb", "s1ap.s1ap.ENB_UE_S1AP_ID"),
+    ("enb", "x2ap.x2ap.Old_ENB_UE_X2AP_ID"),
+    ("enb", "x2ap.x2ap.New_ENB_UE_X2AP_ID"),
+    ("rlc", "rlc_lte.rlc-lte.ueid"),
+    ("m_tmsi", "nas_eps.nas-eps.emm.m_tmsi"),
+]
 
-    Match = same protocol and (message type equal to the step's code, or for RRC
-    steps identified by name: message type equal to it or a field name containing it).
-    """
-    df = with_fields(packets)
+
+def lte_ue(m: Column) -> Column:
+    """``kind:id`` of the UE an LTE packet belongs to; NULL where it names none."""
+    return F.coalesce(*[F.concat(F.lit(f"{kind}:"), F.nullif(val(m, key), F.lit(""))) for kind, key in LTE_UE_KEYS])
+
+
+def _step_hits(df: DataFrame, *columns) -> DataFrame:
+    """Packets with the procedure steps they match: same protocol and the step's code, or for RRC steps its name
+    as message type or inside a field name."""
     steps = DIM_PROCEDURE_STEP.df(df.sparkSession)
     m = F.col("m")
     cond = (df["protocol"] == steps["protocol"]) & (
         ((steps["match_kind"] == "message_type") & (df["message_type"] == steps["match_value"]))
         | ((steps["match_kind"] == "identifier") & ((df["message_type"] == steps["match_value"]) | F.exists(F.map_keys(m), lambda k: k.contains(steps["match_value"]))))
     )
-    hits = df.select("protocol", "message_type", "m", "packet_number").join(steps, cond).groupBy("procedure", "step").agg(
-        F.count(F.lit(1)).alias("packets"), F.min("packet_number").alias("first_packet")
-    )
+    return df.select("protocol", "message_type", "m", "packet_number", *columns).join(steps, cond)
+
+
+def procedure_step_match(packets: DataFrame) -> DataFrame:
+    """For each LTE procedure step, how many packets match it and the first one."""
+    df = with_fields(packets)
+    steps = DIM_PROCEDURE_STEP.df(df.sparkSession)
+    hits = _step_hits(df).groupBy("procedure", "step").agg(F.count(F.lit(1)).alias("packets"), F.min("packet_number").alias("first_packet"))
     return steps.join(hits, ["procedure", "step"], "left").select(
         "procedure", "step", "message", "direction", "protocol",
         F.coalesce("packets", F.lit(0)).cast("bigint").alias("packets"),
         F.col("first_packet").cast("double").alias("first_packet"),  # NULL for unseen steps
         F.col("packets").isNotNull().alias("seen"),
     )
+
+
+def ue_procedure_steps(packets: DataFrame) -> DataFrame:
+    """T11 per UE: every step of each procedure that a UE has begun, with its packets, the first one and whether the
+    procedure is complete.
+
+    One aggregate per (UE, procedure) holds the bitmap of steps seen and, for each of the at most 12 steps, count and
+    first packet; the steps are spread out again afterwards, without a second shuffle.
+    """
+    df = with_fields(packets)
+    scope = capture_scope(df)
+    most = max(step for _, step, *_ in PROCEDURE_STEPS)
+    hits = _step_hits(df.withColumn("ue", lte_ue(F.col("m"))).where(F.col("ue").isNotNull()), *scope, "ue")
+    per_step = [F.count_if(F.col("step") == i).alias(f"n{i}") for i in range(1, most + 1)]
+    per_step += [F.min(F.when(F.col("step") == i, F.col("packet_number"))).alias(f"p{i}") for i in range(1, most + 1)]
+    seen = hits.groupBy(*scope, "ue", "procedure").agg(F.bit_or(F.expr("shiftleft(1, CAST(step AS INT) - 1)")).alias("steps_seen"), *per_step)
+    bits = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"n{i}").alias("packets"), F.col(f"p{i}").alias("first_packet")) for i in range(1, most + 1)])
+    sizes = F.create_map(*[x for name in sorted({p for p, *_ in PROCEDURE_STEPS}) for x in (F.lit(name), F.lit(sum(p == name for p, *_ in PROCEDURE_STEPS)))])
+    total = F.element_at(sizes, F.col("procedure"))
+    spread = seen.select(*scope, "ue", "procedure", "steps_seen", total.alias("total"), F.explode(F.slice(bits, F.lit(1), total)).alias("s"))
+    return spread.select(
+        *scope, "ue", "procedure", F.col("s.step").cast("int").alias("step"), "s.packets", F.col("s.first_packet").cast("double").alias("first_packet"),
+        (F.col("s.packets") > 0).alias("seen"), F.col("steps_seen").cast("bigint").alias("steps_seen"), (F.bit_count("steps_seen") == F.col("total")).alias("complete"),
+    )

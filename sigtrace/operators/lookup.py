@@ -8,7 +8,7 @@ whole decision stays inside one Spark plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrace.functions.fields import capture_scope, first_of, packet_key, with_fields
@@ -120,25 +120,54 @@ def value_search(packets: DataFrame, token: str, top: int = 10) -> DataFrame:
 TAC_PATTERN = r"(^|[_.-])tac($|[_.-])"
 
 
-def plmn_tac(packets: DataFrame, registration_complete: bool = False) -> DataFrame:
-    """V5: PLMN identity (or ``MCC=.., MNC=..``) and TAC, first in packet order.
+# FIXED VALUES: fields that anchor a 5G UE, one of them a packet.
+RAN_ANCHORS = ["ngap.RAN_UE_NGAP_ID", "ngap.ngap.RAN_UE_NGAP_ID", "RAN_UE_NGAP_ID"]
 
-    The two are looked up separately, so a packet that carries only one counts for it.
-    With ``registration_complete`` only Registration Complete messages count, a filter
-    dropped again when it leaves nothing (decided by an aggregate, inside the plan).
+
+def value_search_for_ues(packets: DataFrame, token: str, top: int = 10, ues: DataFrame | None = None) -> DataFrame:
+    """V4 per UE: the ``top`` (field, value) pairs of each UE's own packets; where a UE has none, those of all
+    packets (the field may be broadcast), marked ``anchored = false``.
+
+    ``ues`` (column ``ue_id``, and ``capture`` where it matters) says whose; without it every RAN id of the table.
     """
     df = with_fields(packets)
-    low = F.lower(F.col("protocol_fields_json"))
-    cand = df.where(
-        low.contains("plmnidentity") | low.contains("plmn-id.mcc") | low.contains("plmn-id.mnc") | low.contains("tac")
-    )
-    if registration_complete:
-        reg = (F.lower(F.col("message_type")) == "registrationcomplete") | low.contains("registrationcomplete")
-        narrowed = cand.where(reg)
-        any_reg = narrowed.agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
-        cand = cand.where(~any_reg | reg)
-    m = F.col("m")
-    ent = F.map_entries(m)
+    scope = capture_scope(df)
+    t = _norm_term(token)
+    kn = lambda k: F.regexp_replace(F.lower(k), r"[-_. ]", "")
+    found = F.filter(F.map_entries("m"), lambda e: e["value"].isNotNull() & (e["value"] != "") & (kn(e["key"]).contains(F.lit(t)) | F.lit(t).contains(kn(e["key"]))))
+    ue = first_of(F.col("m"), RAN_ANCHORS)
+    hits = df.select(*scope, ue.alias("ue_id"), F.explode(found).alias("e")).select(*scope, "ue_id", F.col("e.key").alias("field"), F.col("e.value").alias("value"))
+    fnorm = _norm_key(F.col("field"))
+    rank = F.struct(F.when(fnorm == t, 0).otherwise(1).alias("r_exact"), F.when(F.locate(t, fnorm) == 1, 0).otherwise(1).alias("r_start"), F.length(fnorm).alias("r_len"), "field", "value")
+    order = lambda *by: Window.partitionBy(*by).orderBy("r")
+    own = hits.where(F.col("ue_id").isNotNull()).distinct().select(*scope, "ue_id", rank.alias("r"))
+    own = own.withColumn("rank", F.row_number().over(order(*scope, "ue_id"))).where(F.col("rank") <= top)
+    # of all packets, at most `top` rows (of each capture), so one array
+    common = hits.select(*scope, "field", "value").distinct().select(*scope, rank.alias("r"))
+    common = common.withColumn("rank", F.row_number().over(order(*scope))).where(F.col("rank") <= top)
+    common = common.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("rank", "r"))).alias("all"))
+    ids = df.select(*scope, ue.alias("ue_id")).where(F.col("ue_id").isNotNull()).distinct()
+    if ues is not None:
+        named = [c for c in scope if c in ues.columns]
+        ids = ids.join(ues.select(*named, F.col("ue_id").cast("string").alias("ue_id")).distinct(), [*named, "ue_id"], "left_semi")
+        own = own.join(ids, [*scope, "ue_id"], "left_semi")
+    rest = ids.join(own.select(*scope, "ue_id").distinct(), [*scope, "ue_id"], "left_anti")
+    if scope:
+        rest = rest.join(common, scope)
+    else:
+        rest = rest.withColumn("all", common.select("all").scalar())
+    rest = rest.select(*scope, "ue_id", F.explode("all").alias("x")).select(*scope, "ue_id", "x.r", "x.rank")
+    both = own.withColumn("anchored", F.lit(True)).unionByName(rest.withColumn("anchored", F.lit(False)))
+    return both.select(*scope, "ue_id", "anchored", F.col("rank").cast("bigint").alias("rank"), "r.field", "r.value")
+
+
+def _identity_rows(packets: DataFrame) -> DataFrame:
+    """Packets that mention a PLMN or TAC, with the values they give and whether they are a Registration Complete."""
+    # the lower-cased text behind an explode, so it is worked out once per packet (see with_fields)
+    df = with_fields(packets).select("*", F.explode(F.array(F.lower("protocol_fields_json"))).alias("_low"))
+    low = F.col("_low")
+    cand = df.where(low.contains("plmnidentity") | low.contains("plmn-id.mcc") | low.contains("plmn-id.mnc") | low.contains("tac"))
+    ent = F.map_entries("m")
     plmn = F.get(F.filter(ent, lambda e: F.lower(e["key"]).contains("plmnidentity") & (e["value"] != "")), 0)["value"]
     mcc = F.get(F.filter(ent, lambda e: F.lower(e["key"]).endswith(".mcc")), 0)["value"]
     mnc = F.get(F.filter(ent, lambda e: F.lower(e["key"]).endswith(".mnc")), 0)["value"]
@@ -147,11 +176,36 @@ def plmn_tac(packets: DataFrame, registration_complete: bool = False) -> DataFra
         F.when((F.coalesce(mcc, F.lit("")) != "") & (F.coalesce(mnc, F.lit("")) != ""), F.concat(F.lit("MCC="), mcc, F.lit(", MNC="), mnc)),
     )
     tac_v = F.get(F.filter(ent, lambda e: F.lower(e["key"]).rlike(TAC_PATTERN) & (e["value"] != "")), 0)["value"]
-    rows = cand.select("packet_number", plmn_v.alias("plmn"), tac_v.alias("tac"))
-    return rows.agg(
-        F.min_by("plmn", F.when(F.col("plmn").isNotNull(), F.col("packet_number"))).alias("plmn_identity"),
-        F.min_by("tac", F.when(F.col("tac").isNotNull(), F.col("packet_number"))).alias("tac"),
-    )
+    complete = F.coalesce(F.lower(F.col("message_type")) == "registrationcomplete", F.lit(False)) | low.contains("registrationcomplete")
+    return cand.select(*packet_key(df), first_of(F.col("m"), RAN_ANCHORS).alias("ue_id"), plmn_v.alias("plmn"), tac_v.alias("tac"), complete.alias("complete"))
+
+
+def _identity_of(rows: DataFrame, by: list[str], registration_complete: bool) -> DataFrame:
+    """PLMN and TAC of each group, first in packet order; with ``registration_complete`` from the Registration Complete
+    messages of the group, or from all its rows if it has none - both worked out in the one aggregate."""
+    wide = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("packet_number"))).alias(c) for c in ("plmn", "tac")]
+    narrow = [F.min_by(c, F.when(F.col(c).isNotNull() & F.col("complete"), F.col("packet_number"))).alias(f"{c}_narrow") for c in ("plmn", "tac")]
+    agg = rows.groupBy(*by).agg(F.count_if("complete").alias("n"), *wide, *narrow)
+    chosen = lambda c: F.when((F.col("n") > 0) & F.lit(registration_complete), F.col(f"{c}_narrow")).otherwise(F.col(c))
+    return agg.select(*by, chosen("plmn").alias("plmn_identity"), chosen("tac").alias("tac"))
+
+
+def plmn_tac(packets: DataFrame, registration_complete: bool = False) -> DataFrame:
+    """V5: PLMN identity (or ``MCC=.., MNC=..``) and TAC, first in packet order.
+
+    The two are looked up separately, so a packet that carries only one counts for it.
+    With ``registration_complete`` only Registration Complete messages count, a filter
+    dropped again when it leaves nothing (decided in the aggregate).  One row for the table, for one of several
+    captures one of each that mentions either.
+    """
+    rows = _identity_rows(packets)
+    return _identity_of(rows, capture_scope(rows), registration_complete)
+
+
+def plmn_tac_by_ue(packets: DataFrame, registration_complete: bool = True) -> DataFrame:
+    """V5 per UE (RAN id): PLMN identity and TAC from the UE's own packets, each UE with its own choice of the filter."""
+    rows = _identity_rows(packets).where(F.col("ue_id").isNotNull())
+    return _identity_of(rows, [*capture_scope(rows), "ue_id"], registration_complete)
 
 
 def pdn_ip(packets: DataFrame) -> DataFrame:

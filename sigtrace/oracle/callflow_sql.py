@@ -26,6 +26,42 @@ def ue_session() -> str:
     return with_packets(SESSION_CTES + "\nSELECT session, packet_number, message_type, ran, amf FROM sp")
 
 
+def ue_session_target() -> str:
+    """The packets of all AMF ids seen with the RAN id that has most packets (then the smallest id)."""
+    return with_packets(SESSION_CTES + """,
+target AS (SELECT ran FROM ids WHERE ran IS NOT NULL GROUP BY ran ORDER BY count(*) DESC, ran LIMIT 1),
+mine AS (SELECT DISTINCT amf FROM ids WHERE ran = (SELECT ran FROM target) AND amf IS NOT NULL)
+SELECT (SELECT ran FROM target) AS target, packet_number, any_value(message_type) AS message_type, any_value(ran) AS ran, any_value(amf) AS amf,
+       coalesce(any_value(amf) IN (SELECT amf FROM mine), false) AS own
+FROM sp WHERE session IN (SELECT amf FROM mine) GROUP BY packet_number""")
+
+
+def session_ids() -> str:
+    return with_packets(SESSION_CTES + """
+SELECT DISTINCT session, 'ran' AS kind, ran AS id FROM sp WHERE amf = session AND ran IS NOT NULL
+UNION ALL SELECT DISTINCT session, 'amf', amf FROM sp WHERE amf IS NOT NULL
+UNION ALL SELECT DISTINCT session, 'pdu_session', e.value FROM (SELECT session, unnest(map_entries(m)) AS e FROM sp WHERE amf = session)
+WHERE (contains(e.key, 'pDUSessionID') OR contains(e.key, 'PDUSessionID')) AND e.value <> ''""")
+
+
+def ue_procedure_steps() -> str:
+    hk = "coalesce(len(list_filter(map_keys(pm.m), lambda k: contains(k, s.match_value))) > 0, false)"
+    return with_packets(f""",
+s AS (SELECT * FROM {DIM_PROCEDURE_STEP.sql()}),
+u AS (SELECT *, coalesce('enb:' || nullif(m['s1ap.s1ap.ENB_UE_S1AP_ID'], ''), 'enb:' || nullif(m['x2ap.x2ap.Old_ENB_UE_X2AP_ID'], ''),
+   'enb:' || nullif(m['x2ap.x2ap.New_ENB_UE_X2AP_ID'], ''), 'rlc:' || nullif(m['rlc_lte.rlc-lte.ueid'], ''), 'm_tmsi:' || nullif(m['nas_eps.nas-eps.emm.m_tmsi'], '')) AS ue FROM pm),
+h AS (SELECT pm.ue, s.procedure, s.step, count(*) AS packets, min(pm.packet_number) AS first_packet
+      FROM u pm JOIN s ON pm.protocol = s.protocol AND (
+        (s.match_kind = 'message_type' AND pm.message_type = s.match_value)
+        OR (s.match_kind = 'identifier' AND (pm.message_type = s.match_value OR {hk})))
+      WHERE pm.ue IS NOT NULL GROUP BY ALL),
+begun AS (SELECT ue, procedure, sum(1::BIGINT << (step::INT - 1))::BIGINT AS steps_seen, count(*) AS done FROM h GROUP BY ALL),
+sizes AS (SELECT procedure, count(*) AS total FROM s GROUP BY procedure)
+SELECT b.ue, s.procedure, s.step::INT AS step, coalesce(h.packets, 0)::BIGINT AS packets, h.first_packet::DOUBLE AS first_packet, h.packets IS NOT NULL AS seen,
+       b.steps_seen, b.done = sizes.total AS complete
+FROM begun b JOIN s USING (procedure) JOIN sizes USING (procedure) LEFT JOIN h ON h.ue = b.ue AND h.procedure = s.procedure AND h.step = s.step""")
+
+
 def session_summary() -> str:
     pdu = ("list_transform(list_filter(map_entries(m), lambda e: (contains(e.key, 'pDUSessionID') OR "
            "contains(e.key, 'PDUSessionID')) AND e.value <> ''), lambda e: e.value)")

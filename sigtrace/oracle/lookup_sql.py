@@ -96,3 +96,57 @@ SELECT m['s1ap.s1ap.ENB_UE_S1AP_ID'] AS ue_id, arg_min(m['s1ap.nas-eps.esm.pdn_i
 FROM pm WHERE message_type LIKE '%InitialContextSetup%' AND m['s1ap.s1ap.ENB_UE_S1AP_ID'] IS NOT NULL
   AND m['s1ap.nas-eps.esm.pdn_ipv4'] IS NOT NULL
 GROUP BY 1""")
+
+
+# PLMN and TAC fields for some packets, in words that mean the same in both engines: uplink NAS packets whose number is
+# divisible by 3 are Registration Completes with a TAC, initial messages carry a PLMN, of odd numbers as MCC and MNC, and a TAC.
+IDENTITY_MESSAGE = "CASE WHEN message_type = 'UplinkNASTransport' AND packet_number % 3 = 0 THEN 'RegistrationComplete' ELSE message_type END"
+IDENTITY_FIELDS = """CASE
+ WHEN message_type = 'UplinkNASTransport' AND packet_number % 3 = 0 THEN
+  concat(substring(protocol_fields_json, 1, length(protocol_fields_json) - 1), ', "ngap.ngap.tAC": "c', CAST(packet_number % 7 AS VARCHAR(20)), '"}')
+ WHEN message_type = 'InitialUEMessage' AND packet_number % 2 = 0 THEN
+  concat(substring(protocol_fields_json, 1, length(protocol_fields_json) - 1), ', "ngap.ngap.pLMNIdentity": "00f1', CAST(packet_number % 5 AS VARCHAR(20)), '", "ngap.ngap.tAC": "i', CAST(packet_number % 11 AS VARCHAR(20)), '", "ngap.ngap.contact_info": "none"}')
+ WHEN message_type = 'InitialUEMessage' THEN
+  concat(substring(protocol_fields_json, 1, length(protocol_fields_json) - 1), ', "ngap.e212.mcc": "26', CAST(packet_number % 3 AS VARCHAR(20)), '", "ngap.e212.mnc": "01", "ngap.x-tac": "i', CAST(packet_number % 11 AS VARCHAR(20)), '"}')
+ ELSE protocol_fields_json END"""
+
+_RAN = "coalesce(nullif(m['ngap.RAN_UE_NGAP_ID'], ''), nullif(m['ngap.ngap.RAN_UE_NGAP_ID'], ''), nullif(m['RAN_UE_NGAP_ID'], ''))"
+_IDENTIFIED = f""",
+named AS (SELECT packet_number, {IDENTITY_MESSAGE} AS message_type, {IDENTITY_FIELDS} AS j FROM packets),
+nm AS (SELECT *, lower(j) AS low, CAST(j::JSON AS MAP(VARCHAR, VARCHAR)) AS m FROM named),
+idr AS (SELECT packet_number, {_RAN} AS ue_id, message_type = 'RegistrationComplete' AS complete,
+  coalesce(m['ngap.ngap.pLMNIdentity'], 'MCC=' || m['ngap.e212.mcc'] || ', MNC=' || m['ngap.e212.mnc']) AS plmn,
+  coalesce(m['ngap.ngap.tAC'], m['ngap.x-tac']) AS tac
+  FROM nm WHERE contains(low, 'plmnidentity') OR contains(low, 'tac'))"""
+
+
+def _first_of(rows: str, by: str) -> str:
+    return f"""
+SELECT {by}arg_min(plmn, packet_number) FILTER (WHERE plmn IS NOT NULL) AS plmn_identity, arg_min(tac, packet_number) FILTER (WHERE tac IS NOT NULL) AS tac
+FROM {rows} {'GROUP BY ue_id' if by else ''}"""
+
+
+def plmn_tac_by_ue() -> str:
+    return with_packets(_IDENTIFIED + """,
+tiered AS (SELECT *, max(complete::INT) OVER (PARTITION BY ue_id) = 1 AS any_complete FROM idr WHERE ue_id IS NOT NULL),
+chosen AS (SELECT * FROM tiered WHERE complete OR NOT any_complete)""" + _first_of("chosen", "ue_id, "))
+
+
+def plmn_tac_complete() -> str:
+    return with_packets(_IDENTIFIED + """,
+chosen AS (SELECT * FROM idr WHERE complete OR NOT (SELECT bool_or(complete) FROM idr))""" + _first_of("chosen", ""))
+
+
+def value_search_for_ues(token: str = "tac", top: int = 3) -> str:
+    kn = "regexp_replace(lower(e.key), '[-_. ]', '', 'g')"
+    return with_packets(_IDENTIFIED + f""",
+ent AS (SELECT {_RAN} AS ue_id, unnest(map_entries(m)) AS e FROM nm),
+hit AS (SELECT DISTINCT ue_id, e.key AS field, e.value AS value FROM ent
+        WHERE e.value IS NOT NULL AND e.value <> '' AND (contains({kn}, {q(token)}) OR contains({q(token)}, {kn}))),
+ranked AS (SELECT *, CASE WHEN {nk('field')} = {q(token)} THEN 0 ELSE 1 END AS a, CASE WHEN strpos({nk('field')}, {q(token)}) = 1 THEN 0 ELSE 1 END AS b, length({nk('field')}) AS c FROM hit),
+own AS (SELECT *, row_number() OVER (PARTITION BY ue_id ORDER BY a, b, c, field, value) AS rank FROM ranked WHERE ue_id IS NOT NULL),
+common AS (SELECT *, row_number() OVER (ORDER BY a, b, c, field, value) AS rank FROM (SELECT DISTINCT field, value, a, b, c FROM ranked)),
+ues AS (SELECT DISTINCT {_RAN} AS ue_id FROM nm WHERE {_RAN} IS NOT NULL)
+SELECT ue_id, true AS anchored, rank, field, value FROM own WHERE rank <= {top}
+UNION ALL
+SELECT ues.ue_id, false, rank, field, value FROM ues, common WHERE rank <= {top} AND ues.ue_id NOT IN (SELECT ue_id FROM own)""")

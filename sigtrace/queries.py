@@ -120,7 +120,11 @@ register("measurements_for_ue", GS.measurements_for_ue)(
 register("ue_session", TS.ue_session)(
     lambda p: T.session_packets(p).select("session", "packet_number", "message_type", "ran", "amf")
 )
+register("ue_session_target", TS.ue_session_target)(
+    lambda p: T.ue_session(p, D.busiest_value(p, [T.RAN])).select("target", "packet_number", "message_type", "ran", "amf", "own")
+)
 register("session_summary", TS.session_summary)(T.session_summary)
+register("session_ids", TS.session_ids)(T.session_ids)
 register("ran_id_evolution", TS.ran_id_evolution)(T.ran_id_evolution)
 register("session_phases", TS.session_phases)(T.session_phases)
 register("session_message_counts", TS.session_message_counts)(T.session_message_counts)
@@ -133,6 +137,8 @@ register("handover_trace", TS.handover_trace)(
 register("lte_call_flow", TS.lte_call_flow)(lambda p: T.lte_call_flow(p, "rlc_ueid"))
 register("procedure_step_match", TS.procedure_step_match)(T.procedure_step_match)
 
+register("ue_procedure_steps", TS.ue_procedure_steps)(T.ue_procedure_steps)
+
 # --- V: field-value lookup -------------------------------------------------------
 
 register("field_values", VS.field_values)(lambda p: V.field_values(p, "pdn_ipv4"))
@@ -144,6 +150,22 @@ register("value_search", VS.value_search)(
     )
 )
 register("plmn_tac", VS.plmn_tac)(V.plmn_tac)
+
+
+def with_identities(p):
+    """The packets with PLMN and TAC fields in some of them (the driver's events have none): see ``lookup_sql.IDENTITY_FIELDS``.
+
+    Both texts go behind a one-element ``explode``, so each is worked out once per packet (as in ``with_fields``).
+    """
+    own = [c for c in p.columns if c not in ("message_type", "protocol_fields_json")]
+    once = p.select(*own, "message_type", _F.explode(_F.array("protocol_fields_json")).alias("protocol_fields_json"))
+    changed = _F.struct(_F.expr(VS.IDENTITY_MESSAGE).alias("message_type"), _F.expr(VS.IDENTITY_FIELDS).alias("protocol_fields_json"))
+    return once.select(*own, _F.explode(_F.array(changed)).alias("x")).select(*own, "x.message_type", "x.protocol_fields_json")
+
+
+register("plmn_tac_by_ue", VS.plmn_tac_by_ue)(lambda p: V.plmn_tac_by_ue(with_identities(p)))
+register("plmn_tac_complete", VS.plmn_tac_complete)(lambda p: V.plmn_tac(with_identities(p), registration_complete=True))
+register("value_search_for_ues", VS.value_search_for_ues)(lambda p: V.value_search_for_ues(with_identities(p), "tac", top=3))
 register("pdn_ip", VS.pdn_ip)(V.pdn_ip)
 
 # --- Q: SQL surface and query logs ------------------------------------------------

@@ -150,9 +150,13 @@ def filter_by_protocol_stack(df: DataFrame, protocols: Sequence[str] | None = DE
     return df.where(F.coalesce(F.arrays_overlap(F.col("protocol_stack"), wanted), F.lit(False)))
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
-    """Results as JSON lines (nulls kept) or CSV with a header (RFC 4180 quoting, NULL as an empty field)."""
-    if fmt == "json":
+def write_results(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite", pretty: bool = False) -> None:
+    """Results as JSON (nulls kept; one compact line a row, or ``pretty`` and indented) or CSV with a header
+    (RFC 4180 quoting, NULL as an empty field)."""
+    if fmt == "json" and pretty:
+        text = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"pretty": "true", "ignoreNullFields": "false"})
+        df.select(text.alias("value")).write.mode(mode).text(path)
+    elif fmt == "json":
         df.write.mode(mode).option("ignoreNullFields", False).json(path)
     elif fmt == "csv":
         df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
@@ -166,6 +170,7 @@ def parse_run_summary(
     """A5 + A10: write the packets table (and the rejects) and report packets parsed,
     malformed records and output bytes.
 
+    For frames that a caller already has; ``sources.ingest.ingest_run`` parses a capture once for both sinks.
     The counts are ``observe()`` metrics of the two write jobs (each reads its input once)
     and the byte count comes from the written files' metadata.
     """
