@@ -32,7 +32,7 @@ def main() -> None:
     from sigtrace.registry import OPERATORS, load_all
     from sigtrace.session import local_session, scratch_path
     from sigtrace.sources.events_projection import packets_from_events
-    from sigtrace.sources.schema import HOT_KEYS
+    from sigtrace.sources.packets import hot_columns
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -47,7 +47,7 @@ def main() -> None:
     p = packets_from_events(spark, sf_dir)
     m = F.from_json("protocol_fields_json", "map<string,string>")
     table = p.select("*", F.explode(F.array(m)).alias("fields"))
-    table = table.select("*", *[F.col("fields")[k].alias(n) for n, k in HOT_KEYS.items()])
+    table = table.select("*", *hot_columns(F.col("fields")))
     table.sortWithinPartitions("packet_number").write.mode("overwrite").parquet(path)
     timings["ingest"] = round(time.time() - t0, 3)
 

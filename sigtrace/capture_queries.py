@@ -25,8 +25,7 @@ from sigtrace.oracle import release_sql as RS
 from sigtrace.registry import register_raw
 from sigtrace.session import scratch_path
 from sigtrace.sources.events_projection import packets_from_events
-from sigtrace.sources.packets import load_packets, write_packets
-from sigtrace.sources.schema import HOT_KEYS
+from sigtrace.sources.packets import hot_columns, load_packets, write_packets
 
 _WRITTEN: dict[tuple[str, str], str] = {}
 
@@ -43,7 +42,7 @@ def stored(packets: DataFrame, path: str) -> DataFrame:
     """``packets`` written as a table (parsed map, hot id columns) and loaded again."""
     m = F.from_json("protocol_fields_json", "map<string,string>")
     table = packets.select("*", F.explode(F.array(m)).alias("fields"))
-    table = table.select("*", *[F.col("fields")[k].alias(n) for n, k in HOT_KEYS.items()])
+    table = table.select("*", *hot_columns(F.col("fields")))
     write_packets(table, path)
     return load_packets(packets.sparkSession, path)
 

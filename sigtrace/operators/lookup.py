@@ -37,29 +37,55 @@ def _entries(packets: DataFrame) -> DataFrame:
     ).select(*key, "message_type", "ue_id", "pos", F.col("e.key").alias("field"), F.col("e.value").alias("value"))
 
 
-def field_values(packets: DataFrame, name: str) -> DataFrame:
+def field_dictionary(packets: DataFrame) -> DataFrame:
+    """(field, n, first_packet): how often each field has a value, and the first packet with one.
+
+    Its size is the vocabulary's, not the data's.  ``write_field_dictionary`` stores it, so that lookups by name need
+    no scan of the packets to find out which fields there are.
+    """
+    df = with_fields(packets)
+    ent = df.select("packet_number", F.explode(F.map_entries("m")).alias("e")).where(F.col("e.value").isNotNull() & (F.col("e.value") != ""))
+    return ent.groupBy(F.col("e.key").alias("field")).agg(F.count(F.lit(1)).alias("n"), F.min("packet_number").alias("first_packet"))
+
+
+def write_field_dictionary(packets: DataFrame, path: str) -> DataFrame:
+    field_dictionary(packets).coalesce(1).write.mode("overwrite").parquet(path)
+    return packets.sparkSession.read.parquet(path)
+
+
+def _fields_for(dictionary: DataFrame, name: str) -> Column:
+    """V1's fields as one array: the best exact field name, or (where there is none) all whose normal form contains the name's."""
+    nq = name.lower().replace("-", "").replace("_", "").replace(".", "")
+    norm = _norm_key(F.col("field"))
+    exact = norm.contains(F.lit(nq)) | F.lit(nq).contains(norm)
+    best = F.min_by(F.col("field"), F.when(exact, F.struct(-field_score(F.col("field"), name), F.col("field"))))
+    fuzzy = F.collect_set(F.when(norm.contains(F.lit(_norm_term(name))), F.col("field")))  # field names only: a vocabulary
+    found = dictionary.agg(best.alias("best"), fuzzy.alias("fuzzy"))
+    return found.select(F.when(F.col("best").isNotNull(), F.array("best")).otherwise(F.col("fuzzy")).alias("fields")).scalar()
+
+
+def field_values(packets: DataFrame, name: str, dictionary: DataFrame | None = None) -> DataFrame:
     """V1: (packet_number, ue_id, field, value) for a field name.
 
     Tier 1: the best exact field name for ``name`` (highest catalog score, then name);
     tier 2 (only when tier 1 finds nothing anywhere): every field whose normal form
     contains the name's.  Empty values dropped, duplicates removed, ``*flag*`` fields
     hidden unless the name mentions a flag.
+
+    The fields are resolved on ``dictionary`` (:func:`field_dictionary` of the table, or a stored one), and one scan of
+    the packets takes these fields' values only.
     """
-    ent = _entries(packets).where(F.col("value").isNotNull() & (F.col("value") != ""))
-    nq = name.lower().replace("-", "").replace("_", "").replace(".", "")
-    cand = ent.select("field").distinct().where(_norm_key(F.col("field")).contains(F.lit(nq)) | F.lit(nq).contains(_norm_key(F.col("field"))))
-    best = cand.select("field", field_score(F.col("field"), name).alias("score")).agg(
-        F.min_by("field", F.struct(-F.col("score"), F.col("field"))).alias("exact_field")
-    )  # one row; NULL when no candidate
-    exact = ent.join(F.broadcast(best), ent["field"] == best["exact_field"], "left_semi")
-    fuzzy = ent.where(_norm_key(F.col("field")).contains(F.lit(_norm_term(name))))
-    has_exact = exact.agg((F.count(F.lit(1)) > 0).alias("x")).scalar()  # one value for the whole table
-    rows = exact.unionByName(fuzzy.where(~has_exact))  # fuzzy tier only when no exact hit exists anywhere
-    key = packet_key(packets)
-    out = rows.select(*key, "ue_id", "field", "value").dropDuplicates([*key, "field", "value"])
+    fields = _fields_for(field_dictionary(packets) if dictionary is None else dictionary, name)
+    df = with_fields(packets)
+    key = packet_key(df)
+    wanted = lambda e: F.array_contains("_fields", e["key"]) & e["value"].isNotNull() & (e["value"] != "")
     if "flag" not in name.lower():
-        out = out.where(~F.lower(F.col("field")).contains("flag"))
-    return out
+        plain = wanted
+        wanted = lambda e: plain(e) & ~F.lower(e["key"]).contains("flag")
+    rows = df.select(*key, "m", F.coalesce(first_of(F.col("m"), UE_ID_KEYS), F.lit("")).alias("ue_id"), fields.alias("_fields"))
+    hits = rows.select(*key, "ue_id", F.explode(F.filter(F.map_entries("m"), wanted)).alias("e"))
+    # a map holds each key once, so a packet gives each (field, value) once; packets read twice are not
+    return hits.select(*key, "ue_id", F.col("e.key").alias("field"), F.col("e.value").alias("value")).dropDuplicates([*key, "field", "value"])
 
 
 def field_value_distinct(packets: DataFrame, name: str) -> DataFrame:

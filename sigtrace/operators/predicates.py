@@ -67,6 +67,18 @@ def field_equals(packets: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(val(F.col("m"), key) == F.lit(value))
 
 
+def _pruned(packets: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows that can have ``value`` under one of ``keys``, by the hot column of these spellings where the table has one.
+
+    The filter is on plain columns, so it reaches the Parquet scan (statistics and Bloom filters skip row groups); the
+    exact condition on the map follows.
+    """
+    from sigtrace.sources.schema import HOT_ALIASES, HOT_DIFFER
+
+    hot = next((c for c, k in HOT_ALIASES.items() if set(k) == set(keys) and c in packets.columns and HOT_DIFFER in packets.columns), None)
+    return packets if hot is None else packets.where((F.col(hot) == F.lit(value)) | F.col(HOT_DIFFER))
+
+
 def alias_keys(name: str) -> list[str]:
     return FIELD_ALIASES.get(name, [name])
 
@@ -76,11 +88,10 @@ def field_equals_any(packets: DataFrame, name: str, value: str | DataFrame) -> D
 
     ``value`` may be a DataFrame with column ``value``: targets picked by a query, any number.
     """
-    df = with_fields(packets)
     keys = alias_keys(name)
     if isinstance(value, DataFrame):
-        return _semi_on_values(df, keys, value.select(F.col("value").alias("_target")).distinct())
-    return df.where(_value_in(F.col("m"), keys, F.lit(value)))
+        return _semi_on_values(with_fields(packets), keys, value.select(F.col("value").alias("_target")).distinct())
+    return with_fields(_pruned(packets, keys, value)).where(_value_in(F.col("m"), keys, F.lit(value)))
 
 
 def _alias_values(keys: Sequence[str]) -> Column:
@@ -142,6 +153,9 @@ def ue_anchor(packets: DataFrame, anchor: str, value: str | DataFrame) -> DataFr
     ``ue`` means RAN when the dataset carries NGAP fields, else ENB; the choice is a
     one-row aggregate joined back, not a driver-side count.
     """
+    if anchor != "ue" and not isinstance(value, DataFrame):
+        keys = ANCHOR_KEYS[anchor]
+        return with_fields(_pruned(packets, keys, str(value))).where(_value_in(F.col("m"), keys, F.lit(str(value))))
     df = with_fields(packets)
     if isinstance(value, DataFrame):
         target = value.select(F.col("value").alias("_target")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from sigtrace.functions.fields import capture_scope
-from sigtrace.sources.schema import HOT_KEYS, JSONL_RECORD, LAYER
+from sigtrace.sources.schema import HOT_ALIASES, HOT_DIFFER, HOT_KEYS, JSONL_RECORD, LAYER
 
 # Default protocols kept when filtering by stack (empty list = keep everything).
 DEFAULT_PROTOCOLS = ["s1ap", "x2ap", "lte_rrc", "ngap", "f1ap", "nr-rrc"]
@@ -65,10 +65,20 @@ def normalize_packets(df: DataFrame) -> DataFrame:
         F.to_json("protocol_stack").alias("protocol_stack_json"),
         fields.alias("fields"),
         "protocol_stack",
-        *[fields[k].alias(name) for name, k in HOT_KEYS.items()],
+        *hot_columns(fields),
     )
 
 
+def hot_columns(fields: Column) -> list[Column]:
+    """The identifiers of a packet's field map as plain columns, which filters can be pushed to."""
+    held = {n: F.array_distinct(F.array_compact(F.array(*[fields[k] for k in keys]))) for n, keys in HOT_ALIASES.items()}
+    differ = F.lit(False)
+    for values in held.values():
+        differ = differ | (F.size(values) > 1)
+    one = [F.get(values, 0).alias(n) for n, values in held.items()]
+    return [*[fields[k].alias(n) for n, k in HOT_KEYS.items()], *one, F.coalesce(differ, F.lit(False)).alias(HOT_DIFFER)]
+
+
 def write_packets(
     df: DataFrame,
     path: str,
@@ -111,6 +121,9 @@ def write_packets(
         # observed after any range exchange: its sampling job does not run this node
         out = out.observe(observation, F.count(F.lit(1)).alias("n"))
     w = out.write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", max_records_per_file)
+    for c in (*HOT_KEYS, *HOT_ALIASES):  # ids are scattered over the files: a Bloom filter skips what min/max cannot
+        if c in out.columns:
+            w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     if writer_cols:
         w = w.partitionBy(*writer_cols)
     w.parquet(path)

@@ -56,3 +56,17 @@ HOT_KEYS = {
     "rlc_ueid": "rlc_lte.rlc-lte.ueid",
     "ngap_procedure_code": "ngap.ngap.procedureCode",
 }
+
+# Identifiers that are stored under several spellings: one column each holds the value that a packet has under any of
+# them, so a lookup by any spelling reaches the scan.  Where the spellings of some identifier hold different values in one
+# packet, ``hot_ids_differ`` is true and the columns say nothing about that packet.
+HOT_ALIASES = {
+    "hot_ran": ["ngap.RAN_UE_NGAP_ID", "ngap.ngap.RAN_UE_NGAP_ID", "RAN_UE_NGAP_ID"],
+    "hot_amf": ["ngap.AMF_UE_NGAP_ID", "ngap.ngap.AMF_UE_NGAP_ID", "AMF_UE_NGAP_ID"],
+    "hot_enb": ["s1ap.s1ap.ENB_UE_S1AP_ID"],
+    "hot_mme": ["s1ap.s1ap.MME_UE_S1AP_ID"],
+    "hot_rlc": ["rlc_lte.rlc-lte.ueid"],
+    "hot_m_tmsi": ["s1ap.nas-eps.emm.m_tmsi", "nas_eps.nas-eps.emm.m_tmsi", "rlc_lte.nas-eps.emm.m_tmsi"],
+    "hot_imsi": ["s1ap.nas-eps.emm.imsi", "nas_eps.nas-eps.emm.imsi"],
+}
+HOT_DIFFER = "hot_ids_differ"

@@ -120,3 +120,44 @@ def test_ingest_run_parses_once(spark, tmp_path):
     assert (got["packets"], got["malformed"]) == (5, 1) and got["output_bytes"] > 0
     assert load_packets(spark, str(tmp_path / "out")).count() == 5
     assert [r._error for r in spark.read.parquet(str(tmp_path / "out_rejects")).collect()] == ["ValueError: packet has no frame protocol"]
+
+
+def test_point_lookups_reach_the_scan(spark, packets, tmp_path):
+    """A lookup by any spelling of an id is a filter on a plain column; packets whose spellings differ are not lost."""
+    from sigtrace.capture_queries import stored
+    from sigtrace.operators import predicates as D
+    from tests.test_plans import _plan
+
+    odd = make_packets(spark, [{"packet_number": 5000, "fields": {"RAN_UE_NGAP_ID": "1402", "ngap.ngap.RAN_UE_NGAP_ID": "7"}}, {"packet_number": 5001, "fields": {"RAN_UE_NGAP_ID": "1402"}}])
+    both = packets.unionByName(odd)
+    table = stored(both, str(tmp_path / "t"))
+    for find in (lambda p: D.ue_anchor(p, "ran", "1402"), lambda p: D.ue_anchor(p, "enb", "3"), lambda p: D.field_equals_any(p, "m_tmsi", "400000"), lambda p: D.ue_anchor(p, "ran", "7")):
+        want = sorted(r.packet_number for r in find(both).collect())
+        assert sorted(r.packet_number for r in find(table).collect()) == want and want
+    plan = _plan(D.ue_anchor(table, "ran", "1402"))
+    assert "PushedFilters: [Or(EqualTo(hot_ran,1402),EqualTo(hot_ids_differ,true))]" in plan
+    assert "PushedFilters: [Or(EqualTo(hot_m_tmsi,400000)" in _plan(D.field_equals_any(table, "m_tmsi", "400000"))
+
+
+def test_field_lookup_by_dictionary_scans_once(spark, packets, tmp_path):
+    from sigtrace.capture_queries import stored
+    from sigtrace.operators import lookup as V
+    from tests.test_plans import _plan
+
+    table = stored(packets, str(tmp_path / "t")).drop("capture")
+    dictionary = V.write_field_dictionary(table, str(tmp_path / "d"))
+    plan = _plan(V.field_values(table, "pdn_ipv4", dictionary))
+    scans = [line for line in plan.splitlines() if line.startswith("Location:")]
+    assert sum(line.rstrip().endswith("/t]") for line in scans) == 1, scans
+    for name in ("pdn_ipv4", "hnb name", "q-RxLevMin", "m tmsi", "no such field"):
+        assert rows(V.field_values(table, name, dictionary)) == rows(V.field_values(table, name)), name
+
+
+def test_pretty_results(spark, tmp_path):
+    import json
+
+    from sigtrace.sources.packets import write_results
+
+    write_results(spark.createDataFrame([(1, None)], "a int, b string").coalesce(1), str(tmp_path / "r"), pretty=True)
+    text = next((tmp_path / "r").glob("part-*")).read_text()
+    assert json.loads(text) == {"a": 1, "b": None} and "\n" in text.strip()
