@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sigtrace.session import scratch_path
 
@@ -38,10 +39,31 @@ def release() -> None:
         trim(0)
 
 
-def released(fn: Callable) -> Callable:
-    """``fn`` of Arrow batches, releasing memory when its task ends."""
+def forget(table: DataFrame) -> None:
+    """Empty the folder of a ``written`` table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        table.sparkSession.range(0).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
+_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a worker keeps between the tasks of one stage (a tokenizer, a cache); another key takes its place."""
+    if _STATE.get("key") != key:
+        _STATE.clear()
+        release()
+        _STATE.update(key=key, value=make())
+    return _STATE["value"]
+
+
+def released(fn: Callable, state=None) -> Callable:
+    """``fn`` of Arrow batches, releasing memory when its task ends, and at its start what a worker keeps for other stages."""
 
     def run(batches):
+        if _STATE.get("key") != state:
+            _STATE.clear()
         try:
             yield from fn(batches)
         finally:
@@ -61,7 +83,7 @@ class Slots:
         self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
         left = np.arange(len(keys), dtype=np.int32)
         while len(left):
-            bits = max(4, int(len(left)).bit_length() + 1)
+            bits = max(4, int(len(left)).bit_length())
             factor, shift = np.uint64(self._FACTORS[len(self.tables) % 5] + 2 * len(self.tables)), np.uint64(64 - bits)
             place = (self.keys[left] * factor) >> shift
             table = np.full(1 << bits, -1, np.int32)
@@ -88,6 +110,25 @@ class Slots:
         return out
 
 
+#: Bits of a bitmap of keys: its size is the same for any number of keys.
+FILTER_BITS = 1 << 26
+
+
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the 64-bit keys in the only column of ``keys``: what is not in it is no key, what is may be one."""
+    place = F.col(keys.columns[0]).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    rows = keys.select(place).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most FILTER_BITS / 64
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = GROUP_CHARS):
     """Yield ``(batch slice, texts)`` of about ``size`` characters; a null text counts as empty."""
     for batch in batches:
@@ -103,17 +144,26 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: int = 1, size: int =
             yield batch.slice(start), texts
 
 
-def compressed(rows: DataFrame) -> DataFrame:
-    """(d, z): the texts ``t`` of ``rows`` (d, t) in zstd, where they must be shuffled."""
+def compressed(rows: DataFrame, wanted=None) -> DataFrame:
+    """(d, z): the texts ``t`` of ``rows`` (d, t) in zstd, where they must be shuffled.
+
+    With ``wanted``, a broadcast bitmap, only of rows whose key ``x`` passes.
+    """
     import zstandard
 
     def packed(batches: Iterator[pa.RecordBatch]):
         pack = zstandard.ZstdCompressor(level=3)
-        for part, texts in text_groups(batches):
+        for part, texts in text_groups(_passing(batches, wanted)):
             z = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], ["d", "z"])
 
-    return rows.select("d", "t").mapInArrow(packed, f"d {rows.schema['d'].dataType.simpleString()}, z binary")
+    columns = ("d", "t") if wanted is None else ("d", "t", "x")
+    return rows.select(*columns).mapInArrow(released(packed), f"d {rows.schema['d'].dataType.simpleString()}, z binary")
+
+
+def _passing(batches: Iterator[pa.RecordBatch], wanted):
+    for batch in batches:
+        yield batch if wanted is None else batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy().view(np.uint64))))
 
 
 def unpacked_groups(batches: Iterator[pa.RecordBatch], column: int, size: int = GROUP_CHARS):

@@ -32,10 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigtrace.llm.common import BoundedCache, text_groups, written
-
-_STATE: dict = {}
-
+from sigtrace.llm.common import BoundedCache, released, text_groups, worker_state, written
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -101,19 +98,14 @@ class WordEncoder:
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in split]
 
 
-def _encoder(path: str, cache_size: int) -> WordEncoder:
-    if _STATE.get("key") != (path, cache_size):
-        _STATE.update(key=(path, cache_size), encoder=WordEncoder(path, cache_size))
-    return _STATE["encoder"]
-
-
-def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, cache_size: int = 800_000) -> DataFrame:
+def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, cache_size: int = 400_000) -> DataFrame:
     """One row per piece, with ``task`` and ``task_rank`` (its number among the task's pieces of that length)."""
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
+    state = ("packing", path, cache_size)
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        encoder = _encoder(path, cache_size)
+        encoder = worker_state(state, lambda: WordEncoder(path, cache_size))
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         for part, texts in text_groups(batches):
@@ -134,7 +126,7 @@ def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
 
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["d"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"d {kind}, piece int, start long, length long, ids_crc32 long, task int, task_rank long").withColumnRenamed("d", "doc_id")
+    return rows.mapInArrow(released(cut, state), f"d {kind}, piece int, start long, length long, ids_crc32 long, task int, task_rank long").withColumnRenamed("d", "doc_id")
 
 
 class Rounds:
@@ -194,7 +186,7 @@ class Rounds:
         return self
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, cache_size: int = 800_000) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, cache_size: int = 400_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     cut = written(pieces_of(docs, doc_id, text, capacity, end_id, tokenizer, cache_size), "packing-pieces")
@@ -219,4 +211,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(moves[at, 4], pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = ranked.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(look_up, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(released(look_up), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
