@@ -15,14 +15,14 @@ which join the sharded table.  Documents with equal text share these rows, keyed
 the text.  The score is the perplexity per character, shrunk towards that of trusted text by
 ``PRIOR`` characters, because the perplexity of a short text says little.
 
-Threshold: for each language the median ``m`` and the ``upper`` quantile ``q`` of the held-out
-trusted documents' log perplexity; a document is rejected beyond ``q + slack * (q - m)``.  A language
-with fewer than ``MIN_TRUSTED`` of them uses the quantiles of all languages' together.
+Threshold: the ``upper`` quantile of the held-out trusted documents' log perplexity, for each
+language, shrunk towards the quantile of all languages' together as if that were ``SHRINK`` more
+documents; a document beyond it is rejected.  A language without any has the pooled quantile.
 
 Cases: null and empty texts have the end mark as their only character and score the prior; null languages form one
 language; without trusted documents nothing is rejected; repeated rows each get a row; very
 long texts are worked on whole; an empty table gives an empty result; own columns replace
-columns of the same name.
+columns of the same name; U+0002 and U+0003 in a text count as U+FFFD (the model uses them as marks).
 """
 
 from __future__ import annotations
@@ -34,12 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.llm.common import compressed, text_groups, unpacked_groups, written
+from sigtrace.llm.common import Slots, compressed, released, text_groups, unpacked_groups, written
 
 PAD = "\x02"
 END = "\x03"
+#: The marks in a text itself count as replacement characters.
+_OWN = {2: "\ufffd", 3: "\ufffd"}
+#: Bits of a character in a packed gram; others are counted by their text.
+NARROW = 12
 PRIOR = 200
-MIN_TRUSTED = 30
+#: Held-out documents that the pooled quantile counts for beside a language's own.
+SHRINK = 10
 HELD_OUT = 5
 #: Characters worked on at once.
 GROUP = 1_000_000
@@ -51,28 +56,45 @@ class Grams:
 
     def __init__(self, texts: list[str], order: int):
         self.order = order
-        marked = [PAD * (order - 1) + t + END for t in texts]
+        marked = [PAD * (order - 1) + t.translate(_OWN) + END for t in texts]
         self.text = "".join(marked)
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        hashes = np.zeros(len(codes) - order + 1, np.uint64)
-        for k in range(order):
-            hashes = hashes * _STEP + codes[k : k + len(hashes)]
-        hashes ^= hashes >> np.uint64(31)
-        ends = np.cumsum(sizes)
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.counts = sizes - (order - 1)
-        inside = np.ones(len(hashes), bool)  # not the grams that reach into the next text
-        for e in ends[:-1]:
-            inside[e - order + 1 : e] = False
-        self.at = np.flatnonzero(inside)
-        self.hashes = hashes[self.at]
         self.edges = np.concatenate(([0], np.cumsum(self.counts)))
+        # not the grams that reach into the next text
+        self.at = np.arange(self.edges[-1]) + np.repeat(np.arange(len(texts)) * (order - 1), self.counts)
+
+    def hashes(self) -> np.ndarray:
+        codes = self.codes.astype(np.uint64)
+        hashes = np.zeros(len(codes) - self.order + 1, np.uint64)
+        for k in range(self.order):
+            hashes = hashes * _STEP + codes[k : k + len(hashes)]
+        hashes ^= hashes >> np.uint64(31)
+        return hashes[self.at]
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The grams' characters in one number each, and which grams have one beyond ``NARROW`` bits."""
+        codes = self.codes.astype(np.uint64)
+        held = np.zeros(len(codes) - self.order + 1, np.uint64)
+        wide = np.zeros(len(held), bool)
+        for k in range(self.order):
+            some = codes[k : k + len(held)]
+            held |= some << np.uint64(NARROW * k)
+            wide |= some >> np.uint64(NARROW) != 0
+        return held[self.at], wide[self.at]
 
     def gram(self, i: int) -> str:
         at = self.at[i]
         return self.text[at : at + self.order]
 
 
+def _unpacked(packed: np.ndarray, order: int) -> list[str]:
+    codes = (packed[:, None] >> (np.arange(order, dtype=np.uint64) * np.uint64(NARROW))) & np.uint64((1 << NARROW) - 1)
+    text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[i : i + order] for i in range(0, len(text), order)]
+
+
 def hashed(grams: list[str], order: int) -> np.ndarray:
     codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, order)
     hashes = np.zeros(len(codes), np.uint64)
@@ -84,33 +106,61 @@ def hashed(grams: list[str], order: int) -> np.ndarray:
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
     """(gram, n, trusted): occurrences in all and in training documents.  ``docs`` has z (compressed text), good."""
 
+    names = ["gram", "n", "trusted"]
+
+    def batch(grams: list[str], n: np.ndarray, trusted: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.int64()), pa.array(trusted, pa.int64())], names)
+
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        keys, n, trusted = (np.concatenate(x) for x in zip(*parts))
+        at = np.argsort(keys)
+        keys = keys[at]
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[begins], np.add.reduceat(n[at], begins), np.add.reduceat(trusted[at], begins)
+
     def counted(batches: Iterator[pa.RecordBatch]):
-        total: dict[str, list[int]] = {}
+        parts: list[tuple[np.ndarray, ...]] = []  # narrow grams, packed
+        total: dict[str, list[int]] = {}  # others
 
         def flush():
-            grams = list(total)
-            values = np.array([total[g] for g in grams], np.int64).reshape(-1, 2)
+            if parts:
+                keys, n, trusted = summed(parts)
+                parts.clear()
+                for i in range(0, len(keys), 100_000):
+                    yield batch(_unpacked(keys[i : i + 100_000], order), n[i : i + 100_000], trusted[i : i + 100_000])
+            values = np.array(list(total.values()), np.int64).reshape(-1, 2)
+            yield batch(list(total), values[:, 0], values[:, 1])
             total.clear()
-            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(values[:, 0]), pa.array(values[:, 1])], ["gram", "n", "trusted"])
 
         for part, texts in unpacked_groups(batches, 0, GROUP):
-            good = np.array([bool(x) for x in part.column(1).to_pylist()])
             g = Grams(texts, order)
-            keys, where, inverse, n = np.unique(g.hashes, return_index=True, return_inverse=True, return_counts=True)
-            trusted = np.bincount(inverse, weights=np.repeat(good, g.counts), minlength=len(keys)).astype(np.int64)
-            for i, a, b in zip(where.tolist(), n.tolist(), trusted.tolist()):
-                gram = g.gram(i)
-                held = total.get(gram)
-                if held:
+            good = np.repeat(np.array([bool(x) for x in part.column(1).to_pylist()]), g.counts)
+            packed, wide = g.packed()
+            if NARROW * order > 63:
+                wide[:] = True
+            narrow = np.sort((packed << np.uint64(1) | good)[~wide])
+            if len(narrow):
+                begins = np.flatnonzero(np.concatenate(([True], narrow[1:] != narrow[:-1])))
+                n = np.diff(np.concatenate((begins, [len(narrow)])))
+                keys = narrow[begins]
+                parts.append((keys >> np.uint64(1), n, np.where(keys & np.uint64(1), n, 0)))
+            if wide.any():
+                wide = np.flatnonzero(wide)
+                _, where, inverse, n = np.unique(g.hashes()[wide], return_index=True, return_inverse=True, return_counts=True)
+                trusted = np.bincount(inverse, weights=good[wide], minlength=len(n)).astype(np.int64)
+                for i, a, b in zip(wide[where].tolist(), n.tolist(), trusted.tolist()):
+                    held = total.setdefault(g.gram(i), [0, 0])
                     held[0] += a
                     held[1] += b
-                else:
-                    total[gram] = [a, b]
+            if sum(len(p[0]) for p in parts) > 2_000_000:
+                parts[:] = [summed(parts)]
+                if len(parts[0][0]) > 1_000_000:
+                    yield from flush()
             if len(total) > 300_000:
-                yield flush()
-        yield flush()
+                yield from flush()
+        yield from flush()
 
-    rows = docs.select("z", "good").mapInArrow(counted, "gram string, n long, trusted long")
+    rows = docs.select("z", "good").mapInArrow(released(counted), "gram string, n long, trusted long")
     return rows.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
 
 
@@ -193,18 +243,15 @@ def score(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     counts = written(gram_counts(compressed(rows).join(ids, "d", "left"), order), "kneser-ney-grams")
     model = written(probabilities(counts, order), "kneser-ney-model")
     keys, logp, _ = _frequent(model, frequent)
-    held = spark.sparkContext.broadcast((keys, logp))
+    held = spark.sparkContext.broadcast((Slots(keys), np.append(logp, 0.0)))
 
     def scored(batches: Iterator[pa.RecordBatch]):
-        keys, logp = held.value
+        slots, logp = held.value
         for part, texts in text_groups(batches, 1, GROUP):
             g = Grams(texts, order)
-            unique, where, inverse = np.unique(g.hashes, return_index=True, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
-            hit = keys[at] == unique if len(keys) else np.zeros(len(unique), bool)
-            value = np.where(hit, logp[at], 0.0) if len(keys) else np.zeros(len(unique))
-            total = np.add.reduceat(value[inverse], g.edges[:-1])
-            missed = np.flatnonzero(~hit[inverse])
+            at = slots.find(g.hashes())
+            total = np.add.reduceat(logp[at], g.edges[:-1])
+            missed = np.flatnonzero(at < 0)
             owner = np.searchsorted(g.edges, missed, side="right") - 1
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
             grams = [g.gram(i) for i in missed.tolist()]
@@ -213,7 +260,7 @@ def score(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
 
     keyed = rows.select("d", "t", "lang", text_hash(F.col("t")).alias("x"))
     kind = keyed.schema["d"].dataType.simpleString()
-    first = written(keyed.mapInArrow(scored, f"d {kind}, lang string, x long, n_scored long, common double, rest array<string>"), "kneser-ney-scores")
+    first = written(keyed.mapInArrow(released(scored), f"d {kind}, lang string, x long, n_scored long, common double, rest array<string>"), "kneser-ney-scores")
     rare = first.where(F.size("rest") > 0).select("x", "rest").groupBy("x").agg(F.first("rest").alias("rest"))
     rare = rare.select("x", F.explode("rest").alias("gram")).groupBy("x", "gram").agg(F.count("*").alias("k"))
     more = rare.join(model.select("gram", "logp"), "gram").groupBy("x").agg(F.sum(F.col("k") * F.col("logp")).alias("more"))
@@ -221,7 +268,7 @@ def score(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     return whole.select("d", "lang", "x", F.coalesce("calibrates", F.lit(False)).alias("calibrates"), "n_scored", (F.col("common") + F.coalesce("more", F.lit(0.0))).alias("logp"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, frequent: int = 300_000, upper: float = 0.99, slack: float = 1.0) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, frequent: int = 300_000, upper: float = 0.995) -> DataFrame:
     """(doc_id, lang, text_hash, n_scored, perplexity, log_limit, kept) of every row."""
     scores = written(score(docs, trusted, doc_id, text, lang, order, frequent), "kneser-ney-sums")
     good = scores.where("calibrates")
@@ -229,11 +276,11 @@ def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text:
     mean = prior[0] / prior[1] if prior[1] else -float(np.log(100))
     ppl = scores.withColumn("log_ppl", -(F.col("logp") + PRIOR * mean) / (F.col("n_scored") + PRIOR))
     good = ppl.where("calibrates")
-    stats = [F.count("*").alias("k"), F.percentile_approx("log_ppl", F.array(F.lit(0.5), F.lit(upper)), 10_000).alias("q")]
-    limit = lambda q: q[1] + slack * (q[1] - q[0])
-    by_lang = good.groupBy("lang").agg(*stats).where(F.col("k") >= MIN_TRUSTED).select(F.col("lang").alias("of"), limit(F.col("q")).alias("own_limit"))
+    stats = [F.count("*").alias("k"), F.percentile_approx("log_ppl", upper, 10_000).alias("q")]
     overall = good.agg(*stats).first()
-    default = float(limit(overall["q"])) if overall["q"] else None
-    judged = ppl.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("log_limit", F.coalesce("own_limit", F.lit(default).cast("double")))
+    pooled = F.lit(overall["q"]).cast("double")
+    own = (F.col("k") * F.col("q") + SHRINK * pooled) / (F.col("k") + SHRINK)
+    by_lang = good.groupBy("lang").agg(*stats).select(F.col("lang").alias("of"), own.alias("own_limit"))
+    judged = ppl.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("log_limit", F.coalesce("own_limit", pooled))
     kept = F.coalesce(F.col("log_ppl") <= F.col("log_limit"), F.lit(True))
     return judged.select(F.col("d").alias("doc_id"), "lang", F.col("x").alias("text_hash"), "n_scored", F.exp("log_ppl").alias("perplexity"), "log_limit", kept.alias("kept"))
