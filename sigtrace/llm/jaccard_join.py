@@ -12,11 +12,11 @@ result is the connected component of every document.
   linked pair shares several of these), and sets that share too few of them with any other are
   out - most of the corpus.  The rest post all their shingles; a set of which others hold less
   than the least overlap is out, too.  Of the shared ones each set keeps its rarest, enough
-  that linked pairs still meet in one.  The lists are scanned in rounds: every list
-  tests its members against one centre; members already in one component need no test.  After
-  a few rounds with other centres, all pairs of a list that are in different components and
-  untested are tested.  So a group of m near copies costs about m tests, and no link between
-  different components is missed.
+  that linked pairs still meet in one.  The lists are scanned in rounds: every list that is
+  open (its members are in different components) tests them against one centre, then against
+  about ``WIDER``, ``WIDER`` squared, ... centres, until no list is open or all its members have been
+  centres; members already in one component need no test.  So a group of m near copies costs
+  about m tests, and no link between different components is missed.
 
 Tests run on the whole texts.  Shingles and set ids are 64-bit hashes.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.llm.common import compressed, text_groups, unpacked_groups, written
+from sigtrace.llm.common import compressed, in_bitmap, key_bitmap, released, text_groups, unpacked_groups, written
 from sigtrace.llm.kneser_ney import text_hash
 from sigtrace.llm.shingles import set_id, shingle_sets
 from sigtrace.plans.components import connected_components
@@ -49,7 +49,8 @@ MAX_LIGHT = 16
 TEST_COST = 2.0
 #: The extended prefix holds ``size / EXTRA`` shingles more than a plain one, and at least so many.
 EXTRA, EXTRA_LEAST = 16, 32
-ROUNDS = 2
+#: Centres of a list grow by this factor from round to round.
+WIDER = 32
 
 
 class Bounds:
@@ -116,7 +117,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
             yield _rows(["d", "n", "node", "x"], part.column(0), pa.array(map(len, sets), pa.int64()), node, part.column(2))
 
-    return docs.mapInArrow(profiled, f"d {docs.schema['d'].dataType.simpleString()}, n long, node long, x long")
+    return docs.mapInArrow(released(profiled), f"d {docs.schema['d'].dataType.simpleString()}, n long, node long, x long")
 
 
 def _light_edges(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
@@ -139,15 +140,15 @@ def _light_edges(docs: DataFrame, words: int, bounds: Bounds, boundary: int) ->
                         node.append(own)
             yield _rows(["high", "low", "side", "node"], pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(upper, pa.int32()), pa.array(node, pa.int64()))
 
-    keys = docs.mapInArrow(enumerated, "high long, low long, side int, node long")
+    keys = written(docs.mapInArrow(released(enumerated), "high long, low long, side int, node long"), "jaccard-subsets")
     # a subset links its members when both sizes hold it (or two sets, where the sizes are equal)
     found = keys.groupBy("high", "low").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min("side").alias("s1"), F.max("side").alias("s2"))
     found = found.where("least != most AND (s1 = 0 OR s1 != s2)").select("high", "low", "least")
     return keys.join(found, ["high", "low"]).where("node != least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
 
 
-def _postings(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
-    """(h, node, size): the extended prefix of every set above the boundary."""
+def _postings(docs: DataFrame, words: int, bounds: Bounds, boundary: int, common=None) -> DataFrame:
+    """(h, node, size): the extended prefix of every set above the boundary, or what of it passes the bitmap ``common``."""
 
     def posted(batches):
         seen: set[int] = set()
@@ -162,17 +163,23 @@ def _postings(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> Dat
                     node.append(own), size.append(len(s))
             if held:
                 n = [len(x) for x in held]
-                yield _rows(["h", "node", "size"], np.concatenate(held).view(np.int64), np.repeat(np.array(node, np.int64), n), np.repeat(np.array(size, np.int32), n))
+                h, node, size = np.concatenate(held), np.repeat(np.array(node, np.int64), n), np.repeat(np.array(size, np.int32), n)
+                if common is not None:
+                    some = in_bitmap(common.value, h >> np.uint64(16))
+                    h, node, size = h[some], node[some], size[some]
+                yield _rows(["h", "node", "size"], h.view(np.int64), node, size)
 
-    return docs.mapInArrow(posted, "h long, node long, size int")
+    return docs.mapInArrow(released(posted), "h long, node long, size int")
 
 
 def _candidates(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
     """(node): heavy sets that share enough of their extended prefix with others to have a partner."""
     # counts of the leading 48 bits: at least those of the shingle
-    group = F.shiftright("h", 16).alias("g")
-    counts = _postings(docs, words, bounds, boundary).select(group).groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    common = _postings(docs, words, bounds, boundary).withColumn("g", group).join(counts, "g", "left_semi")
+    group = F.shiftrightunsigned("h", 16).alias("g")
+    counts = written(_postings(docs, words, bounds, boundary).select(group).groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "jaccard-repeated")
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(counts))
+    # most shingles occur once and stay in their task
+    common = _postings(docs, words, bounds, boundary, bits).withColumn("g", group).join(counts, "g", "left_semi")
     least = F.ceil(F.col("size") * bounds.percent / 100)
     own = F.ceil(least * bounds.percent / 100)
     shared = F.least(own, F.greatest(F.lit(EXTRA_LEAST), F.ceil(least / EXTRA)))  # Bounds.shared
@@ -191,7 +198,7 @@ def _lists(texts: DataFrame, words: int, bounds: Bounds) -> DataFrame:
             n = np.array([len(x) for x in sets], np.int64)
             yield _rows(["h", "node", "size"], np.concatenate(sets).view(np.int64), np.repeat(part.column(0).to_numpy(), n), np.repeat(n.astype(np.int32), n))
 
-    posts = texts.select("node", "z").mapInArrow(posted, "h long, node long, size int")
+    posts = texts.select("node", "z").mapInArrow(released(posted), "h long, node long, size int")
     counts = posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     kept = posts.join(counts, "h").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("held"))
     least = F.ceil(F.col("size") * bounds.percent / 100).cast("int")
@@ -228,7 +235,7 @@ def _tested(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     linked.append(100 * common >= percent * (len(sets[a]) + len(sets[b]) - common))
                 yield _rows(["src", "dst", "linked"], part.column(0), part.column(1), pa.array(linked, pa.bool_()))
 
-    return both.mapInArrow(compared, "src long, dst long, linked boolean")
+    return both.mapInArrow(released(compared), "src long, dst long, linked boolean")
 
 
 def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
@@ -236,34 +243,41 @@ def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds,
     # one row of each candidate's set stands for it
     candidates = _candidates(docs, words, bounds, boundary)
     stand_in = written(sizes.join(candidates, "node", "left_semi").groupBy("node").agg(F.min(F.struct("d", "x")).alias("d")), "jaccard-candidates")
-    texts = written(compressed(docs.select(F.struct("d", "x").alias("d"), "t")).join(stand_in, "d").select("node", "z").dropDuplicates(["node"]), "jaccard-texts")
+    wanted = docs.sparkSession.sparkContext.broadcast(key_bitmap(stand_in.select("d.x")))
+    packed = compressed(docs.select(F.struct("d", "x").alias("d"), "t", "x"), wanted)
+    texts = written(packed.join(stand_in, "d").select("node", "z").dropDuplicates(["node"]), "jaccard-texts")
     lists = written(_lists(texts, words, bounds), "jaccard-lists")
     span = lists.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("h")
     lists = written(lists.join(span, "h"), "jaccard-shared")
     members = lists.select("node").distinct()
 
-    tested, linked = None, None
+    tested, linked, turn, centres = None, None, 0, 1
     label = members.withColumn("component", F.col("node"))
-    for turn in range(ROUNDS + 1):
+    while True:
         held = lists.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_lists = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
-        held = held.join(open_lists, "h")
-        if turn < ROUNDS:
-            order = F.xxhash64("node", F.lit(turn), F.pmod("h", F.lit(4)) if turn else F.lit(0))
-            centre = held.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("src"), F.col("size").alias("a"), F.col("left").alias("left_a"), F.col("component").alias("of")), order).alias("x")).select("h", "x.*")
-            pairs = held.join(centre, "h").where("component != of")
-        else:
-            other = held.select("h", F.col("node").alias("src"), F.col("size").alias("a"), F.col("left").alias("left_a"), F.col("component").alias("of"))
-            pairs = held.join(other, "h").where("component != of AND node < src")
+        open_lists = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("h", "m")
+        held = written(held.join(open_lists, "h"), "jaccard-open")
+        longest = held.agg(F.max("m")).first()[0]
+        if longest is None:
+            break
+        centre = F.struct(F.col("node").alias("src"), F.col("size").alias("a"), F.col("left").alias("left_a"), F.col("component").alias("of"))
+        if turn == 0:
+            chosen = held.groupBy("h").agg(F.min_by(centre, F.xxhash64("node")).alias("x"))
+        else:  # about so many of each list, in the end all
+            chosen = held.where(F.pmod(F.xxhash64("node", F.lit(turn)), "m") < centres).select("h", centre.alias("x"))
+        pairs = held.join(chosen.select("h", "x.*"), "h").where("component != of")
         pairs = pairs.where(_testable(bounds, "a", "size", "left_a", "left")).select(F.least("src", "node").alias("src"), F.greatest("src", "node").alias("dst")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("src", "dst"), ["src", "dst"], "left_anti")
         result = written(_tested(pairs, texts, words, bounds.percent), "jaccard-tested")
         tested = result if tested is None else tested.unionByName(result)
         linked = tested.where("linked").select("src", "dst")
-        if turn < ROUNDS:
-            label = connected_components(linked)
-    return linked
+        if turn and longest <= centres:
+            break
+        label = connected_components(linked)
+        turn, centres = turn + 1, centres * WIDER
+    wanted.destroy()
+    return linked if linked is not None else members.select(F.col("node").alias("src"), F.col("node").alias("dst"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, grouped: bool = False) -> DataFrame:
