@@ -12,15 +12,17 @@ of a piece.
   Within a shard all phrases of that support are found, length by length: a phrase can only have
   it if its first and its last ``k - 1`` words have.  Small inputs have shards that leave a local
   support of ``LEAST_LOCAL``.
-* **Union.**  The locally frequent phrases of all shards, by language and key.
+* **Union.**  The locally frequent phrases of all shards, by language and key.  A shard that does not
+  name a phrase has at most its local support less one of it; where what the naming shards have
+  beyond that does not lift the sum of these bounds to ``support``, the phrase is out.
 * **Count.**  Another reading counts the union in all texts: keys go through a bitmap of fixed
-  size (``FILTER_BITS``), each shard adds up what passes, and the sums are joined with the union,
-  so a false hit of the bitmap is counted in vain but never kept.  Supports are exact.
-* **Texts.**  A last reading writes out the frequent phrases, from the shards where they reach the
-  local support.
-* **Scores.**  Every cut of a candidate joins the exact counts of its two parts; products are
-  decimals of 38 digits.  Candidates inside a longer one of (nearly) equal support are dropped; it
-  is enough to look at those one word longer, as counts only grow towards the inner phrase.
+  size (``common.FILTER_BITS``), each shard adds up what passes, and the sums are joined with the
+  union, so a false hit of the bitmap is counted in vain but never kept.  Supports are exact.  A
+  shard where a phrase reaches the local support also names its first and last ``k - 1`` words.
+* **Scores.**  Following these links gives both parts of every cut, which join the exact counts;
+  products are decimals of 38 digits.  Candidates inside a longer one of (nearly) equal support are
+  dropped; it is enough to look at those one word longer, as counts only grow towards the inner phrase.
+* **Texts.**  A last reading writes out the phrases that rank among the first ``top`` (ties included).
 
 Keys are 64-bit hashes of the words and stand for the phrases.  From ``support`` shards on, the local
 support is 1 and the union holds every phrase of frequent words: still exact and in proportion to
@@ -41,13 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sigtrace.llm.common import released, text_groups, written
+from sigtrace.llm.common import in_bitmap, key_bitmap, released, text_groups, written
 
-#: Least words of a shard (at most twice as many, or one text), and of the shards of small inputs.
-SHARD, SMALL_SHARD = 2_500_000, 100_000
+#: Words of a shard (up to half as many more, or one text), and least words of the shards of small inputs.
+SHARD, SMALL_SHARD = 4_500_000, 100_000
 #: The local support that shards of small inputs leave.
 LEAST_LOCAL = 4
-FILTER_BITS = 1 << 26
 #: Characters split into words at once.
 GROUP = 1_000_000
 #: Rows given back at once.
@@ -111,6 +112,13 @@ class Words:
             out.append(b" ".join(data[s : s + n] for s, n in zip(starts[i : i + k].tolist(), sizes[i : i + k].tolist())).decode("utf-8", "replace"))
         return out
 
+    def key(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The keys of the phrases of k words at these places."""
+        keys = _mixed(self.hashes[at])
+        for j in range(1, k):
+            keys = _mixed(keys * _STEP + self.hashes[at + j])
+        return keys
+
     def levels(self, longest: int):
         """Yield (k, positions, keys) of the phrases of k words; the mask sent back says which may grow."""
         at, keys = np.arange(self.n, dtype=np.int32), _mixed(self.hashes)
@@ -131,33 +139,31 @@ def _counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return order, begins, np.diff(np.concatenate((begins, [len(keys)])))
 
 
-def _key_of(hashes: np.ndarray) -> np.ndarray:
-    """Keys of phrases given as rows of word hashes."""
-    keys = _mixed(hashes[:, 0])
-    for j in range(1, hashes.shape[1]):
-        keys = _mixed(keys * _STEP + hashes[:, j])
-    return keys
-
+def _shards(batches: Iterator[pa.RecordBatch], least: int, share: float = 2.0):
+    """Yield {(lang, n): Words}: shards end at ``least`` words or where a language (of some size) has ``share`` of its words.
 
-def _shards(batches: Iterator[pa.RecordBatch], least: int):
-    """Yield {(lang, n): Words} of ``least`` to twice as many words (the last may be all there is); rows are (t, lang, n)."""
+    Rows are (t, lang, n).  What is left at a task's end joins the shard before if it is less than half of one.
+    """
     ready: dict[tuple[str, int], Words] = {}
     held: dict[tuple[str, int], Words] = {}
-    size = 0
+
+    def part_of(shard) -> float:
+        return max([sum(w.n for w in shard.values()) / least, *(w.n / (share * n) for (_, n), w in shard.items() if w.n >= SMALL_SHARD and n)], default=0.0)
+
     for part, texts in text_groups(batches, 0, GROUP):
         by: dict[tuple[str, int], list[str]] = {}
         for text, lang, n in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist()):
             by.setdefault((lang, n), []).append(text)
         for key, group in by.items():
-            words = held.setdefault(key, Words())
-            size -= words.n
-            words.add(group)
-            size += words.n
-        if size >= least:
+            held.setdefault(key, Words()).add(group)
+        if part_of(held) >= 1:
             if ready:
                 yield ready
-            ready, held, size = held, {}, 0
-    for key, words in held.items():  # what is left is too little for a shard of its own
+            ready, held = held, {}
+    if ready and part_of(held) >= 0.5:
+        yield ready
+        ready = {}
+    for key, words in held.items():
         ready.setdefault(key, Words()).merge(words)
     if ready:
         yield ready
@@ -179,96 +185,104 @@ def _word_counts(rows: DataFrame, least: int) -> DataFrame:
     return counts.groupBy("lang", "key").agg(F.sum("n").alias("f"))
 
 
-def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64(FILTER_BITS - 1)
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+def _levels(words: Words, longest: int, grow):
+    """Yield (k, positions, keys) from two words on; ``grow(k, keys)`` says which of the keys may be counted and grow."""
+    steps, taken = words.levels(longest), None
+    while True:
+        try:
+            k, at, keys = steps.send(taken)
+        except StopIteration:
+            return
+        taken = grow(k, keys)
+        if k > 1:
+            yield k, at[taken], keys[taken]
+
+
+def _batch(lang: str, **columns) -> pa.RecordBatch:
+    columns = {n: c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for n, c in columns.items()}
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), *columns.values()], ["lang", *columns])
 
 
-def _mined(rows: DataFrame, bitmap, support: int, longest: int, least: int, named: bool = False) -> DataFrame:
-    """(lang, key): phrases that reach the local support of some shard; ``bitmap`` has the frequent words.
+def _mined(rows: DataFrame, bitmap, support: int, longest: int, least: int, share: float) -> DataFrame:
+    """(lang, key, over): how far each phrase of a shard reaches over the local support less one, for those that reach it.
 
-    ``named``: (lang, key, k, phrase, left, right) of those in the bitmap, which has all words and phrases wanted;
-    ``left`` and ``right`` are the keys of the two parts of every cut, shortest first part first.
+    ``bitmap`` has the frequent words.  The null key has the local support less one.
     """
 
     def mined(batches: Iterator[pa.RecordBatch]):
         bits = bitmap.value
-        for shard in _shards(batches, least):
+        for shard in _shards(batches, least, share):
             for (lang, n), words in shard.items():
                 local = -(-support * words.joined().n // n)
-                steps = words.levels(longest)
-                taken = None
-                while True:
-                    try:
-                        k, at, keys = steps.send(taken)
-                    except StopIteration:
-                        break
-                    taken = _passes(bits, keys) if k == 1 or named else np.ones(len(keys), bool)
+                yield _batch(lang, key=pa.array([None], pa.int64()), over=pa.array([local - 1], pa.int64()))
+                found: list[tuple[np.ndarray, np.ndarray]] = []
+
+                def grow(k: int, keys: np.ndarray) -> np.ndarray:
                     if k == 1:
-                        continue
-                    inside = np.flatnonzero(taken) if named else None
-                    order, begins, counts = _counted_keys(keys if inside is None else keys[inside])
+                        return in_bitmap(bits, keys)
+                    order, begins, counts = _counted_keys(keys)
                     often = counts >= local
-                    first = order[begins[often]]
-                    if named:
-                        first = inside[first]
-                        for i in range(0, len(first), ROWS):
-                            yield _phrases(lang, words, k, keys[first[i : i + ROWS]], at[first[i : i + ROWS]])
-                        continue
+                    taken = np.zeros(len(keys), bool)
                     taken[order] = np.repeat(often, counts)
-                    found = pa.array(keys[first].view(np.int64), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found], ["lang", "key"])
+                    found.append((keys[order[begins[often]]], counts[often] - (local - 1)))
+                    return taken
 
-    kept = "lang string, key long, k int, phrase string, left array<long>, right array<long>" if named else "lang string, key long"
-    return rows.mapInArrow(released(mined), kept)
+                for _ in _levels(words, longest, grow):
+                    keys, over = found.pop()
+                    yield _batch(lang, key=keys, over=over)
 
+    return rows.mapInArrow(released(mined), "lang string, key long, over long")
 
-def _phrases(lang: str, words: Words, k: int, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    text = words.phrases(at, k)
-    hashes = words.hashes[at[:, None] + np.arange(k)] if len(at) else np.zeros((0, k), np.uint64)
-    cuts = np.arange(len(at) + 1, dtype=np.int32) * (k - 1)
-    if k > 1 and len(at):
-        left = np.stack([_key_of(hashes[:, :c]) for c in range(1, k)], axis=1).ravel()
-        right = np.stack([_key_of(hashes[:, c:]) for c in range(1, k)], axis=1).ravel()
-    else:
-        left = right = np.zeros(0, np.uint64)
-    parts = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x.view(np.int64), pa.int64())) for x in (left, right)]
-    columns = [pa.array([lang] * len(at), pa.string()), pa.array(keys.view(np.int64), pa.int64()), pa.array(np.full(len(at), k, np.int32)), pa.array(text, pa.string()), *parts]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "key", "k", "phrase", "left", "right"])
 
+def _counted(rows: DataFrame, bitmap, support: int, longest: int, least: int, share: float) -> DataFrame:
+    """(lang, key, f, k, first, last): occurrences of the phrases that pass the bitmap, and the keys of their first and last k - 1 words."""
 
-def _bitmap(candidates: DataFrame) -> np.ndarray:
-    """``FILTER_BITS`` bits, set where some candidate's key falls: a driver array of fixed size."""
-    place = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
-    rows = candidates.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return bits
+    def counts(batches: Iterator[pa.RecordBatch]):
+        bits = bitmap.value
+        for shard in _shards(batches, least, share):
+            for (lang, n), words in shard.items():
+                local = -(-support * words.joined().n // n)
+                for k, at, keys in _levels(words, longest, lambda k, keys: in_bitmap(bits, keys)):
+                    order, begins, f = _counted_keys(keys)
+                    place = at[order[begins]]
+                    first, last = words.key(place, k - 1), words.key(place + 1, k - 1)
+                    unnamed = f < local  # a frequent phrase reaches the local support of some shard
+                    link = lambda x: pa.array(x.view(np.int64), mask=unnamed)
+                    yield _batch(lang, key=keys[order[begins]], n=f, k=pa.array(np.full(len(f), k, np.int32), mask=unnamed), first=link(first), last=link(last))
 
+    counted = rows.mapInArrow(released(counts), "lang string, key long, n long, k int, first long, last long")
+    return counted.groupBy("lang", "key").agg(F.sum("n").alias("f"), *[F.max(c).alias(c) for c in ("k", "first", "last")])
 
-def _counted(rows: DataFrame, bitmap, longest: int, least: int) -> DataFrame:
-    """(lang, key, f): occurrences of the phrases that pass the bitmap, added up by shard and then by key."""
 
-    def counts(batches: Iterator[pa.RecordBatch]):
-        bits = bitmap.value
-        for shard in _shards(batches, least):
-            for (lang, _), words in shard.items():
-                steps = words.joined().levels(longest)
-                taken = None
-                while True:
-                    try:
-                        k, _, keys = steps.send(taken)
-                    except StopIteration:
-                        break
-                    taken = _passes(bits, keys)
-                    if k > 1:
-                        keys = keys[taken]
-                        order, begins, n = _counted_keys(keys)
-                        found = pa.array(keys[order[begins]].view(np.int64), pa.int64())
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), found, pa.array(n, pa.int64())], ["lang", "key", "n"])
-
-    return rows.mapInArrow(released(counts), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("f"))
+def _named(rows: DataFrame, bitmap, wanted, support: int, longest: int, least: int, share: float) -> DataFrame:
+    """(lang, key, phrase) of the keys in ``wanted``; ``bitmap`` has all frequent words and phrases."""
+
+    def named(batches: Iterator[pa.RecordBatch]):
+        bits, chosen = bitmap.value, wanted.value
+        for shard in _shards(batches, least, share):
+            for (lang, n), words in shard.items():
+                local = -(-support * words.joined().n // n)
+                for k, at, keys in _levels(words, longest, lambda k, keys: in_bitmap(bits, keys)):
+                    some = in_bitmap(chosen, keys)
+                    at, keys = at[some], keys[some]
+                    order, begins, counts = _counted_keys(keys)
+                    first = order[begins[counts >= local]]
+                    for i in range(0, len(first), ROWS):
+                        yield _batch(lang, key=keys[first[i : i + ROWS]], phrase=pa.array(words.phrases(at[first[i : i + ROWS]], k), pa.string()))
+
+    return rows.mapInArrow(released(named), "lang string, key long, phrase string").groupBy("lang", "key").agg(F.first("phrase").alias("phrase"))
+
+
+def _parts(candidates: DataFrame, frequent: DataFrame, link: str, longest: int) -> DataFrame:
+    """(lang, key, k, size, part): the keys of the first (``link`` = first) or last ``size`` words of each candidate."""
+    part = candidates.select("lang", "key", "k", (F.col("k") - 1).alias("size"), F.col(link).alias("part"))
+    links = frequent.select("lang", F.col("key").alias("part"), F.col(link).alias("next"))
+    out = part
+    for _ in range(longest - 2):
+        part = part.where("size > 1").join(links, ["lang", "part"]).select("lang", "key", "k", (F.col("size") - 1).alias("size"), F.col("next").alias("part"))
+        out = out.unionByName(part)
+    return out
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, longest: int = 5, absorb: int = 100, top: int | None = 2000) -> DataFrame:
@@ -282,39 +296,50 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", suppor
     rows = docs.select(F.col(text).cast("string").alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     counted = _word_counts(rows, SHARD)
     counted = written(counted.where(F.col("key").isNull() | (F.col("f") >= support)), "phrases-words")
-    totals = counted.where("key IS NULL AND f > 0").select("lang", F.col("f").alias("n"))
+    # a table of its own, one row a language: Spark knows that it is small and the texts stay where they are
+    totals = written(counted.where("key IS NULL AND f > 0").select("lang", F.col("f").alias("n")).coalesce(1), "phrases-totals")
     words = counted.where("key IS NOT NULL").select("lang", "key", "f")
 
     total = totals.agg(F.sum("n")).first()[0] or 0
-    least = min(SHARD, max(SMALL_SHARD, -(-total * LEAST_LOCAL // support)))
+    # a little under the share that gives LEAST_LOCAL exactly, as shards end with a whole group of texts
+    share = max((LEAST_LOCAL - 0.4) / support, SMALL_SHARD / max(total, 1))
+    least = int(min(SHARD, max(SMALL_SHARD, total * share)))
     # coalescing moves no text: a task reads more files, so that it has a whole shard
-    known = rows.join(totals, "lang").select("t", "lang", "n").coalesce(max(1, total // least))
-    bitmap = spark.sparkContext.broadcast(_bitmap(words))
-    union = written(_mined(known, bitmap, support, longest, least).distinct(), "phrases-union")
-    bitmap.destroy()
-
-    bitmap = spark.sparkContext.broadcast(_bitmap(words.select("key").unionAll(union.select("key"))))
-    frequent = written(_counted(known, bitmap, longest, least).where(F.col("f") >= support).join(union, ["lang", "key"]), "phrases-frequent")
+    known = rows.join(totals, "lang").select("t", "lang", "n").coalesce(max(1, -(-total * 23 // (20 * least))))
+    sent = lambda keys: spark.sparkContext.broadcast(key_bitmap(keys))
+    bitmap = sent(words.select("key"))
+    mined = written(_mined(known, bitmap, support, longest, least, share).groupBy("lang", "key").agg(F.sum("over").alias("over")), "phrases-mined")
     bitmap.destroy()
+    bound = written(mined.where("key IS NULL").select("lang", F.col("over").alias("bound")).coalesce(1), "phrases-bounds")
+    union = mined.where("key IS NOT NULL").join(bound, "lang").where(F.col("over") + F.col("bound") >= support).select("lang", "key")
 
-    bitmap = spark.sparkContext.broadcast(_bitmap(words.select("key").unionAll(frequent.select("key"))))
-    named = _mined(known, bitmap, support, longest, least, named=True).groupBy("lang", "key").agg(*[F.first(c).alias(c) for c in ("k", "phrase", "left", "right")])
-    candidates = written(frequent.withColumnRenamed("f", "a").join(named, ["lang", "key"]), "phrases-candidates")
+    bitmap = sent(words.select("key").unionAll(union.select("key")))
+    counted = _counted(known, bitmap, support, longest, least, share).where(F.col("f") >= support)
+    frequent = written(counted.join(union, ["lang", "key"], "left_semi"), "phrases-frequent")
     bitmap.destroy()
 
-    counts = words.unionByName(frequent)
-    longer = candidates.where("k > 2").select("lang", F.col("a").alias("outer"), F.explode(F.array(F.element_at("left", -1), F.get("right", F.lit(0)))).alias("key"))
+    counts = words.unionByName(frequent.select("lang", "key", "f"))
+    candidates = frequent.withColumnRenamed("f", "a")
+    longer = candidates.where("k > 2").select("lang", F.col("a").alias("outer"), F.explode(F.array("first", "last")).alias("key"))
     absorbed = longer.groupBy("lang", "key").agg(F.max("outer").alias("outer"))
     left = candidates.join(absorbed, ["lang", "key"], "left").where(F.col("outer").isNull() | (100 * F.col("outer") < absorb * F.col("a")))
 
-    cuts = left.select("lang", "key", "phrase", "a", F.posexplode(F.arrays_zip("left", "right")).alias("cut", "of")).select("lang", "key", "phrase", "a", "cut", "of.left", "of.right")
-    cuts = cuts.join(counts.select("lang", F.col("key").alias("left"), F.col("f").alias("l")), ["lang", "left"])
-    cuts = cuts.join(counts.select("lang", F.col("key").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    cuts = cuts.join(totals, "lang")
+    counted_part = lambda link, name: _parts(left, frequent, link, longest).join(counts.withColumnsRenamed({"key": "part", "f": name}), ["lang", "part"])
+    before = counted_part("first", "l").select("lang", "key", F.col("size").alias("cut"), "l")
+    after = counted_part("last", "r").select("lang", "key", (F.col("k") - F.col("size")).alias("cut"), "r")
+    cuts = left.select("lang", "key", "a").join(before.join(after, ["lang", "key", "cut"]), ["lang", "key"]).join(totals, "lang")
     score = F.expr("(CAST(1000 * a AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(19, 0))) div (CAST(l AS DECIMAL(19, 0)) * CAST(r AS DECIMAL(19, 0)))")
-    lowest = cuts.withColumn("score", score).groupBy("lang", "key").agg(F.first("phrase").alias("phrase"), F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "cut", "l", "r")).alias("low"))
-    scored = lowest.select("lang", "phrase", "a", "low.l", "low.r", "n", "low.score")
+    lowest = cuts.withColumn("score", score).groupBy("lang", "key").agg(F.max("a").alias("a"), F.max("n").alias("n"), F.min(F.struct("score", "cut", "l", "r")).alias("low"))
+    scored = lowest.select("lang", "key", "a", "low.l", "low.r", "n", "low.score")
+    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    if top is not None:
+        scored = scored.withColumn("place", F.rank().over(by)).where(F.col("place") <= top).drop("place")
+    scored = written(scored, "phrases-scored")
+
+    bitmap, wanted = sent(counts.select("key")), sent(scored.select("key"))
+    names = written(_named(known, bitmap, wanted, support, longest, least, share), "phrases-names")
+    bitmap.destroy(), wanted.destroy()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = scored.withColumn("rank", rank.cast("long"))
+    ranked = scored.join(names, ["lang", "key"]).withColumn("rank", rank.cast("long"))
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
