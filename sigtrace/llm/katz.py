@@ -18,7 +18,8 @@
   with more than half a bucket's occurrences is spread over buckets by the follower.
 * **Evaluation.**  Each token asks the highest order.  At most ``COMMON`` commonest grams answer
   from a broadcast; other requests go, packed by bucket, to the model's bucket, where a gram
-  answers or passes its backoff weight and a request for the next lower order.  Words are
+  answers or passes its backoff weight and a request for the next lower order.  A text that the model
+  has learned needs no request for grams that are not in a bitmap of the repeated ones.  Words are
   looked up in a broadcast of at most ``COMMON`` commonest ones, the rest in the word table.
   Per order there is one shuffle of packed requests; sums come back by text.  Texts are known by
   a hash, and the sum of equal texts is divided by their number.
@@ -39,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.llm.common import Slots, release, released, text_groups, written
+from sigtrace.llm.common import Slots, forget, in_bitmap, key_bitmap, release, released, text_groups, written
 from sigtrace.session import scratch_path
 
 #: Occurrences of a bucket, and how many are counted at once in a task.
-BUCKET, FLUSH = 2_000_000, 1_000_000
+BUCKET, FLUSH = 1_500_000, 500_000
 #: Entries of the broadcast tables of words and grams.
-COMMON = 1 << 20
+COMMON = 1 << 18
 CUTOFF = 5
 #: Characters split into words at once.
 GROUP = 1_000_000
@@ -142,6 +143,7 @@ class _Held:
             if size >= FLUSH:
                 yield parts, np.concatenate(hashes)
                 parts, hashes, size = [], [], 0
+                release()
         if parts:
             yield parts, np.concatenate(hashes)
 
@@ -234,6 +236,7 @@ class Katz:
         self.levels: dict[int, DataFrame] = {}
         self.hot: dict[int, np.ndarray] = {}
         self.discounts: dict[int, GoodTuring] = {}
+        self.scratch: list[DataFrame] = []
 
     # -- training -------------------------------------------------------------------------------
 
@@ -321,34 +324,45 @@ class Katz:
                     size = len(begins) + len(rest)
                     known, null = lambda x, kind: pa.array(np.concatenate((x, np.zeros(len(rest), x.dtype))), kind), np.arange(size) >= len(begins)
                     yield _batch({
-                        "bucket": pa.array(np.full(size, table["bucket"][0].as_py(), np.int32), pa.int32(), mask=null),
+                        "bucket": pa.array(np.full(size, table["bucket"][0].as_py(), np.int32), pa.int32()),
                         "key": pa.array(np.concatenate((key[begins], key[rest])).view(np.int64)),
                         "total": known(total, pa.int64()), "freed": known(freed, pa.float64()), "low": known(low, pa.float64()),
                         "w": pa.array(np.concatenate((np.zeros(len(begins), np.uint64), words[rest])).view(np.int64), mask=~null),
                     })
 
         rows = written(types.mapInArrow(released(weighed), "bucket int, key long, total long, freed double, low double, w long"), "katz-histories")
-        sums = rows.where("bucket IS NOT NULL").select("key", "total", "freed", "low")
-        if first:
-            rare = rows.where("w IS NOT NULL").select("key", "w").join(self.words, "w")
-            p = self.discounts[1].column(F.col("c")) / float(self.total)
-            more = rare.groupBy("key").agg(F.sum(p).alias("low"))
-        else:
-            asked = types.mapInArrow(released(self._lower(k)), _PACKED)
-            more = self._evaluated(asked, k - 1, plain=True).select(F.col("owner").alias("key"), F.col("value").alias("low"))
-        sums = sums.unionByName(more.select("key", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("freed"), "low"))
-        sums = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("total", "freed", "low")])
-        none = F.col("freed") <= 0
-        mass = F.when(none, 1 / (F.col("total") + 1)).otherwise(F.col("freed") / F.col("total"))
-        weights = sums.select("key", F.log10(F.when(none, F.col("total") + 1).otherwise(F.col("total")).cast("double")).alias("total"), (F.log10(mass) - F.log10(1 - F.col("low"))).alias("alpha"))
+        lower = None if first else written(self._evaluated(types.mapInArrow(self._lower(k), _PACKED), k - 1, plain=True), "katz-lower")
+
+        def parts(rows: DataFrame) -> DataFrame:
+            """(bucket, key, total, freed, low): what adds up to each history's sums."""
+            known = rows.where("w IS NULL").select("bucket", "key", "total", "freed", "low")
+            if first:
+                more = rows.where("w IS NOT NULL").join(self.words, "w").select("bucket", "key", (self.discounts[1].column(F.col("c")) / float(self.total)).alias("low"))
+            else:
+                place = known.groupBy("key").agg(F.min("bucket").alias("bucket"))
+                more = place.join(lower.select(F.col("owner").alias("key"), F.col("value").alias("low")), "key")
+            return known.unionByName(more.select("bucket", "key", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("freed"), "low"))
+
+        # hot histories are spread over buckets, at most two for every bucket; all others are whole in one
+        spread = self.spark.createDataFrame([(int(h),) for h in self.hot[k].view(np.int64)], "key long")
+        sums = parts(rows.join(spread, "key", "left_semi")).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("total", "freed", "low")])
+        hot = {r["key"]: (r["total"], r["freed"], r["low"]) for r in sums.collect()}
 
         def gathered(table: pa.Table) -> pa.Table:
-            order = np.argsort(table["key"].to_numpy().view(np.uint64))
-            held = {n: table[n].to_numpy()[order].tobytes() for n in ("key", "total", "alpha")}
+            keys, inverse = np.unique(table["key"].to_numpy().view(np.uint64), return_inverse=True)
+            total, freed, low = (np.bincount(inverse, weights=table[c].to_numpy()) for c in ("total", "freed", "low"))
+            for i in np.flatnonzero(np.isin(keys.view(np.int64), list(hot))).tolist():
+                total[i], freed[i], low[i] = hot[int(keys.view(np.int64)[i])]
+            none = freed <= 0
+            whole = total + none
+            alpha = np.log10(np.where(none, 1, freed) / whole) - np.log10(1 - low)
+            held = {"key": keys.tobytes(), "total": np.log10(whole).tobytes(), "alpha": alpha.tobytes()}
+            release()
             return pa.Table.from_pylist([{"bucket": table["bucket"][0].as_py(), **held}], pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in held)]))
 
-        placed = rows.where("bucket IS NOT NULL").select("bucket", "key").join(weights, "key")
-        weights = _bucketed(placed.groupBy("bucket").applyInArrow(gathered, "bucket int, key binary, total binary, alpha binary"), f"katz_weights_{k}", self.buckets)
+        weights = parts(rows).groupBy("bucket").applyInArrow(gathered, "bucket int, key binary, total binary, alpha binary")
+        weights = _bucketed(weights, f"katz_weights_{k}", self.buckets)
+        forget(rows)
         self.levels[k] = types.join(weights, "bucket")
         if k < self.order:
             self.hot[k + 1] = self._hot(types, k)
@@ -397,6 +411,7 @@ class Katz:
         for k in range(level, 1, -1):
             asked = requests.groupBy("bucket").cogroup(self.levels[k].groupBy("bucket"))
             found = written(asked.applyInArrow(self._answer(k, plain), f"owner long, value double, w long, {_PACKED}"), "katz-answers")
+            self.scratch.append(found)
             sums.append(found.where("value IS NOT NULL").select("owner", "value"))
             requests = found.where("bucket IS NOT NULL").select("bucket", "owners", "who", "hists", "lens", "words")
             if k == 2:
@@ -486,18 +501,51 @@ class Katz:
         found = self.levels[k].mapInArrow(released(picked), "gram long, logp double").toArrow()
         return _Common(found["gram"].to_numpy().view(np.uint64), found["logp"].to_numpy())
 
-    def score(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    def _repeated_grams(self) -> np.ndarray:
+        """A bitmap of the highest order's grams that occur more than once."""
+        k = self.order
+
+        def repeated(batches: Iterator[pa.RecordBatch]):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    columns, words, more = _unpacked(_table(batch.slice(i, 1)), k, {"counts": np.uint64})
+                    at = np.flatnonzero(more["counts"] > 1)
+                    yield _batch({"gram": pa.array(_mixed(key_of([c[at] for c in columns]) * _STEP + words[at]).view(np.int64))})
+
+        table = self.levels[k].select("hists", "lens", "words", "counts")
+        return key_bitmap(table.mapInArrow(released(repeated), "gram long"))
+
+    def score(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), learned: Column | None = None) -> DataFrame:
         """``keep`` and (n_tokens, n_known, base_score, score) of every row.
 
         ``n_known`` counts tokens of the training texts, ``base_score`` is the sum of
         ``log10((c + 1) / (N + V + 1))``, ``score`` the model's log10 probability of the text.
+
+        ``learned`` marks rows whose texts were all among the training texts.  It changes no score, but saves requests: a
+        pair of such a text that is no repeated gram occurs exactly once, and its history's total is the word's count.
         """
         own = [f"k{i}" for i in range(len(keep))]
-        rows = docs.select(F.col(text).cast("string").alias("t"), *[F.col(c).alias(n) for c, n in zip(keep, own)])
-        rows = rows.select("t", text_key(F.col("t")).alias("x"), *own)
+        learned = F.lit(False) if learned is None else F.coalesce(learned, F.lit(False))
+        rows = docs.select(F.col(text).cast("string").alias("t"), learned.alias("learned"), *[F.col(c).alias(n) for c, n in zip(keep, own)])
+        rows = rows.select("t", text_key(F.col("t")).alias("x"), "learned", *own)
         k, buckets, hot, words = self.order, self.buckets, self.hot[self.order], self.common
         grams = self.spark.sparkContext.broadcast(self._common_grams())
-        base = float(np.log10(self.n + self.v + 1))
+        bits = self.spark.sparkContext.broadcast(self._repeated_grams())
+        base, once = float(np.log10(self.n + self.v + 1)), float(self.discounts[k].ratio[1])
+
+        def answered(parts, hashes: np.ndarray, counts: np.ndarray):
+            """Histories of the tokens, their log10 probabilities and which are answered by the broadcasts."""
+            columns = histories(hashes, k)
+            gram = _mixed(key_of(columns) * _STEP + hashes)
+            value, hit = grams.value.find(gram)
+            if k == 2 and once < 1:  # a discounted follower frees mass, so the history's total is its count
+                known = np.repeat(np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p, _ in parts]), counts)
+                single = np.flatnonzero(known & ~hit)
+                single = single[~in_bitmap(bits.value, gram[single])]
+                c, found = words.value.find(columns[0][single])
+                single, c = single[found], c[found]
+                value[single], hit[single] = np.log10(once) - np.log10(c), True
+            return columns, value, hit
 
         def profiled(batches: Iterator[pa.RecordBatch]):
             """What the common words and grams answer, and the words left, of each row."""
@@ -507,7 +555,7 @@ class Katz:
                 ends = np.cumsum(counts)
                 edges = ends - counts
                 c, known = words.value.find(hashes)
-                value, hit = grams.value.find(_mixed(key_of(histories(hashes, k)) * _STEP + hashes))
+                _, value, hit = answered(parts, hashes, counts)
                 rest = np.flatnonzero(~known)
                 left = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, np.concatenate(([0], ends))), pa.int32()), pa.array(hashes[rest].view(np.int64)))
                 sums = {
@@ -515,36 +563,44 @@ class Katz:
                     "base": pa.array(np.add.reduceat(np.where(known, np.log10(c + 1), 0.0), edges) - counts * base),
                     "logp": pa.array(np.add.reduceat(np.where(hit, value, 0.0), edges)), "rest": left,
                 }
-                held = pa.table({n: table[n] for n in ("x", *own)} | sums)
+                held = pa.table({n: table[n] for n in ("x", "learned", *own)} | sums)
                 yield from held.combine_chunks().to_batches()
 
         def asked(batches: Iterator[pa.RecordBatch]):
             for parts, hashes in _Held(batches):
                 owners = np.concatenate([p.column(1).to_numpy() for p, _ in parts]).view(np.uint64)
-                columns = histories(hashes, k)
-                _, hit = grams.value.find(_mixed(key_of(columns) * _STEP + hashes))
+                # equal texts of learned and other rows ask for different tokens
+                owners = owners ^ np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p, _ in parts]).astype(np.uint64)
+                counts = np.concatenate([n for _, n in parts])
+                columns, _, hit = answered(parts, hashes, counts)
                 rest = np.flatnonzero(~hit)
                 if len(rest):
-                    who = np.repeat(np.arange(len(owners)), np.concatenate([n for _, n in parts]))[rest]
-                    yield _requests([c[rest] for c in columns], hashes[rest], owners, who, hot, buckets)
+                    yield _requests([c[rest] for c in columns], hashes[rest], owners, np.repeat(np.arange(len(owners)), counts)[rest], hot, buckets)
 
         kinds = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in own)
-        profiles = written(rows.mapInArrow(released(profiled), f"x long{kinds}, n_tokens long, n_known long, base double, logp double, rest array<long>"), "katz-profiles")
-        sums = self._evaluated(rows.select("t", "x").mapInArrow(released(asked), _PACKED), k)
+        profiles = written(rows.mapInArrow(released(profiled), f"x long, learned boolean{kinds}, n_tokens long, n_known long, base double, logp double, rest array<long>"), "katz-profiles")
+        sums = self._evaluated(rows.select("t", "x", "learned").mapInArrow(released(asked), _PACKED), k)
 
         # equal texts asked together: each has its share
-        texts = profiles.groupBy("x").agg(F.count("*").alias("copies"), F.first("rest").alias("rest"))
-        rare = texts.select("x", F.explode("rest").alias("w")).join(self.words, "w").groupBy("x").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_base"))
-        shares = texts.select("x", "copies").join(sums.withColumnRenamed("owner", "x"), "x", "left").join(rare, "x", "left")
-        out = profiles.drop("rest").join(shares, "x")
+        profiles_by = profiles.withColumn("owner", F.col("x").bitwiseXOR(F.col("learned").cast("long")))
+        texts = profiles_by.groupBy("owner").agg(F.count("*").alias("copies"), F.first("rest").alias("rest"))
+        rare = texts.select("owner", F.explode("rest").alias("w")).join(self.words, "w").groupBy("owner").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_base"))
+        shares = texts.select("owner", "copies").join(sums, "owner", "left").join(rare, "owner", "left")
+        out = profiles_by.drop("rest").join(shares, "owner")
         none = F.lit(0.0)
-        return out.select(
+        out = out.select(
             *[F.col(n).alias(c) for c, n in zip(keep, own)],
             "n_tokens",
             (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
             (F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
             (F.col("logp") + F.coalesce(F.col("value") / F.col("copies"), none)).alias("score"),
         )
+        out = written(out, "katz-scores")
+        for table in (profiles, *self.scratch):
+            forget(table)
+        self.scratch = []
+        grams.destroy(), bits.destroy()
+        return out
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 2) -> Katz:

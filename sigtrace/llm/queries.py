@@ -133,7 +133,7 @@ def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
     model = train(docs.where("NOT held_out"))
-    scored = model.score(docs, keep=("doc_id", "held_out"))
+    scored = model.score(docs, keep=("doc_id", "held_out"), learned=~F.col("held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -12,6 +12,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.odd import TEXTS, no_docs, odd_docs
 
@@ -113,6 +114,12 @@ def test_katz_against_brute_force(spark, monkeypatch, order, common, bucket):
     assert (bucket < 1000) == (model.buckets > 3) and (bucket > 1000 or len(model.hot[2]) > 1)
     got = model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")).collect()
     assert len(got) == len(asked)
+    # texts marked as learned (and once more as unknown) score the same with fewer requests
+    both = spark.createDataFrame([(i, t, known) for i, t in enumerate(train[:40]) for known in (True, False, None)], "doc_id long, text string, known boolean")
+    marked = model.score(both, learned=F.col("known")).collect()
+    assert len(marked) == 120
+    for r in marked:
+        assert r.score == pytest.approx(brute.row(train[r.doc_id])[3], abs=1e-7)
     for r in got:
         n, known, base, score = brute.row(asked[r.doc_id])
         assert (r.n_tokens, r.n_known) == (n, known)
