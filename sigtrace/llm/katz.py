@@ -44,7 +44,7 @@ from sigtrace.llm.common import Slots, forget, in_bitmap, key_bitmap, release, r
 from sigtrace.session import scratch_path
 
 #: Occurrences of a bucket, and how many are counted at once in a task.
-BUCKET, FLUSH = 1_500_000, 500_000
+BUCKET, FLUSH = 1_000_000, 400_000
 #: Entries of the broadcast tables of words and grams.
 COMMON = 1 << 18
 CUTOFF = 5
@@ -621,17 +621,19 @@ def _requests(columns: list[np.ndarray], words: np.ndarray, owners: np.ndarray,
     rows = []
     for row in _packs(_bucket_of(key, words, hot, buckets), columns, key, words, {"who": who.astype(np.uint32)}):
         used, own = np.unique(np.frombuffer(row["who"], np.uint32), return_inverse=True)
-        rows.append(row | {"owners": owners[used].tobytes(), "who": own.astype(np.uint32).tobytes()})
+        own = own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+        rows.append(row | {"owners": owners[used].tobytes(), "who": own.tobytes()})
     return pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("owners", "who", "hists", "lens", "words"))]))
 
 
 def _asked(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Owners, history columns and words of packed requests."""
-    columns, words, more = _unpacked(table, order, {"who": np.uint32})
-    sizes = [len(w) // 4 for w in table["who"].to_pylist()]
-    names = [np.frombuffer(o, np.uint64) for o in table["owners"].to_pylist()]
-    before = np.repeat(np.cumsum([0, *map(len, names)])[:-1], sizes)
-    return np.concatenate(names)[before + more["who"]], columns, words
+    columns, words, _ = _unpacked(table, order, {})
+    owners = [np.zeros(0, np.uint64)]
+    for names, who in zip(table["owners"].to_pylist(), table["who"].to_pylist()):
+        names = np.frombuffer(names, np.uint64)
+        owners.append(names[np.frombuffer(who, np.uint16 if len(names) <= 1 << 16 else np.uint32)])
+    return np.concatenate(owners), columns, words
 
 
 class _Common:
