@@ -144,16 +144,16 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: int = 1, size: int =
             yield batch.slice(start), texts
 
 
-def compressed(rows: DataFrame, wanted=None) -> DataFrame:
+def compressed(rows: DataFrame, wanted=None, outside: bool = False) -> DataFrame:
     """(d, z): the texts ``t`` of ``rows`` (d, t) in zstd, where they must be shuffled.
 
-    With ``wanted``, a broadcast bitmap, only of rows whose key ``x`` passes.
+    With ``wanted``, a broadcast bitmap, only of rows whose key ``x`` passes, or (``outside``) does not.
     """
     import zstandard
 
     def packed(batches: Iterator[pa.RecordBatch]):
         pack = zstandard.ZstdCompressor(level=3)
-        for part, texts in text_groups(_passing(batches, wanted)):
+        for part, texts in text_groups(_passing(batches, wanted, outside)):
             z = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], ["d", "z"])
 
@@ -161,9 +161,9 @@ def compressed(rows: DataFrame, wanted=None) -> DataFrame:
     return rows.select(*columns).mapInArrow(released(packed), f"d {rows.schema['d'].dataType.simpleString()}, z binary")
 
 
-def _passing(batches: Iterator[pa.RecordBatch], wanted):
+def _passing(batches: Iterator[pa.RecordBatch], wanted, outside: bool):
     for batch in batches:
-        yield batch if wanted is None else batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy().view(np.uint64))))
+        yield batch if wanted is None else batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy().view(np.uint64)) != outside))
 
 
 def unpacked_groups(batches: Iterator[pa.RecordBatch], column: int, size: int = GROUP_CHARS):

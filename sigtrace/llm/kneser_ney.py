@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtrace.llm.common import Slots, compressed, released, text_groups, unpacked_groups, written
+from sigtrace.llm.common import Slots, compressed, key_bitmap, released, text_groups, unpacked_groups, written
 
 PAD = "\x02"
 END = "\x03"
@@ -239,8 +239,13 @@ def score(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str
     held_out = F.pmod(F.xxhash64("d"), F.lit(HELD_OUT)) == 0
     ids = ids.select("d", (~held_out).alias("good"), held_out.alias("calibrates"))
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("lang"))
-    # the join with the labels may shuffle the texts once, so they go compressed
-    counts = written(gram_counts(compressed(rows).join(ids, "d", "left"), order), "kneser-ney-grams")
+    # only texts whose ids may be labelled go (compressed) through the join with the labels
+    ids = written(ids, "kneser-ney-labels")
+    labelled = spark.sparkContext.broadcast(key_bitmap(ids.select(F.xxhash64("d"))))
+    named = rows.select("d", "t", F.xxhash64("d").alias("x"))
+    maybe = compressed(named, labelled).join(ids, "d", "left").select("z", "good")
+    others = compressed(named, labelled, outside=True).select("z", F.lit(None).cast("boolean").alias("good"))
+    counts = written(gram_counts(maybe.unionByName(others), order), "kneser-ney-grams")
     model = written(probabilities(counts, order), "kneser-ney-model")
     keys, logp, _ = _frequent(model, frequent)
     held = spark.sparkContext.broadcast((Slots(keys), np.append(logp, 0.0)))
