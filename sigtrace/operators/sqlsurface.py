@@ -32,10 +32,20 @@ def validate_read_only(sql: str, spark: SparkSession | None = None) -> str:
 
 
 def run_sql(spark: SparkSession, packets: DataFrame, sql: str, limit: int | None = None, view: str = "packets") -> DataFrame:
-    """Q1: run any query over the ``packets`` view; ``limit`` caps the rows only when given."""
-    text = validate_read_only(sql, spark)
+    """Q1: run any query over the ``packets`` view; ``limit`` caps the rows only when given.
+
+    The view is there while the text is analysed (a query keeps what it was analysed with); a view of that name that
+    the session had before is put back.
+    """
+    before = spark.table(view) if any(t.name == view and t.isTemporary for t in spark.catalog.listTables()) else None
     packets.createOrReplaceTempView(view)
-    df = spark.sql(text)
+    try:
+        df = spark.sql(validate_read_only(sql, spark))
+    finally:
+        if before is None:
+            spark.catalog.dropTempView(view)
+        else:
+            before.createOrReplaceTempView(view)
     return df if limit is None else df.limit(limit)
 
 
