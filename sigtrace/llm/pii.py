@@ -144,7 +144,7 @@ def _padded(chars: np.ndarray) -> np.ndarray:
     return np.pad(chars, (0, WINDOW - len(chars)), constant_values=PAD)
 
 
-def train(docs: DataFrame, text: str = "text", train_windows: int = 1_500, steps: int = 500) -> Tagger | None:
+def train(docs: DataFrame, text: str = "text", train_windows: int = 2_000, steps: int = 700) -> Tagger | None:
     """A tagger from labelled spans in a bounded sample of windows; None where no text has a window."""
     share = -(-train_windows // (len(KINDS) + 1))  # of each kind, and of windows without a span
 
@@ -291,7 +291,7 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redacted: bool = False, train_windows: int = 1_500, steps: int = 500, least: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redacted: bool = False, train_windows: int = 2_000, steps: int = 700, least: float = 0.9) -> DataFrame:
     """``keep`` columns, counts of base spans per kind, ``base_sha256``, all ``spans``, ``n_added`` and ``n_spans``; ``redacted`` text on request."""
     tagger = train(docs, text, train_windows, steps)
     held = docs.sparkSession.sparkContext.broadcast(tagger)

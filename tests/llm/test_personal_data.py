@@ -77,7 +77,7 @@ def test_spans_reach_over_windows():
 def tagger(spark):
     from sigtrace.llm.pii import train
 
-    return train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    return train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
 
 
 @pytest.mark.parametrize(("kind", "form"), [(0, "ann.lee (at) mail7.example.com"), (1, "10[.]20[.]30[.]40"), (2, "9807915762804490"), (2, "4111/1111/1111/1112"), (3, "555-123-4567"), (3, "(017) 555-7713"), (3, "017.555.7713")])
