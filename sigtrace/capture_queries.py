@@ -40,10 +40,12 @@ def split_captures(packets: DataFrame) -> DataFrame:
 
 def stored(packets: DataFrame, path: str) -> DataFrame:
     """``packets`` written as a table (parsed map, hot id columns) and loaded again."""
-    m = F.from_json("protocol_fields_json", "map<string,string>")
-    table = packets.select("*", F.explode(F.array(m)).alias("fields"))
-    table = table.select("*", *hot_columns(F.col("fields")))
-    write_packets(table, path)
+
+    def parsed(placed: DataFrame) -> DataFrame:
+        held = placed.withColumn("fields", F.from_json("protocol_fields_json", "map<string,string>"))
+        return held.select("*", *hot_columns(F.col("fields")))
+
+    write_packets(packets, path, derived=parsed)
     return load_packets(packets.sparkSession, path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -71,12 +71,14 @@ def normalize_packets(df: DataFrame) -> DataFrame:
 
 def hot_columns(fields: Column) -> list[Column]:
     """The identifiers of a packet's field map as plain columns, which filters can be pushed to."""
-    held = {n: F.array_distinct(F.array_compact(F.array(*[fields[k] for k in keys]))) for n, keys in HOT_ALIASES.items()}
+    # map lookups only: functions over arrays are interpreted, and cost more than the rest of the sink
+    held = {n: F.coalesce(*[fields[k] for k in keys]) for n, keys in HOT_ALIASES.items()}
     differ = F.lit(False)
-    for values in held.values():
-        differ = differ | (F.size(values) > 1)
-    one = [F.get(values, 0).alias(n) for n, values in held.items()]
-    return [*[fields[k].alias(n) for n, k in HOT_KEYS.items()], *one, F.coalesce(differ, F.lit(False)).alias(HOT_DIFFER)]
+    for n, keys in HOT_ALIASES.items():
+        for k in keys[1:]:
+            differ = differ | F.coalesce(fields[k] != held[n], F.lit(False))
+    one = [value.alias(n) for n, value in held.items()]
+    return [*[fields[k].alias(n) for n, k in HOT_KEYS.items()], *one, differ.alias(HOT_DIFFER)]
 
 
 def write_packets(
@@ -87,6 +89,7 @@ def write_packets(
     observation: Observation | None = None,
     layout: str = "rebalance",
     max_records_per_file: int = 5_000_000,
+    derived: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """A5: Parquet sink (snappy, dictionary, statistics), partitioned by capture date.
 
@@ -101,6 +104,9 @@ def write_packets(
       files (reads the input twice: once for the range bounds);
     * ``"none"`` - no shuffle, for captures already arriving in time order.
     Rows are sorted by packet number inside each file so min/max statistics prune.
+
+    ``derived`` adds columns that follow from a row's others (a parsed map, hot columns) when the rows are in place, so
+    that they are neither shuffled nor sorted; it must be a projection.
     """
     out = df
     own = capture_scope(df)
@@ -117,6 +123,8 @@ def write_packets(
         out = out.sortWithinPartitions("capture_date", *own, "packet_number")
     else:
         out = out.sortWithinPartitions(*own, "packet_number")
+    if derived is not None:
+        out = derived(out)
     if observation is not None:
         # observed after any range exchange: its sampling job does not run this node
         out = out.observe(observation, F.count(F.lit(1)).alias("n"))
