@@ -83,13 +83,12 @@ def _layer_message_type(l: Column) -> Column:
     lname = F.lower(l["protocol_name"])
     candidates = []
     for family, fields in MESSAGE_FIELDS:
-        for f in fields:
-            v = _truthy(l["fields"][f])
-            if family == "s1ap":
-                v = decode_procedure("S1AP", v)
-            elif family == "ngap":
-                v = decode_procedure("NGAP", v)
-            candidates.append(F.when(lname.contains(family), v))
+        v = _first_keys(l["fields"], fields)
+        if family == "s1ap":
+            v = decode_procedure("S1AP", v)
+        elif family == "ngap":
+            v = decode_procedure("NGAP", v)
+        candidates.append(F.when(lname.contains(family), v))
     rrc_elem = F.get(
         F.filter(
             F.transform(
@@ -124,10 +123,16 @@ def extract_protocol(layers: Column | str = LAYERS) -> Column:
     return _protocol_from(layer_facts(layers))
 
 
-def extract_interface(stack: Column | str = STACK, src_port: Column | None = None, dst_port: Column | None = None) -> Column:
-    """Uu / S1-MME / S1-U / S11 / X2 / N2 / N1 / SBI from the stack and ports."""
-    stack = _c(stack)
-    low = F.transform(stack, lambda p: F.lower(p))
+def lower_stack(stack: Column | str = STACK) -> Column:
+    return F.transform(_c(stack), lambda p: F.lower(p))
+
+
+def extract_interface(stack: Column | str = STACK, src_port: Column | None = None, dst_port: Column | None = None, low: Column | None = None) -> Column:
+    """Uu / S1-MME / S1-U / S11 / X2 / N2 / N1 / SBI from the stack and ports.
+
+    ``low`` is the :func:`lower_stack` where a caller has it as a column: each test below would work it out again.
+    """
+    low = lower_stack(stack) if low is None else low
     has = lambda p: F.coalesce(F.array_contains(low, p), F.lit(False))
     sp = src_port if src_port is not None else F.col("source_port")
     dp = dst_port if dst_port is not None else F.col("destination_port")
@@ -297,14 +302,15 @@ def enrich_packets(layered: DataFrame) -> DataFrame:
     The facts struct is produced behind a one-element ``explode`` so it is computed
     once per packet and then only read (not re-inlined into every derived column).
     """
-    with_facts = layered.select("*", F.explode(F.array(layer_facts())).alias("_facts"))
-    f = F.col("_facts")
+    once = F.struct(layer_facts().alias("facts"), lower_stack().alias("low"))
+    with_facts = layered.select("*", F.explode(F.array(once)).alias("_once"))
+    f = F.col("_once.facts")
     return with_facts.select(
         *[c for c in layered.columns],
         _ue_id_from(f).alias("ue_id"),
         f["mt"].alias("message_type"),
         _protocol_from(f).alias("protocol"),
-        extract_interface().alias("interface"),
+        extract_interface(low=F.col("_once.low")).alias("interface"),
         _direction_from(f).alias("direction"),
         flatten_fields().alias("protocol_fields"),
     )
@@ -336,7 +342,7 @@ def layers_from_fields(packets: DataFrame) -> DataFrame:
         "timestamp",
         "timestamp_iso",
         "length",
-        F.transform(layers, lambda l: l["protocol_name"]).alias("protocol_stack"),
+        F.transform(prefixes, lambda p: F.replace(p, F.lit("_"), F.lit("-"))).alias("protocol_stack"),
         layers.alias("protocol_layers"),
         "source_ip",
         "destination_ip",
