@@ -45,9 +45,11 @@ def heavy_keys(df: DataFrame, key: str | Sequence[str], order: str, chunk_rows:
     # of each key about one row in `every` gives its value, so a heavy key has PARTS values or more and others hardly any
     every = max(1, chunk_rows // PARTS)
     some = F.col(order) if every == 1 else F.when(F.pmod(F.xxhash64(order), F.lit(every)) == 0, F.col(order))
-    cuts = F.percentile_approx(some, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), _ACCURACY)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), cuts.alias("_cuts"))
-    return counted.where(F.col("_n") > chunk_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.coalesce(F.array_distinct("_cuts"), F.array().cast("array<bigint>")).alias("_cuts"))
+    # summed by key and value first, which is a plain hash aggregate; only one row a key and the values go to the quantiles
+    summed = df.groupBy(*keys, some.alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), _ACCURACY)
+    heavy = summed.groupBy(*keys).agg(F.sum("_k").alias("_n"), cuts.alias("_cuts")).where(F.col("_n") > chunk_rows)
+    return heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.coalesce(F.array_distinct("_cuts"), F.array().cast("array<bigint>")).alias("_cuts"))
 
 
 def chunked(df: DataFrame, key: str | Sequence[str], order: str, chunk_rows: int = DEFAULT_CHUNK) -> DataFrame:
