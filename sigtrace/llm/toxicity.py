@@ -22,9 +22,11 @@ as toxic if any is; without examples of both labels every score is the share of
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,11 @@ BLOCK = 64
 _WORD = re.compile(r"\w+")
 
 
+@lru_cache(10_000)
+def _damped(n: int) -> float:
+    return float(1 + np.log(n))
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -121,8 +128,11 @@ class Index:
             place = self.place[b, features]
             held = place >= 0
             scores = weights[held] @ self.rows[b][place[held]]
-            own = np.flatnonzero(scores > 0)
-            own = own[own + b * BLOCK != (-1 if without is None else without)]
+            own = np.flatnonzero((scores > 0) & (scores >= least - 1e-9) if len(at) >= k else scores > 0)
+            if without is not None:
+                own = own[own + b * BLOCK != without]
+            if not len(own):
+                continue  # none of this block is nearer than those held: most blocks
             at, cosine = np.concatenate((at, own + b * BLOCK)), np.concatenate((cosine, scores[own]))
             order = np.lexsort((self.ids[at], -np.round(cosine, 12)))[:k]
             at, cosine = at[order], cosine[order]
@@ -137,6 +147,7 @@ class Index:
 class Classifier:
     def __init__(self, names: list[str], idf: np.ndarray, ids: list[int], toxic: np.ndarray, counts: list[dict[int, int]], shares: tuple[float, float], k: int):
         self.names, self.idf, self.k = names, idf, k
+        self.weights = [float(x) for x in idf]  # plain numbers: a document has few features, too few for arrays
         weight = tuple(shares[y] / max(1, int((toxic == y).sum())) for y in (0, 1))
         vectors = [self.vector(c) for c in counts]
         bare = np.array([not v for v in vectors], bool)
@@ -153,9 +164,9 @@ class Classifier:
         self.slope, self.shift = _logistic(np.array(votes), np.array(labels, float), np.array(weights))
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        w = {f: (1 + np.log(n)) * self.idf[f] for f, n in counts.items()}
-        norm = np.sqrt(sum(x * x for x in w.values()))
-        return {f: float(x / norm) for f, x in w.items()}
+        w = {f: _damped(n) * self.weights[f] for f, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {f: x / norm for f, x in w.items()}
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
         """The calibrated score, and the ids of the nearest examples."""
