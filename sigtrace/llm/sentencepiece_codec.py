@@ -37,14 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtrace.llm import pieces
-from sigtrace.llm.common import BoundedCache, text_groups
+from sigtrace.llm.common import BoundedCache, released, text_groups, worker_state
 
 #: An odd multiplier of the substring hash, and cells of one Viterbi step held at once.
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CELLS = 4_000_000
+_CELLS = 1_000_000
+#: Characters encoded, and rows decoded, at once.
+GROUP, ROWS = 500_000, 200
 #: Chunks are merged one by one where fewer share a length, or where they are longer.
 _FEW, _LONG = 16, 256
-_STATE: dict = {}
 
 
 class Codec:
@@ -245,10 +246,13 @@ def codec_of(model: str) -> Codec:
     return MergeCodec(model) if pieces.is_bpe(pieces.load(model)) else Codec(model)
 
 
+def _kept(model: str, cache_size: int) -> tuple:
+    """Names what a worker keeps: the same for encoding and decoding, which share workers."""
+    return ("sentencepiece", model, cache_size)
+
+
 def _codec(model: str, cache_size: int):
-    if _STATE.get("key") != (model, cache_size):
-        _STATE.update(key=(model, cache_size), codec=codec_of(model), cache=BoundedCache(limit=cache_size))
-    return _STATE["codec"], _STATE["cache"]
+    return worker_state(_kept(model, cache_size), lambda: (codec_of(model), BoundedCache(limit=cache_size)))
 
 
 def _passed(docs: DataFrame, keep: tuple[str, ...], column: str, kind: str) -> tuple[DataFrame, str]:
@@ -262,7 +266,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
     def encoded(batches: Iterator[pa.RecordBatch]):
         codec, cache = _codec(model, cache_size)
-        for part, texts in text_groups(batches, len(keep)):
+        for part, texts in text_groups(batches, len(keep), GROUP):
             split = [pieces.chunk_keys(t) for t in texts]
             needed = set().union(*split)
             cache.room(len(needed))
@@ -274,18 +278,20 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, pa.array(np.diff(ends), pa.int64())], [*(f"k{i}" for i in range(len(keep))), "ids", "n_tokens"])
 
     rows, head = _passed(docs, keep, text, "string")
-    return rows.mapInArrow(encoded, f"{head}ids array<int>, n_tokens long").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return rows.mapInArrow(released(encoded, _kept(model, cache_size)), f"{head}ids array<int>, n_tokens long").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
-def decode(coded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
+def decode(coded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str | None = None, cache_size: int = 300_000) -> DataFrame:
     """``keep`` columns with the decoded ``text`` of each row's ids."""
     model = model or pieces.default_model()
 
     def decoded(batches: Iterator[pa.RecordBatch]):
-        codec, _ = _codec(model, 300_000)
-        for batch in batches:
-            texts = [codec.decode(x.as_py() or ()) for x in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*(f"k{i}" for i in range(len(keep))), "text"])
+        codec, _ = _codec(model, cache_size)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = [codec.decode(x.as_py() or ()) for x in batch.column(len(keep))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*(f"k{i}" for i in range(len(keep))), "text"])
 
     rows, head = _passed(coded, keep, ids, "array<int>")
-    return rows.mapInArrow(decoded, f"{head}text string").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return rows.mapInArrow(released(decoded, _kept(model, cache_size)), f"{head}text string").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
