@@ -184,14 +184,16 @@ def unpacked_groups(batches: Iterator[pa.RecordBatch], column: int, size: int =
 
 
 class BoundedCache(dict):
-    """A worker's dictionary that forgets what it has learned once it holds too much.
+    """A worker's dictionary that forgets most of what it has learned once it holds too much.
 
-    ``base`` stays resident (the first tier); everything else is a second tier of at most ``limit`` entries.
+    ``base`` stays resident (the first tier); everything else is a second tier of at most ``limit`` entries.  What was
+    asked for again since the last time stays, where that is at most half of them.
     """
 
     def __init__(self, base: dict | None = None, limit: int = 400_000):
         self.base = base or {}
         self.limit = limit
+        self.again: set = set()
         super().__init__(self.base)
 
     def room(self, wanted: int) -> None:
@@ -199,5 +201,19 @@ class BoundedCache(dict):
             self.clear()
             self.update(self.base)
 
+    def missing(self, needed: set, each: int = 1) -> set:
+        """The keys of ``needed`` that are not held; there is room for ``each`` entries for every one of them."""
+        new = needed.difference(self)
+        self.again |= needed.difference(new)
+        if len(self) + each * len(new) <= len(self.base) + self.limit:
+            return new
+        kept = {k: self[k] for k in self.again if k in self} if 2 * len(self.again) <= self.limit else {}
+        self.again = set()
+        self.clear()
+        self.update(self.base)
+        if len(kept) + each * len(needed) <= self.limit:
+            self.update(kept)
+        return needed.difference(self)
+
     def learn(self, keys, values) -> None:
         self.update(zip(keys, values))

@@ -21,6 +21,7 @@ packed each; an empty table gives an empty result; columns beside the named two
 
 from __future__ import annotations
 
+import string
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -40,6 +41,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The characters that stand for the UTF-8 bytes of letters below U+0130, as byte-level tokenizers write them.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(sorted({*range(256)}.difference(_SHOWN)))}
+_LETTERS = {i: "".join(_BYTES[b] for b in chr(i).encode()) for i in range(0x130) if chr(i).isalpha()}
+#: Marks that are no part of a word's pre-token, nor of an added token's name.
+_MARKS = "".join(c for c in string.punctuation if c not in "'<|>")
+
+
+def _western(text: str) -> bool:
+    """Whether all code points are below U+0130."""
+    if text.isascii():
+        return True
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return max(text) < "\u0130"
+
+
+def _plain(chunks: set[str]) -> set[str]:
+    """Those of Latin letters only (code points below U+0130)."""
+    letters = set(filter(str.isalpha, chunks))
+    return letters if _western("".join(letters)) else set(filter(_western, letters))
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, chunk by chunk through a bounded cache."""
 
@@ -50,6 +75,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same merges alone, for words that need no normalising and no splitting
+        self.model = Tokenizer(self.tokenizer.model)
         self.cache = BoundedCache(limit=cache_size)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
@@ -62,15 +89,16 @@ class WordEncoder:
         The tokenizer lower-cases; where its rule can't differ from Python's (code points below
         U+0130, no added token in the text) that is done first, so more chunks are alike.
         """
-        if "<|" not in text and (text.isascii() or max(text) < "\u0130"):
+        if "<|" not in text and _western(text):
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
     def _learn_words(self, words: list[str]) -> None:
-        """Words of Latin letters only: each is one pre-token, so a line of many is encoded at once."""
+        """Words of Latin letters only: each is one pre-token, so many are encoded at once."""
         for at in range(0, len(words), 5_000):
             some = words[at : at + 5_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            split = "\n".join(some).lower().translate(_LETTERS).split("\n")
+            ids = np.array(self.model.encode_batch_fast([split], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             edges = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(edges) != len(some) + 1:
                 raise ValueError("a word of letters is not one pre-token")
@@ -78,23 +106,27 @@ class WordEncoder:
             self.cache.learn(some, [ids[4 * a : 4 * b] for a, b in zip(edges, edges[1:])])
 
     def _learn(self, chunks: set[str]) -> None:
-        plain = lambda w: w.isalpha() and (w.isascii() or max(w) < "\u0130")
-        ended = [w for w in chunks if w[-1:] in (".", ",") and plain(w[:-1])]  # a word, and one mark
-        words = {w for w in chunks if plain(w)}
-        words.update(w[:-1] for w in ended)
+        words = _plain(chunks)
+        others = list(chunks.difference(words))
+        cores = [c.strip(_MARKS) for c in others]
+        letters = _plain(set(cores))
+        words |= letters
         self._learn_words([w for w in words if w not in self.cache])
-        rest = [w for w in chunks.difference(words, ended) | {".", ","} if w not in self.cache]
+        # a word with marks around it
+        marked = [(c, *c.split(w, 1), w) for c, w in zip(others, cores) if w in letters]
+        rest = {c for c, w in zip(others, cores) if w not in letters} | {m[1] for m in marked} | {m[2] for m in marked}
+        rest = [c for c in rest if c not in self.cache]
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
             coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.cache.learn(some, [np.array(c.ids, "<u4").tobytes() for c in coded])
-        self.cache.learn(ended, [self.cache[w[:-1]] + self.cache[w[-1]] for w in ended])
+        ids = self.cache
+        self.cache.update({c: ids[before] + ids[w] + ids[after] for c, before, after, w in marked})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
         needed = set().union(*split)
-        self.cache.room(2 * len(needed) + 2)
-        self._learn(needed.difference(self.cache))
+        self._learn(self.cache.missing(needed, 2))  # a chunk and its word; marks are few
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in split]
 
 

@@ -32,3 +32,19 @@ def test_codec_state_is_shared_and_counted_as_worker_state():
     assert sentencepiece_codec._codec(model, 1_000) is first
     assert common._STATE["key"] == sentencepiece_codec._kept(model, 1_000)
     common._STATE.clear()
+
+
+def test_words_asked_for_again_stay_when_the_cache_overflows(monkeypatch):
+    from sigtrace.llm.packing import WordEncoder, default_tokenizer
+
+    encoder, learned = WordEncoder(default_tokenizer(), 400), []
+    learn = encoder._learn_words
+    monkeypatch.setattr(encoder, "_learn_words", lambda words: learned.extend(words) or learn(words))
+    name = lambda n: "".join(chr(97 + int(d)) for d in f"{n:05d}")
+    common = " ".join(name(n) for n in range(50)) + " (Word), end."
+    for k in range(40):
+        text = common + " " + " ".join(name(1_000 + 60 * k + n) for n in range(60))
+        ids = np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
+        assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.cache) <= 500
+    assert learned.count(name(7)) == learned.count("word") == 1  # before: once after every overflow
