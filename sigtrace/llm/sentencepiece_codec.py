@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtrace.llm import pieces
-from sigtrace.llm.common import BoundedCache, released, text_groups, worker_state
+from sigtrace.llm.common import BoundedCache, Slots, released, text_groups, worker_state
 
 #: An odd multiplier of the substring hash, and cells of one Viterbi step held at once.
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -46,6 +46,8 @@ _CELLS = 1_000_000
 GROUP, ROWS = 500_000, 200
 #: Chunks are merged one by one where fewer share a length, or where they are longer.
 _FEW, _LONG = 16, 256
+#: Chunks up to this part longer advance together.
+_NEAR = 4
 
 
 class Codec:
@@ -73,6 +75,7 @@ class Codec:
                 self.bytes[i] = b""
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
+        self.written = pa.array(self.bytes, pa.large_binary())
 
     @staticmethod
     def _hash(name: str) -> int:
@@ -141,8 +144,17 @@ class Codec:
         return [int(self.byte_ids[b]) for b in character.encode("utf-8", "surrogatepass")]
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_rows(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_rows(self, rows: pa.Array) -> list[str]:
+        """The texts of rows of ids; the pieces of all rows are put one after the other at once."""
+        bytes_ = self.written.take(rows.flatten())  # a null row has no ids
+        n = rows.value_lengths().fill_null(0).to_numpy()
+        _, offsets, data = bytes_.buffers()
+        edges = np.frombuffer(offsets, np.int64, len(bytes_) + 1, 8 * bytes_.offset)[np.concatenate(([0], np.cumsum(n)))].tolist()
+        data = memoryview(data or b"")
+        texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(edges, edges[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 class MergeCodec(Codec):
@@ -153,31 +165,55 @@ class MergeCodec(Codec):
         sp = pieces.load(model)
         if pieces.has_special_pieces(sp):
             raise ValueError("BPE models with user-defined or unused pieces are not supported")
+        self.slots = Slots(self.keys)
+        self.rank = np.append(self.scores, -np.inf)  # by place; -1 is no piece
+        self.power = np.append(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(self.longest, _P)))), np.uint64(0))
         self.known = {sp.id_to_piece(int(i)): (float(s), int(i)) for i, s in zip(self.ids, self.scores)}
 
+    def encode_keys(self, keys: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(keys)
+        words = [(pieces.MARK + k).replace(" ", pieces.MARK) for k in keys]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        ordered, at = lengths[order], 0
+        while at < len(order):
+            least = int(ordered[at])
+            stop = int(np.searchsorted(ordered, least + least // _NEAR, side="right"))
+            stop = min(stop, at + max(1, _CELLS // int(ordered[stop - 1])))
+            self._advance(words, order[at:stop], int(ordered[stop - 1]), out)
+            at = stop
+        return out
+
     def _advance(self, words: list[str], which: np.ndarray, size: int, out: list[bytes]) -> None:
+        """Merge the words ``which`` of at most ``size`` characters together."""
         n = len(which)
         if n < _FEW or size > _LONG:
             for i in which:
                 out[i] = self._merged(words[i])
             return
-        prefix, power = self._prefix(words, which, size)
+        some = [words[i] for i in which.tolist()]
+        own = np.fromiter(map(len, some), np.int64, n)
+        # filled up with characters that words don't have
+        codes = np.frombuffer("".join([w.ljust(size) for w in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
+        prefix = np.zeros((n, size + 1), np.uint64)
+        for j in range(size):
+            prefix[:, j + 1] = prefix[:, j] * _P + codes[:, j]
+        prefix, wide = prefix.ravel(), size + 1
 
         def find(row, start, stop):
             span = stop - start
-            hashes = prefix[stop, row] - prefix[start, row] * power[np.minimum(span, self.longest)]
-            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            return (self.keys[at] == hashes) & (span <= self.longest), at
-
-        def scores(row, start, stop):
-            hit, at = find(row, start, stop)
-            return np.where(hit, self.scores[at], -np.inf)
+            row = row * wide
+            return self.slots.find(prefix[row + stop] - prefix[row + start] * self.power[np.minimum(span, self.longest + 1)])
 
         # a symbol is the place where it starts; ``end`` is where the next one does, 0 once it is merged away
-        end, prev = np.tile(np.arange(1, size + 1), (n, 1)), np.tile(np.arange(-1, size - 1), (n, 1))
-        live, score = np.arange(n), np.full((n, size), -np.inf)  # score of each symbol joined with the next
-        for start in range(size - 1):
-            score[:, start] = scores(live, np.full(n, start), np.full(n, start + 2))
+        place = np.arange(size)
+        end = np.where(place < own[:, None], place + 1, 0)
+        prev = np.tile(place - 1, (n, 1))
+        # score of each symbol joined with the next; the last entry of ``rank`` is for what is no piece
+        live, score = np.arange(n), np.full((n, size), -np.inf)
+        if size > 1:
+            pairs = self.slots.find((codes[:, :-1] * _P + codes[:, 1:]).ravel())
+            score[:, :-1] = self.rank[pairs].reshape(n, size - 1)
         while len(live):
             top = score.argmax(1)  # the leftmost of equals
             rows = np.flatnonzero(score[np.arange(len(live)), top] > -np.inf)
@@ -190,24 +226,29 @@ class MergeCodec(Codec):
             stop = end[word, right]
             end[word, left], end[word, right] = stop, 0
             score[rows, left] = score[rows, right] = -np.inf
-            on = np.flatnonzero(stop < size)
-            prev[word[on], stop[on]] = left[on]
-            score[rows[on], left[on]] = scores(word[on], left[on], end[word[on], stop[on]])
+            after = np.flatnonzero(stop < own[word])
+            prev[word[after], stop[after]] = left[after]
             before = prev[word, left]
-            on = np.flatnonzero(before >= 0)
-            score[rows[on], before[on]] = scores(word[on], before[on], stop[on])
+            ahead = np.flatnonzero(before >= 0)
+            # the joined symbol with the next one, and the one before with it
+            row = np.concatenate((word[after], word[ahead]))
+            begin = np.concatenate((left[after], before[ahead]))
+            close = np.concatenate((end[word[after], stop[after]], stop[ahead]))
+            score[np.concatenate((rows[after], rows[ahead])), begin] = self.rank[find(row, begin, close)]
         row, start = np.nonzero(end)
-        hit, at = find(row, start, end[row, start])
+        at = find(row, start, end[row, start])
+        hit = at >= 0
         ids = np.where(hit, self.ids[at], -1).astype(np.int32)
         edges = np.searchsorted(row, np.arange(n + 1))
         odd = set(row[~hit].tolist())
-        for k, i in enumerate(which):
+        packed, edges = ids.tobytes(), edges.tolist()
+        for k, i in enumerate(which.tolist()):
             lo, hi = edges[k], edges[k + 1]
             if k in odd:
                 symbols = zip(ids[lo:hi].tolist(), start[lo:hi].tolist())
                 out[i] = self._packed((p, words[i][s]) for p, s in symbols)
             else:
-                out[i] = ids[lo:hi].tobytes()
+                out[i] = packed[4 * lo : 4 * hi]
 
     def _packed(self, symbols) -> bytes:
         """Ids of (id or -1, first character) as bytes."""
@@ -269,8 +310,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         for part, texts in text_groups(batches, len(keep), GROUP):
             split = [pieces.chunk_keys(t) for t in texts]
             needed = set().union(*split)
-            cache.room(len(needed))
-            new = list(needed.difference(cache))
+            new = list(cache.missing(needed))
             cache.learn(new, codec.encode_keys(new))
             ids = [b"".join(map(cache.__getitem__, keys)) for keys in split]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
@@ -290,7 +330,7 @@ def decode(coded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id"
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                texts = [codec.decode(x.as_py() or ()) for x in batch.column(len(keep))]
+                texts = codec.decode_rows(batch.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*(f"k{i}" for i in range(len(keep))), "text"])
 
     rows, head = _passed(coded, keep, ids, "array<int>")

@@ -48,3 +48,26 @@ def test_words_asked_for_again_stay_when_the_cache_overflows(monkeypatch):
         assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert len(encoder.cache) <= 500
     assert learned.count(name(7)) == learned.count("word") == 1  # before: once after every overflow
+
+
+def test_rows_are_decoded_and_words_of_near_lengths_merged_together(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    from sigtrace.llm import pieces
+
+    codec = sentencepiece_codec.codec_of(pieces.default_model())
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rng = np.random.default_rng(5)
+    alphabet = list("aabcdeeehinorsttu.,é日▁x")
+    words = sorted({"".join(rng.choice(alphabet, n)).replace("▁", "") for n in rng.integers(1, 30, 3_000).tolist()} - {""})
+    advanced, advance = [], type(codec)._advance
+    monkeypatch.setattr(type(codec), "_advance", lambda self, words, which, size, out: advanced.append(size) or advance(self, words, which, size, out))
+    coded = [np.frombuffer(x, np.int32).tolist() for x in codec.encode_keys(words)]
+    assert coded == [sp.encode(w) for w in words]
+    assert len(advanced) < 16  # before: one step for each of 30 lengths
+    rows = pa.array([None, [], *coded, coded[0] + coded[-1]], pa.list_(pa.int32()))
+    want = ["", "", *words, words[0] + " " + words[-1]]
+    monkeypatch.setattr(type(codec), "decode", None)  # before: one call a row
+    assert codec.decode_rows(rows) == want
+    assert codec.decode_rows(rows.slice(1, 9)) == want[1:10]
