@@ -7,9 +7,9 @@ does not tell one chance hit from many.  Those that tell the labels apart (chi-s
 most ``features``) are kept, and their document frequencies are counted over all documents.
 
 The examples are an inverted index in blocks with the largest weight of each feature per
-block.  A document takes the blocks in order of their upper bound and stops when no further
-block can hold one of its ``k`` nearest examples, so the cosines and neighbours are exact
-(ties: smaller id).  The neighbours vote with their squared cosines, weighted back to the
+block.  A document takes the blocks of highest upper bound, then all others that can still hold
+one of its ``k`` nearest examples, so the cosines and neighbours are exact (ties: smaller id);
+documents of a group that take the same block take it together.  The neighbours vote with their squared cosines, weighted back to the
 labels' true frequencies; a logistic fit on leave-one-out votes of the examples calibrates
 the score.  A document without any feature gets the rate of such examples.
 
@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,10 @@ MARKS = (2, 4)
 #: Chi-square of one degree of freedom at p = 0.001.
 SIGNIFICANT = 10.83
 BLOCK = 64
+#: Documents that take blocks together, and the blocks a document takes before it knows how near the nearest are.
+TOGETHER, FIRST = 256, 4
+#: A word's features begin with its first characters.
+_HEAD = min(STEMS)
 _WORD = re.compile(r"\w+")
 
 
@@ -72,17 +77,18 @@ class Vectors:
         self.plain = [number.get(p) for p in plain]
         self.marks = [[(m, number[f"{p}@{m}"]) for m in MARKS if f"{p}@{m}" in number] for p in plain]
         self.cache = BoundedCache(limit=400_000)
+        self.heads = {p[:_HEAD] for p in plain}
 
     def counts(self, texts: list[str]) -> list[dict[int, int]]:
         split = [words_of(t) for t in texts]
         needed = set().union(*split)
-        self.cache.room(len(needed))
-        new = list(needed.difference(self.cache))
-        self.cache.learn(new, [tuple(self.stems[f] for f in features_of(w) if f in self.stems) for w in new])
+        new = self.cache.missing(needed)
+        self.cache.update(dict.fromkeys(new, ()))  # most words have no feature
+        self.cache.update({w: tuple(self.stems[f] for f in features_of(w) if f in self.stems) for w in new if w[:_HEAD] in self.heads})
         out = []
         for words in split:
             held: dict[int, int] = {}
-            for i, n in Counter(i for own in map(self.cache.__getitem__, words) if own for i in own).items():
+            for i, n in Counter(chain.from_iterable(map(self.cache.__getitem__, words))).items():
                 if self.plain[i] is not None:
                     held[self.plain[i]] = n
                 for m, mark in self.marks[i]:
@@ -102,42 +108,57 @@ class Index:
         self.weight = np.where(self.toxic == 1, weight[1], weight[0])
         blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((features, blocks))
-        # a block's postings: a row of weights for each feature found in it, and where that row is
-        self.place = np.full((blocks, features), -1, np.int32)
-        self.rows = []
+        # a block's postings: the features found in it, and a row of weights for each of them
+        self.found, self.rows = [], []
         for b in range(blocks):
             own = order[b * BLOCK : (b + 1) * BLOCK]
-            found = sorted({f for i in own for f in vectors[i]})
-            self.place[b, found] = np.arange(len(found))
+            found = np.array(sorted({f for i in own for f in vectors[i]}), np.int64)
             rows = np.zeros((len(found), BLOCK))
             for at, i in enumerate(own):
-                for f, w in vectors[i].items():
-                    rows[self.place[b, f], at] = w
+                rows[np.searchsorted(found, list(vectors[i])), at] = list(vectors[i].values())
             self.most[found, b] = rows.max(1)
+            self.found.append(found)
             self.rows.append(rows)
 
-    def nearest(self, vector: dict[int, float], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest examples with a cosine above 0."""
-        features = np.fromiter(vector, np.int64, len(vector))
-        weights = np.fromiter(vector.values(), np.float64, len(vector))
-        bound = weights @ self.most[features]
-        at, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(at) >= k and bound[b] < least - 1e-9):
-                break
-            place = self.place[b, features]
-            held = place >= 0
-            scores = weights[held] @ self.rows[b][place[held]]
-            own = np.flatnonzero((scores > 0) & (scores >= least - 1e-9) if len(at) >= k else scores > 0)
+    def nearest(self, vector: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([vector], k)[0]
+
+    def nearest_of(self, vectors: list[dict[int, float]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector, places and cosines of the ``k`` nearest examples with a cosine above 0.
+
+        Vectors that take the same block take it together; ``without`` has a place to leave out for each.
+        """
+        out = []
+        for at in range(0, len(vectors), TOGETHER):
+            out += self._nearest(vectors[at : at + TOGETHER], k, None if without is None else without[at : at + TOGETHER])
+        return out
+
+    def _nearest(self, vectors: list[dict[int, float]], k: int, without: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, blocks = len(vectors), len(self.rows)
+        sizes = [len(v) for v in vectors]
+        held = np.zeros((n, len(self.most)))
+        held[np.repeat(np.arange(n), sizes), np.fromiter(chain.from_iterable(vectors), np.int64, sum(sizes))] = list(chain.from_iterable(v.values() for v in vectors))
+        bound = held @ self.most
+        cosines = np.zeros((n, blocks * BLOCK))
+        taken, rank, at, some, least = np.zeros((n, blocks), bool), np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1), 0, FIRST, np.zeros(n)
+        while at < blocks:
+            # the blocks of highest bound that can hold one of the nearest
+            now = (bound > 0) & (bound >= least[:, None] - 1e-9) & (rank < at + some) & ~taken
+            for b in np.flatnonzero(now.any(0)).tolist():
+                own = np.flatnonzero(now[:, b])
+                cosines[own, b * BLOCK : (b + 1) * BLOCK] = held[np.ix_(own, self.found[b])] @ self.rows[b]
             if without is not None:
-                own = own[own + b * BLOCK != without]
-            if not len(own):
-                continue  # none of this block is nearer than those held: most blocks
-            at, cosine = np.concatenate((at, own + b * BLOCK)), np.concatenate((cosine, scores[own]))
-            order = np.lexsort((self.ids[at], -np.round(cosine, 12)))[:k]
-            at, cosine = at[order], cosine[order]
-            least = cosine[-1] if len(cosine) else 0.0
-        return at, cosine
+                cosines[np.arange(n), without] = 0.0
+            taken |= now
+            at, some = at + some, blocks
+            if cosines.shape[1] > k:
+                least = np.partition(cosines, -k, axis=1)[:, -k]
+        row, place = np.nonzero((cosines > 0) & (cosines >= least[:, None] - 1e-9))
+        cosine = cosines[row, place]
+        order = np.lexsort((self.ids[place], -np.round(cosine, 12), row))
+        place, cosine = place[order], cosine[order]
+        edges = np.searchsorted(row, np.arange(n + 1)).tolist()
+        return [(place[a:b][:k], cosine[a:b][:k]) for a, b in zip(edges, edges[1:])]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**2 * self.weight[at]
@@ -157,8 +178,8 @@ class Classifier:
         self.index = Index([ids[i] for i in some], toxic[some], [vectors[i] for i in some], len(names), weight)
         place = {int(x): n for n, x in enumerate(self.index.ids)}
         votes, labels, weights = [], [], []
-        for i in some:
-            at, cosine = self.index.nearest(vectors[i], k, without=place[ids[i]])
+        others = self.index.nearest_of([vectors[i] for i in some], k, np.array([place[ids[i]] for i in some], np.int64))
+        for i, (at, cosine) in zip(some, others):
             if len(at):
                 votes.append(self.index.vote(at, cosine)), labels.append(toxic[i]), weights.append(own[i])
         self.slope, self.shift = _logistic(np.array(votes), np.array(labels, float), np.array(weights))
@@ -168,14 +189,17 @@ class Classifier:
         norm = math.sqrt(sum(x * x for x in w.values()))
         return {f: x / norm for f, x in w.items()}
 
+    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, list[int]]]:
+        """For each document the calibrated score, and the ids of the nearest examples."""
+        out: list[tuple[float, list[int]]] = [(self.bare, [])] * len(counts)
+        some = [i for i, c in enumerate(counts) if c]
+        for i, (at, cosine) in zip(some, self.index.nearest_of([self.vector(counts[i]) for i in some], self.k)):
+            if len(at):
+                out[i] = float(1 / (1 + np.exp(-(self.slope * self.index.vote(at, cosine) + self.shift)))), self.index.ids[at].tolist()
+        return out
+
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """The calibrated score, and the ids of the nearest examples."""
-        if not counts:
-            return self.bare, []
-        at, cosine = self.index.nearest(self.vector(counts), self.k)
-        if not len(at):
-            return self.bare, []
-        return float(1 / (1 + np.exp(-(self.slope * self.index.vote(at, cosine) + self.shift)))), self.index.ids[at].tolist()
+        return self.scores([counts])[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -261,7 +285,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         model = held.value
         vectors = Vectors(model.names) if isinstance(model, Classifier) else None
         for part, group in text_groups(batches):
-            found = [model.score(c) for c in vectors.counts(group)] if vectors else [(model, [])] * len(group)
+            found = model.scores(vectors.counts(group)) if vectors else [(model, [])] * len(group)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["d", "score", "evidence"])
 
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t"))

@@ -71,3 +71,27 @@ def test_rows_are_decoded_and_words_of_near_lengths_merged_together(monkeypatch)
     monkeypatch.setattr(type(codec), "decode", None)  # before: one call a row
     assert codec.decode_rows(rows) == want
     assert codec.decode_rows(rows.slice(1, 9)) == want[1:10]
+
+
+def test_documents_that_take_a_block_take_it_together():
+    rng = np.random.default_rng(4)
+    vectors = [{f: float(rng.random()) + 0.1 for f in rng.choice(40, 6, replace=False).tolist()} for _ in range(700)]
+    ids = rng.permutation(700).tolist()
+    index = toxicity.Index(ids, np.array([i % 2 for i in ids]), vectors, 40, (0.5, 0.5))
+    products = []
+
+    class Counted(np.ndarray):
+        def __rmatmul__(self, other):
+            products.append(len(other))
+            return np.asarray(other) @ np.asarray(self)
+
+        __array_ufunc__ = None
+
+    index.rows = [x.view(Counted) for x in index.rows]
+    place = {int(i): n for n, i in enumerate(index.ids)}
+    got = index.nearest_of(vectors[:300], 15, np.array([place[i] for i in ids[:300]]))
+    by_id = dict(zip(ids, vectors))
+    for q in range(0, 300, 37):
+        want = sorted((-round(sum(w * v.get(f, 0.0) for f, w in vectors[q].items()), 12), i) for i, v in by_id.items() if i != ids[q] and set(v) & set(vectors[q]))[:15]
+        assert index.ids[got[q][0]].tolist() == [i for _, i in want]
+    assert len(products) <= 4 * len(index.rows)  # before: a product for each document and block
