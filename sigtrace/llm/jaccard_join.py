@@ -238,8 +238,17 @@ def _tested(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return both.mapInArrow(released(compared), "src long, dst long, linked boolean")
 
 
+def _merged(label: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, component) of ``label`` after joining what ``linked`` (src, dst) links: only components are linked, not their sets."""
+    for end in ("src", "dst"):
+        linked = linked.join(label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of")), end)
+    found = connected_components(linked.where("src_of != dst_of").select(F.col("src_of").alias("src"), F.col("dst_of").alias("dst")))
+    found = found.select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    return written(label.join(found, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "jaccard-labels")
+
+
 def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds, boundary: int) -> DataFrame:
-    """(src, dst) links that connect what is connected among sets above the boundary."""
+    """(src, dst) links of each connected set above the boundary, but the smallest, with the smallest it is connected with."""
     # one row of each candidate's set stands for it
     candidates = _candidates(docs, words, bounds, boundary)
     stand_in = written(sizes.join(candidates, "node", "left_semi").groupBy("node").agg(F.min(F.struct("d", "x")).alias("d")), "jaccard-candidates")
@@ -249,12 +258,11 @@ def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds,
     lists = written(_lists(texts, words, bounds), "jaccard-lists")
     span = lists.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("h")
     lists = written(lists.join(span, "h"), "jaccard-shared")
-    members = lists.select("node").distinct()
+    label = written(lists.select("node", F.col("node").alias("component")).distinct(), "jaccard-labels")
 
-    tested, linked, turn, centres = None, None, 0, 1
-    label = members.withColumn("component", F.col("node"))
+    tested, turn, centres = None, 0, 1
     while True:
-        held = lists.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        held = lists.join(label, "node")
         open_lists = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("h", "m")
         held = written(held.join(open_lists, "h"), "jaccard-open")
         longest = held.agg(F.max("m")).first()[0]
@@ -271,13 +279,12 @@ def _heavy_edges(docs: DataFrame, sizes: DataFrame, words: int, bounds: Bounds,
             pairs = pairs.join(tested.select("src", "dst"), ["src", "dst"], "left_anti")
         result = written(_tested(pairs, texts, words, bounds.percent), "jaccard-tested")
         tested = result if tested is None else tested.unionByName(result)
-        linked = tested.where("linked").select("src", "dst")
+        label = _merged(label, result.where("linked"))
         if turn and longest <= centres:
             break
-        label = connected_components(linked)
         turn, centres = turn + 1, centres * WIDER
     wanted.destroy()
-    return linked if linked is not None else members.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    return label.where("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, grouped: bool = False) -> DataFrame:

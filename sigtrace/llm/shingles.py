@@ -27,7 +27,21 @@ _LOWER[65:91] += 32
 _BYTE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BYTE[_SPACE] = 0
 _STEP = _U(0xD6E8FEB86659FD93)
+#: Bytes of a group for which the powers are kept.
+_KEPT = 4_000_000
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2 ** 64, at least so many; kept for most groups."""
+    if len(_POWERS[0]) < size:
+        made = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size + size // 4, x, np.uint64)))) for x in (int(_STEP), pow(int(_STEP), -1, 1 << 64))]
+        if size > _KEPT:
+            return made[0], made[1]
+        _POWERS[:] = made
+    return _POWERS[0], _POWERS[1]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,11 +54,11 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    inside = np.arange(len(data)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)]))))
-    longest = int((ends - starts).max())
-    power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(longest, _STEP, np.uint64))))
-    values = np.where(space, _U(0), _BYTE[data] * power[np.minimum(inside, longest)])
-    hashes = _mix(np.add.reduceat(values, starts) + (ends - starts).astype(np.uint64))
+    power, inverse = _powers(len(data))
+    values = _BYTE[data]  # white space is 0
+    values *= power[: len(data)]
+    # a word's polynomial times the power of its place, which is divided out
+    hashes = _mix(np.add.reduceat(values, starts) * inverse[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.diff(np.searchsorted(starts, edges))
 
 

@@ -62,6 +62,26 @@ def test_jaccard_join_against_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_links_found_in_earlier_rounds_are_not_passed_on_again(spark, monkeypatch):
+    from sigtrace.llm import jaccard_join
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(150):  # near copies that differ in several places each
+        words = list(base)
+        for at in rng.sample(range(90), rng.randint(0, 2)):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"y{i}_{k}" for k in range(40))) for i in range(20)]
+    passed, connect = [], jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda edges, *a: passed.append(edges.distinct().count()) or connect(edges, *a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    nodes, components = len({frozenset(brute_sets(t)) for _, t in rows}), len({c for _, c in got.values()})
+    assert passed[-1] == nodes - components  # before: every link that was found
+
+
 def test_jaccard_join_odd_rows(spark):
     from sigtrace.llm.jaccard_join import Bounds, near_duplicates
 
