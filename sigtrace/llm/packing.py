@@ -138,6 +138,12 @@ def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
 
     def cut(batches: Iterator[pa.RecordBatch]):
         encoder = worker_state(state, lambda: WordEncoder(path, cache_size))
+        try:
+            yield from cut_with(encoder, batches)
+        finally:
+            encoder.cache = BoundedCache(limit=cache_size)  # an idle worker keeps the tokenizer, not the words
+
+    def cut_with(encoder: WordEncoder, batches: Iterator[pa.RecordBatch]):
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         for part, texts in text_groups(batches):

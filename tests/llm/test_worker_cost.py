@@ -95,3 +95,20 @@ def test_documents_that_take_a_block_take_it_together():
         want = sorted((-round(sum(w * v.get(f, 0.0) for f, w in vectors[q].items()), 12), i) for i, v in by_id.items() if i != ids[q] and set(v) & set(vectors[q]))[:15]
         assert index.ids[got[q][0]].tolist() == [i for _, i in want]
     assert len(products) <= 4 * len(index.rows)  # before: a product for each document and block
+
+
+def test_packing_leaves_no_words_in_an_idle_worker(spark):
+    from sigtrace.llm import common
+    from sigtrace.llm.packing import pieces_of
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            held = common._STATE.get("value")
+            yield pa.RecordBatch.from_arrays([pa.array([len(held.cache) if held is not None else 0], pa.int64())], ["n"])
+
+    docs = spark.createDataFrame([(i, f"some words of text {chr(97 + i)}") for i in range(8)], "doc_id long, text string")
+    assert pieces_of(docs).count() == 8
+    found = spark.range(64).repartition(32).mapInArrow(kept, "n long").collect()
+    assert not any(r["n"] for r in found)  # before: the words of the worker's last task
