@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a fresh folder of the shared checkpoint folder and read it back (cuts lineage)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of what has been written
     return spark.read.schema(df.schema).parquet(path)
 

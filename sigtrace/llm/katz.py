@@ -21,8 +21,10 @@
   answers or passes its backoff weight and a request for the next lower order.  A text that the model
   has learned needs no request for grams that are not in a bitmap of the repeated ones.  Words are
   looked up in a broadcast of at most ``COMMON`` commonest ones, the rest in the word table.
-  Per order there is one shuffle of packed requests; sums come back by text.  Texts are known by
-  a hash, and the sum of equal texts is divided by their number.
+  Per order there is one shuffle of packed requests; sums come back packed by slices of rows, rows being
+  numbered by the pass that writes their profiles and requests; equal texts take the sums of one of them.
+* **Packed words.**  Where words are packed, the ``COMMON`` commonest are numbers by their frequency, which
+  take 2 to 3 bytes, others their hashes.
 
 Cases: null and empty texts are one end mark; without training texts every token has the
 unknown word's probability 1; a null id belongs to the training rows in the query; texts of any
@@ -37,8 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sigtrace.llm.common import Slots, forget, in_bitmap, key_bitmap, release, released, text_groups, written
 from sigtrace.session import scratch_path
@@ -46,13 +50,16 @@ from sigtrace.session import scratch_path
 #: Occurrences of a bucket, and how many are counted at once in a task.
 BUCKET, FLUSH = 1_000_000, 400_000
 #: Entries of the broadcast tables of words and grams.
-COMMON = 1 << 18
+COMMON = 1 << 18  # at most 255 << 16, see ``_coded``
 CUTOFF = 5
+#: Answers are added up for ``2 ** SLICE`` rows of a task at once.
+SLICE = 12
 #: Characters split into words at once.
 GROUP = 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MARK = b"\xff"  # no byte of UTF-8
+_REQUEST = [("bucket", pa.int32()), *((n, pa.binary()) for n in ("owners", "who", "hists", "lens", "words"))]
 _PACKED = "bucket int, owners binary, who binary, hists binary, lens binary, words binary"
 
 
@@ -174,32 +181,48 @@ def _bucket_of(key: np.ndarray, words: np.ndarray, hot: np.ndarray, buckets: int
     return ((route >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _packs(bucket: np.ndarray, columns: list[np.ndarray], key: np.ndarray, words: np.ndarray, more: dict[str, np.ndarray]):
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def _packs(bucket: np.ndarray, columns: list[np.ndarray], key: np.ndarray, words: np.ndarray, more: dict[str, np.ndarray], common: _Common):
     """Yield one row a bucket: histories with run lengths, words and ``more`` arrays, ordered by history."""
-    order = np.lexsort((words, key, bucket.astype(np.uint16) if len(bucket) and bucket.max() < 65536 else bucket))
+    # by bucket, then by half of the history's hash: where two histories share it, their runs are only shorter
+    order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | _mixed(key) & np.uint64(0xFFFFFFFF))
     bucket, key, words = bucket[order], key[order], words[order]
     columns, more = [c[order] for c in columns], {n: v[order] for n, v in more.items()}
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    edges = _runs(bucket)
     begins = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0) | (np.diff(bucket) != 0)))) if len(key) else edges
     lens = np.diff(np.concatenate((begins, [len(key)]))).astype(np.uint32)
-    for i, a in enumerate(edges.tolist()):
-        b = int(edges[i + 1]) if i + 1 < len(edges) else len(key)
-        ra, rb = np.searchsorted(begins, (a, b))
-        hists = np.stack([c[begins[ra:rb]] for c in columns])
-        row = {"bucket": int(bucket[a]), "hists": hists.tobytes(), "lens": lens[ra:rb].tobytes(), "words": words[a:b].tobytes()}
+    hists = np.stack([c[begins] for c in columns])
+    hist_places, places = common.slots.find(hists.ravel()).reshape(hists.shape), common.slots.find(words)
+    ends = [*edges[1:].tolist(), len(key)]
+    for a, b, ra, rb in zip(edges.tolist(), ends, np.searchsorted(begins, edges).tolist(), np.searchsorted(begins, ends).tolist()):
+        row = {
+            "bucket": int(bucket[a]),
+            "hists": _coded(hists[:, ra:rb].ravel(), hist_places[:, ra:rb].ravel()),
+            "lens": lens[ra:rb].tobytes(),
+            "words": _coded(words[a:b], places[a:b]),
+        }
         for n, v in more.items():
             row[n] = v[a:b].tobytes()
         yield row
 
 
-def _unpacked(table: pa.Table, order: int, more: dict[str, type]):
+def _coded(words: np.ndarray, places: np.ndarray) -> bytes:
+    """Words as their places among the common ones, low halves before high ones; then the hashes of those without a place."""
+    return places.astype("<u2").tobytes() + (places >> 16).astype(np.uint8).tobytes() + words[places < 0].tobytes()
+
+
+def _unpacked(table: pa.Table, order: int, more: dict[str, type], common: _Common):
     """(history columns per entry, words, more arrays) of packed rows, joined."""
     hists, words, rest = [[] for _ in range(order - 1)], [], {n: [] for n in more}
     for row in table.to_pylist():
         lens = np.frombuffer(row["lens"], np.uint32)
-        for held, c in zip(hists, np.frombuffer(row["hists"], np.uint64).reshape(order - 1, -1)):
+        for held, c in zip(hists, common.decoded(row["hists"], (order - 1) * len(lens)).reshape(order - 1, -1)):
             held.append(np.repeat(c, lens))
-        words.append(np.frombuffer(row["words"], np.uint64))
+        words.append(common.decoded(row["words"], int(lens.sum())))
         for n, kind in more.items():
             rest[n].append(np.frombuffer(row[n], kind))
     empty = np.zeros(0, np.uint64)
@@ -211,7 +234,7 @@ def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
     """Write ``df`` as a table bucketed by ``bucket`` in the shared folder and read it back."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(buckets, "bucket").option("path", scratch_path(spark, name.replace("_", "-"))).saveAsTable(table)
+    df.write.bucketBy(buckets, "bucket").option("compression", "zstd").option("path", scratch_path(spark, name.replace("_", "-"))).saveAsTable(table)
     spark.sparkContext._jvm.System.gc()  # as in common.written
     return spark.table(table)
 
@@ -253,36 +276,40 @@ class Katz:
         held = self.words.where(common).toArrow() if common is not None else None
         keys = held["w"].to_numpy().view(np.uint64) if held is not None else np.zeros(0, np.uint64)
         c = held["c"].to_numpy() if held is not None else np.zeros(0, np.int64)
-        self.common = self.spark.sparkContext.broadcast(_Common(keys, c))
+        order = np.argsort(-c)  # the most frequent have the smallest numbers
+        self.common = self.spark.sparkContext.broadcast(_Common(keys[order], c[order]))
         # a word with more than half a bucket's occurrences: at most two for every bucket
         often = self.words.where(F.col("c") > BUCKET // 2).select("w").toArrow()["w"].to_numpy().view(np.uint64)
         self.hot[2] = np.unique(np.concatenate((often[often != END], [BEGIN])))
 
     def _learn(self, rows: DataFrame, k: int) -> None:
-        buckets, hot = self.buckets, self.hot[k]
+        buckets, hot, common = self.buckets, self.hot[k], self.common
 
         def counted(batches: Iterator[pa.RecordBatch]):
             for _, hashes in _Held(batches):
                 columns = histories(hashes, k)
                 key = key_of(columns)
-                _, at, n = np.unique(_mixed(key * _STEP + hashes), return_index=True, return_counts=True)
+                gram = _mixed(key * _STEP + hashes)
+                order = np.argsort(gram)
+                begins = _runs(gram[order])
+                at, n = order[begins], np.diff(np.concatenate((begins, [len(gram)])))
                 columns, key, words = [c[at] for c in columns], key[at], hashes[at]
-                packs = _packs(_bucket_of(key, words, hot, buckets), columns, key, words, {"counts": n.astype(np.uint32)})
+                packs = _packs(_bucket_of(key, words, hot, buckets), columns, key, words, {"counts": n.astype(np.uint32)}, common.value)
                 yield pa.RecordBatch.from_pylist(list(packs), pa.schema(fields))
 
         fields = [("bucket", pa.int32()), ("hists", pa.binary()), ("lens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())]
         packed = "bucket int, hists binary, lens binary, words binary, counts binary"
 
         def merged(table: pa.Table) -> pa.Table:
-            columns, words, more = _unpacked(table, k, {"counts": np.uint32})
+            columns, words, more = _unpacked(table, k, {"counts": np.uint32}, common.value)
             key = key_of(columns)
-            order = np.lexsort((words, key))
-            key, words = key[order], words[order]
-            begins = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0) | (np.diff(words) != 0))))
+            gram = _mixed(key * _STEP + words)
+            order = np.argsort(gram)
+            begins = _runs(gram[order])
             n = np.add.reduceat(more["counts"][order].astype(np.uint64), begins)
             at = order[begins]
             bucket = np.full(len(at), table["bucket"][0].as_py(), np.int32)
-            rows = _packs(bucket, [c[at] for c in columns], key[begins], words[begins], {"counts": n})
+            rows = _packs(bucket, [c[at] for c in columns], key[at], words[at], {"counts": n}, common.value)
             out = pa.Table.from_pylist(list(rows), pa.schema(fields))
             release()
             return out
@@ -312,9 +339,9 @@ class Katz:
             for batch in batches:
                 for i in range(batch.num_rows):
                     table = _table(batch.slice(i, 1))
-                    columns, words, more = _unpacked(table, k, {"counts": np.uint64})
+                    columns, words, more = _unpacked(table, k, {"counts": np.uint64}, common.value)
                     key = key_of(columns)
-                    begins = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+                    begins = _runs(key)
                     c = more["counts"].astype(np.int64)
                     total, freed = np.add.reduceat(c, begins), np.add.reduceat(c - discount.counts(c), begins)
                     low, rest = np.zeros(len(begins)), np.zeros(0, np.int64)
@@ -370,11 +397,11 @@ class Katz:
     def _hot(self, types: DataFrame, k: int) -> np.ndarray:
         """Grams of order ``k`` that are hot histories of the next order, and the texts' start."""
 
-        limit = BUCKET // 2
+        limit, common = BUCKET // 2, self.common
 
         def often(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
-                columns, words, more = _unpacked(_table(batch), k, {"counts": np.uint64})
+                columns, words, more = _unpacked(_table(batch), k, {"counts": np.uint64}, common.value)
                 if len(words):
                     yield _batch({"key": pa.array(key_of([*columns, words])[(more["counts"] > limit) & (words != END)].view(np.int64))})
 
@@ -383,13 +410,13 @@ class Katz:
 
     def _lower(self, k: int):
         """Packed requests for the next lower order of every gram, owned by the gram's history."""
-        buckets, hot = self.buckets, self.hot[k - 1]
+        buckets, hot, common = self.buckets, self.hot[k - 1], self.common
 
         def asked(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
-                columns, words, _ = _unpacked(_table(batch), k, {"counts": np.uint64})
+                columns, words, _ = _unpacked(_table(batch), k, {"counts": np.uint64}, common.value)
                 if len(words):
-                    yield _requests(columns[1:], words, *np.unique(key_of(columns), return_inverse=True), hot, buckets)
+                    yield _requests(columns[1:], words, *np.unique(key_of(columns), return_inverse=True), hot, buckets, common.value)
 
         return asked
 
@@ -410,9 +437,10 @@ class Katz:
         sums = []
         for k in range(level, 1, -1):
             asked = requests.groupBy("bucket").cogroup(self.levels[k].groupBy("bucket"))
-            found = written(asked.applyInArrow(self._answer(k, plain), f"owner long, value double, w long, {_PACKED}"), "katz-answers")
+            found = written(asked.applyInArrow(self._answer(k, plain), f"slice long, named binary, values binary, owner long, w long, {_PACKED}"), "katz-answers", "zstd")
             self.scratch.append(found)
-            sums.append(found.where("value IS NOT NULL").select("owner", "value"))
+            answers = found.where("slice IS NOT NULL").select("slice", "named", "values")
+            sums.append(answers.groupBy("slice").applyInArrow(_added, "owner long, value double"))
             requests = found.where("bucket IS NOT NULL").select("bucket", "owners", "who", "hists", "lens", "words")
             if k == 2:
                 rare = found.where("w IS NOT NULL").select("owner", "w").join(self.words, "w", "left")
@@ -426,17 +454,17 @@ class Katz:
     def _answer(self, k: int, plain: bool):
         discount, common, chance = self.discounts[k], self.common, self._chance()
         buckets, hot = self.buckets, self.hot.get(k - 1)
-        fields = [("owner", pa.int64()), ("value", pa.float64()), ("w", pa.int64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("owners", "who", "hists", "lens", "words"))]
+        fields = [("slice", pa.int64()), ("named", pa.binary()), ("values", pa.binary()), ("owner", pa.int64()), ("w", pa.int64()), *_REQUEST]
 
         def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
             if not asked.num_rows:
                 return pa.Table.from_pylist([], pa.schema(fields))
-            owners, columns, words = _asked(asked, k)
+            owners, columns, words = _asked(asked, k, common.value)
             key = key_of(columns)
             value = np.zeros(len(words))
             hit = np.zeros(len(words), bool)
             if model.num_rows:
-                seen, seen_words, more = _unpacked(model.select(["hists", "lens", "words", "counts"]), k, {"counts": np.uint64})
+                seen, seen_words, more = _unpacked(model.select(["hists", "lens", "words", "counts"]), k, {"counts": np.uint64}, common.value)
                 grams = _mixed(key_of(seen) * _STEP + seen_words)
                 order = np.argsort(grams)
                 grams, counts = grams[order], more["counts"][order].astype(np.int64)
@@ -455,12 +483,13 @@ class Katz:
                 value[rest[found]] += np.log10(p[found])
                 rare = rest[~found]
             elif len(rest):
-                out.append(_requests([c[rest] for c in columns[1:]], words[rest], *np.unique(owners[rest], return_inverse=True), hot, buckets))
+                out.append(_requests([c[rest] for c in columns[1:]], words[rest], *np.unique(owners[rest], return_inverse=True), hot, buckets, common.value))
             who, inverse = np.unique(owners, return_inverse=True)
             total = np.bincount(inverse, weights=np.power(10.0, value) if plain else value)
-            answers = pa.table({"owner": pa.array(np.concatenate((who, owners[rare])).view(np.int64)),
-                                "value": pa.array(np.concatenate((total, np.zeros(len(rare)))), mask=np.arange(len(who) + len(rare)) >= len(who)),
-                                "w": pa.array(np.concatenate((np.zeros(len(who), np.uint64), words[rare])).view(np.int64), mask=np.arange(len(who) + len(rare)) < len(who))})
+            # histories are dealt by their hash, rows by their numbers
+            slices = (_mixed(who) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) if plain else who >> np.uint64(SLICE)
+            out.append(_batch({"owner": pa.array(owners[rare].view(np.int64)), "w": pa.array(words[rare].view(np.int64))}))
+            answers = pa.Table.from_pylist(list(_sliced(slices, who, total)), pa.schema(fields[:3]))
             found = pa.concat_tables([_widened(t, fields) for t in (answers, *map(_table, out))])
             release()
             return found
@@ -469,7 +498,7 @@ class Katz:
 
     def _common_grams(self) -> _Common:
         """At most ``COMMON`` commonest grams of the highest order with their log10 probabilities."""
-        k, discount = self.order, self.discounts[self.order]
+        k, discount, common = self.order, self.discounts[self.order], self.common
 
         def graded(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
@@ -490,7 +519,7 @@ class Katz:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = _table(batch.slice(i, 1))
-                    columns, words, more = _unpacked(row, k, {"counts": np.uint64})
+                    columns, words, more = _unpacked(row, k, {"counts": np.uint64}, common.value)
                     c = more["counts"].astype(np.int64)
                     at = np.flatnonzero(c >= least)
                     key = key_of([x[at] for x in columns])
@@ -503,12 +532,12 @@ class Katz:
 
     def _repeated_grams(self) -> np.ndarray:
         """A bitmap of the highest order's grams that occur more than once."""
-        k = self.order
+        k, common = self.order, self.common
 
         def repeated(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
                 for i in range(batch.num_rows):
-                    columns, words, more = _unpacked(_table(batch.slice(i, 1)), k, {"counts": np.uint64})
+                    columns, words, more = _unpacked(_table(batch.slice(i, 1)), k, {"counts": np.uint64}, common.value)
                     at = np.flatnonzero(more["counts"] > 1)
                     yield _batch({"gram": pa.array(_mixed(key_of([c[at] for c in columns]) * _STEP + words[at]).view(np.int64))})
 
@@ -526,11 +555,11 @@ class Katz:
         """
         own = [f"k{i}" for i in range(len(keep))]
         learned = F.lit(False) if learned is None else F.coalesce(learned, F.lit(False))
-        rows = docs.select(F.col(text).cast("string").alias("t"), learned.alias("learned"), *[F.col(c).alias(n) for c, n in zip(keep, own)])
-        rows = rows.select("t", text_key(F.col("t")).alias("x"), "learned", *own)
+        rows = docs.select(F.col(text).cast("string").alias("t"), learned.alias("learned"), text_key(F.col(text)).alias("x"), *[F.col(c).alias(n) for c, n in zip(keep, own)])
         k, buckets, hot, words = self.order, self.buckets, self.hot[self.order], self.common
         grams = self.spark.sparkContext.broadcast(self._common_grams())
         bits = self.spark.sparkContext.broadcast(self._repeated_grams())
+        rows_schema = to_arrow_schema(rows.schema)
         base, once = float(np.log10(self.n + self.v + 1)), float(self.discounts[k].ratio[1])
 
         def answered(parts, hashes: np.ndarray, counts: np.ndarray):
@@ -539,7 +568,7 @@ class Katz:
             gram = _mixed(key_of(columns) * _STEP + hashes)
             value, hit = grams.value.find(gram)
             if k == 2 and once < 1:  # a discounted follower frees mass, so the history's total is its count
-                known = np.repeat(np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p, _ in parts]), counts)
+                known = np.repeat(np.concatenate([p.column(1).to_numpy(zero_copy_only=False) for p, _ in parts]), counts)
                 single = np.flatnonzero(known & ~hit)
                 single = single[~in_bitmap(bits.value, gram[single])]
                 c, found = words.value.find(columns[0][single])
@@ -547,56 +576,55 @@ class Katz:
                 value[single], hit[single] = np.log10(once) - np.log10(c), True
             return columns, value, hit
 
+        kinds = [("owner", pa.int64()), ("learned", pa.bool_()), ("x", pa.int64()), *((n, rows_schema.field(n).type) for n in own), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("logp", pa.float64()), ("rest", pa.list_(pa.int64()))]
+        fields = [*kinds, *_REQUEST]
+
         def profiled(batches: Iterator[pa.RecordBatch]):
-            """What the common words and grams answer, and the words left, of each row."""
+            """What the common words and grams answer of each row, with the words left; and packed requests for the grams left."""
+            first = TaskContext.get().partitionId() << 32  # rows are numbered
             for parts, hashes in _Held(batches):
                 table = pa.Table.from_batches([p for p, _ in parts])
                 counts = np.concatenate([n for _, n in parts])
                 ends = np.cumsum(counts)
                 edges = ends - counts
+                owners = np.arange(first, first + len(counts), dtype=np.uint64)
+                first += len(counts)
                 c, known = words.value.find(hashes)
-                _, value, hit = answered(parts, hashes, counts)
+                columns, value, hit = answered(parts, hashes, counts)
                 rest = np.flatnonzero(~known)
                 left = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, np.concatenate(([0], ends))), pa.int32()), pa.array(hashes[rest].view(np.int64)))
                 sums = {
+                    "owner": pa.array(owners.view(np.int64)),
                     "n_tokens": pa.array(counts), "n_known": pa.array(np.add.reduceat(known.astype(np.int64), edges)),
                     "base": pa.array(np.add.reduceat(np.where(known, np.log10(c + 1), 0.0), edges) - counts * base),
                     "logp": pa.array(np.add.reduceat(np.where(hit, value, 0.0), edges)), "rest": left,
                 }
-                held = pa.table({n: table[n] for n in ("x", "learned", *own)} | sums)
-                yield from held.combine_chunks().to_batches()
-
-        def asked(batches: Iterator[pa.RecordBatch]):
-            for parts, hashes in _Held(batches):
-                owners = np.concatenate([p.column(1).to_numpy() for p, _ in parts]).view(np.uint64)
-                # equal texts of learned and other rows ask for different tokens
-                owners = owners ^ np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p, _ in parts]).astype(np.uint64)
-                counts = np.concatenate([n for _, n in parts])
-                columns, _, hit = answered(parts, hashes, counts)
+                yield from _widened(pa.table({n: table[n] for n in ("learned", "x", *own)} | sums), fields).combine_chunks().to_batches()
                 rest = np.flatnonzero(~hit)
                 if len(rest):
-                    yield _requests([c[rest] for c in columns], hashes[rest], owners, np.repeat(np.arange(len(owners)), counts)[rest], hot, buckets)
-
-        kinds = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in own)
-        profiles = written(rows.mapInArrow(released(profiled), f"x long, learned boolean{kinds}, n_tokens long, n_known long, base double, logp double, rest array<long>"), "katz-profiles")
-        sums = self._evaluated(rows.select("t", "x", "learned").mapInArrow(released(asked), _PACKED), k)
-
-        # equal texts asked together: each has its share
-        profiles_by = profiles.withColumn("owner", F.col("x").bitwiseXOR(F.col("learned").cast("long")))
-        texts = profiles_by.groupBy("owner").agg(F.count("*").alias("copies"), F.first("rest").alias("rest"))
-        rare = texts.select("owner", F.explode("rest").alias("w")).join(self.words, "w").groupBy("owner").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_base"))
-        shares = texts.select("owner", "copies").join(sums, "owner", "left").join(rare, "owner", "left")
-        out = profiles_by.drop("rest").join(shares, "owner")
+                    packed = _requests([c[rest] for c in columns], hashes[rest], owners, np.repeat(np.arange(len(owners)), counts)[rest], hot, buckets, words.value)
+                    yield from _widened(_table(packed), fields).combine_chunks().to_batches()
+
+        kept = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in own)
+        passed = written(rows.mapInArrow(released(profiled), f"owner long, learned boolean, x long{kept}, n_tokens long, n_known long, base double, logp double, rest array<long>, {_PACKED}"), "katz-profiles", "zstd")
+        profiles = passed.where("owner IS NOT NULL").select([n for n, _ in kinds])
+        sums = self._evaluated(passed.where("bucket IS NOT NULL").select([n for n, _ in _REQUEST]), k)
+
+        rare = profiles.select("owner", F.explode("rest").alias("w")).join(self.words, "w").groupBy("owner").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_base"))
+        # equal texts have the sums of one of them, which differ by their order
+        texts = profiles.groupBy("x", "learned").agg(F.min("owner").alias("of"))
+        out = profiles.drop("owner", "rest").join(texts, ["x", "learned"]).withColumnRenamed("of", "owner")
+        out = out.join(sums, "owner", "left").join(rare, "owner", "left")
         none = F.lit(0.0)
         out = out.select(
             *[F.col(n).alias(c) for c, n in zip(keep, own)],
             "n_tokens",
             (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
             (F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
-            (F.col("logp") + F.coalesce(F.col("value") / F.col("copies"), none)).alias("score"),
+            (F.col("logp") + F.coalesce("value", none)).alias("score"),
         )
         out = written(out, "katz-scores")
-        for table in (profiles, *self.scratch):
+        for table in (passed, *self.scratch):
             forget(table)
         self.scratch = []
         grams.destroy(), bits.destroy()
@@ -615,23 +643,43 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Katz:
     return model
 
 
-def _requests(columns: list[np.ndarray], words: np.ndarray, owners: np.ndarray, who: np.ndarray, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _requests(columns: list[np.ndarray], words: np.ndarray, owners: np.ndarray, who: np.ndarray, hot: np.ndarray, buckets: int, common: _Common) -> pa.RecordBatch:
     """Packed requests for the grams ``columns`` + ``words``; ``who`` says which of the ``owners`` asks."""
     key = key_of(columns)
     rows = []
-    for row in _packs(_bucket_of(key, words, hot, buckets), columns, key, words, {"who": who.astype(np.uint32)}):
+    for row in _packs(_bucket_of(key, words, hot, buckets), columns, key, words, {"who": who.astype(np.uint32)}, common):
         used, own = np.unique(np.frombuffer(row["who"], np.uint32), return_inverse=True)
         own = own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-        rows.append(row | {"owners": owners[used].tobytes(), "who": own.tobytes()})
-    return pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("owners", "who", "hists", "lens", "words"))]))
+        # differences, which are small for numbered rows
+        rows.append(row | {"owners": np.diff(owners[used], prepend=np.uint64(0)).tobytes(), "who": own.tobytes()})
+    return pa.RecordBatch.from_pylist(rows, pa.schema(_REQUEST))
+
+
+def _sliced(slices: np.ndarray, owners: np.ndarray, values: np.ndarray):
+    """Yield a row for each slice: its owners, packed like those of requests, and their values."""
+    order = np.argsort(slices, kind="stable")
+    slices, owners, values = slices[order], owners[order], values[order]
+    edges = _runs(slices)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(slices)]):
+        yield {"slice": int(slices[a]), "named": np.diff(owners[a:b], prepend=np.uint64(0)).tobytes(), "values": values[a:b].tobytes()}
+
 
+def _added(table: pa.Table) -> pa.Table:
+    """(owner, value): the sums of a slice."""
+    owners = np.concatenate([np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in table["named"].to_pylist()])
+    values = np.concatenate([np.frombuffer(x, np.float64) for x in table["values"].to_pylist()])
+    who, inverse = np.unique(owners, return_inverse=True)
+    out = pa.table({"owner": pa.array(who.view(np.int64)), "value": pa.array(np.bincount(inverse, weights=values))})
+    release()
+    return out
 
-def _asked(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+
+def _asked(table: pa.Table, order: int, common: _Common) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Owners, history columns and words of packed requests."""
-    columns, words, _ = _unpacked(table, order, {})
+    columns, words, _ = _unpacked(table, order, {}, common)
     owners = [np.zeros(0, np.uint64)]
     for names, who in zip(table["owners"].to_pylist(), table["who"].to_pylist()):
-        names = np.frombuffer(names, np.uint64)
+        names = np.cumsum(np.frombuffer(names, np.uint64), dtype=np.uint64)
         owners.append(names[np.frombuffer(who, np.uint16 if len(names) <= 1 << 16 else np.uint32)])
     return np.concatenate(owners), columns, words
 
@@ -647,6 +695,17 @@ class _Common:
         at = self.slots.find(keys)
         return self.values[at], at >= 0
 
+    def decoded(self, data: bytes, n: int) -> np.ndarray:
+        """The ``n`` words of ``_coded``."""
+        high = np.frombuffer(data, np.uint8, n, 2 * n)
+        place = high.astype(np.int32) << 16 | np.frombuffer(data, "<u2", n)
+        rare = high == 255
+        if not rare.any():
+            return self.slots.keys[place]
+        out = np.empty(n, np.uint64)
+        out[~rare], out[rare] = self.slots.keys[place[~rare]], np.frombuffer(data, np.uint64, -1, 3 * n)
+        return out
+
 
 def _widened(table: pa.Table, fields) -> pa.Table:
     columns = [table[n] if n in table.column_names else pa.nulls(table.num_rows, kind) for n, kind in fields]
