@@ -10,9 +10,9 @@ result is the connected component of every document.
   size ``o(a, b)``.  Sharing one *is* a link, so no check follows.
 * **Heavy side**: inverted lists.  A set posts its extended prefix (the smallest hashes; any
   linked pair shares several of these), and sets that share too few of them with any other are
-  out - most of the corpus.  The rest post all their shingles; a set of which others hold less
-  than the least overlap is out, too.  Of the shared ones each set keeps its rarest, enough
-  that linked pairs still meet in one.  The lists are scanned in rounds: every list that is
+  out - most of the corpus.  The rest post a longer prefix, about half of their shingles (all of a
+  small set); a set of which others hold less than linked pairs share there is out, too.  Of the shared
+  ones each set keeps its rarest, enough that linked pairs still meet in one.  The lists are scanned in rounds: every list that is
   open (its members are in different components) tests them against one centre, then against
   about ``WIDER``, ``WIDER`` squared, ... centres, until no list is open or all its members have been
   centres; members already in one component need no test.  So a group of m near copies costs
@@ -49,6 +49,8 @@ MAX_LIGHT = 16
 TEST_COST = 2.0
 #: The extended prefix holds ``size / EXTRA`` shingles more than a plain one, and at least so many.
 EXTRA, EXTRA_LEAST = 16, 32
+#: Of the least overlap beyond ``EXTRA_LEAST`` so many 8ths are not posted by candidates.
+OUTSIDE = 5
 #: Centres of a list grow by this factor from round to round.
 WIDER = 32
 
@@ -80,6 +82,10 @@ class Bounds:
         """Shingles of its extended prefix that a set shares with the prefix of any partner."""
         return self.extra(self.least(size))
 
+    def outside(self, size: int) -> int:
+        """How many of its largest hashes a candidate does not post; grows with the size, but less than the least overlap."""
+        return max(0, self.least(size) - EXTRA_LEAST) * OUTSIDE // 8
+
     def classes(self, size: int, boundary: int) -> list[tuple[int, int]]:
         """Size classes (a, b), a <= b, with a within the boundary, that a set of this size belongs to."""
         pairs = [(p, size) for p in range(self.least(size), size)] + [(size, p) for p in range(size, self.most(size) + 1)]
@@ -189,22 +195,28 @@ def _candidates(docs: DataFrame, words: int, bounds: Bounds, boundary: int) -> D
 def _lists(texts: DataFrame, words: int, bounds: Bounds) -> DataFrame:
     """(h, node, size, left): inverted lists of the candidates in which every linked pair meets.
 
-    ``left`` is how many of its shared shingles the set has from this one on, rarest first.
+    Of a linked pair's common shingles, at least ``least`` of the larger set, at most its ``outside`` are not posted
+    by both, as the smaller set leaves out no more.  ``left`` is how many shared shingles the set can have from this
+    one on, rarest first: the posted ones, and those it has not posted.
     """
 
     def posted(batches):
         for part, group in unpacked_groups(batches, 1):
             sets = shingle_sets(group, words)
-            n = np.array([len(x) for x in sets], np.int64)
-            yield _rows(["h", "node", "size"], np.concatenate(sets).view(np.int64), np.repeat(part.column(0).to_numpy(), n), np.repeat(n.astype(np.int32), n))
+            held = [s[: len(s) - bounds.outside(len(s))] for s in sets]
+            n = np.array([len(x) for x in held], np.int64)
+            size = np.array([len(x) for x in sets], np.int32)
+            yield _rows(["h", "node", "size"], np.concatenate(held).view(np.int64), np.repeat(part.column(0).to_numpy(), n), np.repeat(size, n))
 
     posts = texts.select("node", "z").mapInArrow(released(posted), "h long, node long, size int")
     counts = posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     kept = posts.join(counts, "h").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("held"))
     least = F.ceil(F.col("size") * bounds.percent / 100).cast("int")
-    short = kept.where(F.size("held") >= least).select("node", "size", F.size("held").alias("n_held"), F.slice("held", F.lit(1), F.size("held") - least + 1).alias("held"))
-    listed = short.select("node", "size", F.posexplode("held.h").alias("at", "h"), "n_held")
-    return listed.select("h", "node", "size", (F.col("n_held") - F.col("at")).alias("left"))
+    outside = F.floor(F.greatest(F.lit(0), least - EXTRA_LEAST) * OUTSIDE / 8).cast("int")  # Bounds.outside
+    shared = least - outside
+    short = kept.where(F.size("held") >= shared).select("node", "size", outside.alias("outside"), F.size("held").alias("n_held"), F.slice("held", F.lit(1), F.size("held") - shared + 1).alias("held"))
+    listed = short.select("node", "size", F.posexplode("held.h").alias("at", "h"), "n_held", "outside")
+    return listed.select("h", "node", "size", (F.col("n_held") - F.col("at") + F.col("outside")).alias("left"))
 
 
 def _testable(bounds: Bounds, a: str, b: str, left_a: str, left_b: str):

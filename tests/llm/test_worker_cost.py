@@ -112,3 +112,41 @@ def test_packing_leaves_no_words_in_an_idle_worker(spark):
     assert pieces_of(docs).count() == 8
     found = spark.range(64).repartition(32).mapInArrow(kept, "n long").collect()
     assert not any(r["n"] for r in found)  # before: the words of the worker's last task
+
+
+def test_requests_and_answers_of_common_words_are_small():
+    from sigtrace.llm import katz
+
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 63, 5_000).astype(np.uint64)
+    common = katz._Common(words, np.arange(5_000, 0, -1))
+    tokens = np.append(words, np.uint64(7))[np.minimum(rng.zipf(1.2, 50_000) - 1, 5_000)]  # the last one is rare
+    before = katz.histories(tokens, 3)
+    who = np.sort(rng.integers(0, 400, len(tokens)))
+    owners = np.arange(9 << 32, (9 << 32) + 400, dtype=np.uint64)
+    packed = katz._requests(before, tokens, owners, who, np.zeros(0, np.uint64), 40, common)
+    got_owners, columns, got = katz._asked(katz._table(packed), 3, common)
+    asked = sorted(zip(owners[who].tolist(), *(c.tolist() for c in before), tokens.tolist()))
+    assert sorted(zip(got_owners.tolist(), *(c.tolist() for c in columns), got.tolist())) == asked
+    assert sum(map(len, packed["words"].to_pylist())) < 3.1 * len(tokens) + 8 * np.count_nonzero(tokens == 7)  # before: 8 each
+    # answers: one row a slice, not one an owner
+    rows = list(katz._sliced(owners >> np.uint64(katz.SLICE), owners, np.arange(400.0)))
+    assert len(rows) == 1
+    import pyarrow as pa
+
+    sums = katz._added(pa.Table.from_pylist(rows * 2)).to_pydict()
+    assert sums == {"owner": owners.tolist(), "value": (2 * np.arange(400.0)).tolist()}
+
+
+def test_candidates_post_half_of_their_shingles_and_linked_pairs_share_enough():
+    from sigtrace.llm.jaccard_join import Bounds
+
+    for percent in (50, 80, 95):
+        bounds = Bounds(percent)
+        shared = [bounds.least(n) - bounds.outside(n) for n in range(2_000)]
+        assert shared == sorted(shared) and min(shared[1:]) > 0
+        # the sets of a linked pair hold it in common at the least, less what one of them has not posted
+        for b in range(1, 2_000, 7):
+            for a in range(bounds.least(b), b + 1, 5):
+                assert bounds.overlap(a, b) - max(bounds.outside(a), bounds.outside(b)) >= shared[b]
+    assert 1_000 - Bounds(80).outside(1_000) < 530  # before: all 1,000 shingles were posted
