@@ -209,7 +209,8 @@ def _lists(texts: DataFrame, words: int, bounds: Bounds) -> DataFrame:
             yield _rows(["h", "node", "size"], np.concatenate(held).view(np.int64), np.repeat(part.column(0).to_numpy(), n), np.repeat(size, n))
 
     posts = texts.select("node", "z").mapInArrow(released(posted), "h long, node long, size int")
-    counts = posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # written, so that what was shuffled to count is gone before the join
+    counts = written(posts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-counts", "zstd")
     kept = posts.join(counts, "h").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("held"))
     least = F.ceil(F.col("size") * bounds.percent / 100).cast("int")
     outside = F.floor(F.greatest(F.lit(0), least - EXTRA_LEAST) * OUTSIDE / 8).cast("int")  # Bounds.outside
